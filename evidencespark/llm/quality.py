@@ -119,7 +119,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     """The rows of docs that the classifier accepts, columns unchanged. The fit reads the labelled
     documents only; the filter computes those of each document in the pass that writes the result."""
     known = labels.select("doc_id", "quality").where(~held_out())
-    model = fit(docs.select("doc_id", "text").join(known, "doc_id").select(statistics("text").alias("stats"), "quality"))
+    stats = docs.select("doc_id", statistics("text").alias("stats"))  # before the join, so that texts are not shuffled
+    model = fit(stats.join(known, "doc_id").select("stats", "quality"))
 
     @F.pandas_udf("boolean")
     def good(text: pd.Series) -> pd.Series:
