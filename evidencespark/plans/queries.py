@@ -536,7 +536,7 @@ ranked as (select cert, word, row_number() over (partition by cert order by n, w
 keyed as (select cert, list(word) as keys from ranked where r <= 2 group by 1),
 c as (select c0.*, keys from c0 join keyed using (cert)),
 s as (select cert, work, round(50 * len(list_intersect(c.w, w.w)) / len(list_distinct(list_concat(c.w, w.w)))
-    + case when day - start < 0 then -10 when day - start <= 3650 then greatest(0, 30 - (day - start) / 365 * 3) else 0 end + case when c.entity = w.entity then 20 else 0 end, 6) as score
+    + case when day - start < 0 then -10 when day - start <= 3650 then greatest(0, 30 - (day - start) / 365 * 3) else 0 end + case when c.entity = w.entity then 20 else 20 / 3 end, 6) as score
   from c join w on list_has_all(w.w, c.keys)),
 r as (select *, row_number() over (partition by cert order by score desc, work) as n, lead(score) over (partition by cert order by score desc, work) as nxt from s)
 select cert, work, score::double as score, coalesce(score - nxt < 5, false) as ambiguous from r where n = 1 and score >= 15""")
