@@ -92,18 +92,22 @@ def plan_sources(sized: DataFrame, weights: Callable[[Sequence[str | None]], dic
     return [Source(n, sizes[n], targets[n], min(k, cap * -(-sizes[n] // block))) for n, k in zip(names, won)]
 
 
-def mix(sized: DataFrame, weights: Callable[[Sequence[str | None]], dict] = cycled, cap: int = CAP, block: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = 17) -> DataFrame:
+def mix(sized: DataFrame, weights: Callable[[Sequence[str | None]], dict] = cycled, cap: int = CAP, block: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = 17, rows: DataFrame | None = None) -> DataFrame:
     """sized: doc_id, source, size (stored: it is read twice). One row for each of its rows: doc_id, size, source,
-    source_size, target, copies (times the whole document is taken), runs (further word ranges [start, end) of it), taken."""
+    source_size, target, copies (times the whole document is taken), runs (further word ranges [start, end) of it), taken.
+    rows: the same documents with a column doc, which is carried along; totals are always those of sized."""
     spark = sized.sparkSession
     plan = plan_sources(sized, weights, cap, block)
-    rows = [(i, s.name, s.size, s.target, s.blocks, max(1, -(-s.size // shard_words))) for i, s in enumerate(plan)]
-    sources = spark.createDataFrame(rows, "no long, __source string, source_size long, target double, source_blocks long, shards long")
-    sources = F.broadcast(sources) if len(rows) <= BROADCAST_SOURCES else sources
-    both = sized.select("doc_id", "source", "size").join(sources, F.col("source").eqNullSafe(F.col("__source")))
-    both = both.withColumn("order", F.xxhash64(F.lit(seed), "doc_id")).withColumn("shard", F.pmod(F.xxhash64("order"), F.col("shards")))
+    plain = [(i, s.name, s.size, s.target, s.blocks, max(1, -(-s.size // shard_words))) for i, s in enumerate(plan)]
+    sources = spark.createDataFrame(plain, "no long, __source string, source_size long, target double, source_blocks long, shards long")
+    sources = F.broadcast(sources) if len(plain) <= BROADCAST_SOURCES else sources
 
-    cells = both.groupBy("no", "shard").agg(F.sum("size").alias("cell_size"), F.first("source_size").alias("source_size"), F.first("source_blocks").alias("source_blocks"))
+    def dealt(df: DataFrame) -> DataFrame:
+        df = df.join(sources, F.col("source").eqNullSafe(F.col("__source"))).withColumn("order", F.xxhash64(F.lit(seed), "doc_id"))
+        return df.withColumn("shard", F.pmod(F.xxhash64("order"), F.col("shards")))
+
+    both = dealt(sized.select("doc_id", "source", "size") if rows is None else rows.select("doc_id", "source", "size", "doc"))
+    cells = dealt(sized.select("doc_id", "source", "size")).groupBy("no", "shard").agg(F.sum("size").alias("cell_size"), F.first("source_size").alias("source_size"), F.first("source_blocks").alias("source_blocks"))
     before = Window.partitionBy("no").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
     upto = F.expr("cast(round(source_blocks * cast(through as decimal(20, 0)) / source_size) as long)")
     done = F.expr("cast(round(source_blocks * cast(through - cell_size as decimal(20, 0)) / source_size) as long)")
@@ -125,7 +129,8 @@ def mix(sized: DataFrame, weights: Callable[[Sequence[str | None]], dict] = cycl
     inside = F.transform(ranges, lambda r: F.struct((F.greatest(r["a"], F.col("start")) - F.col("start")).alias("start"), (F.least(r["b"], F.col("end")) - F.col("start")).alias("end")))
     placed = placed.withColumn("runs", F.filter(inside, lambda r: r["end"] > r["start"]))
     extra = F.aggregate("runs", F.lit(0).cast("long"), lambda acc, r: acc + r["end"] - r["start"])
-    return placed.select("doc_id", "source", "size", "source_size", "target", F.col("copies").cast("long").alias("copies"), "runs", (F.col("copies") * F.col("size") + extra).cast("long").alias("taken"))
+    carried = [] if rows is None else ["doc"]
+    return placed.select(*carried, "doc_id", "source", "size", "source_size", "target", F.col("copies").cast("long").alias("copies"), "runs", (F.col("copies") * F.col("size") + extra).cast("long").alias("taken"))
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
@@ -138,12 +143,11 @@ def mixed_texts(docs: DataFrame) -> DataFrame:
     """The mix as rows of docs: a row for each whole copy, and one for each further range of words, with the text cut to it
     and n_chars, where there is one, counted anew. Documents without words are not in any mix."""
     columns = docs.columns
-    tagged = docs.withColumn("__size", word_count()).withColumn("__row", F.monotonically_increasing_id())
-    tagged = stored(tagged, "mix-docs")
-    plan = mix(tagged.select(F.col("__row").alias("doc_id"), "source", F.col("__size").alias("size"))).where("taken > 0")
-    both = tagged.join(plan.select(F.col("doc_id").alias("__row"), F.col("copies").alias("__copies"), F.col("runs").alias("__runs")), "__row")
-    whole = F.transform(F.expr("if(__copies > 0, sequence(1, __copies), array())"), lambda _: F.struct(F.lit(-1).cast("long").alias("start"), F.lit(-1).cast("long").alias("end")))
-    pieces = both.withColumn("__piece", F.explode(F.concat(whole, "__runs")))
+    sized = stored(docs.select("doc_id", "source", word_count().alias("size")), "mix-sizes")
+    rows = docs.select("doc_id", "source", word_count().alias("size"), F.struct(*columns).alias("doc"))
+    plan = mix(sized, rows=rows).where("taken > 0")
+    whole = F.transform(F.expr("if(copies > 0, sequence(1, copies), array())"), lambda _: F.struct(F.lit(-1).cast("long").alias("start"), F.lit(-1).cast("long").alias("end")))
+    pieces = plan.select("doc", F.explode(F.concat(whole, "runs")).alias("__piece")).select("doc.*", "__piece")
     words = F.split("text", r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
     lead = F.when(F.col("text").rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)  # white space before the first word is a piece of its own
     cut = F.concat_ws("", F.slice(words, (F.col("__piece.start") + 1 + lead).cast("int"), (F.col("__piece.end") - F.col("__piece.start")).cast("int")))
