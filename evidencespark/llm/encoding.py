@@ -15,7 +15,7 @@ from collections.abc import Sequence
 import numpy as np
 
 #: Words kept by a worker. Beyond, words are encoded anew for each batch: memory stays bounded, results are the same.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 500_000
 _RUN = re.compile(r"\s\s")
 _CUT = re.compile(r"(?<=\S)(?=[ \n])")
 _encoders: dict[str, Encoder] = {}

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
 from .encoding import batches_of, encoder
 
 MAX_LENGTH = 2048
@@ -147,6 +148,7 @@ def _pack_shard(pdf: pd.DataFrame, keep_ids: bool) -> pd.DataFrame:
 def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, shard_documents: int = SHARD_DOCUMENTS, keep_ids: bool = True) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, step_group, tier, ids (of pieces of
     packed rests, null unless keep_ids; a full window's are those of its range of the document)."""
+    bounded_batches(docs.sparkSession)
     shards = max(1, -(-docs.select("doc_id").count() // shard_documents))
     return tokenized(docs, tokenizer, shards, end_id).groupBy("shard").applyInPandas(lambda pdf: _pack_shard(pdf, keep_ids), PACKED)
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored
+from .common import bounded_batches, stored
 from .doc_stats import FEATURES, text_statistics
 
 THRESHOLD = 0.3
@@ -103,6 +103,7 @@ def held_out() -> F.Column:
 
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted: one row for each row of docs."""
+    bounded_batches(docs.sparkSession)
     stats = with_statistics(docs)
     known = labels.select("doc_id", "quality").where(~held_out())
     model = fit(stats.join(known, "doc_id").select("stats", "quality"))
@@ -118,6 +119,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that the classifier accepts, columns unchanged. The fit reads the labelled
     documents only; the filter computes those of each document in the pass that writes the result."""
+    bounded_batches(docs.sparkSession)
     known = labels.select("doc_id", "quality").where(~held_out())
     stats = docs.select("doc_id", statistics("text").alias("stats"))  # before the join, so that texts are not shuffled
     model = fit(stats.join(known, "doc_id").select("stats", "quality"))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored
+from .common import bounded_batches, stored
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
 WINDOW = 32
@@ -108,6 +108,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: one row for each row of docs."""
+    bounded_batches(docs.sparkSession)
     marked = stored(docs.select("doc_id", fingerprints("text").alias("fp")), "simhash-fingerprints")
     nodes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash-nodes")
     found = components(links(nodes.where("node is not null")))

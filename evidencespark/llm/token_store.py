@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import bounded_batches, new_path
 from .encoding import batches_of, encoder
 
 BLOCK = 256
@@ -99,6 +99,7 @@ def decode_blocks(payload: bytes, starts: np.ndarray, block: int = BLOCK) -> np.
 def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID, partitions: int | None = None) -> None:
     """docs: doc_id, text. Writes the store."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     end = np.array([end_id], dtype="<u4").tobytes()
 
