@@ -26,11 +26,12 @@ def read_page_results(dumps: DataFrame, strict: bool = False) -> DataFrame:
     sections = F.split("dump", rf"(?={PAGE})")
     rows = dumps.select("doc_id", F.explode(sections).alias("part")).where(F.col("part").rlike(rf"^(?:##|---)\s*P[áa]gina\s+\d+"))
     fenced = F.regexp_extract("part", FENCE, 1)
-    body = F.trim(F.regexp_replace("part", r"^[^\n]*\n?", ""))
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    body = strip(F.regexp_replace("part", r"^[^\n]*\n?", ""))
     has = F.col("part").rlike(FENCE)
     out = rows.select(
         "doc_id", F.regexp_extract("part", HEADER, 1).try_cast("int").alias("page_num"), F.nullif(F.regexp_extract("part", HEADER, 2), F.lit("")).alias("engine"),
-        F.regexp_extract("part", HEADER, 3).try_cast("double").alias("confidence"), F.when(has, F.trim(fenced)).otherwise(body).alias("text"), has.alias("__fenced"),
+        F.regexp_extract("part", HEADER, 3).try_cast("double").alias("confidence"), F.when(has, strip(fenced)).otherwise(body).alias("text"), has.alias("__fenced"),
     )
     return (out.where("__fenced") if strict else out).drop("__fenced")
 
