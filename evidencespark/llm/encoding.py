@@ -15,12 +15,21 @@ from collections.abc import Sequence
 import numpy as np
 
 #: Words kept by a worker. Beyond, words are encoded anew for each batch: memory stays bounded, results are the same.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 600_000
 _RUN = re.compile(r"\s\s")
 _CUT = re.compile(r"(?<=\S)(?=[ \n])")
 _encoders: dict[str, Encoder] = {}
 
 
+class _Words(dict):
+    """Ids by word; words of the batch at hand that are not kept come from fresh."""
+
+    fresh: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        return self.fresh[word]
+
+
 class Encoder:
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -28,7 +37,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cache_words = cache_words
-        self.cache: dict[str, bytes] = {}
+        self.cache = _Words()
 
     def _encode(self, pieces: Sequence[str]) -> dict[str, bytes]:
         encoded = self.tokenizer.encode(pieces, is_pretokenized=True, add_special_tokens=False)
@@ -60,14 +69,8 @@ class Encoder:
             fresh = {w: by_piece[p] for w, p in zip(new, plain)}
         if len(self.cache) < self.cache_words:
             self.cache.update(fresh)
-            look = self.cache.__getitem__
-        else:
-            old = self.cache
-
-            def look(word: str) -> bytes:
-                found = old.get(word)
-                return fresh[word] if found is None else found
-
+        self.cache.fresh = fresh
+        look = self.cache.__getitem__
         return [b"".join(map(look, words)) for words in cut]
 
 
