@@ -27,6 +27,8 @@ BLOCK = 256
 PERCENTILE = 0.95
 END_ID = 0
 SEGMENT_IDS = 1 << 17
+#: Words that a worker keeps: more than where other stages share its memory.
+CACHE_WORDS = 700_000
 SEGMENT = "part int, segment int, first long, n_ids long, payload binary, block_starts array<int>, doc_ids array<long>, doc_starts array<int>"
 
 
@@ -122,7 +124,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_I
             segment, first, held, doc_ids, sizes = segment + 1, first + len(ids), [], [], []
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, types)], names)
 
-        encode = encoder(tokenizer).encode
+        encode = encoder(tokenizer, CACHE_WORDS).encode
         waiting = 0
         for batch in batches:
             texts, keys = batch["text"].to_pylist(), batch["doc_id"].to_pylist()
