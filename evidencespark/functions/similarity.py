@@ -61,17 +61,20 @@ def _indel(a: str, b: str) -> float:
     return 2 * row[-1] / (len(a) + len(b))
 
 
+def token_set(a: str | None, b: str | None) -> float:
+    """0 to 100: the best of the indel ratios among the shared words and the shared words with either rest."""
+    x, y = set((a or "").lower().split()), set((b or "").lower().split())
+    if not x or not y:
+        return 0.0
+    both, only_x, only_y = " ".join(sorted(x & y)), " ".join(sorted(x - y)), " ".join(sorted(y - x))
+    p, q = f"{both} {only_x}".strip(), f"{both} {only_y}".strip()
+    return 100.0 * max(_indel(p, q), *((_indel(both, p), _indel(both, q)) if both else (0.0, 0.0)))
+
+
 @F.pandas_udf(T.DoubleType())
 def token_set_ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """0 to 100: the best of the indel ratios among the shared words and the shared words with either rest."""
     for left, right in pairs:
-        out = []
-        for a, b in zip(left, right):
-            x, y = set((a or "").lower().split()), set((b or "").lower().split())
-            both, only_x, only_y = " ".join(sorted(x & y)), " ".join(sorted(x - y)), " ".join(sorted(y - x))
-            p, q = f"{both} {only_x}".strip(), f"{both} {only_y}".strip()
-            out.append(100.0 * max(_indel(p, q), *((_indel(both, p), _indel(both, q)) if both else (0.0, 0.0))) if x and y else 0.0)
-        yield pd.Series(out, dtype="float64")
+        yield pd.Series([token_set(a, b) for a, b in zip(left, right)], dtype="float64")
 
 
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:

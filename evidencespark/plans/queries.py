@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, records, similarity, text
-from ..operators import evaluate, intervals, merge, pages, quality, works
+from ..operators import evaluate, fragments, intervals, merge, pages, quality, works
 from ..sources import readers
 from ..streaming import progress
 from .base import EXPERIENCES_SQL, PAGES_SQL, PROPOSAL, WINDOW, experiences, read
@@ -406,6 +406,14 @@ def text_density_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.text_density_route(source_pages(spark, sf_dir), "source", "page_num").withColumns({c: F.round(c, 4) for c in ("first_mean", "mean")})
 
 
+@query("""
+with l as (select doc_id, text, list_filter(string_split(text, chr(10)), lambda x: starts_with(trim(x, ' '), '|')) as t, list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> '') as f from (select doc_id, coalesce(text, '') as text from documents))
+select doc_id, length(text)::bigint as size, md5(case when (len(t) >= 5 and len(t) > 0.6 * len(f)) or length(text) <= 2000 then text else substr(text, 1, 1000) || chr(10) || '[...]' || chr(10) || substr(text, length(text) - 499) end) as digest from l""")
+def block_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = F.coalesce("text", F.lit(""))
+    return read(spark, sf_dir, "documents").select("doc_id", F.length(own).cast("long").alias("size"), F.md5(fragments.block_preview(own, pages.is_table_page(own))).alias("digest"))
+
+
 @query()
 def pack_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.pack_pages(source_pages(spark, sf_dir), "source", "page_num")

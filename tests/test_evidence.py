@@ -12,7 +12,7 @@ sys.path[:0] = [str(Path(__file__).parent), str(Path(__file__).parents[1])]
 import oracle  # noqa: E402
 
 from evidencespark.functions import dates, records, similarity, text  # noqa: E402
-from evidencespark.operators import intervals, pages, quality  # noqa: E402
+from evidencespark.operators import fragments, intervals, pages, quality  # noqa: E402
 from evidencespark.plans.queries import ORACLES, QUERIES  # noqa: E402
 from evidencespark.sources import readers  # noqa: E402
 from evidencespark.streaming import progress  # noqa: E402
@@ -103,3 +103,30 @@ def test_changes_as_a_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [r["state"] for r in spark.table("changes").orderBy("ts").collect()] == ["run", "page", "done"]
+
+
+def test_unsupported_values(spark):
+    rows = [(["Jefe de Obra", "Mitigacion Ambiental", "Electromecanicco Residente", "ab", None], "Jefe de  obra y/o electromecanico residente"), (["x y z"], ""), (None, "a"), (["Electromecanicco Residente de Obra"], "electromecanico residente de obra")]
+    got = fragments.drop_unsupported_values(spark.createDataFrame(rows, "v array<string>, t string"), "v", "t").collect()
+    assert got[0]["v"] == ["Jefe de Obra"] and got[0]["v_rejected"] == ["Mitigacion Ambiental", "Electromecanicco Residente", "ab", None]  # the text's other words take the ratio of word sets below its limit
+    assert got[1]["v"] == ["x y z"] and got[2]["v"] is None and got[3]["v_rejected"] == []
+
+
+def test_factors(spark):
+    rows = spark.createDataFrame([("d", "Jefe de Estudio", None), ("d", "Arquitecto", None), ("d", "Geologo", "own"), ("e", "Geologo", None)], "doc string, role string, own string")
+    factors = spark.createDataFrame([("d", 1, "Jefe de Estudio", "by years", 10), ("d", 2, "Consultoria", None, 5)], "doc string, position int, factor_role string, method string, points int")
+    got = {(r["doc"], r["role"]): r["own"] for r in fragments.attach_factors(rows, factors, "doc", "role", "own").collect()}
+    assert got == {("d", "Jefe de Estudio"): "by years", ("d", "Arquitecto"): "Hasta 5 puntos", ("d", "Geologo"): "own", ("e", "Geologo"): None}
+
+
+def test_tables_in_pages(spark):
+    long = "a line of prose that is clearly longer than forty characters in all"
+    page = "\n".join([long] * 6 + ["a", "b", "c", "d", "e"] + [long] * 6)
+    df = spark.createDataFrame([(page, "|t|"), ("x\ny", "|t|"), ("\n".join([long] * 6), "|t|")], "x string, t string")
+    got = [r[0] for r in df.select(fragments.replace_table_zone(F.col("x"), F.col("t"))).collect()]
+    assert "|t|" in got[0] and "\nb\n" not in got[0] and got[0].startswith(long) and got[0].endswith(long) and got[1:] == ["|t|", "|t|"]
+    parts = spark.createDataFrame([("k", 2, "|h|\n|---|\n|2|\nnote"), ("k", 1, "title\n|h|\n|---|\n|1|")], "k string, o int, x string")
+    assert fragments.fuse_table_fragments(parts, ["k"], "o", "x").first()["x"] == "title\n|h|\n|---|\n|1|\n|h|\n|2|"
+    chunks = spark.createDataFrame([("d", "Jefe de Obra", "one"), ("d", "Topografo", "two")], "doc string, role string, x string")
+    other = spark.createDataFrame([("d", "JEFE DE OBRA", "three")], "doc string, role string, x string")
+    assert {r["x"] for r in fragments.pair_chunks(chunks, other, "doc", "role", "x").collect()} == {"one\n\nthree", "two"}
