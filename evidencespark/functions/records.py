@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+from typing import Any
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -87,3 +92,60 @@ def clean_duration(c: Column) -> Column:
     """Placeholder "N meses" is null; a legal note in brackets is cut."""
     text = F.trim(F.regexp_replace(F.regexp_replace(c, r"\s*\([^)]*(?:emisi|contabiliz|grado|t[ií]tulo)[^)]*\)", ""), r"(?i)^t[ií]tulo profesional\s*[:,-]?\s*", ""))
     return F.when(~text.rlike(r"(?i)^N\s+meses$") & (text != ""), text)
+
+
+# The keys under which records of a nested answer state their kind, and those of their cells.
+KIND_KEYS = ("type", "label", "content_type", "doc_item_label")
+DATA_KEYS, GRID_KEYS = ("data", "table_data"), ("grid", "table_cells", "cells")
+NESTED = "array<struct<path:string,label:string,rows:int,columns:int>>"
+
+
+def matrix_shape(grid: Column) -> Column:
+    """Rows, and columns of the longest row, of an array of arrays."""
+    return F.struct(F.greatest(F.size(grid), F.lit(0)).alias("rows"), F.coalesce(F.array_max(F.transform(grid, lambda r: F.greatest(F.size(r), F.lit(0)))), F.lit(0)).alias("columns"))
+
+
+def cell_shape(cells: Column, row: str = "row", column: str = "col") -> Column:
+    """Distinct row and column numbers of an array of cells."""
+    count = lambda name: F.coalesce(F.size(F.array_distinct(F.transform(cells, lambda c: c[name]))), F.lit(0))
+    return F.struct(F.greatest(count(row), F.lit(0)).alias("rows"), F.greatest(count(column), F.lit(0)).alias("columns"))
+
+
+def _grid_shape(record: dict[str, Any]) -> tuple[int, int]:
+    grids = (record[d][g] for d in DATA_KEYS if isinstance(record.get(d), dict) for g in GRID_KEYS if record[d].get(g) and isinstance(record[d][g], list))
+    for grid in grids:
+        if isinstance(grid[0], list):
+            return len(grid), max(len(r) for r in grid if isinstance(r, list))
+        cells = [c for c in grid if isinstance(c, dict)]
+        if cells:
+            return tuple(len({str(c.get(short, c.get(long, 0))) for c in cells}) for short, long in (("row", "row_index"), ("col", "col_index")))
+    return 0, 0
+
+
+def _nested(text: str | None, word: str, depth: int) -> list[tuple[str, str, int, int]]:
+    try:
+        todo, found = [("$", json.loads(text or "null"), 0)], []
+    except ValueError:
+        return []
+    while todo:
+        path, value, level = todo.pop()
+        if isinstance(value, dict):
+            label = next((value[k] for k in KIND_KEYS if isinstance(value.get(k), str) and word in value[k].lower()), None)
+            if label is not None:
+                found.append((path, label, *_grid_shape(value)))
+        if level < depth:
+            inner = value.items() if isinstance(value, dict) else enumerate(value) if isinstance(value, list) else ()
+            todo += reversed([(f"{path}[{k}]" if isinstance(k, int) else f"{path}.{k}", v, level + 1) for k, v in inner if isinstance(v, (dict, list))])
+    return found
+
+
+def find_nested_records(df: DataFrame, column: str, word: str = "table", depth: int = 10) -> DataFrame:
+    """A row for each record, at most depth levels down in the JSON text of column, whose kind holds word: df's columns without column, path,
+    label, rows, columns of its grid. Null, bad and other JSON gives no rows."""
+
+    @F.pandas_udf(NESTED)
+    def walk(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([_nested(t, word, depth) for t in texts])
+
+    return df.withColumn("__found", F.explode(walk(column))).select(*(c for c in df.columns if c != column), "__found.*")

@@ -77,6 +77,21 @@ def token_set_ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd
         yield pd.Series([token_set(a, b) for a, b in zip(left, right)], dtype="float64")
 
 
+def _partial(a: str | None, b: str | None) -> float:
+    """0 to 100: the best indel ratio of the shorter text with a stretch, at most as long, of the longer one."""
+    short, long = sorted((a or "", b or ""), key=len)
+    if not short:
+        return 0.0
+    n = len(short)
+    return 100.0 * max(_indel(short, long[max(0, i) : i + n]) for i in range(1 - n, len(long)))
+
+
+@F.pandas_udf(T.DoubleType())
+def partial_ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for left, right in pairs:
+        yield pd.Series([_partial(a, b) for a, b in zip(left, right)], dtype="float64")
+
+
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value), with value computed once however often use names it."""
     return F.get(F.transform(F.array(value), use), 0)

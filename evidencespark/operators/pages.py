@@ -136,6 +136,54 @@ def suppress_repeated_anchors(anchors: DataFrame, doc: str, line: str, anchor: s
     return kept.withColumn("__n", F.row_number().over(near)).where("__n = 1").drop("__last", "__n")
 
 
+def choose_anchors(named: DataFrame, numbered: DataFrame, doc: str, line: str, anchor: str, expected: str, most: float = 1.3, unknown: int = 25) -> DataFrame:
+    """The anchors that cut a document: the first of each name, in order, up to most times the rows expected (unknown where none are);
+    those by number instead where the names are fewer than three or half the rows expected and the numbers are more than they.
+    Both tables: doc, line, anchor, expected. Counts are per document; null anchors count as none."""
+    cap = F.when(F.col(expected) > 0, F.floor(F.col(expected) * most)).otherwise(unknown)
+    columns = [doc, line, anchor, expected]
+    first = suppress_repeated_anchors(named.where(F.col(anchor).isNotNull()).select(*columns), doc, line, anchor)
+    first = first.withColumn("__n", F.row_number().over(Window.partitionBy(doc).orderBy(line))).where(F.col("__n") <= cap).drop("__n")
+    both = first.withColumn("__numbered", F.lit(False)).unionByName(numbered.where(F.col(anchor).isNotNull()).select(*columns).withColumn("__numbered", F.lit(True)))
+    count = lambda c: F.sum(F.when(c, 1).otherwise(0)).over(Window.partitionBy(doc))
+    both = both.withColumns({"__names": count(~F.col("__numbered")), "__numbers": count(F.col("__numbered"))})
+    few = F.col("__names") < F.greatest(F.lit(3), F.floor(F.coalesce(expected, F.lit(0)) / 2))
+    return both.where(F.col("__numbered") == (few & (F.col("__numbers") > F.col("__names")))).select(*columns)
+
+
+def section_page_spans(pages: DataFrame, spare: DataFrame, doc: str, page: str, heads: tuple[str, str, str], end: str) -> DataFrame:
+    """doc, section (1 or 2), page. A section runs from the first page with its heading to the next heading; the second one, where no third
+    heading follows, through the first later page with the end mark. Of documents with neither heading the spare pages (doc, page) are
+    halved; a lone one is in both halves. Marks are found before the shuffle, so that no text is moved."""
+    found = {f"__h{i}": F.coalesce(F.col("text").rlike(p), F.lit(False)) for i, p in enumerate((*heads, end), 1)}
+    marks = pages.withColumns(found).select(doc, page, *found)
+    own = Window.partitionBy(doc)
+    first = lambda c: F.min(F.when(c, F.col(page))).over(own)
+    marks = marks.withColumns({f"__s{i}": first(F.col(f"__h{i}")) for i in (1, 2, 3)}).withColumn("__last", F.max(page).over(own))
+    marks = marks.withColumn("__end", first(F.col("__h4") & (F.col(page) > F.col("__s2"))) + 1)
+    inside = [
+        (F.col(page) >= F.col("__s1")) & (F.col(page) < F.coalesce("__s2", "__s3", F.col("__last") + 1)),
+        (F.col(page) >= F.col("__s2")) & (F.col(page) < F.coalesce("__s3", "__end", F.col("__last") + 1)),
+    ]
+    sections = F.array_compact(F.array(*(F.when(c, i) for i, c in enumerate(inside, 1))))
+    headed = marks.select(doc, F.explode(sections).alias("section"), page)
+    bare = marks.where("__s1 is null and __s2 is null").select(doc).distinct()
+    halves = spare.join(bare, doc, "left_semi").withColumns({"__r": F.row_number().over(own.orderBy(page)), "__n": F.count(F.lit(1)).over(own)})
+    half = F.floor(F.col("__n") / 2)
+    both = F.array_compact(F.array(F.when((F.col("__r") <= half) | (F.col("__n") == 1), 1), F.when(F.col("__r") > half, 2)))
+    return headed.unionByName(halves.select(doc, F.explode(both).alias("section"), page))
+
+
+def block_diagnostics(block_pages: DataFrame, calls: DataFrame, keys: list[str], page: str, size: str) -> DataFrame:
+    """Per block its pages with their sizes, and of its calls (keys, ok, items): how many, how many failed, the items they gave."""
+    blocks = block_pages.groupBy(*keys).agg(
+        F.min(page).alias("first"), F.max(page).alias("last"), F.count(F.lit(1)).alias("pages"), F.sum(size).alias("chars"),
+        F.array_sort(F.collect_list(F.struct(F.col(page).alias("page"), F.col(size).alias("size")))).alias("sizes"),
+    )
+    made = calls.groupBy(*keys).agg(F.count(F.lit(1)).alias("calls"), F.count_if(~F.coalesce("ok", F.lit(False))).alias("failed"), F.coalesce(F.sum("items"), F.lit(0)).alias("items"))
+    return blocks.join(made, keys, "left").fillna(0, ["calls", "failed", "items"])
+
+
 def first_page_matching(pages: DataFrame, doc: str, page: str, pattern: str) -> DataFrame:
     return pages.groupBy(doc).agg(F.min(F.when(F.col("text").rlike(pattern), F.col(page))).alias("first_page"))
 

@@ -74,3 +74,9 @@ def nest_children(works: DataFrame, children: dict[str, DataFrame], key: str) ->
         rows = child.groupBy(key).agg(F.collect_list(F.struct(*(c for c in child.columns if c != key))).alias(name))
         out = out.join(rows, key, "left").withColumn(name, F.coalesce(name, F.array()))
     return out
+
+
+def progress_table(months: DataFrame, stopped: str, attachments: str) -> DataFrame:
+    """Month rows with the number of their attachments and a mark where work stood still."""
+    count = F.greatest(F.coalesce(F.size(attachments), F.lit(0)), F.lit(0))
+    return months.withColumn(attachments, count).withColumn("mark", F.when(F.col(stopped), "stopped").otherwise(""))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, records, similarity, text
-from ..operators import evaluate, fragments, intervals, merge, pages, quality, works
+from ..operators import evaluate, fragments, intervals, merge, pages, quality, requirements, works
 from ..sources import readers
 from ..streaming import progress
 from .base import EXPERIENCES_SQL, PAGES_SQL, PROPOSAL, WINDOW, experiences, read
@@ -414,6 +414,48 @@ def block_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", F.length(own).cast("long").alias("size"), F.md5(fragments.block_preview(own, pages.is_table_page(own))).alias("digest"))
 
 
+_ANCHORS_SQL = """
+l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 as pos from documents),
+f as (select *, row_number() over (partition by doc_id, anchor order by pos) as k from (select doc_id, pos, string_split(line, ' ')[1] as anchor from l where regexp_matches(line, '^[A-Z]'))),
+n as (select doc_id, pos, anchor, 0 as kind from (select *, row_number() over (partition by doc_id order by pos) as r from f where k = 1) where r <= 5),
+b as (select * from n union all select doc_id, pos, regexp_extract(line, '[0-9]', 0), 1 from l where regexp_matches(line, '[0-9]')),
+c as (select *, sum(1 - kind) over (partition by doc_id) as names, sum(kind) over (partition by doc_id) as numbers from b)"""
+
+
+@query(f"with {_ANCHORS_SQL} select doc_id, pos, anchor from c where (kind = 1) = (names < 3 and numbers > names)")
+def anchors_by_name_or_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
+    lines = lines.select("doc_id", F.col("pos").cast("long").alias("pos"), "line", F.lit(4).alias("expected"))
+    named = lines.where(F.col("line").rlike("^[A-Z]")).withColumn("anchor", F.get(F.split("line", " "), 0))
+    numbered = lines.where(F.col("line").rlike("[0-9]")).withColumn("anchor", F.regexp_extract("line", "[0-9]", 0))
+    return pages.choose_anchors(named, numbered, "doc_id", "pos", "anchor", "expected").select("doc_id", "pos", "anchor")
+
+
+@query(f"""
+with {PAGES_SQL},
+m as (select source, page_num, regexp_matches(text, '!!') as h1, regexp_matches(text, '[|]') as h2, regexp_matches(text, '[#]{{3}}') as h3, regexp_matches(text, '@') as h4 from pages_t),
+s as (select source, min(page_num) filter (where h1) as s1, min(page_num) filter (where h2) as s2, min(page_num) filter (where h3) as s3, max(page_num) as last from m group by 1),
+e as (select source, min(page_num) + 1 as fin from m join s using (source) where h4 and page_num > s2 group by 1),
+j as (select * from m join s using (source) left join e using (source)),
+spare as (select *, row_number() over (partition by source order by page_num) as r, count(*) over (partition by source) as n from pages_t where page_num % 3 = 0 and source in (select source from s where s1 is null and s2 is null))
+select source, 1 as section, page_num::bigint as page_num from j where page_num >= s1 and page_num < coalesce(s2, s3, last + 1)
+union all select source, 2, page_num::bigint from j where page_num >= s2 and page_num < coalesce(s3, fin, last + 1)
+union all select source, 1, page_num::bigint from spare where r <= n // 2 or n = 1 union all select source, 2, page_num::bigint from spare where r > n // 2""")
+def section_page_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = source_pages(spark, sf_dir).withColumn("page_num", F.col("page_num").cast("long"))
+    return pages.section_page_spans(own, own.where("page_num % 3 = 0").select("source", "page_num"), "source", "page_num", ("!!", "[|]", "[#]{3}"), "@")
+
+
+@query(_BLOCKS_SQL + """
+select source, block, min(page_num)::bigint as first, max(page_num)::bigint as last, count(*) as pages, sum(length(text))::bigint as chars, string_agg(page_num || ':' || length(text), ',' order by page_num) as sizes,
+  count(*) filter (where page_num % 2 = 0) as calls, count(*) filter (where page_num % 2 = 0 and length(text) < 500) as failed, coalesce(sum(page_num) filter (where page_num % 2 = 0), 0)::bigint as items from blocks group by 1, 2""")
+def block_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _blocks(spark, sf_dir).withColumn("page_num", F.col("page_num").cast("long"))
+    calls = own.where("page_num % 2 = 0").select("source", "block", (F.col("chars") >= 500).alias("ok"), F.col("page_num").alias("items"))
+    out = pages.block_diagnostics(own, calls, ["source", "block"], "page_num", "chars")
+    return out.withColumn("sizes", F.array_join(F.transform("sizes", lambda x: F.concat_ws(":", x["page"].cast("string"), x["size"].cast("string"))), ","))
+
+
 @query()
 def pack_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.pack_pages(source_pages(spark, sf_dir), "source", "page_num")
@@ -560,6 +602,45 @@ def top10_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return works.top_candidates(o, "c_custkey", "o_totalprice", "o_orderkey").withColumn("rank", F.col("rank").cast("long"))
 
 
+# Requirements and works
+
+
+@query("""
+select p_partkey, case when p_size % 2 = 0 then 'Ingeniero civil' else '' end as titles, array_to_string(list_filter([
+    case when p_size % 3 = 0 then 'Arquitecto residente principal' when p_size % 3 = 1 then 'Jefe de ' || lower(p_name) end, 'Especialista ' || p_brand], lambda x: x is not null), ',') as roles,
+  case when p_size % 5 = 0 then upper(p_type) else 'x' || lower(p_type) end as role from part""")
+def validate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.col("p_size")
+    df = read(spark, sf_dir, "part").select(
+        "p_partkey", F.array(F.when(size % 2 == 0, "Ingeniero civil.").otherwise("abc"), F.lit("ingeniero Civil"), F.concat(F.lit(" Especialista "), F.col("p_brand"), F.lit(";"))).alias("titles"),
+        F.array(F.when(size % 3 == 0, "Arquitecto residente principal").when(size % 3 == 1, F.concat(F.lit("Jefe de "), F.lower("p_name"))), F.lit("Arquitecto"), F.lit("y la combinación de estos")).alias("roles"),
+        F.when(size % 5 == 0, "0000000000").otherwise(F.concat(F.lit("x"), F.lower("p_type"))).alias("role"), F.col("p_type").alias("expected"),
+    )
+    df = df.withColumn("titles", F.when(F.get("titles", 0) != "abc", F.col("titles")).otherwise(F.array(F.lit("abc"), F.get("titles", 2))))
+    out = requirements.validate_requirement_rows(df, "titles", "roles", "role", "expected")
+    return out.select("p_partkey", F.array_join("titles", ",").alias("titles"), F.array_join("roles", ",").alias("roles"), "role")
+
+
+@query("""
+select c_custkey, '$.body[' || (row_number() over (partition by o_custkey order by o_orderkey) - 1) || ']' as path, 'Table-' || o_orderstatus as label, 2 as rows, 3 as columns from customer join orders on o_custkey = c_custkey""")
+def nested_table_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = F.struct(F.array(F.array(F.lit(1), F.lit(2), F.lit(3)), F.array(F.lit(4))).alias("grid"))
+    record = F.struct(F.concat(F.lit("Table-"), F.col("o_orderstatus")).alias("label"), grid.alias("data"))
+    own = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", record.alias("r")))).alias("rs"))
+    own = own.select("c_custkey", F.to_json(F.struct(F.transform("rs", lambda x: x["r"]).alias("body"), F.lit("text").alias("type"))).alias("raw"))
+    return records.find_nested_records(own, "raw")
+
+
+@query(f"""
+with {_MONTHS_SQL}, a as (select l_suppkey, date_trunc('month', l_shipdate)::date as month, count(*) filter (where l_returnflag = 'R') as attachments from lineitem group by 1, 2)
+select l_suppkey, month, attachments, case when stopped then 'stopped' else '' end as mark from months join a using (l_suppkey, month)""")
+def progress_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    month = F.trunc(F.col("l_shipdate").cast("date"), "month").alias("month")
+    rows = read(spark, sf_dir, "lineitem").groupBy("l_suppkey", month).agg((F.sum("l_quantity") < 100).alias("stopped"), F.collect_list(F.when(F.col("l_returnflag") == "R", F.col("l_orderkey"))).alias("attachments"))
+    out = works.progress_table(rows, "stopped", "attachments")
+    return out.select("l_suppkey", "month", F.col("attachments").cast("long").alias("attachments"), "mark")
+
+
 # Records and sources
 
 

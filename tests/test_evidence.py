@@ -130,3 +130,23 @@ def test_tables_in_pages(spark):
     chunks = spark.createDataFrame([("d", "Jefe de Obra", "one"), ("d", "Topografo", "two")], "doc string, role string, x string")
     other = spark.createDataFrame([("d", "JEFE DE OBRA", "three")], "doc string, role string, x string")
     assert {r["x"] for r in fragments.pair_chunks(chunks, other, "doc", "role", "x").collect()} == {"one\n\nthree", "two"}
+
+
+def test_sections_without_headings_are_halved(spark):
+    rows = [("a", 1, "x"), ("a", 2, None), ("b", 1, "one"), ("b", 2, "two"), ("b", 3, "end"), ("b", 4, "x"), ("c", 1, "x")]
+    df = spark.createDataFrame(rows, "d string, p int, text string")
+    got = sorted((r["d"], r["section"], r["p"]) for r in pages.section_page_spans(df, df.where("d <> 'b'").select("d", "p"), "d", "p", ("one", "two", "three"), "end").collect())
+    assert got == [("a", 1, 1), ("a", 2, 2), ("b", 1, 1), ("b", 2, 2), ("b", 2, 3), ("c", 1, 1), ("c", 2, 1)]
+
+
+def test_nested_records(spark):
+    deep = '{"type": "table", "data": {"cells": [{"row": 0, "col": 1}, {"row": 1, "col": 1}]}, "in": [{"label": "x", "k": {"label": "My Table"}}]}'
+    df = spark.createDataFrame([(1, deep), (2, None), (3, "{bad"), (4, "[]"), (5, '{"label": 3}')], "id int, raw string")
+    got = [tuple(r) for r in records.find_nested_records(df, "raw").orderBy("path").collect()]
+    assert got == [(1, "$", "table", 2, 1), (1, "$.in[0].k", "My Table", 0, 0)]
+    shapes = spark.createDataFrame([([[1], [1, 2]],), ([],), (None,)], "g array<array<int>>").select(records.matrix_shape(F.col("g")).alias("s")).collect()
+    assert [tuple(r["s"]) for r in shapes] == [(2, 2), (0, 0), (0, 0)]
+
+
+def test_partial_ratio():
+    assert similarity._partial("jefe de obra", "el jefe de obra principal") == 100 and similarity._partial("", "a") == 0 and similarity._partial("abc", "xyz") == 0
