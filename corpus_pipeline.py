@@ -8,7 +8,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from evidencespark.llm import mixing, packing, pii, quality, simhash
+from evidencespark.llm import mixing, near_copies, packing, pii, quality
 from evidencespark.llm.common import stored, table
 from evidencespark.llm.queries import WORD_TOKENIZER
 
@@ -19,8 +19,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group of near copies."""
-    return simhash.keep_one(docs)
+    """One document, that of the smallest doc_id, of each group of near copies: Jaccard similarity of five-word shingles of 0.8 or more."""
+    return near_copies.keep_one(docs)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,21 +33,27 @@ WINDOW = 32
 SEGMENT_BITS = 32
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Signed 64-bit value; a bit is 1 if it is set in over half of the shingles' hashes."""
+def shingle_hashes(text: str | None, shingle: int) -> list[int]:
+    """Hashes of all shingles; of the whole sequence where words are fewer; none without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return []
     joined = b" ".join(words)
     n = len(words) - shingle + 1
     if n <= 1:
-        hashes = [xxhash.xxh64_intdigest(joined, SEED)]
-    else:
-        lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        ends = np.cumsum(lengths + 1) - 1
-        starts = ends - lengths
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[shingle - 1 :].tolist())]
+        return [xxhash.xxh64_intdigest(joined, SEED)]
+    lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    ends = np.cumsum(lengths + 1) - 1
+    starts = ends - lengths
+    digest = xxhash.xxh64_intdigest
+    return [digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[shingle - 1 :].tolist())]
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """Signed 64-bit value; a bit is 1 if it is set in over half of the shingles' hashes."""
+    hashes = shingle_hashes(text, shingle)
+    if not hashes:
+        return 0
     total = np.zeros(64, dtype=np.int64)
     for i in range(0, len(hashes), 65536):  # a bounded block of a long text at a time
         block = np.array(hashes[i : i + 65536], dtype=">u8")
