@@ -1,13 +1,14 @@
 """Sharding by extendible hashing, in DataFrame operations only.
 
-A row's address is the first 32 bits of the md5 of its key, read from the highest bit. The directory
+A row's address is the md5 of its key, read from the highest bit. The directory
 starts with one bucket of depth 0; a bucket over the byte limit, and only such a one, splits on the
-next bit. Bytes are summed per cell of the deepest directory first, so the directory is built from
+next bit. Bytes are summed per cell of MAX_DEPTH bits first, so the directory is built from
 one small row per cell: bucket (d, prefix) is final when it is within the limit and its parent is not.
+Only the cells still over the limit are split further, on all 128 bits.
 
 Defined results: null text has 0 bytes; a null key has the address of the empty string; rows of one
-key share an address and can't be parted, so a bucket that is over the limit at the deepest level stays
-whole and is marked over_limit; an empty table gives no rows.
+key share an address and can't be parted, so a bucket of one address over the limit stays whole, at MAX_DEPTH or at
+the first depth beyond at which it is alone, and is marked over_limit; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ADDRESS_BITS = 32
+ADDRESS_BITS, KEY_BITS = 32, 128
 MAX_DEPTH = 24
 SHARD_BYTES = 256 * 1024
 
@@ -24,6 +25,12 @@ def address(key: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long")
 
 
+def address_bits(key: Column) -> Column:
+    """All 128 bits of the address as a text of 0 and 1."""
+    digest = F.md5(F.coalesce(key.cast("string"), F.lit("")))
+    return F.concat(*(F.lpad(F.conv(F.substring(digest, at, 8), 16, 2), 32, "0") for at in (1, 9, 17, 25)))
+
+
 def directory(sized: DataFrame, limit: int, max_depth: int = MAX_DEPTH) -> DataFrame:
     """sized: address long, n_bytes long. One row per shard: depth, prefix, shard_bytes, shard_rows, over_limit."""
     shift = ADDRESS_BITS - max_depth
@@ -38,6 +45,17 @@ def directory(sized: DataFrame, limit: int, max_depth: int = MAX_DEPTH) -> DataF
     ).withColumn("over_limit", F.col("shard_bytes") > limit)
 
 
+def deep_directory(left: DataFrame, limit: int, max_depth: int) -> DataFrame:
+    """left: bits, n_bytes, the rows of the cells of max_depth bits that are over the limit. One row per address that lies in a bucket
+    beyond max_depth: bits, deep_depth, deep_bytes. A bucket splits while it is over the limit and holds two addresses."""
+    keys = left.groupBy("bits").agg(F.sum("n_bytes").alias("bytes"))
+    levels = keys.select("bits", "bytes", F.explode(F.sequence(F.lit(max_depth), F.lit(KEY_BITS))).alias("deep_depth")).withColumn("prefix", F.expr("substring(bits, 1, deep_depth)"))
+    buckets = levels.groupBy("prefix").agg(F.sum("bytes").alias("deep_bytes"), F.count(F.lit(1)).alias("addresses"))
+    final = levels.drop("bytes").join(buckets.where((F.col("deep_bytes") <= limit) | (F.col("addresses") == 1)), "prefix")
+    first = final.groupBy("bits").agg(F.min(F.struct("deep_depth", "deep_bytes")).alias("f")).select("bits", "f.*")
+    return first.where(F.col("deep_depth") > max_depth)
+
+
 def assign_shards(docs: DataFrame, limit: int = SHARD_BYTES, max_depth: int = MAX_DEPTH) -> DataFrame:
     """doc_id, n_bytes, shard (its prefix bits), depth, shard_bytes, over_limit: one row for each row of docs.
 
@@ -54,11 +72,19 @@ def assign_shards(docs: DataFrame, limit: int = SHARD_BYTES, max_depth: int = MA
         .select("cell", "depth", "prefix", "shard_bytes", "over_limit")
     )
     name = F.when(F.col("depth") == 0, F.lit("")).otherwise(F.expr("lpad(conv(cast(prefix as string), 10, 2), depth, '0')"))
-    return (
-        sized.withColumn("cell", F.shiftright("address", shift))
-        .join(found, "cell")
-        .select("doc_id", "n_bytes", name.alias("shard"), F.col("depth").cast("int").alias("depth"), "shard_bytes", "over_limit")
-    )
+    placed = sized.withColumn("cell", F.shiftright("address", shift)).join(found, "cell")
+    placed = placed.withColumn("bits", F.when(F.col("over_limit") & (F.col("depth") == max_depth), address_bits(F.col("doc_id"))))
+    deep = deep_directory(placed.where("bits is not null").select("bits", "n_bytes"), limit, max_depth)
+    further = F.col("deep_depth").isNotNull()
+    # Rows without bits keep keys of their own, so that they do not all meet under null.
+    placed = placed.withColumn("bits", F.coalesce("bits", F.col("address").cast("string")))
+    return placed.join(deep, "bits", "left").select(
+        "doc_id", "n_bytes",
+        F.when(further, F.expr("substring(bits, 1, deep_depth)")).otherwise(name).alias("shard"),
+        F.coalesce("deep_depth", "depth").cast("int").alias("depth"),
+        F.coalesce("deep_bytes", "shard_bytes").alias("shard_bytes"),
+        F.when(further, F.col("deep_bytes") > limit).otherwise(F.col("over_limit")).alias("over_limit"),
+    )
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = SHARD_BYTES) -> None:

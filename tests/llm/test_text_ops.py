@@ -64,6 +64,19 @@ def test_sharding_limits(spark, edge, none, sf):
     assert sharding.assign_shards(none).count() == 0
 
 
+def test_sharding_parts_keys_that_share_24_bits(spark):
+    bits = {i: format(int(hashlib.md5(str(i).encode()).hexdigest(), 16), "0128b") for i in range(20_000)}
+    cells = defaultdict(list)
+    for i, b in bits.items():
+        cells[b[:24]].append(i)
+    a, b = next(c for c in cells.values() if len(c) == 2)
+    rows = [(a, "x" * 250), (b, "y" * 20), (7, "z" * 400), (7, "z")]
+    got = sharding.assign_shards(spark.createDataFrame(rows, "doc_id long, text string"), limit=256).collect()
+    apart = next(d for d in range(25, 129) if bits[a][:d] != bits[b][:d])
+    want = [(a, 250, bits[a][:apart], apart, 250, False), (b, 20, bits[b][:apart], apart, 20, False), (7, 400, bits[7][:24], 24, 401, True), (7, 1, bits[7][:24], 24, 401, True)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_sainte_lague_is_highest_quotients():
     rng = random.Random(1)
     for _ in range(200):
