@@ -2,10 +2,11 @@
 
 Each document is cut into full windows and a rest. Documents are dealt to packing shards by a hash of their id, so that a
 shard holds a bounded number of them. In a shard, the rests are routed to tiers (2048, 1024, 512, ... by the power of two
-that holds them); tiers are packed from the longest to the shortest, each rest into the fullest open window that
-still holds it, so that gaps of long windows are filled from shorter tiers. The emptiest windows are then taken apart
-and cut to fill the gaps left in the others. Windows of equal fill are dealt in turn to step groups of STEP_WINDOWS, so
-that the steps of a shard hold nearly equal numbers of ids.
+that holds them), and each tier is packed into windows of its own length, from the longest to the shortest: its rests open
+windows, shorter rests fill the gaps, each in the fullest window that still holds it, and then the emptiest windows of the tier
+are taken apart and cut to fill the gaps left in the others. What the last window of a tier can't fill goes down to
+shorter tiers, so only the last window of the shortest is not full. Windows of falling length are dealt in turn to step groups
+of STEP_WINDOWS, so that the steps of a shard hold nearly equal numbers of windows of each tier and of ids.
 
 Defined results: null and empty texts hold the end id alone; repeated rows are documents each; a null doc_id is packed
 like any other; an empty table gives no rows.
@@ -80,6 +81,66 @@ def pack_rests(lengths: np.ndarray, capacity: int = MAX_LENGTH) -> list[list[tup
     return [w for w in windows if w]
 
 
+def pack_tier(own: list[tuple[int, int, int]], shorter: list[tuple[int, int, int]], capacity: int) -> tuple[list, list]:
+    """own, shorter: pieces (rest, from, to), of the tier and of tiers below. Windows of the tier, all full but the last at most,
+    and the shorter pieces that they do not take."""
+    windows: list[list[tuple[int, int, int]]] = []
+    room: list[list[int]] = [[] for _ in range(capacity + 1)]
+    holds = np.zeros(capacity + 1, dtype=bool)
+    left = []
+    for k, piece in enumerate([*own, *shorter]):
+        n = piece[2] - piece[1]
+        gap = n + int(holds[n:].argmax())
+        if holds[gap]:
+            w = room[gap].pop()
+            holds[gap] = bool(room[gap])
+        elif k < len(own):
+            w, gap = len(windows), capacity
+            windows.append([])
+        else:
+            left.append(piece)
+            continue
+        windows[w].append(piece)
+        room[gap - n].append(w)
+        holds[gap - n] = gap > n
+    fill = [sum(b - a for _, a, b in w) for w in windows]
+    by_fill = sorted(range(len(windows)), key=lambda w: (fill[w], w))
+    low, high = 0, len(by_fill) - 1
+    while low < high:
+        giver, taker = by_fill[low], by_fill[high]
+        gap = capacity - fill[taker]
+        if not gap:
+            high -= 1
+            continue
+        i, a, b = windows[giver].pop()
+        n = min(gap, b - a)
+        windows[taker].append((i, b - n, b))
+        fill[taker] += n
+        fill[giver] -= n
+        if a < b - n:
+            windows[giver].append((i, a, b - n))
+        if not windows[giver]:
+            low += 1
+    return sorted((w for w in windows if w), key=lambda w: -sum(b - a for _, a, b in w)), left
+
+
+def pack_tiers(lengths: np.ndarray) -> list[tuple[int, list[tuple[int, int, int]]]]:
+    """Windows (tier, pieces (rest, from, to)), each tier in windows of its own length."""
+    pieces = [(i, 0, int(n)) for i, n in enumerate(lengths)]
+    out, tier = [], MAX_LENGTH
+    while pieces:
+        pieces.sort(key=lambda p: (p[1] - p[2], p[0], p[1]))
+        own = [p for p in pieces if tier == SMALLEST_TIER or 2 * (p[2] - p[1]) > tier]
+        windows, pieces = pack_tier(own, pieces[len(own) :], tier)
+        if windows and tier > SMALLEST_TIER and sum(b - a for _, a, b in windows[-1]) < tier:
+            for i, a, b in windows.pop():
+                half = min(b, a + tier // 2)  # a piece over half the tier is cut for the tiers below
+                pieces += [(i, x, y) for x, y in ((a, half), (half, b)) if x < y]
+        out += [(tier, w) for w in windows]
+        tier //= 2
+    return out
+
+
 def _narrow(piece: bytes) -> bytes:
     """Two bytes an id where all fit, else four."""
     ids = np.frombuffer(piece, dtype="<u4")
@@ -125,18 +186,16 @@ def _pack_shard(pdf: pd.DataFrame, keep_ids: bool) -> pd.DataFrame:
         out.append((*r, base + i, 0, MAX_LENGTH, None))
     next_id = base + len(full)
     columns = list(zip(rests["doc_id"], rests["start"], rests["doc_tokens"], rests["length"], rests["rest"], rests["ids_crc32"]))
-    windows = pack_rests(rests["length"].to_numpy())
-    for w in windows:
+    for tier, w in pack_tiers(rests["length"].to_numpy()):
         offset = 0
-        fill = sum(b - a for _, a, b in w)
         for i, a, b in w:
             doc_id, start, whole, length, rest, crc = columns[i]
             ids = np.frombuffer(rest, dtype="<u2" if len(rest) == 2 * length else "<u4")[a:b].astype("<u4").tobytes()
-            out.append((doc_id, start + a, b - a, crc if b - a == length else zlib.crc32(ids), whole, next_id, offset, tier_of(fill), ids if keep_ids else None))
+            out.append((doc_id, start + a, b - a, crc if b - a == length else zlib.crc32(ids), whole, next_id, offset, tier, ids if keep_ids else None))
             offset += b - a
         next_id += 1
     packed = pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "ids"])
-    # Step groups: sequences by falling fill, dealt to the groups forth and back.
+    # Step groups: sequences by falling fill, so tier after tier, dealt to the groups forth and back.
     fills = packed.groupby("sequence_id")["length"].sum().sort_values(ascending=False, kind="stable")
     groups = max(1, -(-len(fills) // STEP_WINDOWS))
     lap, at = np.divmod(np.arange(len(fills)), groups)

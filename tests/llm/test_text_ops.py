@@ -238,3 +238,27 @@ def test_pack_rests_fills_gaps():
     windows = packing.pack_rests(lengths)
     assert len(windows) == -(-700 * 300 // 2048)
     assert sorted((i, a, b) for w in windows for i, a, b in w)[0][0] == 0 and sum(b - a for w in windows for _, a, b in w) == 210_000
+
+
+def test_each_tier_has_windows_of_its_own_length(spark):
+    rng = random.Random(2)
+    for lengths in ([300] * 50, [rng.randint(1, 2047) for _ in range(700)], [int(min(2047, rng.lognormvariate(5, 1) + 1)) for _ in range(2000)], [1], [2047], []):
+        windows = packing.pack_tiers(np.array(lengths, dtype=int))
+        fills = [sum(b - a for _, a, b in w) for _, w in windows]
+        assert all(0 < f <= t for f, (t, _) in zip(fills, windows)) and sum(f < t for f, (t, _) in zip(fills, windows)) <= 1
+        pieces = sorted(p for _, w in windows for p in w)
+        at = {}
+        for i, a, b in pieces:
+            assert a == at.get(i, 0) < b
+            at[i] = b
+        assert at == dict(enumerate(lengths))
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = spark.createDataFrame([(i, " ".join(["the"] * 299)) for i in range(64)], "doc_id long, text string")
+    rows = packing.pack_documents(docs, path).collect()
+    fill, tier, group = defaultdict(int), {}, defaultdict(set)
+    for r in rows:
+        fill[r["sequence_id"]] += r["length"]
+        tier[r["sequence_id"]] = r["tier"]
+        group[r["step_group"]].add(r["sequence_id"])
+    assert max(tier.values()) == 512 and sum(fill.values()) == 64 * 300 and sum(fill[s] < tier[s] for s in tier) <= 1
+    assert max(map(len, group.values())) <= 16 and len({sum(tier[s] == 512 for s in g) for g in group.values()}) <= 2
