@@ -89,11 +89,12 @@ def links(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame({"n": np.array([len(x) for x in found], dtype="i4"), "keys": [prefix(x, common, rank) for x in found]})
 
     marked = texts.select("node", prefixes("text").alias("p")).select("node", "p.n", "p.keys")
-    nodes = stored(marked, "near-prefixes").groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
-    index = stored(nodes.select("node", "n", F.posexplode("keys").alias("at", "key")), "near-index")
+    nodes = marked.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
+    index = nodes.select("node", "n", F.posexplode("keys").alias("at", "key"))
     # Nodes are hashes, so node ^ key is smallest for another node under each key.
-    leaders = index.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min(F.col("node").bitwiseXOR(F.col("key"))).alias("m")).where("members > 1")
-    shared = stored(index.join(leaders.select("key", F.col("m").bitwiseXOR(F.col("key")).alias("leader")), "key"), "near-shared")
+    of_key = Window.partitionBy("key")
+    ranked = index.select("*", F.count(F.lit(1)).over(of_key).alias("members"), F.min(F.col("node").bitwiseXOR(F.col("key"))).over(of_key).alias("m"))
+    shared = stored(ranked.where("members > 1").select("key", "node", "n", "at", F.col("m").bitwiseXOR(F.col("key")).alias("leader")), "near-shared")
     members = shared.select("node").distinct()
     sets = stored(texts.join(members, "node", "left_semi").dropDuplicates(["node"]).select("node", shingle_sets("text").alias("set")), "near-sets")
 
