@@ -15,30 +15,43 @@ def link_score(name: Column, entity: Column, days: Column) -> Column:
     return 50 * name + near + 20 * entity
 
 
-def candidate_pairs(left: DataFrame, right: DataFrame, a: str, b: str, left_words: str, right_words: str) -> DataFrame:
-    """Pairs of a row of left with the rows of right that hold both its key words: its two words that the fewest rows of right hold
-    (ties by the word; a row with one word known to right has that alone). Counts are over all rows of right; the rarer word is the
-    equality key, the other is tested on the pairs."""
+def candidate_pairs(left: DataFrame, right: DataFrame, a: str, b: str, left_words: str, right_words: str, level: int = 1) -> DataFrame:
+    """Pairs of a row of left with rows of right, by a level from specific to generic: 1, those that hold both its key words, its two
+    words that the fewest rows of right hold (ties by the word; a row with one word known to right has that alone); 2, those that hold
+    any two of its words; 3, those that hold any. Counts are over all rows of right; a word is the equality key, the rest is tested on
+    the pairs."""
     words = right.select(b, right_words, F.explode(right_words).alias("word"))
     counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     own = left.select(a, F.explode(left_words).alias("word")).join(counts, "word")
-    rank = F.row_number().over(Window.partitionBy(a).orderBy("n", "word"))
-    keys = own.withColumn("__r", rank).where("__r <= 2").groupBy(a).agg(F.min_by("word", "__r").alias("word"), F.max_by("word", "__r").alias("__second"))
-    return keys.join(words, "word").where(F.array_contains(right_words, F.col("__second"))).select(a, b)
+    own = own.withColumn("__r", F.row_number().over(Window.partitionBy(a).orderBy("n", "word")))
+    if level == 1:
+        keys = own.where("__r <= 2").groupBy(a).agg(F.min_by("word", "__r").alias("word"), F.max_by("word", "__r").alias("__second"))
+        return keys.join(words, "word").where(F.array_contains(right_words, F.col("__second"))).select(a, b)
+    if level == 2:  # of two shared words one is not the last, the most frequent
+        own = own.withColumn("__last", F.max("__r").over(Window.partitionBy(a))).where("__r < __last")
+    pairs = own.select(a, "word").join(words.select(b, "word"), "word").select(a, b).distinct()
+    if level == 2:
+        both = pairs.join(left.select(a, left_words), a).join(right.select(b, right_words), b)
+        pairs = both.where(F.size(F.array_intersect(left_words, right_words)) >= 2).select(a, b)
+    return pairs
 
 
 def link_works(certificates: DataFrame, works: DataFrame, certificate: str, work: str) -> DataFrame:
-    """certificates: certificate, name, entity, day; works: work, name, entity, start. Of the works that hold a certificate's
-    key words (candidate_pairs), the best if its score reaches LINK_SCORE: certificate, work, score, ambiguous (the next is less than
-    LINK_LEAD behind)."""
+    """certificates: certificate, name, entity, day; works: work, name, entity, start. Of the works of the first level of candidate_pairs
+    at which one reaches LINK_SCORE, the best: certificate, work, score, ambiguous (the next is less than LINK_LEAD behind)."""
     c = certificates.select(certificate, "day", tokens(F.col("name")).alias("c_words"), tokens(F.col("entity")).alias("c_entity"))
     w = works.select(work, "start", tokens(F.col("name")).alias("w_words"), tokens(F.col("entity")).alias("w_entity"))
-    pairs = candidate_pairs(c, w, certificate, work, "c_words", "w_words").join(c, certificate).join(w, work)
-    score = link_score(jaccard(F.col("c_words"), F.col("w_words")), jaccard(F.col("c_entity"), F.col("w_entity")), F.datediff("day", "start"))
-    scored = pairs.select(certificate, work, F.round(score, 6).alias("score"))
     order = Window.partitionBy(certificate).orderBy(F.desc("score"), work)
-    ranked = scored.withColumns({"rank": F.row_number().over(order), "next": F.lead("score").over(order)})
-    return ranked.where((F.col("rank") == 1) & (F.col("score") >= LINK_SCORE)).select(certificate, work, "score", F.coalesce(F.col("score") - F.col("next") < LINK_LEAD, F.lit(False)).alias("ambiguous"))
+    out, left = None, c
+    for level in (1, 2, 3):
+        pairs = candidate_pairs(left, w, certificate, work, "c_words", "w_words", level).join(c, certificate).join(w, work)
+        score = link_score(jaccard(F.col("c_words"), F.col("w_words")), jaccard(F.col("c_entity"), F.col("w_entity")), F.datediff("day", "start"))
+        scored = pairs.select(certificate, work, F.round(score, 6).alias("score"))
+        ranked = scored.withColumns({"rank": F.row_number().over(order), "next": F.lead("score").over(order)})
+        found = ranked.where((F.col("rank") == 1) & (F.col("score") >= LINK_SCORE)).select(certificate, work, "score", F.coalesce(F.col("score") - F.col("next") < LINK_LEAD, F.lit(False)).alias("ambiguous"))
+        out = found if out is None else out.unionByName(found)
+        left = left.join(found.select(certificate), certificate, "left_anti")
+    return out
 
 
 def top_candidates(scored: DataFrame, key: str, score: str, other: str, k: int = 10) -> DataFrame:
