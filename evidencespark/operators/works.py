@@ -36,14 +36,14 @@ def candidate_pairs(left: DataFrame, right: DataFrame, a: str, b: str, left_word
     return pairs
 
 
-def link_works(certificates: DataFrame, works: DataFrame, certificate: str, work: str) -> DataFrame:
+def link_works(certificates: DataFrame, works: DataFrame, certificate: str, work: str, levels: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """certificates: certificate, name, entity, day; works: work, name, entity, start. Of the works of the first level of candidate_pairs
     at which one reaches LINK_SCORE, the best: certificate, work, score, ambiguous (the next is less than LINK_LEAD behind)."""
     c = certificates.select(certificate, "day", tokens(F.col("name")).alias("c_words"), tokens(F.col("entity")).alias("c_entity"))
     w = works.select(work, "start", tokens(F.col("name")).alias("w_words"), tokens(F.col("entity")).alias("w_entity"))
     order = Window.partitionBy(certificate).orderBy(F.desc("score"), work)
     out, left = None, c
-    for level in (1, 2, 3):
+    for level in levels:
         pairs = candidate_pairs(left, w, certificate, work, "c_words", "w_words", level).join(c, certificate).join(w, work)
         score = link_score(jaccard(F.col("c_words"), F.col("w_words")), jaccard(F.col("c_entity"), F.col("w_entity")), F.datediff("day", "start"))
         scored = pairs.select(certificate, work, F.round(score, 6).alias("score"))

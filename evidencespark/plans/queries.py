@@ -592,7 +592,7 @@ r as (select *, row_number() over (partition by cert order by score desc, work)
 select cert, work, score::double as score, coalesce(score - nxt < 5, false) as ambiguous from r where n = 1 and score >= 15""")
 def link_candidates_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
     certs, registry = _links(spark, sf_dir)
-    return works.link_works(certs, registry, "cert", "work")
+    return works.link_works(certs, registry, "cert", "work", levels=(1,))  # the SQL has the first level alone
 
 
 @query("""
