@@ -26,7 +26,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
 
 SAMPLE_PAGES = 2000
 
@@ -309,7 +308,6 @@ def fit(pages: DataFrame, sample: int = SAMPLE_PAGES) -> TreeModel:
 
 def extract_pages(pages: DataFrame, sample: int = SAMPLE_PAGES) -> DataFrame:
     """page_id, url, text, n_chars."""
-    bounded_batches(pages.sparkSession)
     model = fit(pages, sample)
 
     @F.pandas_udf("string")
