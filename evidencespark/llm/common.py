@@ -34,14 +34,3 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-#: Rows of a batch that goes to Python where rows hold whole texts: batches of long texts stay small.
-TEXT_BATCH_ROWS = 512
-
-
-def bounded_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batches to TEXT_BATCH_ROWS rows, so that the memory of a Python worker stays bounded."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= TEXT_BATCH_ROWS:
-        spark.conf.set(key, str(TEXT_BATCH_ROWS))

@@ -1,12 +1,13 @@
 """Hierarchical multi-length packing of token ids into sequences of at most MAX_LENGTH.
 
-Each document is cut into full windows and a rest. Documents are dealt to packing shards by a hash of their id, so that a
-shard holds a bounded number of them. In a shard, the rests are routed to tiers (2048, 1024, 512, ... by the power of two
-that holds them), and each tier is packed into windows of its own length, from the longest to the shortest: its rests open
-windows, shorter rests fill the gaps, each in the fullest window that still holds it, and then the emptiest windows of the tier
-are taken apart and cut to fill the gaps left in the others. What the last window of a tier can't fill goes down to
-shorter tiers, so only the last window of the shortest is not full. Windows of falling length are dealt in turn to step groups
-of STEP_WINDOWS, so that the steps of a shard hold nearly equal numbers of windows of each tier and of ids.
+Each document is cut into full windows and a rest. A packing shard is a run of documents of one partition with about
+SHARD_PIECES pieces: nothing is shuffled, and equal rows or ids are no hot key. In a shard, the rests are routed to tiers
+(2048, 1024, 512, ... by the power of two that holds them), and each tier is packed into windows of its own length, from
+the longest to the shortest: its rests open windows, shorter rests fill the gaps, each in the fullest window that still
+holds it, and then the emptiest windows of the tier are taken apart and cut to fill the gaps left in the others. What the
+last window of a tier can't fill goes down to shorter tiers, so only the last window of the shortest is not full. Windows of
+falling length are dealt in turn to step groups of STEP_WINDOWS, so that the steps of a shard hold nearly equal numbers of
+windows of each tier and of ids.
 
 Defined results: null and empty texts hold the end id alone; repeated rows are documents each; a null doc_id is packed
 like any other; an empty table gives no rows.
@@ -18,69 +19,20 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
 from .encoding import batches_of, encoder
 
 MAX_LENGTH = 2048
 SMALLEST_TIER = 64
 END_ID = 1
-SHARD_DOCUMENTS = 2048
+SHARD_PIECES = 4096
 STEP_WINDOWS = 16
-LEAST_GAP = 8
-PIECE = "shard long, doc_id long, row long, start long, length long, ids_crc32 long, doc_tokens long, rest binary"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, step_group long, tier int, ids binary"
 
 
-def tier_of(length: int) -> int:
-    """The smallest tier that holds so many ids."""
-    return min(MAX_LENGTH, max(SMALLEST_TIER, 1 << (length - 1).bit_length()))
-
-
-def pack_rests(lengths: np.ndarray, capacity: int = MAX_LENGTH) -> list[list[tuple[int, int, int]]]:
-    """Windows as lists of (rest, from, to): best fit in order of falling tier and length, then the emptiest windows are
-    cut up to fill the gaps of the others."""
-    order = sorted(range(len(lengths)), key=lambda i: (-tier_of(int(lengths[i])), -int(lengths[i]), i))
-    windows: list[list[tuple[int, int, int]]] = []
-    room: list[list[int]] = [[] for _ in range(capacity + 1)]  # windows by the number of ids they still hold
-    holds = np.zeros(capacity + 1, dtype=bool)
-    for i in order:
-        n = int(lengths[i])
-        gap = n + int(holds[n:].argmax())
-        if holds[gap]:
-            w = room[gap].pop()
-            holds[gap] = bool(room[gap])
-        else:
-            w, gap = len(windows), capacity
-            windows.append([])
-        windows[w].append((i, 0, n))
-        room[gap - n].append(w)
-        holds[gap - n] = gap > n
-    fill = [sum(b - a for _, a, b in w) for w in windows]
-    by_fill = sorted(range(len(windows)), key=lambda w: (fill[w], w))
-    low, high = 0, len(by_fill) - 1
-    while low < high:
-        giver, taker = by_fill[low], by_fill[high]
-        gap = capacity - fill[taker]
-        if gap < LEAST_GAP:
-            high -= 1
-            continue
-        i, a, b = windows[giver].pop()
-        n = min(gap, b - a)
-        windows[taker].append((i, b - n, b))
-        fill[taker] += n
-        fill[giver] -= n
-        if a < b - n:
-            windows[giver].append((i, a, b - n))
-        if not windows[giver]:
-            low += 1
-    return [w for w in windows if w]
-
-
 def pack_tier(own: list[tuple[int, int, int]], shorter: list[tuple[int, int, int]], capacity: int) -> tuple[list, list]:
     """own, shorter: pieces (rest, from, to), of the tier and of tiers below. Windows of the tier, all full but the last at most,
     and the shorter pieces that they do not take."""
@@ -141,75 +93,65 @@ def pack_tiers(lengths: np.ndarray) -> list[tuple[int, list[tuple[int, int, int]
     return out
 
 
-def _narrow(piece: bytes) -> bytes:
+def _narrow(piece: np.ndarray) -> bytes:
     """Two bytes an id where all fit, else four."""
-    ids = np.frombuffer(piece, dtype="<u4")
-    return ids.astype("<u2").tobytes() if ids.max() < 1 << 16 else piece
+    return piece.astype("<u2" if piece.max() < 1 << 16 else "<u4").tobytes()
 
 
-def tokenized(docs: DataFrame, tokenizer: str, shards: int, end_id: int = END_ID) -> DataFrame:
-    """A row for each full window of a document and one for its rest; only the rest carries its ids, which packing may cut."""
-    end = np.array([end_id], dtype="<u4").tobytes()
-    names = [x.split()[0] for x in PIECE.split(", ")]
-    types = [pa.int64()] * 7 + [pa.binary()]
-    window = MAX_LENGTH * 4
+def _step_groups(fills: np.ndarray, base: int) -> np.ndarray:
+    """The step group of each window: windows by falling fill, so tier after tier, dealt to the groups forth and back."""
+    groups = max(1, -(-len(fills) // STEP_WINDOWS))
+    lap, at = np.divmod(np.arange(len(fills)), groups)
+    out = np.empty(len(fills), dtype=np.int64)
+    out[np.argsort(-fills, kind="stable")] = base + np.where(lap % 2 == 0, at, groups - 1 - at)
+    return out
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
-        for batch in batches:
-            texts, keys, dealt = batch["text"].to_pylist(), batch["doc_id"].to_pylist(), batch["shard"].to_pylist()
-            rows = batch["row"].to_pylist()
-            for a, b in batches_of(texts):
-                out = []
-                for key, shard, row, ids in zip(keys[a:b], dealt[a:b], rows[a:b], encode(texts[a:b])):
-                    ids += end
-                    whole = len(ids) // 4
-                    for at in range(0, len(ids), window):
-                        piece = ids[at : at + window]
-                        full = len(piece) == window
-                        rest = None if full else _narrow(piece)
-                        out.append((shard, key, row, at // 4, len(piece) // 4, zlib.crc32(piece), whole, rest))
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names)
-
-    key = F.xxhash64("doc_id", F.xxhash64("text"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(key, F.lit(shards)).alias("shard"), key.alias("row"))
-    return rows.mapInArrow(cut, PIECE)
-
-
-def _pack_shard(pdf: pd.DataFrame, keep_ids: bool) -> pd.DataFrame:
-    pdf = pdf.sort_values(["row", "doc_id", "start"], kind="stable").reset_index(drop=True)
-    full = pdf[pdf["rest"].isna()]
-    rests = pdf[pdf["rest"].notna()].reset_index(drop=True)
-    base = int(pdf["shard"].iloc[0]) << 32
-    out = []
-    for i, r in enumerate(zip(full["doc_id"], full["start"], full["length"], full["ids_crc32"], full["doc_tokens"])):
-        out.append((*r, base + i, 0, MAX_LENGTH, None))
-    next_id = base + len(full)
-    columns = list(zip(rests["doc_id"], rests["start"], rests["doc_tokens"], rests["length"], rests["rest"], rests["ids_crc32"]))
-    for tier, w in pack_tiers(rests["length"].to_numpy()):
+
+def pack_shard(pieces: list[tuple], base: int, keep_ids: bool) -> pa.RecordBatch:
+    """pieces: (doc_id, start, length, ids_crc32, doc_tokens, ids of a rest or None). The packed rows, with sequence ids from base on."""
+    full = [p for p in pieces if p[5] is None]
+    rests = [p for p in pieces if p[5] is not None]
+    rows = [(*p[:5], base + i, 0, MAX_LENGTH, None) for i, p in enumerate(full)]
+    fills = [MAX_LENGTH] * len(full)
+    for tier, window in pack_tiers(np.array([p[2] for p in rests], dtype=np.int64)):
         offset = 0
-        for i, a, b in w:
-            doc_id, start, whole, length, rest, crc = columns[i]
-            ids = np.frombuffer(rest, dtype="<u2" if len(rest) == 2 * length else "<u4")[a:b].astype("<u4").tobytes()
-            out.append((doc_id, start + a, b - a, crc if b - a == length else zlib.crc32(ids), whole, next_id, offset, tier, ids if keep_ids else None))
+        for i, a, b in window:
+            doc_id, start, length, crc, whole, data = rests[i]
+            ids = np.frombuffer(data, dtype="<u2" if len(data) == 2 * length else "<u4")[a:b].astype("<u4")
+            rows.append((doc_id, start + a, b - a, crc if b - a == length else zlib.crc32(ids), whole, base + len(fills), offset, tier, ids.tobytes() if keep_ids else None))
             offset += b - a
-        next_id += 1
-    packed = pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "ids"])
-    # Step groups: sequences by falling fill, so tier after tier, dealt to the groups forth and back.
-    fills = packed.groupby("sequence_id")["length"].sum().sort_values(ascending=False, kind="stable")
-    groups = max(1, -(-len(fills) // STEP_WINDOWS))
-    lap, at = np.divmod(np.arange(len(fills)), groups)
-    group = pd.Series(base + np.where(lap % 2 == 0, at, groups - 1 - at), index=fills.index)
-    packed["step_group"] = packed["sequence_id"].map(group)
-    return packed[[x.split()[0] for x in PACKED.split(", ")]]
+        fills.append(offset)
+    group = _step_groups(np.array(fills, dtype=np.int64), base)
+    columns = [*zip(*rows)]
+    columns.insert(7, group[np.array(columns[5]) - base])
+    types = [pa.int64()] * 8 + [pa.int32(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types)], [x.split()[0] for x in PACKED.split(", ")])
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, shard_documents: int = SHARD_DOCUMENTS, keep_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, shard_pieces: int = SHARD_PIECES, keep_ids: bool = True) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, step_group, tier, ids (of pieces of
     packed rests, null unless keep_ids; a full window's are those of its range of the document)."""
-    bounded_batches(docs.sparkSession)
-    shards = max(1, -(-docs.select("doc_id").count() // shard_documents))
-    return tokenized(docs, tokenizer, shards, end_id).groupBy("shard").applyInPandas(lambda pdf: _pack_shard(pdf, keep_ids), PACKED)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        base = TaskContext.get().partitionId() << 32
+        encode = encoder(tokenizer).encode
+        held: list[tuple] = []
+        for batch in batches_of(batches):
+            ids, starts = encode(batch["text"], end_id)
+            for at, end, key in zip(starts.tolist(), starts[1:].tolist(), batch["doc_id"].to_pylist()):
+                for a in range(at, end, MAX_LENGTH):
+                    piece = ids[a : min(end, a + MAX_LENGTH)]
+                    held.append((key, a - at, len(piece), zlib.crc32(piece.astype("<u4", copy=False)), end - at, _narrow(piece) if len(piece) < MAX_LENGTH else None))
+                if len(held) >= shard_pieces:
+                    out = pack_shard(held, base, keep_ids)
+                    base, held = out["sequence_id"][-1].as_py() + 1, []
+                    yield out
+        if held:
+            yield pack_shard(held, base, keep_ids)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(packed, PACKED)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str) -> DataFrame:

@@ -8,6 +8,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -178,11 +179,26 @@ def test_block_codec_round_trip():
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoder_equals_the_library(name):
-    e = encoding.Encoder(public_tokenizers.path(name), cache_words=5)
-    cases = ["", "a", "  a b", "a  b   c \n\n d\t\te", "<|endoftext|>", "x<|endoftext|>y <|endoftext|>", " lead", "trail ", "\n", "a\nb", " \x85 b", "a b é", "\0a b\0", "don't 'S 1", "\x1c a\x1c b", "日本語", None, "ΑΣ Σ"]
-    for _ in range(2):
-        for text, got in zip(cases, e.encode(cases)):
-            assert np.frombuffer(got, "<u4").tolist() == e.tokenizer.encode(text or "", add_special_tokens=False).ids
+    rng = random.Random(6)
+    bits = [" ", "\n", "\t", "\x85", "\xa0", "\x1c", "\r\n", "  ", "\u2028", "\0", "a", "Bc", "the", "don't", "'S", "'s", "İ", "é", "e\u0301", "ſ", "ΑΣ", "日本", "1", "23", "_", "!", "...", "<", "<|", "|>", "<|endoftext|>", "<|startoftext|>"]
+    cases = ["", None, "a", "  a b", " lead", "trail ", *("".join(rng.choices(bits, k=rng.randint(0, 9))) for _ in range(3000))]
+    for size in (0, 200, 1 << 20):
+        e = encoding.Encoder(public_tokenizers.path(name), size)
+        for at in range(0, len(cases), 500):
+            some = cases[at : at + 500]
+            ids, starts = e.encode(pa.array(some, pa.string()), 7)
+            for text, a, b in zip(some, starts, starts[1:]):
+                assert ids[a:b].tolist() == [*e.tokenizer.encode(text or "", add_special_tokens=False).ids, 7], text
+            assert e.words.nbytes + e.ids.nbytes <= size + 64
+
+
+def test_batches_keep_rows_in_order_and_are_bounded():
+    rng = random.Random(7)
+    texts = [rng.choice([None, "", "x" * rng.randint(1, 300), "y" * 2000]) for _ in range(500)]
+    batches = pa.table({"text": texts, "n": range(500)}).to_batches(60)
+    out = list(encoding.batches_of(iter(batches), 1000))
+    assert [n for b in out for n in b["n"].to_pylist()] == list(range(500)) and [t for b in out for t in b["text"].to_pylist()] == texts
+    assert all(sum(len(t or "") for t in b["text"].to_pylist()[:-1]) < 1000 for b in out)
 
 
 def test_tokens(spark, sf, edge, none):
@@ -233,13 +249,6 @@ def test_packing(spark, sf, edge, none):
     assert packing.pack_documents(none, path).count() == 0
 
 
-def test_pack_rests_fills_gaps():
-    lengths = np.array([700] * 300)
-    windows = packing.pack_rests(lengths)
-    assert len(windows) == -(-700 * 300 // 2048)
-    assert sorted((i, a, b) for w in windows for i, a, b in w)[0][0] == 0 and sum(b - a for w in windows for _, a, b in w) == 210_000
-
-
 def test_each_tier_has_windows_of_its_own_length(spark):
     rng = random.Random(2)
     for lengths in ([300] * 50, [rng.randint(1, 2047) for _ in range(700)], [int(min(2047, rng.lognormvariate(5, 1) + 1)) for _ in range(2000)], [1], [2047], []):
