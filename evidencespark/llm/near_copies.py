@@ -1,9 +1,13 @@
-"""Near copies by exact Jaccard similarity of word shingles: texts that share at least 4/5 of their five-word shingles.
+"""Near copies: SimHash candidates, completed to all pairs of texts that share at least 4/5 of their five-word shingles.
 
-A node is a distinct text. Its shingles stand in one order over all texts: those found often in a sample of the texts last, then by
-hash. Two sets of Jaccard similarity 0.8 share a shingle among the first n - ceil(0.8 n) + 1 of either (prefix filter), whatever
-the order is, so no pair is lost; the order only keeps common lines out of the prefixes. Meetings are cut by what sizes
-and positions allow, and confirmed on the whole sets.
+A node is a distinct text. Candidates come from the fingerprints of simhash over five-word shingles, at up to two differing bits,
+and are confirmed on the whole shingle sets. Texts at a Jaccard similarity of 0.8 differ in about ten of 64 bits, which
+no one-wildcard segment index of a bearable size reaches, so the rest comes through an index of shingles.
+
+The shingles of a node stand in one order over all texts: those found often in a sample of the texts last, then by hash. Two sets
+of similarity 0.8 share a shingle among the first n - ceil(0.8 n) + 1 of either (prefix filter), whatever the order is, so no
+pair is lost; the order only keeps common lines out of the prefixes. All shingles up to the lesser of two prefixes' ends
+are in the index, so the number of shared ones bounds the overlap of the sets; what passes is confirmed on the whole sets.
 
 Under a shingle, each node is compared with one leader first. What that links is one component; then all pairs of nodes of different
 components are compared. So a large group of near copies costs few pairs, and a component is that of all pairs.
@@ -22,12 +26,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import simhash
 from .common import stored
 from .simhash import components, shingle_hashes
 
 SHINGLE = 5
 #: Texts and common shingles of the sample that orders shingles; neither changes the result.
-SAMPLE_TEXTS, COMMON, COMMON_FROM = 20_000, 100_000, 3
+SAMPLE_TEXTS, COMMON, COMMON_FROM = 5_000, 100_000, 3
 
 
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -63,17 +68,38 @@ def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.array([r["key"] for r in rows], dtype="i8"), np.array([r["n"] for r in rows], dtype="i8")
 
 
-def _may_reach(n: Column, at: Column, m: Column, to: Column) -> Column:
-    """Sets of n and m shingles that meet at positions at and to can share 4/5: sizes, and what is left after the positions or before
-    them (a shared one before would be a meeting of its own, so each pair is kept at its first meeting)."""
-    shared = F.least(n - at, m - to)
-    return (9 * shared >= 4 * (n + m)) & (5 * n >= 4 * m) & (5 * m >= 4 * n)
+def _may_reach(n: Column, m: Column) -> Column:
+    """Sets of n and m shingles can share 4/5."""
+    return (5 * n >= 4 * m) & (5 * m >= 4 * n)
+
+
+def _likely(pairs: DataFrame, shared: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs a, b that the shared shingles of their prefixes do not rule out. Up to the end of the prefix that ends first, all
+    shingles of both sets are known, so the overlap is at most those shared and what the set has after its prefix."""
+    known = nodes.select("node", "n", "last").join(shared.groupBy("node").agg(F.collect_set("key").alias("keys")), "node")
+    both = pairs.join(known.toDF("a", "n", "x_last", "x"), "a").join(known.toDF("b", "m", "y_last", "y"), "b")
+    both = both.withColumn("shared", F.size(F.array_intersect("x", "y")))
+    after = F.when(F.col("x_last") <= F.col("y_last"), F.expr("(4 * n + 4) div 5 - 1")).otherwise(F.expr("(4 * m + 4) div 5 - 1"))
+    return both.where(9 * (F.col("shared") + after) >= 4 * (F.col("n") + F.col("m"))).select("a", "b")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs a, b whose sets have Jaccard similarity 0.8 or more."""
+def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs a, b of nodes whose sets have Jaccard similarity 0.8 or more."""
+    pairs = stored(pairs.distinct(), "near-pairs")
+    members = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-members")
+    sets = texts.join(members, "node", "left_semi").dropDuplicates(["node"]).select("node", shingle_sets("text").alias("set"))
+    sets = stored(sets, "near-sets")
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-    return both.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
+    return stored(both.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b"), "near-links")
+
+
+def _by_fingerprint(nodes: DataFrame) -> DataFrame:
+    """Pairs a, b of nodes: those of one fingerprint with the least of them, and the least of linked fingerprints."""
+    least = nodes.groupBy("fp").agg(F.min("node").alias("least"))
+    found = simhash.links(least.select("fp"))
+    same = nodes.join(least, "fp").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    near = found.join(least.toDF("a", "x"), "a").join(least.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return same.unionByName(near)
 
 
 def links(docs: DataFrame) -> DataFrame:
@@ -81,36 +107,40 @@ def links(docs: DataFrame) -> DataFrame:
     texts = docs.select(node().alias("node"), "text")
     common, rank = common_shingles(texts)
 
-    @F.pandas_udf("n int, keys array<long>")
-    def prefixes(column: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("fp long, n int, keys array<long>, last struct<rank: long, key: long>")
+    def marked(column: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        def mark(text: str | None) -> tuple:
+            hashes = shingle_hashes(text, SHINGLE)
+            found = np.unique(np.array(hashes or [0], dtype="u8").view("i8"))
+            keys = prefix(found, common, rank)
+            at = min(int(np.searchsorted(common, keys[-1])), len(common) - 1)
+            often = int(rank[at]) if len(common) and common[at] == keys[-1] else 0
+            return simhash.folded(hashes), len(found), keys, {"rank": often, "key": int(keys[-1])}
+
         for text in column:
-            found = [shingle_set(x) for x in text]
-            yield pd.DataFrame({"n": np.array([len(x) for x in found], dtype="i4"), "keys": [prefix(x, common, rank) for x in found]})
+            yield pd.DataFrame([mark(x) for x in text], columns=["fp", "n", "keys", "last"])
 
-    marked = texts.select("node", prefixes("text").alias("p")).select("node", "p.n", "p.keys")
-    nodes = marked.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
-    index = nodes.select("node", "n", F.posexplode("keys").alias("at", "key"))
+    seen = texts.select("node", marked("text").alias("m")).select("node", "m.*")
+    nodes = stored(seen.groupBy("node").agg(*(F.first(c).alias(c) for c in ("fp", "n", "keys", "last"))), "near-nodes")
+    index = nodes.select("node", "n", F.explode("keys").alias("key"))
     # Nodes are hashes, so node ^ key is smallest for another node under each key.
     of_key = Window.partitionBy("key")
     ranked = index.select("*", F.count(F.lit(1)).over(of_key).alias("members"), F.min(F.col("node").bitwiseXOR(F.col("key"))).over(of_key).alias("m"))
-    shared = stored(ranked.where("members > 1").select("key", "node", "n", "at", F.col("m").bitwiseXOR(F.col("key")).alias("leader")), "near-shared")
-    members = shared.select("node").distinct()
-    sets = stored(texts.join(members, "node", "left_semi").dropDuplicates(["node"]).select("node", shingle_sets("text").alias("set")), "near-sets")
+    shared = stored(ranked.where("members > 1").select("key", "node", "n", F.col("m").bitwiseXOR(F.col("key")).alias("leader")), "near-shared")
 
-    lead = shared.where("node = leader").select("key", F.col("n").alias("m"), F.col("at").alias("to"))
-    near = shared.where("node <> leader").join(lead, "key").where(_may_reach(F.col("n"), F.col("at"), F.col("m"), F.col("to")))
+    lead = shared.where("node = leader").select("key", F.col("n").alias("m"))
+    near = shared.where("node <> leader").join(lead, "key").where(_may_reach(F.col("n"), F.col("m")))
     pairs = near.select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")).distinct()
-    first = stored(_confirmed(pairs, sets), "near-links")
+    first = _confirmed(_likely(pairs, shared, nodes).unionByName(_by_fingerprint(nodes)), texts)
 
-    known = shared.select("key", "node", "n", "at").join(components(first), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    known = shared.select("key", "node", "n").join(components(first), "node", "left").withColumn("component", F.coalesce("component", "node"))
     known = stored(known, "near-known")
     open_keys = known.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("key")
     left = known.join(open_keys, "key", "left_semi")
-    right = left.select("key", *(F.col(c).alias(f"o_{c}") for c in ("node", "n", "at", "component")))
-    meet = (left["key"] == right["key"]) & (F.col("node") > F.col("o_node")) & (F.col("component") != F.col("o_component"))
-    rest = left.join(right, meet & _may_reach(F.col("n"), F.col("at"), F.col("o_n"), F.col("o_at")))
-    rest = rest.select(F.col("node").alias("a"), F.col("o_node").alias("b")).distinct()
-    return first.unionByName(stored(_confirmed(rest, sets), "near-links"))
+    right = left.select(*(F.col(c).alias(f"o_{c}") for c in ("key", "node", "n", "component")))
+    meet = (F.col("key") == F.col("o_key")) & (F.col("node") > F.col("o_node")) & (F.col("component") != F.col("o_component"))
+    rest = left.join(right, meet & _may_reach(F.col("n"), F.col("o_n"))).select(F.col("node").alias("a"), F.col("o_node").alias("b")).distinct()
+    return first.unionByName(_confirmed(_likely(rest, shared, nodes), texts))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

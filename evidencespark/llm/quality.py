@@ -27,6 +27,8 @@ from .doc_stats import FEATURES, text_statistics
 
 THRESHOLD = 0.3
 SHRINKAGE = 0.05
+#: Labels that the filter of a corpus is fitted on, at most; the scoring of documents reads all of them.
+FIT_ROWS = 20_000
 D = len(FEATURES)
 
 
@@ -115,12 +117,13 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that the classifier accepts, columns unchanged. The fit reads the labelled
-    documents only; the filter computes those of each document in the pass that writes the result."""
-    known = labels.select("doc_id", "quality").where(~held_out())
-    stats = docs.select("doc_id", statistics("text").alias("stats"))  # before the join, so that texts are not shuffled
-    model = fit(stats.join(known, "doc_id").select("stats", "quality"))
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """The rows of docs that the classifier accepts, columns unchanged. The fit reads the documents of at most fit_rows labels, chosen
+    by a hash of their id; the filter computes the statistics of each document in the pass that writes the result."""
+    known = labels.select("doc_id", "quality").where(~held_out() & F.col("quality").isin(0, 1))
+    known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(fit_rows)
+    texts = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    model = fit(texts.select(statistics("text").alias("stats"), "quality"))
 
     @F.pandas_udf("boolean")
     def good(text: pd.Series) -> pd.Series:

@@ -5,16 +5,17 @@ segment that differs in at most one, so they share a variant of that segment wit
 a wildcard): every distinct fingerprint is indexed under its 2 x 32 variants, equal variants meet, and
 meetings are verified by the number of differing bits.
 
-A variant may be shared by very many fingerprints. In the order of the fingerprints, each one is verified
-against the WINDOW before it under the same variant; those under a variant with members further apart than that
-are indexed by the whole fingerprint and its 64 one-bit changes as well. Two fingerprints differ in at most two bits if
-and only if they share one of these keys, so a link of each to the smallest under the key loses nothing and needs no pairs.
+A variant may be shared by very many fingerprints. Members are counted first, with map-side sums; all pairs are made only under a
+variant of at most CROWD members. Fingerprints under a fuller one are indexed further, by the whole fingerprint and its 64
+one-bit changes: two of them differ in at most two bits if and only if they share one of these keys, which at most 65 can
+share, so a link of each to the smallest under the key loses nothing.
 
-Copies are one node. Components are found by alternating large-star and small-star steps over the links.
+Nodes are distinct fingerprints, so copies are one node, with or without a doc_id. Components are found by alternating large-star and
+small-star steps over the links.
 
 Defined results: null and blank texts have fingerprint zero, linked like any other; fewer words than a shingle: the
-whole sequence is one shingle; a repeated doc_id gets a row, and the component of its own text, each time; a null
-doc_id gets the component of its fingerprint (null if that has no other doc_id) and is left out by keep_one.
+whole sequence is one shingle; a repeated doc_id gets a row, and the component of its own text, each time; rows without a
+doc_id link others like any row and get the component of their fingerprint (null if no row of it has a doc_id).
 """
 
 from __future__ import annotations
@@ -22,14 +23,14 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import stored
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
-WINDOW = 32
+CROWD = 32
 SEGMENT_BITS = 32
 
 
@@ -49,9 +50,8 @@ def shingle_hashes(text: str | None, shingle: int) -> list[int]:
     return [digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[shingle - 1 :].tolist())]
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Signed 64-bit value; a bit is 1 if it is set in over half of the shingles' hashes."""
-    hashes = shingle_hashes(text, shingle)
+def folded(hashes: list[int]) -> int:
+    """Signed 64-bit value; a bit is 1 if it is set in over half of the hashes."""
     if not hashes:
         return 0
     total = np.zeros(64, dtype=np.int64)
@@ -61,40 +61,44 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(total * 2 > len(hashes)).view(">i8")[0])
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    return folded(shingle_hashes(text, shingle))
+
+
 @F.pandas_udf(T.LongType())
 def fingerprints(text: pd.Series) -> pd.Series:
     return text.map(fingerprint).astype("int64")
 
 
+def variants(fp: str = "fp") -> str:
+    """SQL for the array of a fingerprint's variants, each as one number: segment, place of the wildcard, segment without that bit."""
+    def of(segment: int) -> str:
+        value = f"({fp} & {(1 << SEGMENT_BITS) - 1}L)" if segment == 0 else f"shiftrightunsigned({fp}, {SEGMENT_BITS})"
+        return f"transform(sequence(0, {SEGMENT_BITS - 1}), b -> shiftleft({segment * SEGMENT_BITS}L + b, {SEGMENT_BITS}) | ({value} & ~shiftleft(1L, b)))"
+
+    return f"concat({of(0)}, {of(1)})"
+
+
 def links(nodes: DataFrame) -> DataFrame:
-    """nodes: fp long, node long, one row per distinct fingerprint. Links a, b of nodes, enough of them to connect all
-    fingerprints that differ in at most MAX_BITS bits; none that differ in more."""
-    low = (1 << SEGMENT_BITS) - 1
-    cut = nodes.select("fp", "node", F.explode(F.array(F.lit(0), F.lit(1))).alias("segment"))
-    value = F.when(F.col("segment") == 0, F.col("fp").bitwiseAND(F.lit(low))).otherwise(F.shiftrightunsigned("fp", SEGMENT_BITS))
-    bits = F.explode(F.sequence(F.lit(0), F.lit(SEGMENT_BITS - 1))).alias("bit")
-    index = cut.select("fp", "node", "segment", value.alias("value"), bits)
-    index = index.select("fp", "node", "segment", "bit", F.expr("value & ~shiftleft(1L, bit)").alias("variant"))
-
-    by = Window.partitionBy("segment", "bit", "variant").orderBy("fp")
-    near = index.select(
-        "fp", "node",
-        F.collect_list(F.struct("fp", "node")).over(by.rowsBetween(-WINDOW, -1)).alias("before"),
-        (F.lead("fp", WINDOW + 1).over(by).isNotNull() | F.lag("fp", WINDOW + 1).over(by).isNotNull()).alias("crowded"),
-    ).where(F.col("crowded") | (F.size("before") > 0))
-    linked = F.filter("before", lambda x: F.bit_count(x["fp"].bitwiseXOR(F.col("fp"))) <= MAX_BITS)
-    near = stored(near.select("fp", "node", "crowded", F.transform(linked, lambda x: x["node"]).alias("linked")).where("crowded or size(linked) > 0"), "simhash-near")
-    pairs = near.select("node", F.explode("linked").alias("other"))
-
-    crowded = near.where("crowded").select("fp", "node").distinct()
+    """nodes: fp long, distinct. Links a, b of fingerprints, enough of them to connect all that differ in at most MAX_BITS bits; none
+    that differ in more."""
+    index = nodes.select("fp", F.explode(F.expr(variants())).alias("variant"))
+    counts = stored(index.groupBy("variant").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "simhash-counts")
+    met = stored(index.join(counts, "variant"), "simhash-met")
+    groups = met.where(F.col("n") <= CROWD).groupBy("variant").agg(F.collect_list("fp").alias("fps"))
+    ones = groups.select(F.explode("fps").alias("a"), "fps")
+    pairs = ones.select("a", F.explode("fps").alias("b")).where("a > b").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS)
+
+    crowded = met.where(F.col("n") > CROWD).select("fp").distinct()
     changes = F.expr("concat(array(fp), transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i)))")
-    keys = crowded.select("node", F.explode(changes).alias("key"))
-    stars = keys.join(keys.groupBy("key").agg(F.min("node").alias("other"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "key").select("node", "other")
-    return pairs.unionByName(stars).where("node <> other").select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
+    keys = crowded.select("fp", F.explode(changes).alias("key"))
+    stars = keys.groupBy("key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
+    stars = stars.select(F.explode("fps").alias("a"), F.array_min("fps").alias("b")).where("a <> b")
+    return pairs.unionByName(stars).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """edges: a, b long. One row for each node on an edge: node, component (the smallest node reachable)."""
+    """edges: a, b long. One row for each node on an edge, but for the smallest of each component: node, component (that smallest node)."""
     edges = stored(edges.select("a", "b"), "component-edges")
     before = None
     while True:
@@ -115,15 +119,10 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: one row for each row of docs."""
     marked = stored(docs.select("doc_id", fingerprints("text").alias("fp")), "simhash-fingerprints")
-    nodes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash-nodes")
-    found = components(links(nodes.where("node is not null")))
-    named = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    nodes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
+    found = components(links(nodes.select("fp"))).withColumnRenamed("node", "fp")
+    found = found.unionByName(found.select(F.col("component").alias("fp"), "component").distinct())  # the roots
+    linked = stored(nodes.join(found, "fp").select("fp", "component", "least"), "simhash-linked")
+    named = linked.join(linked.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("fp", "component_id")
+    named = nodes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     return marked.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component, one row of each; columns unchanged."""
-    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    row = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    once = docs.join(kept, "doc_id", "left_semi")
-    return once.withColumn("__n", F.row_number().over(row)).where("__n = 1").drop("__n")

@@ -5,7 +5,9 @@ import sys
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import xxhash
+from pyspark.sql import functions as F
 
 from evidencespark.llm import ann, exact_search, html_text, simhash
 from evidencespark.llm.common import table
@@ -50,8 +52,18 @@ def test_simhash_documents(spark, sf, edge, none):
     rows = simhash.near_duplicates(edge).collect()
     assert len(rows) == edge.count() and {r["component_id"] for r in rows if r["doc_id"] in (1, 2, 3)} == {1}
     assert simhash.near_duplicates(none).count() == 0
-    assert simhash.keep_one(edge).columns == edge.columns
-    assert sorted(r["doc_id"] for r in simhash.keep_one(edge).collect())[:2] == [1, 4]
+
+
+def test_simhash_rows_without_an_id_link_others(spark, monkeypatch):
+    """Fingerprints 0, 3 and 15, the middle one under a null doc_id."""
+    @F.pandas_udf("long")
+    def given(text: pd.Series) -> pd.Series:
+        return text.astype("int64")
+
+    monkeypatch.setattr(simhash, "fingerprints", given)
+    docs = spark.createDataFrame([(2, "0"), (None, "3"), (1, "15"), (9, "-1"), (None, "255")], "doc_id long, text string")
+    got = {r["fingerprint"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()}
+    assert got == {f"{x & (1 << 64) - 1:016x}": c for x, c in ((0, 1), (3, 1), (15, 1), (-1, 9), (255, None))}
 
 
 def test_links_connect_crowded_variants(spark):
@@ -66,11 +78,11 @@ def test_links_connect_crowded_variants(spark):
             fps.add(x)
         fps |= {(centre & 0xFFFFFFFF) | rng.getrandbits(32) << 32 for _ in range(80)}
     nodes = {i: f for i, f in enumerate(sorted(fps))}
-    rows = [(f - (1 << 64) if f >= 1 << 63 else f, i) for i, f in nodes.items()]
-    edges = simhash.links(spark.createDataFrame(rows, "fp long, node long"))
-    want = slow_components(nodes)
+    signed = {f - (1 << 64) if f >= 1 << 63 else f: i for i, f in nodes.items()}
+    found = simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long")).collect()
+    edges = spark.createDataFrame([tuple(sorted((signed[r["a"]], signed[r["b"]]), reverse=True)) for r in found], "a long, b long")
     got = {i: i for i in nodes} | {r["node"]: r["component"] for r in simhash.components(edges).collect()}
-    assert got == want
+    assert got == slow_components(nodes)
 
 
 def test_components_of_a_long_chain(spark):

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -164,6 +165,26 @@ def test_pii_added_kinds_and_redaction(spark):
     assert out[5] is None and out[6] == "to <EMAIL>, <IP>" and out[7] == "é <PHONE>" and out[4] == "part 123-45-6789" and out[1].startswith("IBAN <IBAN")
 
 
+def test_pii_of_a_text_with_very_many_matches(spark):
+    """100,000 matches in one text, and a table of one local row: both take time in proportion to the text."""
+    bits = ["mail é{i}@b.co ", "x ", "call +1 706 555 {i:04d} ", "10.0.{j}.1 "]
+    text = "".join(bits[i % 4].format(i=i % 10000, j=i % 200) for i in range(133_000))
+    other = "".join(bits[i % 3].format(i=i % 10000) for i in range(6_000))
+    began = time.time()
+    got = pii.find_pii(spark.createDataFrame([(1, text), (2, "no")], "doc_id long, text string").repartition(1)).where("doc_id = 1").first()
+    want = base_spans(text)
+    assert len(want) > 99_000 and got["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest()
+    for t in (text, other):
+        spans = sorted(([int(x) for x in w.split(":")[1:]] + [w.split(":")[0]] for w in base_spans(t)), key=lambda x: x[0])
+        out, at = [], 0
+        for a, b, kind in spans:
+            if a >= at:
+                out += [t[at:a], f"<{kind.upper()}>"]
+            at = max(at, b)
+        assert pii.redact(spark.createDataFrame([(1, t)], "doc_id long, text string")).first()["text"] == "".join(out) + t[at:]
+    assert time.time() - began < 60
+
+
 def test_block_codec_round_trip():
     rng = np.random.default_rng(0)
     for n in (0, 1, 255, 256, 257, 5000):
