@@ -7,7 +7,7 @@ neighbours in the projected space from the nearest on; each is verified by its i
 until the chi-square test holds: a point as near as the k-th found would have been met with probability CONFIDENCE
 within the projected distance already covered. Every row is indexed; nothing is fitted to data but the largest norm.
 
-Defined results: null, zero and non-finite vectors take no part; shorter vectors count as padded with zeros; a row is not
+Defined results: products beyond a double's range are infinite, in the order of the true ones; null, zero and non-finite vectors take no part; shorter vectors count as padded with zeros; a row is not
 a candidate for queries of its own id; fewer candidates than k are all returned; an empty table gives no rows.
 """
 
@@ -77,7 +77,11 @@ class ProjectionIndex:
 def approximate_top_k(embeddings: DataFrame, every: int = EVERY, k: int = K, confidence: float = CONFIDENCE) -> DataFrame:
     """query_id, rank (from 1), vec_id, score (the inner product in double precision)."""
     vectors = prepared(embeddings, nonzero=True)
+    # Components so large or small that squares leave a double's range are brought near 1 by a power of two, which orders alike.
+    largest = vectors.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0] or 1.0
+    unit = 1.0 if 2.0**-400 < largest < 2.0**400 else 2.0 ** -max(-1020, min(1020, math.frexp(largest)[1]))
+    vectors = vectors if unit == 1.0 else vectors.select("id", F.transform("v", lambda x: x * unit).alias("v"))
     square = F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x * x)
     norm2 = vectors.agg(F.max(square)).first()[0] or 1.0
     found = top_k(vectors, every, k, lambda ids, v: ProjectionIndex(ids, v, norm2, k, confidence))
-    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", (F.col("score") / unit / unit).alias("score"))

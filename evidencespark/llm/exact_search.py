@@ -5,7 +5,7 @@ search of a shard leaves out boxes below the k-th score known so far, which the
 visited first.
 
 Vectors are turned into whole numbers, floor(256 * x). Products are exact: in double precision while all sums stay
-below 2**53, otherwise in Python's integers, clipped to the range of a long.
+below 2**53, otherwise in Python's integers, clipped to the range of a long. Components of any finite size take part.
 
 Defined results: null vectors and such with null or non-finite components take no part; shorter vectors count as padded
 with zeros; a row is not a candidate for queries of its own id; repeated ids are candidates each; fewer candidates than
@@ -26,21 +26,36 @@ EVERY, K = 50, 5
 SCALE = 256.0
 
 
+def whole_part(x: float) -> int:
+    """floor(256 * x), where 256 * x may be beyond a double's range."""
+    return int(np.floor(x * SCALE)) if abs(x) < 2.0**53 else int(x) * int(SCALE)
+
+
+def _floored(vectors: np.ndarray) -> np.ndarray:
+    """floor(256 * x) as doubles, the largest double where that is beyond."""
+    with np.errstate(over="ignore"):
+        return np.nan_to_num(np.floor(vectors * SCALE))
+
+
 class InnerProductIndex:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int = K):
-        self.k, points = k, np.floor(vectors * SCALE)
+        self.k, points = k, _floored(vectors)
         self.tree = KdTree(points)
+        self.vectors = vectors
         self.ids, self.points = ids[self.tree.order], np.ascontiguousarray(points[self.tree.order])
         self.least_ids = [int(self.ids[a:b].min()) if b > a else 0 for a, b in zip(self.tree.start, self.tree.end)]
         self.largest = float(np.abs(points).max()) if points.size else 0.0
 
     def search(self, ids: np.ndarray, queries: np.ndarray, floors: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        queries = np.floor(queries * SCALE)
-        merits = np.maximum(queries, 0) @ self.tree.boxes_high.T + np.minimum(queries, 0) @ self.tree.boxes_low.T
-        for query_id, q, merit, floor in zip(ids.tolist(), queries, merits, floors.tolist()):
+        raw, queries = queries, _floored(queries)
+        with np.errstate(over="ignore", invalid="ignore"):
+            merits = np.maximum(queries, 0) @ self.tree.boxes_high.T + np.minimum(queries, 0) @ self.tree.boxes_low.T
+        for query_id, q, own_raw, merit, floor in zip(ids.tolist(), queries, raw, merits, floors.tolist()):
             exact = self.largest * float(np.abs(q).max(initial=0.0)) * max(len(q), 1) < 2**53
-            if not exact:
-                merit, floor = merit + np.abs(merit) * 1e-9 + 1, floor - abs(floor) * 1e-12 if floor > -np.inf else floor
+            if not exact:  # a bound that is no number bounds nothing: such boxes are visited
+                merit = np.where(np.isfinite(merit), merit + np.abs(merit) * 1e-9 + 1, np.inf)
+                floor = floor - abs(floor) * 1e-12 if floor > -np.inf else floor
+                whole = [whole_part(x) for x in own_raw.tolist()]
             best = Best(self.k, floor)
 
             def go_on(node: int) -> bool:
@@ -51,8 +66,8 @@ class InnerProductIndex:
                 if exact:
                     scores = self.points[a:b] @ q
                 else:
-                    limit, whole = 2**63 - 1, [int(x) for x in q]
-                    scores = np.array([max(-limit, min(limit, sum(int(x) * y for x, y in zip(p, whole)))) for p in self.points[a:b]], dtype=object)
+                    limit, rows = 2**63 - 1, self.vectors[self.tree.order[a:b]].tolist()
+                    scores = np.array([max(-limit, min(limit, sum(whole_part(x) * y for x, y in zip(p, whole)))) for p in rows], dtype=object)
                 other = own != query_id
                 best.add(scores[other], own[other])
             yield query_id, best.ids, best.scores

@@ -291,7 +291,8 @@ class TreeModel:
 
 
 def fit(pages: DataFrame, sample: int = SAMPLE_PAGES) -> TreeModel:
-    """A row a feature and label reaches the driver."""
+    """Counts over the pages of at most sample page_ids, chosen by a hash of the id alone: only these pages are read in full. A row a
+    feature and label reaches the driver."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: Counter[tuple[str, int]] = Counter()
@@ -301,7 +302,8 @@ def fit(pages: DataFrame, sample: int = SAMPLE_PAGES) -> TreeModel:
                     counts.update(count_page(Page(source)))
         yield pd.DataFrame([(f, y, float(v)) for (f, y), v in counts.items()], columns=["feature", "label", "n"])
 
-    chosen = pages.select("page_id", "html").orderBy(F.xxhash64("page_id"), "page_id").limit(sample).repartition(8)
+    ids = pages.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(sample)
+    chosen = pages.select("page_id", "html").join(F.broadcast(ids), "page_id", "left_semi")
     rows = chosen.mapInPandas(count, "feature string, label int, n double").groupBy("feature", "label").agg(F.sum("n").alias("n")).collect()
     return TreeModel({(r["feature"], r["label"]): r["n"] for r in rows})
 

@@ -1,6 +1,7 @@
 """KD-trees over one shard, and the job that brings queries to the shards.
 
-Vectors are dealt to shards of about SHARD_ROWS rows by a hash of their id. A task gets its shards one after the
+Vectors are dealt to shards by a hash of their id: of LEAST_ROWS rows, and of more, up to SHARD_ROWS, where there would be over
+SHARDS of them, as each query visits each shard. A task gets its shards one after the
 other, a shard's vectors before its queries, as a stream of bounded batches; it keeps one shard's vectors and tree at a
 time. Queries go first to their own shard and then, with the k-th score found there, to all the others: blocks of the
 stated query set against all rows.
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-SHARD_ROWS = 8192
+LEAST_ROWS, SHARDS, SHARD_ROWS = 8192, 64, 65_536
 LEAF_ROWS = 128
 
 
@@ -109,9 +110,10 @@ def prepared(vectors: DataFrame, nonzero: bool) -> DataFrame:
     return usable.where(F.exists("v", lambda x: x != 0)) if nonzero else usable
 
 
-def top_k(vectors: DataFrame, every: int, k: int, make: Callable[[np.ndarray, np.ndarray], Searcher], score: str = "double", shard_rows: int = SHARD_ROWS) -> DataFrame:
+def top_k(vectors: DataFrame, every: int, k: int, make: Callable[[np.ndarray, np.ndarray], Searcher], score: str = "double", shard_rows: int | None = None) -> DataFrame:
     """vectors: id, v. Queries are the rows whose id is divisible by every. make(ids, vectors) builds a shard's index; score is double or long."""
     count, width = vectors.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    shard_rows = shard_rows or min(SHARD_ROWS, max(LEAST_ROWS, count // SHARDS))
     shards = max(1, -(-count // shard_rows))
     padded = F.concat("v", F.array_repeat(F.lit(0.0), F.lit(width) - F.size("v")))
     rows = vectors.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), "id", padded.alias("v"))

@@ -112,6 +112,11 @@ def test_exact_search(spark):
             assert [got[q, k + 1] for k in range(5)] == [(i, -s) for s, i in scores]
     big = spark.createDataFrame([(0, [1e12, 3.0]), (1, [1e12, 1.0]), (2, [1e12, 2.0]), (3, [3e38, 1.0])], "vec_id long, embedding array<double>")
     assert [r["vec_id"] for r in exact_search.exact_top_k(big).orderBy("rank").collect()][:1] == [1]
+    huge = [(0, [1e308, -1e308, 3.0]), (1, [1e308, 1e308, 2.5]), (2, [-1e308, 0.0, 1.0]), (3, [0.0, 0.0, 7.25]), (None, [1.0, 1.0, 1.0]), (3, [0.0, 0.0, -1.0])]
+    got = exact_search.exact_top_k(spark.createDataFrame(huge, "vec_id long, embedding array<double>")).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(3, 256 * 3 * 1856), (1, 640 * 768), (3, -256 * 768), (2, -(2**63 - 1))]
+    clash = frame.where("vec_id < 5").withColumn("query_id", F.lit("x")).withColumn("score", F.lit(1)).withColumn("shard", F.lit(0)).withColumn("id", F.lit(0))
+    assert exact_search.exact_top_k(clash).count() == 4 == ann.approximate_top_k(clash).count()
     assert exact_search.exact_top_k(frame.where("vec_id < 3")).count() == 2 and exact_search.exact_top_k(frame.where("vec_id < 0")).count() == 0
 
 
@@ -138,6 +143,17 @@ def test_ann_recall(spark):
     assert ann.approximate_top_k(frame.where("vec_id < 0")).count() == 0
 
 
+def test_ann_edges(spark):
+    """Ties, repeated and null ids, fewer candidates than k, and components whose squares leave a double's range."""
+    rows = [(0, [1.0, 0.0]), (5, [0.5, 0.5]), (3, [0.5, -0.5]), (4, [0.5, 9.0]), (5, [0.25, 0.0]), (None, [1.0, 1.0]), (7, [0.0, 0.0]), (8, None), (9, [1.0, None])]
+    for unit in (1.0, 1e250, 1e-250):
+        frame = spark.createDataFrame([(i, v and [x and x * unit for x in v]) for i, v in rows], "vec_id long, embedding array<double>")
+        got = ann.approximate_top_k(frame).orderBy("query_id", "rank").collect()
+        assert [(r["query_id"], r["rank"], r["vec_id"]) for r in got] == [(0, 1, 3), (0, 2, 4), (0, 3, 5), (0, 4, 5)]
+        if unit == 1.0:
+            assert [r["score"] for r in got] == [0.5, 0.5, 0.5, 0.25]
+
+
 def test_chi_square_quantile():
     assert abs(ann.chi_square_quantile(0.95, 2) - 5.991465) < 1e-5 and abs(ann.chi_square_quantile(0.9, 12) - 18.549) < 1e-2
 
@@ -158,6 +174,24 @@ def test_html_main_text(spark, sf):
     assert model.extract(None) == "" and model.extract("") == "" and model.extract("<") is not None
 
 
+def test_training_on_labelled_pages_changes_the_text_of_others(spark):
+    """On labelled pages short list items are content and long sentences in plain divisions are not; a page without main or article, of
+    the same make, is read as the labelled ones are."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    line = lambda n: " ".join(word() for _ in range(n))
+    page = lambda tag: f"<body><div><div>{line(30)}.</div><div>{line(30)}.</div></div><{tag}><ul>" + "".join(f"<li>{line(2)}</li>" for _ in range(9)) + f"</ul></{tag}></body>"
+    pages = spark.createDataFrame([(i, "u", page("article")) for i in range(40)] + [(100 + i, "u", page("section")) for i in range(10)], "page_id long, url string, html string")
+    model = html_text.fit(pages)
+    plain = html_text.TreeModel({})
+    right = {True: 0, False: 0}
+    for r in pages.where("page_id >= 100").collect():
+        want = [x for x in __import__("re").findall("<li>(.*?)</li>", r["html"])]
+        for m in (model, plain):
+            right[m is model] += m.extract(r["html"]).split("\n") == want
+    assert right == {True: 10, False: 0}
+
+
 def test_html_pages_give_their_articles(spark, sf):
     import html
     import re

@@ -40,6 +40,23 @@ def test_quality_ignores_held_out_labels(spark):
     assert quality.score_documents(docs, labels).collect() == quality.score_documents(docs, turned).collect()
 
 
+def test_quality_is_the_difference_of_gaussian_log_densities(spark):
+    """The fitted model against means, covariances, determinants and inverses computed in one go."""
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(400, quality.D)) @ rng.normal(size=(quality.D, quality.D)), rng.integers(0, 2, 400)
+    x[y == 1] += 0.3
+    model = quality.fit(spark.createDataFrame([(a.tolist(), int(b)) for a, b in zip(x, y)], "stats array<double>, quality int").repartition(5))
+    z = (x - x.mean(axis=0)) / (x.std(axis=0) + 1e-3)
+    density = []
+    for c in (0, 1):
+        own = z[y == c]
+        a = max(quality.SHRINKAGE, quality.D / (len(own) + quality.D))
+        cov = (1 - a) * np.cov(own.T, bias=True) + a * np.eye(quality.D)
+        gap = z - own.mean(axis=0)
+        density.append(np.log(len(own) / len(z)) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * np.einsum("ij,jk,ik->i", gap, np.linalg.inv(cov), gap))
+    assert np.allclose(model.score(x), 1 / (1 + np.exp(density[0] - density[1])), atol=1e-5)
+
+
 def test_quality_edges(spark, edge, none):
     labels = spark.createDataFrame([(4, 1), (6, 0), (6, None), (7, 3)], "doc_id long, quality int")
     assert quality.score_documents(edge, labels).count() == edge.count()
