@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -34,3 +37,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Texts that a Python worker holds as Python strings at a time; the Arrow batch they come from is bounded by Spark in bytes.
+TEXTS_AT_ONCE = 256
+
+
+def each_text(column: pa.Array) -> Iterator[str | None]:
+    """The texts of an Arrow column, few at a time as Python strings."""
+    for a in range(0, len(column), TEXTS_AT_ONCE):
+        yield from column.slice(a, TEXTS_AT_ONCE).to_pylist()
+
+
+def list_array(rows: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    sizes = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.concatenate(rows) if rows else [], kind))

@@ -23,9 +23,12 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import each_text
+
 
 SAMPLE_PAGES = 2000
 
@@ -312,9 +315,9 @@ def extract_pages(pages: DataFrame, sample: int = SAMPLE_PAGES) -> DataFrame:
     """page_id, url, text, n_chars."""
     model = fit(pages, sample)
 
-    @F.pandas_udf("string")
-    def main_text(source: pd.Series) -> pd.Series:
-        return source.map(model.extract)
+    @F.arrow_udf("string")
+    def main_text(source: pa.Array) -> pa.Array:
+        return pa.array([model.extract(x) for x in each_text(source)], pa.string())
 
     out = pages.select("page_id", "url", main_text("html").alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("long"))

@@ -18,16 +18,14 @@ shingle; null doc_ids come last in their component; each component keeps exactly
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import simhash
-from .common import stored
+from .common import each_text, list_array, stored
 from .simhash import components, shingle_hashes
 
 SHINGLE = 5
@@ -49,9 +47,9 @@ def prefix(hashes: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarr
     return hashes[: n - -(-4 * n // 5) + 1]
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def shingle_sets(text: pd.Series) -> pd.Series:
-    return text.map(shingle_set)
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def shingle_sets(text: pa.Array) -> pa.Array:
+    return list_array([shingle_set(t) for t in each_text(text)], pa.int64())
 
 
 def node(text: str = "text") -> Column:
@@ -107,18 +105,19 @@ def links(docs: DataFrame) -> DataFrame:
     texts = docs.select(node().alias("node"), "text")
     common, rank = common_shingles(texts)
 
-    @F.pandas_udf("fp long, n int, keys array<long>, last struct<rank: long, key: long>")
-    def marked(column: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        def mark(text: str | None) -> tuple:
+    @F.arrow_udf("struct<fp: long, n: int, keys: array<long>, last: struct<rank: long, key: long>>")
+    def marked(texts: pa.Array) -> pa.Array:
+        fp, n, keys, often = [], [], [], []
+        for text in each_text(texts):
             hashes = shingle_hashes(text, SHINGLE)
             found = np.unique(np.array(hashes or [0], dtype="u8").view("i8"))
-            keys = prefix(found, common, rank)
-            at = min(int(np.searchsorted(common, keys[-1])), len(common) - 1)
-            often = int(rank[at]) if len(common) and common[at] == keys[-1] else 0
-            return simhash.folded(hashes), len(found), keys, {"rank": often, "key": int(keys[-1])}
-
-        for text in column:
-            yield pd.DataFrame([mark(x) for x in text], columns=["fp", "n", "keys", "last"])
+            fp.append(simhash.folded(hashes))
+            n.append(len(found))
+            keys.append(prefix(found, common, rank))
+            at = min(int(np.searchsorted(common, keys[-1][-1])), len(common) - 1)
+            often.append(int(rank[at]) if len(common) and common[at] == keys[-1][-1] else 0)
+        last = pa.StructArray.from_arrays([pa.array(often, pa.int64()), pa.array([x[-1] for x in keys], pa.int64())], ["rank", "key"])
+        return pa.StructArray.from_arrays([pa.array(fp, pa.int64()), pa.array(n, pa.int32()), list_array(keys, pa.int64()), last], ["fp", "n", "keys", "last"])
 
     seen = texts.select("node", marked("text").alias("m")).select("node", "m.*")
     nodes = stored(seen.groupBy("node").agg(*(F.first(c).alias(c) for c in ("fp", "n", "keys", "last"))), "near-nodes")

@@ -18,11 +18,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored
+from .common import each_text, list_array, stored
 from .doc_stats import FEATURES, text_statistics
 
 THRESHOLD = 0.3
@@ -51,9 +52,9 @@ class QdaModel:
         return np.round(1 / (1 + np.exp(np.clip(density[0] - density[1], -500, 500))), 9)
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def statistics(text: pd.Series) -> pd.Series:
-    return text.map(text_statistics)
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def statistics(text: pa.Array) -> pa.Array:
+    return list_array([np.array(text_statistics(t)) for t in each_text(text)], pa.float64())
 
 
 def with_statistics(docs: DataFrame) -> DataFrame:
@@ -125,8 +126,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
     texts = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
     model = fit(texts.select(statistics("text").alias("stats"), "quality"))
 
-    @F.pandas_udf("boolean")
-    def good(text: pd.Series) -> pd.Series:
-        return pd.Series(model.score(np.array([text_statistics(t) for t in text])) >= threshold) if len(text) else pd.Series([], dtype=bool)
+    @F.arrow_udf("boolean")
+    def good(text: pa.Array) -> pa.Array:
+        return pa.array(model.score(np.array([text_statistics(t) for t in each_text(text)]).reshape(-1, D)) >= threshold, pa.bool_())
 
     return docs.where(good("text"))

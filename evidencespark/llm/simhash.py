@@ -21,13 +21,13 @@ doc_id link others like any row and get the component of their fingerprint (null
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored
+from .common import each_text, stored
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
 CROWD = 32
@@ -65,9 +65,9 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return folded(shingle_hashes(text, shingle))
 
 
-@F.pandas_udf(T.LongType())
-def fingerprints(text: pd.Series) -> pd.Series:
-    return text.map(fingerprint).astype("int64")
+@F.arrow_udf(T.LongType())
+def fingerprints(text: pa.Array) -> pa.Array:
+    return pa.array([fingerprint(t) for t in each_text(text)], pa.int64())
 
 
 def variants(fp: str = "fp") -> str:

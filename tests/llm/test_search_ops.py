@@ -5,7 +5,6 @@ import sys
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
 import xxhash
 from pyspark.sql import functions as F
 
@@ -56,9 +55,9 @@ def test_simhash_documents(spark, sf, edge, none):
 
 def test_simhash_rows_without_an_id_link_others(spark, monkeypatch):
     """Fingerprints 0, 3 and 15, the middle one under a null doc_id."""
-    @F.pandas_udf("long")
-    def given(text: pd.Series) -> pd.Series:
-        return text.astype("int64")
+    @F.udf("long")
+    def given(text):
+        return int(text)
 
     monkeypatch.setattr(simhash, "fingerprints", given)
     docs = spark.createDataFrame([(2, "0"), (None, "3"), (1, "15"), (9, "-1"), (None, "255")], "doc_id long, text string")
