@@ -24,7 +24,7 @@ BATCH_BYTES = 8 << 20
 _WHITE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _CUT = re.compile(r"(?<=\S)(?=[ \n])")
 _PRE_TOKENS = r"[A-Za-z]+|[0-9]|[^A-Za-z0-9\s]+"
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
 def cut(texts: pa.Array) -> pa.ListArray:
@@ -137,14 +137,17 @@ class Encoder:
 def _gather(ids: np.ndarray, begin: np.ndarray, count: np.ndarray) -> np.ndarray:
     """The runs ids[begin : begin + count], end to end."""
     starts = _starts(count)
-    return ids[np.repeat(begin - starts[:-1], count) + np.arange(starts[-1])]
+    kind = np.int32 if starts[-1] < 2**31 > len(ids) else np.int64
+    places = np.repeat((begin - starts[:-1]).astype(kind), count)
+    places += np.arange(starts[-1], dtype=kind)
+    return ids[places]
 
 
-def encoder(path: str) -> Encoder:
-    """The worker's encoder for a tokenizer file; it stays while the worker does."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, cache_bytes: int = CACHE_BYTES) -> Encoder:
+    """The worker's encoder for a tokenizer file and bound; it stays while the worker does."""
+    if (path, cache_bytes) not in _encoders:
+        _encoders[path, cache_bytes] = Encoder(path, cache_bytes)
+    return _encoders[path, cache_bytes]
 
 
 def batches_of(batches: Iterator[pa.RecordBatch], most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
@@ -162,5 +165,6 @@ def batches_of(batches: Iterator[pa.RecordBatch], most: int = BATCH_BYTES) -> It
             if held >= most:
                 yield pa.concat_batches(waiting)
                 waiting, held = [], 0
+                pa.default_memory_pool().release_unused()
     if waiting:
         yield pa.concat_batches(waiting)

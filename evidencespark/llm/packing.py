@@ -30,6 +30,8 @@ SMALLEST_TIER = 64
 END_ID = 1
 SHARD_PIECES = 4096
 STEP_WINDOWS = 16
+#: Bounds of the encoder, smaller than its own: in a pipeline, packing shares an executor's memory with what other stages left.
+CACHE_BYTES, BATCH_BYTES = 8 << 20, 1 << 20
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, step_group long, tier int, ids binary"
 
 
@@ -136,9 +138,9 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, shard_pieces: in
         from pyspark import TaskContext
 
         base = TaskContext.get().partitionId() << 32
-        encode = encoder(tokenizer).encode
+        encode = encoder(tokenizer, CACHE_BYTES).encode
         held: list[tuple] = []
-        for batch in batches_of(batches):
+        for batch in batches_of(batches, BATCH_BYTES):
             ids, starts = encode(batch["text"], end_id)
             for at, end, key in zip(starts.tolist(), starts[1:].tolist(), batch["doc_id"].to_pylist()):
                 for a in range(at, end, MAX_LENGTH):
