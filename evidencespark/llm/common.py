@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +32,31 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Rows of an Arrow batch where rows hold whole texts: what a task holds outside the JVM's heap stays small.
+TEXT_BATCH_ROWS = 512
+
+
+@contextmanager
+def bounded_batches(spark: SparkSession) -> Iterator[None]:
+    """For jobs run inside, Arrow batches have at most TEXT_BATCH_ROWS rows; the session's own setting comes back at the end."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = spark.conf.get(key)
+    if 0 < int(own) <= TEXT_BATCH_ROWS:
+        yield
+        return
+    spark.conf.set(key, str(TEXT_BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, own)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written as a table in the shared folder and read back: it cuts the lineage and survives lost executors."""
+    """df, written as a table in the shared folder, in bounded batches, and read back: it cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    with bounded_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import each_text
+from .common import bounded_batches, each_text, stored
 
 
 SAMPLE_PAGES = 2000
@@ -307,7 +307,8 @@ def fit(pages: DataFrame, sample: int = SAMPLE_PAGES) -> TreeModel:
 
     ids = pages.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(sample)
     chosen = pages.select("page_id", "html").join(F.broadcast(ids), "page_id", "left_semi")
-    rows = chosen.mapInPandas(count, "feature string, label int, n double").groupBy("feature", "label").agg(F.sum("n").alias("n")).collect()
+    with bounded_batches(pages.sparkSession):
+        rows = chosen.mapInPandas(count, "feature string, label int, n double").groupBy("feature", "label").agg(F.sum("n").alias("n")).collect()
     return TreeModel({(r["feature"], r["label"]): r["n"] for r in rows})
 
 
@@ -319,5 +320,5 @@ def extract_pages(pages: DataFrame, sample: int = SAMPLE_PAGES) -> DataFrame:
     def main_text(source: pa.Array) -> pa.Array:
         return pa.array([model.extract(x) for x in each_text(source)], pa.string())
 
-    out = pages.select("page_id", "url", main_text("html").alias("text"))
+    out = stored(pages.select("page_id", "url", main_text("html").alias("text")), "html-text")
     return out.withColumn("n_chars", F.length("text").cast("long"))

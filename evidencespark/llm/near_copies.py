@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import simhash
-from .common import each_text, list_array, stored
+from .common import bounded_batches, each_text, list_array, stored
 from .simhash import components, shingle_hashes
 
 SHINGLE = 5
@@ -61,7 +61,8 @@ def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     share = max(1, texts.count() // SAMPLE_TEXTS)
     sample = texts.where(F.pmod("node", F.lit(share)) == 0).dropDuplicates(["node"])
     counts = sample.select(F.explode(shingle_sets("text")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON_FROM)
-    rows = counts.orderBy(F.desc("n"), "key").limit(COMMON).collect()
+    with bounded_batches(texts.sparkSession):
+        rows = counts.orderBy(F.desc("n"), "key").limit(COMMON).collect()
     rows.sort()
     return np.array([r["key"] for r in rows], dtype="i8"), np.array([r["n"] for r in rows], dtype="i8")
 

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
 from .encoding import batches_of, encoder
 
 MAX_LENGTH = 2048
@@ -153,7 +154,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, shard_pieces: in
         if held:
             yield pack_shard(held, base, keep_ids)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(packed, PACKED)
+    return stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(packed, PACKED), "packed")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str) -> DataFrame:

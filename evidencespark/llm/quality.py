@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import each_text, list_array, stored
+from .common import bounded_batches, each_text, list_array, stored
 from .doc_stats import FEATURES, text_statistics
 
 THRESHOLD = 0.3
@@ -78,7 +78,9 @@ def fit(labelled: DataFrame, shrinkage: float = SHRINKAGE) -> QdaModel:
     """labelled: stats array<double>, quality 0 or 1."""
     rows = labelled.select("stats", F.col("quality").cast("int").alias("quality")).where("quality in (0, 1) and stats is not null")
     sums = np.zeros((2, 1 + D + D * D))
-    for r in rows.mapInPandas(_moments, "quality int, pos int, value double").groupBy("quality", "pos").agg(F.sum("value").alias("value")).collect():
+    with bounded_batches(labelled.sparkSession):
+        found = rows.mapInPandas(_moments, "quality int, pos int, value double").groupBy("quality", "pos").agg(F.sum("value").alias("value")).collect()
+    for r in found:
         sums[r["quality"], r["pos"]] = r["value"]
     n = sums[:, 0]
     if not n.all():
@@ -130,4 +132,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
     def good(text: pa.Array) -> pa.Array:
         return pa.array(model.score(np.array([text_statistics(t) for t in each_text(text)]).reshape(-1, D)) >= threshold, pa.bool_())
 
-    return docs.where(good("text"))
+    return stored(docs.where(good("text")), "quality-kept")

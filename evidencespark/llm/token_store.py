@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import bounded_batches, new_path
 from .encoding import batches_of, encoder
 
 BLOCK = 256
@@ -150,7 +150,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_I
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("row"))
     # The range is over the hash of the text as well, so that rows of one doc_id are not all in one part.
     ordered = ordered.repartitionByRange(n, "doc_id", "row").sortWithinPartitions("doc_id", "row").drop("row")
-    ordered.mapInArrow(segments, SEGMENT).write.parquet(path)
+    with bounded_batches(docs.sparkSession):
+        ordered.mapInArrow(segments, SEGMENT).write.parquet(path)
 
 
 def read_tokens(spark, path: str) -> DataFrame:
