@@ -24,10 +24,21 @@ def experiences(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: doc_ids of a bucket in which pages are numbered.
+PAGE_BUCKET = 4096
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as pages of their source."""
-    n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    return read(spark, sf_dir, "documents").select("source", n.alias("page_num"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    """Documents as pages of their source, numbered by doc_id. Sources may hold a third of all rows, so a row is numbered inside its
+    bucket of doc_ids, and a small table has the pages of the source before each bucket."""
+    bucket = F.floor(F.col("doc_id") / PAGE_BUCKET).alias("bucket")
+    docs = read(spark, sf_dir, "documents").select("source", "doc_id", bucket, F.coalesce("text", F.lit("")).alias("text"))
+    counts = docs.groupBy(F.col("source").alias("s"), F.col("bucket").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("s", "b", before.alias("before"))
+    n = F.row_number().over(Window.partitionBy("source", "bucket").orderBy("doc_id"))
+    numbered = docs.withColumn("n", n).join(counts, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
+    return numbered.select("source", (F.col("before") + F.col("n")).cast("int").alias("page_num"), "doc_id", "text")
 
 
 def hits(text: Column, pattern: str) -> Column:

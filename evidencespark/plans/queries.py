@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,21 +11,7 @@ from ..sources import readers
 from ..streaming import progress
 from .base import EXPERIENCES_SQL, PAGES_SQL, PROPOSAL, WINDOW, experiences, read
 from .base import pages as source_pages
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-Query = Callable[[SparkSession, str], DataFrame]
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
+from .registry import ORACLES, QUERIES, query  # noqa: F401
 
 # Intervals
 
@@ -755,9 +739,15 @@ def drop_cancelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-select event_id, case when event_id % 3 = 0 then 'pages' when event_id % 3 = 1 then 'percent' else 'evaluation' end as stage,
-  (case when event_id % 3 = 0 then round(least(88, 58 + 0.3 * (100.0 * (event_id % 50) / 50)), 2) when event_id % 3 = 1 then round(least(88, 58 + 0.3 * (event_id % 100)), 2) end)::double as pct from events""")
+select event_id, case event_id % 9 when 0 then 'Convirtiendo PDF' when 1 then 'PaddleOCR' when 2 then 'PaddleOCR completado' when 3 then 'Segmentación' when 4 then 'Qwen fallback' when 5 then 'Qwen ' || (event_id % 100) || '/100'
+    when 6 then 'Segmentación' when 7 then 'OCR completado' end as stage,
+  case event_id % 9 when 0 then 3 when 1 then 8 when 2 then 55 when 3 then 90 when 4 then 58 when 5 then least(88, 58 + floor((event_id % 100) * 0.3::double)::int) when 6 then 90 when 7 then 91 end as pct,
+  case when event_id % 9 = 0 then (event_id % 500)::int end as total from events""")
 def progress_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("event_id")
-    line = F.when(k % 3 == 0, F.format_string("Página %d/50 leída", k % 50)).when(k % 3 == 1, F.format_string("avance %d %%", k % 100)).otherwise(F.lit("Evaluación en curso"))
-    return progress.parse_progress(read(spark, sf_dir, "events").select("event_id", line.alias("value"))).select("event_id", "stage", "pct")
+    lines = (
+        F.format_string("motor: %d páginas a procesar", k % 500), F.lit("Pasada 1: PaddleOCR en curso"), F.lit("Pasada 1 completada"), F.lit("todo leído, no se necesita Qwen"), F.lit("Pasada 2: Qwen fallback"),
+        F.format_string("Qwen progreso: %d/100 (%d.0%%)", k % 100, k % 100), F.lit("inicio de Segment_Document"), F.lit("[subprocess_wrapper] OK"), F.lit("otra línea"),
+    )
+    line = F.get(F.array(*lines), (k % 9).cast("int"))
+    return progress.parse_progress(read(spark, sf_dir, "events").select("event_id", line.alias("value"))).select("event_id", "stage", "pct", "total")

@@ -51,11 +51,25 @@ NAME_JACCARD = 0.6
 LINK_SCORE = 15.0
 LINK_LEAD = 5.0
 
-#: Page signals: class -> (pattern over lower-case text without accents, weight). A small default set per class; pass others as a table.
+#: Page signals, class -> (pattern over lower-case text without accents, weight). Accents are left out of the patterns as out of the text.
 SIGNALS: dict[str, tuple[tuple[str, float], ...]] = {
     "rtm_postor": (("debe acreditar", 3.0), ("monto facturado", 3.0), ("experiencia.{0,20}postor", 2.5), ("obra.{0,20}similar|servicio.{0,20}similar", 2.0), ("no menor de", 1.5), ("requisito.{0,15}minimo", 1.5), ("descalifica", 2.0), ("acumulado.{0,20}equivalente", 2.0), ("contrato.{0,30}ejecutad", 1.0)),
     "rtm_personal": (("personal clave", 3.0), ("colegiatur|colegiado", 2.5), ("habilitad", 2.0), ("tiempo de experiencia", 2.5), ("titulo profesional", 2.0), ("puesto.{0,20}cargo|cargo.{0,20}denominaci", 1.5), ("especialista en", 1.5), ("jefe de|coordinador|residente", 1.0), (r"cant\.", 1.0), ("grado.{0,20}titulo", 1.5)),
     "factores_evaluacion": (("factor.{0,20}evaluaci", 3.0), ("puntaje.{0,20}maximo", 2.5), (r"\d+\s+puntos", 2.0), ("criterio.{0,20}evaluaci", 2.0), ("se otorga|se asigna", 1.5), ("porcentaje.{0,20}personal", 2.0), ("supere.{0,20}tiempo|supere.{0,20}experiencia", 2.0), ("metodolog.{0,20}asignaci", 2.0)),
-    "capacitacion": (("capacitacion.{0,30}personal clave", 4.0), ("capacitacion requerida", 3.0), ("programa y/o curso y/o diplomado", 3.0), ("especializacion.{0,20}min", 2.5), ("duracion minima.{0,20}horas", 2.5), ("horas academicas", 2.0), ("curso de especializacion", 2.0)),
-    "blacklist": (("clausula", 2.5), ("garantia.{0,20}fiel cumplimiento", 2.0), ("penalidad", 1.5), ("perfeccionamiento del contrato", 2.0), ("disposiciones comunes", 2.0), ("declaracion jurada", 1.5), (r"firma\s+(?:y\s+)?sello", 2.5), ("estructura de costos", 3.0), ("precio de la oferta", 2.5), ("promesa de consorcio", 2.5), ("mesa de partes", 2.0), ("el contratista debera", 2.0), ("entregable", 1.5), (r"anexo\s+n[°º]\s*\d+", 2.5), (r"formato\s+n[°º]\s*\d+", 2.5), ("personal no clave", 3.0), (r"asistente\s+(?:de|en)\s+\w", 2.0), (r"bachiller\s+en", 2.0)),
+    "capacitacion": (("capacitacion.{0,30}personal clave", 4.0), ("capacitacion requerida", 3.0), ("programa y/o curso y/o diplomado", 3.0), ("especializacion.{0,20}min", 2.5), ("duracion minima.{0,20}horas", 2.5), ("horas academicas", 2.0), (r"\d+\s*horas?\s*academicas", 2.5), ("curso de especializacion", 2.0)),
+    "blacklist": (
+        ("clausula", 2.5), ("esta seccion no debe ser modificada", 3.0), ("garantia.{0,20}fiel cumplimiento", 2.0), ("penalidad", 1.5), ("perfeccionamiento del contrato", 2.0),
+        ("disposiciones comunes", 2.0), ("adelanto directo", 1.5), ("declaracion jurada", 1.5), (r"firma\s+(?:y\s+)?sello", 2.5), (r"datos\s+del\s+postor", 2.0),
+        ("denominacion.{0,60}monto.{0,60}fecha", 3.0), (r"declaracion\s+jurada\s+de\s+.{0,60}(?:experiencia|proveedor|ejecutor|postor)", 3.0), ("estructura de costos", 3.0),
+        ("precio de la oferta", 2.5), ("promesa de consorcio", 2.5), ("eleccion de institucion arbitral", 2.5), ("constancia de capacidad", 1.5), (r"senores\s+evaluadores", 1.5),
+        (r"presente\.?-", 1.5), ("consignar segun corresponda", 2.0), ("postor ganador de la buena pro", 2.5), ("mesa de partes", 2.0), ("firma.{0,10}digital", 1.5),
+        (r"plazo.{0,20}articulo.{0,10}\d+.{0,15}reglamento", 2.0), ("suscripcion del contrato", 2.0), ("cuenta.{0,10}interbancaria", 2.0), ("sin precalificacion", 3.0),
+        ("admision de.{0,20}ofertas", 2.0), ("evaluacion de ofertas economicas", 2.5), ("pladicop", 2.0), ("puntaje minimo.{0,20}evaluacion tecnica", 2.0), ("el consultor debera", 2.0),
+        ("el contratista debera", 2.0), ("plan de trabajo", 1.5), ("plan de ejecucion bim", 2.0), ("entregable", 1.5), ("informe quincenal", 1.5), ("oferta economica limitada", 2.5),
+        ("cuantia.{0,20}contratacion", 2.0), ("determinacion de los limites", 2.0), ("cenepred", 3.0), ("cotizaciones.{0,30}firmadas", 2.0), ("reglamento nacional de edificaciones", 1.5),
+        ("software nativo", 1.5), (r"anexo\s+n[°º]\s*\d+", 2.5), (r"formato\s+n[°º]\s*\d+", 2.5), (r"modelo\s+de\s+carta", 2.0), (r"n[°º]\s*contrato", 2.5),
+        ("monto.{0,20}facturado.{0,20}acumulado", 3.0), (r"fecha de(?:l)?\s+contrato", 1.5), ("nombres y apellidos", 2.5), ("documento de identidad", 2.0),
+        ("universidad.{0,20}institucion educativa", 2.0), ("personal no clave", 3.0), (r"asistente\s+(?:de|en)\s+\w", 2.0), (r"bachiller\s+en", 2.0),
+        ("contabilizada desde la emision del grado", 2.5),
+    ),
 }

@@ -8,26 +8,27 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# What log lines say, the stage they tell of, and the group with its percentage.
+# What log lines say, in the order in which they are tried; the stage they tell of, and its percentage.
+TOTAL_LINE = r"(\d+) páginas a procesar"
+SHARE_LINE = r"Qwen progreso: (\d+)/(\d+) \(([\d.]+)%\)"
 STAGES = (
-    (r"(?i)p[áa]gina\s+(\d+)\s*/\s*(\d+)", "pages"), (r"(?i)\b(\d{1,3})\s*%", "percent"), (r"(?i)bloque\s+(\d+)\s*/\s*(\d+)", "blocks"), (r"(?i)extracci[óo]n", "extraction"),
-    (r"(?i)evaluaci[óo]n", "evaluation"), (r"(?i)reporte|excel", "report"), (r"(?i)error|failed", "error"), (r"(?i)listo|done|completad", "done"),
+    (TOTAL_LINE, "Convirtiendo PDF", 3), ("Pasada 1: PaddleOCR", "PaddleOCR", 8), ("Pasada 1 completada", "PaddleOCR completado", 55), ("no se necesita Qwen", "Segmentación", 90),
+    ("Pasada 2: Qwen fallback", "Qwen fallback", 58), (SHARE_LINE, None, None), (r"(?i:segment_document)|Segmentación", "Segmentación", 90), (r"\[subprocess_wrapper\] OK", "OCR completado", 91),
 )
+SHARE_FROM, SHARE_SCALE, SHARE_CAP = 58, 0.30, 88
 
 
 def stage_of(line: Column) -> Column:
-    """stage, pct (scaled to 58..88 where two numbers are given), total."""
-    stage, pct, total = F.lit(None).cast("string"), F.lit(None).cast("double"), F.lit(None).cast("int")
-    for pattern, name in reversed(STAGES):
-        hit = line.rlike(pattern)
-        stage = F.when(hit, F.lit(name)).otherwise(stage)
-        if "/" in pattern:
-            share = 100 * F.regexp_extract(line, pattern, 1).try_cast("double") / F.nullif(F.regexp_extract(line, pattern, 2).try_cast("double"), F.lit(0.0))
-            pct = F.when(hit, F.least(F.lit(88.0), 58 + 0.3 * share)).otherwise(pct)
-            total = F.when(hit, F.regexp_extract(line, pattern, 2).try_cast("int")).otherwise(total)
-        elif "%" in pattern:
-            pct = F.when(hit, F.least(F.lit(88.0), 58 + 0.3 * F.regexp_extract(line, pattern, 1).try_cast("double"))).otherwise(pct)
-    return F.struct(stage.alias("stage"), F.round(pct, 2).alias("pct"), total.alias("total"))
+    """stage, pct, total (of pages, where the line states it); all null for a line that tells of no stage. A share of pages done is
+    scaled into the part of the job that it stands for."""
+    share = F.regexp_extract(line, SHARE_LINE, 3).try_cast("double")
+    scaled = F.least(F.lit(SHARE_CAP), SHARE_FROM + F.floor(share * SHARE_SCALE).cast("int"))
+    named = F.concat(F.lit("Qwen "), F.regexp_extract(line, SHARE_LINE, 1), F.lit("/"), F.regexp_extract(line, SHARE_LINE, 2))
+    found = F.lit(None).cast("struct<stage: string, pct: int>")
+    for pattern, name, pct in reversed(STAGES):
+        hit = F.struct((F.lit(name) if name else named).alias("stage"), (F.lit(pct) if name else scaled).cast("int").alias("pct"))
+        found = F.when(line.rlike(pattern), hit).otherwise(found)
+    return F.struct(found["stage"].alias("stage"), found["pct"].alias("pct"), F.regexp_extract(line, TOTAL_LINE, 1).try_cast("int").alias("total"))
 
 
 def parse_progress(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -90,3 +91,9 @@ def upsert_latest(stream: DataFrame, key: str, time: str, values: list[str], pat
 def drop_cancelled(events: DataFrame, cancelled: DataFrame, key: str) -> DataFrame:
     """Batch or stream events without those of cancelled jobs (a static table)."""
     return events.join(cancelled.select(key).distinct(), key, "left_anti")
+
+
+def append_log(lines: DataFrame, path: str, job: str = "job_id") -> None:
+    """lines: job_id, ts, line. Appends them to a log kept by job, each with its time in front."""
+    stamped = F.concat(F.date_format("ts", "[HH:mm:ss] "), F.col("line")).alias("line")
+    lines.select(job, "ts", stamped).write.mode("append").partitionBy(job).parquet(path)

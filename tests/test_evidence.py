@@ -13,7 +13,8 @@ import oracle  # noqa: E402
 
 from evidencespark.functions import dates, records, similarity, text  # noqa: E402
 from evidencespark.operators import fragments, intervals, pages, quality  # noqa: E402
-from evidencespark.plans.queries import ORACLES, QUERIES  # noqa: E402
+from evidencespark.plans import queries, report_queries  # noqa: E402, F401
+from evidencespark.plans.registry import ORACLES, QUERIES  # noqa: E402
 from evidencespark.sources import readers  # noqa: E402
 from evidencespark.streaming import progress  # noqa: E402
 
