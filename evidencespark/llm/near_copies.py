@@ -30,7 +30,7 @@ from .simhash import components, shingle_hashes
 
 SHINGLE = 5
 #: Texts and common shingles of the sample that orders shingles; neither changes the result.
-SAMPLE_TEXTS, COMMON, COMMON_FROM = 5_000, 100_000, 3
+SAMPLE_TEXTS, COMMON, COMMON_FROM = 20_000, 200_000, 2
 
 
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -67,9 +67,12 @@ def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.array([r["key"] for r in rows], dtype="i8"), np.array([r["n"] for r in rows], dtype="i8")
 
 
-def _may_reach(n: Column, m: Column) -> Column:
-    """Sets of n and m shingles can share 4/5."""
-    return (5 * n >= 4 * m) & (5 * m >= 4 * n)
+def _may_reach(x: Column, y: Column) -> Column:
+    """Sets that meet at a shingle can share 4/5: by their sizes, and by what is left of both after its place, as a pair is kept at
+    the first shingle that it shares. x, y: size * 2**32 + place."""
+    n, m = F.shiftright(x, 32), F.shiftright(y, 32)
+    left = F.least(n - x.bitwiseAND(F.lit(2**32 - 1)), m - y.bitwiseAND(F.lit(2**32 - 1)))
+    return (5 * n >= 4 * m) & (5 * m >= 4 * n) & (9 * left >= 4 * (n + m))
 
 
 def _likely(pairs: DataFrame, shared: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -93,11 +96,11 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _by_fingerprint(nodes: DataFrame) -> DataFrame:
-    """Pairs a, b of nodes: those of one fingerprint with the least of them, and the least of linked fingerprints."""
+    """Pairs a, b of nodes, at most two a node: with the least of its fingerprint, and that with the least of a component of linked ones."""
     least = nodes.groupBy("fp").agg(F.min("node").alias("least"))
-    found = simhash.links(least.select("fp"))
+    found = components(simhash.links(least.select("fp")))
     same = nodes.join(least, "fp").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
-    near = found.join(least.toDF("a", "x"), "a").join(least.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    near = found.join(least.toDF("node", "x"), "node").join(least.toDF("component", "y"), "component").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
     return same.unionByName(near)
 
 
@@ -122,24 +125,23 @@ def links(docs: DataFrame) -> DataFrame:
 
     seen = texts.select("node", marked("text").alias("m")).select("node", "m.*")
     nodes = stored(seen.groupBy("node").agg(*(F.first(c).alias(c) for c in ("fp", "n", "keys", "last"))), "near-nodes")
-    index = nodes.select("node", "n", F.explode("keys").alias("key"))
-    # Nodes are hashes, so node ^ key is smallest for another node under each key.
+    index = nodes.select("node", F.posexplode("keys").alias("at", "key"), "n").select("key", "node", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("at")).alias("place"))
     of_key = Window.partitionBy("key")
-    ranked = index.select("*", F.count(F.lit(1)).over(of_key).alias("members"), F.min(F.col("node").bitwiseXOR(F.col("key"))).over(of_key).alias("m"))
-    shared = stored(ranked.where("members > 1").select("key", "node", "n", F.col("m").bitwiseXOR(F.col("key")).alias("leader")), "near-shared")
+    ranked = index.select("*", F.count(F.lit(1)).over(of_key).alias("members"), F.min("node").over(of_key).alias("leader"))
+    shared = stored(ranked.where("members > 1").drop("members"), "near-shared")
 
-    lead = shared.where("node = leader").select("key", F.col("n").alias("m"))
-    near = shared.where("node <> leader").join(lead, "key").where(_may_reach(F.col("n"), F.col("m")))
-    pairs = near.select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")).distinct()
+    lead = shared.where("node = leader").select("key", F.col("place").alias("other"))
+    near = shared.where("node <> leader").join(lead, "key").where(_may_reach(F.col("place"), F.col("other")))
+    pairs = near.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
     first = _confirmed(_likely(pairs, shared, nodes).unionByName(_by_fingerprint(nodes)), texts)
 
-    known = shared.select("key", "node", "n").join(components(first), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    known = shared.select("key", "node", "place").join(components(first), "node", "left").withColumn("component", F.coalesce("component", "node"))
     known = stored(known, "near-known")
     open_keys = known.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("key")
     left = known.join(open_keys, "key", "left_semi")
-    right = left.select(*(F.col(c).alias(f"o_{c}") for c in ("key", "node", "n", "component")))
+    right = left.select(*(F.col(c).alias(f"o_{c}") for c in ("key", "node", "place", "component")))
     meet = (F.col("key") == F.col("o_key")) & (F.col("node") > F.col("o_node")) & (F.col("component") != F.col("o_component"))
-    rest = left.join(right, meet & _may_reach(F.col("n"), F.col("o_n"))).select(F.col("node").alias("a"), F.col("o_node").alias("b")).distinct()
+    rest = left.join(right, meet & _may_reach(F.col("place"), F.col("o_place"))).select(F.col("node").alias("a"), F.col("o_node").alias("b")).distinct()
     return first.unionByName(_confirmed(_likely(rest, shared, nodes), texts))
 
 
