@@ -184,7 +184,7 @@ def test_pii_added_kinds_and_redaction(spark):
 
 def test_pii_of_a_text_with_very_many_matches(spark):
     """100,000 matches in one text, and a table of one local row: both take time in proportion to the text."""
-    bits = ["mail é{i}@b.co ", "x ", "call +1 706 555 {i:04d} ", "10.0.{j}.1 "]
+    bits = ["mail é{i}@b.co ", "x ", "call +1 706 555 {i:04d}; ", "10.0.{j}.1 "]
     text = "".join(bits[i % 4].format(i=i % 10000, j=i % 200) for i in range(133_000))
     other = "".join(bits[i % 3].format(i=i % 10000) for i in range(6_000))
     began = time.time()
