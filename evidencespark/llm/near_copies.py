@@ -10,7 +10,8 @@ pair is lost; the order only keeps common lines out of the prefixes. All shingle
 are in the index, so the number of shared ones bounds the overlap of the sets; what passes is confirmed on the whole sets.
 
 Under a shingle, each node is compared with one leader first. What that links is one component; then all pairs of nodes of different
-components are compared. So a large group of near copies costs few pairs, and a component is that of all pairs.
+components are compared, once for shingles that the same nodes share and once for a run of shingles that two nodes share. So a large
+group of near copies costs few pairs, and a component is that of all pairs.
 
 Defined results: null and blank texts are copies of each other; fewer words than a shingle: the whole sequence is one
 shingle; null doc_ids come last in their component; each component keeps exactly one row.
@@ -104,6 +105,17 @@ def _by_fingerprint(nodes: DataFrame) -> DataFrame:
     return same.unionByName(near)
 
 
+def _open(known: DataFrame) -> DataFrame:
+    """The rows of known under shingles that nodes of different components share, one shingle, the first in their order, for all that
+    have the same nodes; before: the node's shingle before this one of those left. Nodes that meet here and at one and the same
+    shingle before met there already, so only meetings after different ones are new."""
+    spread = [F.min("component").alias("least"), F.max("component").alias("most"), F.min(F.struct("node", "place")).alias("first")]
+    same = [F.count(F.lit(1)).alias("members"), F.bit_xor("node").alias("x"), F.bit_xor(F.xxhash64("node")).alias("y")]
+    keys = known.groupBy("key").agg(*spread, *same).where("least <> most")
+    keys = keys.groupBy("first.node", "members", "x", "y").agg(F.min(F.struct("first.place", "key")).alias("k")).select("k.key")
+    return known.join(keys, "key", "left_semi").withColumn("before", F.lag("key").over(Window.partitionBy("node").orderBy("place")))
+
+
 def links(docs: DataFrame) -> DataFrame:
     """Links a, b of nodes, enough of them to connect all that are similar; none that are not."""
     texts = docs.select(node().alias("node"), "text")
@@ -137,11 +149,11 @@ def links(docs: DataFrame) -> DataFrame:
 
     known = shared.select("key", "node", "place").join(components(first), "node", "left").withColumn("component", F.coalesce("component", "node"))
     known = stored(known, "near-known")
-    open_keys = known.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("key")
-    left = known.join(open_keys, "key", "left_semi")
-    right = left.select(*(F.col(c).alias(f"o_{c}") for c in ("key", "node", "place", "component")))
+    left = stored(_open(known), "near-open")
+    right = left.select(*(F.col(c).alias(f"o_{c}") for c in left.columns))
     meet = (F.col("key") == F.col("o_key")) & (F.col("node") > F.col("o_node")) & (F.col("component") != F.col("o_component"))
-    rest = left.join(right, meet & _may_reach(F.col("place"), F.col("o_place"))).select(F.col("node").alias("a"), F.col("o_node").alias("b")).distinct()
+    new = F.col("before").isNull() | F.col("o_before").isNull() | (F.col("before") != F.col("o_before"))
+    rest = left.join(right, meet & new & _may_reach(F.col("place"), F.col("o_place"))).select(F.col("node").alias("a"), F.col("o_node").alias("b")).distinct()
     return first.unionByName(_confirmed(_likely(rest, shared, nodes), texts))
 
 
