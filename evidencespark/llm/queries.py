@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, exact_search, html_text, mixing, packing, pii, quality, sharding, simhash, token_store
+from . import ann, exact_search, html_text, mixing, packing, pii, quality, sharding, simhash, token_store, turns
 from .common import table
 
 BYTE_TOKENIZER, WORD_TOKENIZER = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -51,7 +51,12 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.approximate_top_k(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {
-    f.__name__: f for f in (op1_quality, op2_sharding, op3_mixing, op4_exact_search, op5_html, op6_tokens, op7_pii, op8_packing, op9_simhash, op10_ann)
-}
+def op11_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.repair_conversations(table(spark, sf_dir, "conversations"), faults=True)
+
+
+_ALL = (
+    op1_quality, op2_sharding, op3_mixing, op4_exact_search, op5_html, op6_tokens, op7_pii, op8_packing, op9_simhash, op10_ann, op11_turns,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {"op2_sharding": sharding.ORACLE_SQL, "op4_exact_search": exact_search.ORACLE_SQL}
