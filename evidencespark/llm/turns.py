@@ -336,7 +336,7 @@ def _long(rows: DataFrame, conv_type: str) -> DataFrame:
     same = lambda a, b: F.col(f"{a}.conv").eqNullSafe(F.col(f"{b}.conv"))
     blocks = blocks.alias("b").join(ends.alias("e"), same("b", "e")).select("b.conv", "block", "turns", (F.col("block") == F.col("final")).alias("last"))
     blocks = stored(blocks, "turns-blocks")
-    costs = blocks.mapInArrow(_block_costs, f"conv {conv_type}, block long, costs array<long>")
+    costs = blocks.repartition(parts, "conv", "block").mapInArrow(_block_costs, f"conv {conv_type}, block long, costs array<long>")
     suffixes = costs.repartition("conv").sortWithinPartitions("conv", F.desc("block")).mapInArrow(_suffixes, f"conv {conv_type}, block long, ends array<long>")
     ended = blocks.alias("b").join(suffixes.alias("s"), same("b", "s") & (F.col("b.block") == F.col("s.block"))).select("b.conv", "b.block", "turns", "last", "ends")
     audits = ended.mapInArrow(_block_audits, f"conv {conv_type}, block long, audits array<string>, states array<long>, costs array<long>")
