@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, exact_search, hard_negatives, html_text, mixing, packing, pii, quality, sharding, simhash, token_store, turns
+from . import ann, exact_search, hard_negatives, html_text, mixing, packing, pii, quality, sharding, simhash, suffix_tree, token_store, turns
 from .common import table
 
 BYTE_TOKENIZER, WORD_TOKENIZER = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -59,9 +59,13 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
 
 
+def op13_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score_texts(table(spark, sf_dir, "documents"))
+
+
 _ALL = (
     op1_quality, op2_sharding, op3_mixing, op4_exact_search, op5_html, op6_tokens, op7_pii, op8_packing, op9_simhash, op10_ann, op11_turns,
-    op12_hard_negatives,
+    op12_hard_negatives, op13_suffix_tree,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {"op2_sharding": sharding.ORACLE_SQL, "op4_exact_search": exact_search.ORACLE_SQL, "op12_hard_negatives": hard_negatives.ORACLE_SQL}
