@@ -52,9 +52,27 @@ def suspension_periods(months: DataFrame, keys: list[str], month: str = "month",
     return rows.groupBy(*keys, "__broken", "__island").agg(F.min("__start").alias("start"), F.max("__end").alias("end"), F.count(F.lit(1)).alias("months")).drop("__broken", "__island")
 
 
+#: Days of a bin of overlap_join: about the length of the shorter intervals, so that most touch one bin or two.
+OVERLAP_DAYS = 32
+
+
+def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], a: tuple[str, str], b: tuple[str, str], days: int = OVERLAP_DAYS) -> DataFrame:
+    """Pairs of rows of equal keys whose intervals (start, end; both ends in) share a day. Intervals are cut into fixed bins of days and meet by
+    key and bin, so that a key with many intervals is dealt over its bins; a pair that shares several bins is kept in that of its later start.
+    Intervals with a null end meet none."""
+
+    def cut(df: DataFrame, ends: tuple[str, str]) -> DataFrame:
+        bins = [F.floor(F.unix_date(f(*ends)) / days) for f in (F.least, F.greatest)]
+        return df.where(F.col(ends[0]).isNotNull() & F.col(ends[1]).isNotNull()).withColumn("__bin", F.explode(F.sequence(*bins)))
+
+    both = cut(left, a).join(cut(right, b), [*keys, "__bin"])
+    meets = (F.col(a[0]) <= F.col(b[1])) & (F.col(b[0]) <= F.col(a[1]))
+    return both.where(meets & (F.col("__bin") == F.floor(F.unix_date(F.greatest(a[0], b[0])) / days))).drop("__bin")
+
+
 def overlap_stoppages(certificates: DataFrame, stoppages: DataFrame, key: str, certificate: str) -> DataFrame:
-    """Stopped months (key, start, end, days) that meet a certificate (key, certificate, start, end): an equality join on the key,
-    which keeps the interval test inside one key. Returns certificate, months, stopped_days, overlap_days."""
+    """Stopped months (key, start, end, days) that meet a certificate (key, certificate, start, end). Returns certificate, months, stopped_days,
+    overlap_days."""
     s = stoppages.select(key, F.col("start").alias("s_start"), F.col("end").alias("s_end"), F.col("days").alias("s_days"))
-    hit = certificates.join(s, key).where("start <= s_end and s_start <= end")
+    hit = overlap_join(certificates, s, [key], ("start", "end"), ("s_start", "s_end"))
     return hit.groupBy(certificate).agg(F.count(F.lit(1)).alias("months"), F.sum("s_days").alias("stopped_days"), F.sum(overlap_days(F.col("start"), F.col("end"), F.col("s_start"), F.col("s_end"))).cast("long").alias("overlap_days"))

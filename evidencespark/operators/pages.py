@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_accents
 from ..rules import MAX_PAGE_GAP, SIGNALS, TYPE_THRESHOLD
+from ..shared import stored
+from .chains import first_beyond, reachable, running_sums
 
 # Patterns of useful, excluded and classified pages.
 INCLUDE = r"(?i)CERTIFICA|CONSTANCIA|ha\s+prestado\s+servicios|ANEXO\s+N[°º]|identificado\s+con\s+documento|desempe[ñn][áa]ndose\s+como|Calificaciones\s+y\s+Experiencia|Formaci[óo]n\s+acad[ée]mica"
@@ -48,9 +49,33 @@ def group_pages_into_blocks(pages: DataFrame, doc: str, page: str, kind: str, ga
     return typed.withColumn("block", F.sum(F.when(new, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
 
 
+#: Page numbers of a bin: a range meets pages by the bins that it touches.
+PAGE_BIN = 16
+
+
 def attach_pages(ranges: DataFrame, pages: DataFrame, doc: str, page: str, first: str = "first", last: str = "last") -> DataFrame:
-    """Pages of each range of pages, both ends in: ranges are spread over their page numbers for an equality join."""
-    return ranges.withColumn(page, F.explode(F.sequence(F.col(first).cast("long"), F.col(last).cast("long")))).join(pages.withColumn(page, F.col(page).cast("long")), [doc, page])
+    """Pages of each range of pages, both ends in. Ranges are spread over the bins that they touch, not over their pages, for an equality
+    join; a page lies in one bin, so each pair meets once. Ranges that end before they begin hold none."""
+    bins = lambda c: F.floor(F.col(c).cast("long") / PAGE_BIN)
+    spread = ranges.where(F.col(first) <= F.col(last)).withColumn("__bin", F.explode(F.sequence(bins(first), bins(last))))
+    own = pages.withColumn(page, F.col(page).cast("long")).withColumn("__bin", bins(page))
+    return spread.join(own, [doc, "__bin"]).where(F.col(page).between(F.col(first), F.col(last))).drop("__bin")
+
+
+def attach_pages_to_sections(sections: DataFrame, pages: DataFrame, doc: str, page: str, section: str, separator: str = "separator") -> DataFrame:
+    """sections: doc, section, separator (its page, may be null), ranges (array of structs first, last). doc, section, texts (one for each range,
+    its pages in order under their tags, pages that are not there left out), text (all of them). A range that begins at the separator page
+    begins after it; ranges left without a page number go, and sections left without a range as well."""
+    ranges = F.transform("ranges", lambda r: F.struct((r["first"] + F.when(r["first"] == F.col(separator), 1).otherwise(0)).cast("long").alias("first"), r["last"].cast("long").alias("last")))
+    kept = F.filter(ranges, lambda r: r["first"] <= r["last"])
+    spread = sections.select(doc, section, F.posexplode(kept).alias("range", "r")).select(doc, section, "range", "r.first", "r.last")
+    tagged = F.concat(F.lit("[Página "), F.col(page).cast("string"), F.lit("]\n"), F.coalesce("text", F.lit("")))
+    met = attach_pages(spread, pages.select(doc, page, "text"), doc, page).select(doc, section, "range", F.struct(F.col(page).alias("p"), tagged.alias("t")).alias("page"))
+    every = spread.select(doc, section, "range", F.lit(None).cast(met.schema["page"].dataType).alias("page"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list("page")), lambda x: x["t"]), "\n\n")
+    texts = met.unionByName(every).groupBy(doc, section, "range").agg(joined.alias("t"))
+    out = texts.groupBy(doc, section).agg(F.transform(F.array_sort(F.collect_list(F.struct("range", "t"))), lambda x: x["t"]).alias("texts"))
+    return out.withColumn("text", F.array_join("texts", "\n\n"))
 
 
 def expand_block_context(blocks: DataFrame, pages: DataFrame, doc: str, page: str) -> DataFrame:
@@ -205,22 +230,25 @@ def text_density_route(pages: DataFrame, doc: str, page: str, sample: int = 5) -
     return out.withColumn("route", F.when(F.col("first_mean") >= 200, "digital").when(F.col("mean") < 50, "scanned").otherwise("mixed"))
 
 
-def pack_pages(pages: DataFrame, doc: str, page: str, most: int = 30_000, overlap: int = 1) -> DataFrame:
-    """Pages packed in order into parts of at most so many characters, each part beginning with the last page of the one before;
-    a longer page is a part of its own. A document's lengths (not its text) are folded in one group."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(page)
-        out, part, held, size = [], 1, [], 0
-        for p, n in zip(pdf[page], pdf["n"]):
-            if held and size + n > most:
-                out += [(pdf[doc].iloc[0], part, q) for q, _ in held]
-                held = held[-overlap:] if overlap and held[-1][1] + n <= most else []
-                part, size = part + 1, sum(m for _, m in held)
-            held.append((p, n))
-            size += n
-        out += [(pdf[doc].iloc[0], part, q) for q, _ in held]
-        return pd.DataFrame(out, columns=[doc, "part", page])
-
-    sizes = pages.select(doc, F.col(page).cast("long").alias(page), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n"))
-    return sizes.groupBy(doc).applyInPandas(fold, f"{doc} {dict(pages.dtypes)[doc]}, part long, {page} long")
+def pack_pages(pages: DataFrame, doc: str, page: str, most: int = 30_000, overlap: int = 1, table: Column | None = None, whole: Column | None = None) -> DataFrame:
+    """doc, part (from 1, by first page), page. Pages that hold a table are parts of their own. The others stay together if they hold at most
+    most characters; else they are packed in order, each part as many pages as fit (at least one) and the next one beginning overlap pages
+    before its end if it has more than these, so the last pages come again by themselves. Documents marked whole are one part. Parts are
+    found by running sums, a successor for each page and pointer doubling; only lengths and marks are moved, no text."""
+    marks = {"size": F.length(F.coalesce("text", F.lit(""))).cast("long"), "__table": F.coalesce(F.lit(False) if table is None else table, F.lit(False)), "__whole": F.coalesce(F.lit(False) if whole is None else whole, F.lit(False))}
+    own = pages.withColumns(marks).select(F.struct(doc).alias("__d"), F.col(page).cast("long").alias("__p"), *marks)
+    alone = own.where("__table and not __whole").select("__d", F.col("__p").alias("first"), F.lit(0).cast("long").alias("i"), F.lit(1).alias("alone"))
+    rows = stored(running_sums(own.where("__whole or not __table"), "__d", "__p", "size"), "pages-placed")
+    limit = first_beyond(rows, "__d", most)
+    end = F.greatest(F.coalesce("beyond", "rows_in_key"), F.col("i") + 1)
+    steps = rows.join(limit, ["__d", "i"]).withColumn("end", F.when(F.col("__whole") | (F.col("total") <= most), F.col("rows_in_key")).otherwise(end))
+    to = F.when((F.col("total") > most) & ~F.col("__whole") & (F.col("end") - F.col("i") > overlap), F.col("end") - overlap).otherwise(F.col("end"))
+    steps = stored(steps.withColumn("to", to).select("__d", "i", F.col("__p").alias("first"), "end", "to", "rows_in_key"), "pages-steps")
+    starts = reachable(steps.where("to < rows_in_key"), "__d").unionByName(steps.where("to >= rows_in_key and i = 0").select("__d", "i")).distinct()
+    parts = starts.join(steps, ["__d", "i"]).select("__d", "first", "i", F.lit(0).alias("alone"), "end")
+    parts = parts.unionByName(alone.withColumn("end", F.lit(1).cast("long")))
+    parts = stored(parts.withColumn("part", F.row_number().over(Window.partitionBy("__d").orderBy("first", "i", "alone")).cast("long")), "pages-parts")
+    spread = parts.where("alone = 0").withColumn("i", F.explode(F.sequence("i", F.col("end") - 1)))
+    packed = spread.join(rows.select("__d", "i", "__p"), ["__d", "i"]).select("__d", "part", F.col("__p").alias(page))
+    single = parts.where("alone = 1").select("__d", "part", F.col("first").alias(page))
+    return packed.unionByName(single).select(F.col("__d")[doc].alias(doc), "part", page)

@@ -440,9 +440,37 @@ def block_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("sizes", F.array_join(F.transform("sizes", lambda x: F.concat_ws(":", x["page"].cast("string"), x["size"].cast("string"))), ","))
 
 
-@query()
+_TABLE_SQL = "len(list_filter(string_split(text, chr(10)), lambda x: starts_with(trim(x, ' '), '|'))) >= 5 and len(list_filter(string_split(text, chr(10)), lambda x: starts_with(trim(x, ' '), '|'))) > 0.6 * len(list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> ''))"
+
+
+@query(f"""
+with recursive {PAGES_SQL}, marked as (select source, page_num, length(text) as n, {_TABLE_SQL} as tab from pages_t),
+p as (select source, page_num, n, row_number() over w - 1 as i, sum(n) over w as upto, count(*) over (partition by source) as c, sum(n) over (partition by source) as total
+  from marked where not tab window w as (partition by source order by page_num)),
+ahead as (select a.source, a.i, a.page_num, a.c, a.total, greatest(a.i + 1, coalesce((select min(b.i) from p b where b.source = a.source and b.upto > a.upto - a.n + 30000), a.c)) as e from p a),
+steps as (select source, i, page_num, c, case when total <= 30000 then c else e end as e, case when total <= 30000 then c when e - i > 1 then e - 1 else e end as nxt from ahead),
+walk as (select source, 0::bigint as i from steps where i = 0 union select w.source, s.nxt from walk w join steps s on s.source = w.source and s.i = w.i where s.nxt < s.c),
+parts as (select s.source, s.page_num as first, s.i, s.e, 0 as alone from walk w join steps s on s.source = w.source and s.i = w.i union all select source, page_num, 0, 1, 1 from marked where tab),
+ranked as (select *, row_number() over (partition by source order by first, i, alone) as part from parts)
+select r.source, part, p.page_num::bigint as page_num from ranked r join p on p.source = r.source and p.i >= r.i and p.i < r.e where alone = 0
+union all select source, part, first from ranked where alone = 1""")
 def pack_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.pack_pages(source_pages(spark, sf_dir), "source", "page_num")
+    return pages.pack_pages(source_pages(spark, sf_dir), "source", "page_num", table=pages.is_table_page(F.col("text")))
+
+
+@query(f"""
+with {PAGES_SQL}, s as (select distinct source, (page_num - 1) // 12 as section from pages_t),
+r as (select source, section, 0 as n, section * 12 + 2 as a, section * 12 + 5 as b from s union all select source, section, 1, section * 12 + 7, section * 12 + 11 from s),
+t as (select r.source, section, n, coalesce(string_agg('[Página ' || page_num || ']' || chr(10) || text, chr(10) || chr(10) order by page_num), '') as t from r left join pages_t p on p.source = r.source and page_num between a and b group by 1, 2, 3)
+select source, section, count(*) as ranges, md5(string_agg(t, chr(10) || chr(10) order by n)) as digest from t group by 1, 2""")
+def section_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twelve pages a section: ranges 1 to 5, whose first is the separator page, and 7 to 11, and one that holds the separator page alone."""
+    own = source_pages(spark, sf_dir).select("source", "page_num", "text")
+    section = F.expr("(page_num - 1) div 12")
+    spans = [F.struct((F.col("section") * 12 + a).alias("first"), (F.col("section") * 12 + b).alias("last")) for a, b in ((1, 5), (1, 1), (7, 11))]
+    sections = own.select("source", section.alias("section")).distinct().select("source", "section", (F.col("section") * 12 + 1).alias("separator"), F.array(*spans).alias("ranges"))
+    out = pages.attach_pages_to_sections(sections, own, "source", "page_num", "section")
+    return out.select("source", "section", F.size("texts").cast("long").alias("ranges"), F.md5("text").alias("digest"))
 
 
 # Merging

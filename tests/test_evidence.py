@@ -12,7 +12,7 @@ sys.path[:0] = [str(Path(__file__).parent), str(Path(__file__).parents[1])]
 import oracle  # noqa: E402
 
 from evidencespark.functions import dates, records, similarity, text  # noqa: E402
-from evidencespark.operators import fragments, intervals, pages, quality  # noqa: E402
+from evidencespark.operators import chains, fragments, intervals, pages, quality  # noqa: E402
 from evidencespark.plans import queries, report_queries  # noqa: E402, F401
 from evidencespark.plans.registry import ORACLES, QUERIES  # noqa: E402
 from evidencespark.sources import readers  # noqa: E402
@@ -83,10 +83,54 @@ def test_model_json(spark):
     assert [r["outcome"] for r in got] == ["parsed", "repaired", "failed"]
 
 
-def test_pack_pages_holds_all_pages(spark):
-    rows = [("d", i, "x" * random.Random(i).randint(0, 90)) for i in range(60)]
-    got = pages.pack_pages(spark.createDataFrame(rows, "doc string, page int, text string"), "doc", "page", most=200).collect()
-    assert {r["page"] for r in got} == set(range(60))
+def folded(sizes, most, overlap=1):
+    """Parts, as lists of places, of one document."""
+    if sum(sizes) <= most:
+        return [list(range(len(sizes)))] if sizes else []
+    out, i = [], 0
+    while i < len(sizes):
+        part, chars = [], 0
+        while i < len(sizes) and (not part or chars + sizes[i] <= most):
+            part.append(i)
+            chars += sizes[i]
+            i += 1
+        out.append(part)
+        if len(part) > overlap:
+            i -= overlap
+    return out
+
+
+@pytest.mark.parametrize("overlap", [0, 1, 3])
+def test_pack_pages_equals_a_fold(spark, monkeypatch, overlap):
+    """Long and blank pages, gaps in page numbers, stretches of few pages, a null document, one that fits, one marked whole, table pages."""
+    monkeypatch.setattr(pages, "running_sums", lambda *a: chains.running_sums(*a, stretch=7))
+    rng, rows, want = random.Random(9), [], []
+    for doc in ("a", "b", None, "fits", "whole"):
+        numbers = sorted(rng.sample(range(1, 300), 4 if doc == "fits" else 90))
+        sizes = [rng.choice((0, 0, 5, 40, 90, 300)) for _ in numbers] if doc != "fits" else [10] * 4
+        tables = [rng.random() < 0.1 and doc != "whole" for _ in numbers]
+        rows += [(doc, p, "x" * n, t) for p, n, t in zip(numbers, sizes, tables)]
+        plain = [k for k, t in enumerate(tables) if not t]
+        parts = [plain] if doc == "whole" else [[plain[k] for k in part] for part in folded([sizes[k] for k in plain], 200, overlap)]
+        parts = sorted([*parts, *([k] for k, t in enumerate(tables) if t)], key=lambda part: part[0])
+        want += [(doc, n, numbers[k]) for n, part in enumerate(parts, 1) for k in part]
+    df = spark.createDataFrame(rows, "doc string, page int, text string, is_table boolean")
+    got = pages.pack_pages(df, "doc", "page", 200, overlap, F.col("is_table"), F.col("doc") == "whole").collect()
+    key = lambda r: (r[0] or "", *r[1:])
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+    assert pages.pack_pages(df.where("page < 0"), "doc", "page").count() == 0
+
+
+def test_overlap_join_equals_all_pairs(spark):
+    """Short, long, reversed and open intervals; each pair once, whatever the bins."""
+    rng = random.Random(2)
+    day = lambda n: dt.date(1969, 12, 1) + dt.timedelta(n)
+    make = lambda k: [(i, rng.randint(0, 2), a, a and day((a - day(0)).days + rng.choice((-3, 0, 1, 9, 200)))) for i in range(k) for a in [rng.choice((None, day(rng.randint(0, 90))))]]
+    left, right = make(60), make(60)
+    want = sorted((i, j) for i, k, s, e in left for j, q, t, f in right if k == q and s and t and s <= f and t <= e)
+    for days in (1, 7, 32):
+        got = intervals.overlap_join(spark.createDataFrame(left, "i int, k int, s date, e date"), spark.createDataFrame(right, "j int, k int, t date, f date"), ["k"], ("s", "e"), ("t", "f"), days)
+        assert sorted((r["i"], r["j"]) for r in got.collect()) == want
 
 
 def test_fuzzy_is_one_to_one(spark):
