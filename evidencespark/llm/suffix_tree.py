@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import each_text, stored
+from .common import dropped, each_text, stored
 
 HELD_OUT, PART = 10, 0
 DEPTH, LEAST, GAIN = 2, 16, 4.0
@@ -135,20 +135,21 @@ def make_blocks(block: int = BLOCK) -> Callable[[Iterator[pa.RecordBatch]], Iter
 
 
 def answer_words(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Messages of words with counts: to each block the ids and training counts of its words; kind 9: tokens and words in training."""
+    """Messages of words with their codes and counts: to each block the codes, ids and training counts of its words; kind 9: tokens and words
+    in training."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block, words, counts in zip(b["block"].to_pylist(), b["words"].to_pylist(), b["counts"].to_pylist()):
                 words, counts = np.array(words.split(b" "), dtype=object), unpack(counts)[0]
                 hashes = np.fromiter((xxhash.xxh64_intdigest(w) >> 1 for w in words), dtype=np.int64, count=len(words))
-                yield messages([(block, 1, to, _word_data(words[rows], counts[rows])) for to, rows in dealt([hashes], buckets)])
+                yield messages([(block, 1, to, _word_data(words[rows], rows, counts[rows])) for to, rows in dealt([hashes], buckets)])
 
     return ask
 
 
-def _word_data(words: np.ndarray, counts: np.ndarray) -> bytes:
-    packed = pack(counts)
+def _word_data(words: np.ndarray, codes: np.ndarray, counts: np.ndarray) -> bytes:
+    packed = pack(codes, counts)
     return len(packed).to_bytes(4, "little") + packed + zstandard.compress(b" ".join(words), 1)
 
 
@@ -172,12 +173,12 @@ def sum_words(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
         for block, _, data in held:
             size = int.from_bytes(data[:4], "little")
             words = zstandard.decompress(data[4 + size :]).split(b" ")
-            parts.append((block, np.fromiter(map(vocabulary.__getitem__, words), dtype=np.int64, count=len(words)), unpack(data[4 : 4 + size])[0]))
+            parts.append((block, np.fromiter(map(vocabulary.__getitem__, words), dtype=np.int64, count=len(words)), *unpack(data[4 : 4 + size])))
         total = np.zeros(len(vocabulary), dtype=np.int64)
-        for _, places, counts in parts:
+        for _, places, _, counts in parts:
             total[places] += counts  # a block has a word once
-        for block, places, _ in parts:
-            yield block, 1, bucket, pack(places * buckets + bucket, total[places])
+        for block, places, codes, _ in parts:
+            yield block, 1, bucket, pack(codes, places * buckets + bucket, total[places])
         yield -1, 9, bucket, pack(np.array([total.sum()]), np.array([(total > 0).sum()]))
 
     return lambda batches: by_bucket(batches, whole)
@@ -261,7 +262,7 @@ def sum_contexts(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
 class Block:
     """A block with the answers it has so far: for each order, the successors it has and the probability of each token."""
 
-    def __init__(self, data: bytes, sizes: bytes, answers: dict[int, dict[int, bytes]], words: list[tuple[int, np.ndarray]], buckets: int, tokens: int, distinct: int, answered: int):
+    def __init__(self, data: bytes, sizes: bytes, answers: dict[int, dict[int, bytes]], buckets: int, tokens: int, distinct: int, answered: int):
         self.codes = unpack(data)[0]
         self.sizes, self.leads = unpack(sizes)
         n = len(self.codes)
@@ -270,8 +271,9 @@ class Block:
         self.own = self.place >= np.repeat(self.leads, self.sizes)
         size = int(self.codes.max()) + 1
         self.ids, self.counts = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64)
-        for bucket, rows in words:
-            self.ids[rows], self.counts[rows] = unpack(answers[1][bucket])
+        for data in answers[1].values():
+            codes, ids, counts = unpack(data)
+            self.ids[codes], self.counts[codes] = ids, counts
         self.known = self.counts[self.codes] > 0
         self.base = (self.counts + ADD) / (tokens + ADD * (distinct + 1))
         self.probability = self.base[self.codes]
@@ -320,9 +322,7 @@ def each_block(batches: Iterator[pa.RecordBatch], buckets: int, tokens: int, dis
     row, answers = None, {}
 
     def made() -> tuple[Block, dict]:
-        words = row["words"].split(b" ")
-        hashes = np.fromiter((xxhash.xxh64_intdigest(w) >> 1 for w in words), dtype=np.int64, count=len(words))
-        return Block(row["data"], row["sizes"], answers, list(dealt([hashes], buckets)), buckets, tokens, distinct, answered), row
+        return Block(row["data"], row["sizes"], answers, buckets, tokens, distinct, answered), row
 
     for b in batches:
         for i in range(b.num_rows):
@@ -344,7 +344,8 @@ def score_texts(docs: DataFrame, block: int = BLOCK, bucket: int = BUCKET) -> Da
     blocks = stored(rows.mapInArrow(make_blocks(block), f"{BLOCKS}, sizes binary"), "lm-blocks")
     words = blocks.select(F.coalesce(F.sum(F.size("uid")), F.lit(0)), F.coalesce(F.sum(F.length("data")), F.lit(0))).first()
     buckets = max(1, -(-int(words[1]) // bucket))  # about a byte a token when packed
-    empty = {c: F.lit(None).cast(t) for c, t in blocks.dtypes if c not in ("block", "kind", "bucket", "data")}
+    texts = blocks.drop("words", "counts")
+    empty = {c: F.lit(None).cast(t) for c, t in texts.dtypes if c not in ("block", "kind", "bucket", "data")}
 
     def reduced(asked: DataFrame, how: Callable, name: str) -> DataFrame:
         return stored(asked.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(how, MESSAGE), name)
@@ -356,7 +357,7 @@ def score_texts(docs: DataFrame, block: int = BLOCK, bucket: int = BUCKET) -> Da
     parts = max(1, blocks.count())
 
     def gathered() -> DataFrame:
-        return blocks.unionByName(answers.withColumns(empty)).repartition(parts, "block").sortWithinPartitions("block", "kind")
+        return texts.unionByName(answers.withColumns(empty)).repartition(parts, "block").sortWithinPartitions("block", "kind")
 
     def ask(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -373,6 +374,7 @@ def score_texts(docs: DataFrame, block: int = BLOCK, bucket: int = BUCKET) -> Da
         sums = reduced(asked.where(F.col("kind") == 2 * k), sum_successors(k, buckets), "lm-successors")
         contexts = reduced(asked.where("kind = 7").unionByName(sums.where("kind = 8")), sum_contexts(k), "lm-contexts")
         answers = answers.unionByName(sums.where(F.col("kind") == 2 * k)).unionByName(contexts)
+        dropped(asked)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, row in each_block(batches, buckets, tokens, distinct, DEPTH):
