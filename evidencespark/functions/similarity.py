@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..rules import ACTIONS, ROLE_SYNONYMS, SECTORS
+from .fuzzy import indel_ratio, partial_ratio, token_set_ratio  # noqa: F401
 from .text import gender_neutral, normalize_text, strip_accents, synonym_form, words
 
 
@@ -41,55 +40,14 @@ def levenshtein_ratio(a: Column, b: Column) -> Column:
     return F.when(longest == 0, F.lit(1.0)).otherwise(1 - F.levenshtein(a, b) / longest)
 
 
-def _sorted_words(c: Column) -> Column:
+def sorted_words(c: Column) -> Column:
+    """Words without accents, in lower case and in order."""
     return F.concat_ws(" ", F.array_sort(words(F.lower(strip_accents(c)))))
 
 
 def token_sort_ratio(a: Column, b: Column) -> Column:
-    return levenshtein_ratio(_sorted_words(a), _sorted_words(b))
-
-
-def _indel(a: str, b: str) -> float:
-    """2 x longest common subsequence by the sum of the lengths."""
-    if not a and not b:
-        return 1.0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        last = 0
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
-    return 2 * row[-1] / (len(a) + len(b))
-
-
-def token_set(a: str | None, b: str | None) -> float:
-    """0 to 100: the best of the indel ratios among the shared words and the shared words with either rest."""
-    x, y = set((a or "").lower().split()), set((b or "").lower().split())
-    if not x or not y:
-        return 0.0
-    both, only_x, only_y = " ".join(sorted(x & y)), " ".join(sorted(x - y)), " ".join(sorted(y - x))
-    p, q = f"{both} {only_x}".strip(), f"{both} {only_y}".strip()
-    return 100.0 * max(_indel(p, q), *((_indel(both, p), _indel(both, q)) if both else (0.0, 0.0)))
-
-
-@F.pandas_udf(T.DoubleType())
-def token_set_ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for left, right in pairs:
-        yield pd.Series([token_set(a, b) for a, b in zip(left, right)], dtype="float64")
-
-
-def _partial(a: str | None, b: str | None) -> float:
-    """0 to 100: the best indel ratio of the shorter text with a stretch, at most as long, of the longer one."""
-    short, long = sorted((a or "", b or ""), key=len)
-    if not short:
-        return 0.0
-    n = len(short)
-    return 100.0 * max(_indel(short, long[max(0, i) : i + n]) for i in range(1 - n, len(long)))
-
-
-@F.pandas_udf(T.DoubleType())
-def partial_ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for left, right in pairs:
-        yield pd.Series([_partial(a, b) for a, b in zip(left, right)], dtype="float64")
+    """0 to 1: indel ratio of the words in order."""
+    return indel_ratio(sorted_words(a), sorted_words(b))
 
 
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:

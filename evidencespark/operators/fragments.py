@@ -9,10 +9,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.similarity import _indel, token_set, word_overlap
+from ..functions.fuzzy import near, token_set
+from ..functions.similarity import word_overlap
 from ..functions.text import normalize_role, strip_accents
 
 WORD_RATIO, WORD_SHARE, SET_RATIO = 92.0, 0.75, 80.0
+NEAR_LETTERS = 7  # below, a word with a letter amiss is under WORD_RATIO
+ROLE_SET_RATIO = 75.0
 ROLE_OVERLAP, GENERIC_OVERLAP = 0.6, 0.5
 METHOD_CHARS = 300
 
@@ -21,14 +24,6 @@ def _plain(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(strip_accents(F.coalesce(c, F.lit("")))), r"\s+", " "))
 
 
-def _near(word: str, text: str) -> bool:
-    """Some window of the text, as long as the word, reaches WORD_RATIO; below 7 letters only the word itself does."""
-    if word in text:
-        return True
-    n = len(word)
-    return n >= 7 and any(100 * _indel(word, text[max(0, i) : i + n]) >= WORD_RATIO for i in range(1 - n, len(text)))
-
-
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _close_values(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for values, texts in pairs:
@@ -38,7 +33,7 @@ def _close_values(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.S
             for v in own:
                 long = [w for w in v.split() if len(w) >= 4]
                 enough = max(1, int(len(long) * WORD_SHARE))
-                if long and sum(_near(w, text) for w in long) >= enough and token_set(v, text) >= SET_RATIO:
+                if long and sum(near(w, text, WORD_RATIO, NEAR_LETTERS) for w in long) >= enough and token_set(v, text) >= SET_RATIO:
                     kept.append(v)
             out.append(kept)
         yield pd.Series(out)
@@ -58,6 +53,37 @@ def drop_unsupported_values(df: DataFrame, values: str, text: str) -> DataFrame:
     return out.withColumns({values: F.filter(values, holds), f"{values}_rejected": F.filter(values, lambda v: ~holds(v))}).drop("__source", "__far", "__close")
 
 
+# Long words that say nothing of a role.
+PLAIN_WORDS = ("para", "como", "segun")
+
+
+@F.pandas_udf(T.DoubleType())
+def _set_ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for left, right in pairs:
+        yield pd.Series([None if a is None else token_set(a, b) for a, b in zip(left, right)], dtype="float64")
+
+
+def _letters_only(c: Column) -> Column:
+    return F.regexp_replace(strip_accents(F.lower(F.coalesce(c, F.lit("")))), r"[^a-z0-9\s]", " ")
+
+
+def flag_unsupported_values(df: DataFrame, value: str, text: str) -> DataFrame:
+    """df with unsupported: true where the text does not hold the value: not as it is, and either words of four letters or more are missing
+    (of three or more words, two) or the ratio of word sets is below ROLE_SET_RATIO. Blank values and texts are no sign. Only values left
+    open by what the engine compares itself go, with their texts, to Python."""
+    own, source = F.btrim(_letters_only(F.col(value)), F.lit(" \t\n\r")), _letters_only(F.col(text))
+    out = df.withColumns({"__own": own, "__source": source})
+    long = F.filter(F.split("__own", r"\s+"), lambda w: (F.length(w) >= 4) & ~w.isin(*PLAIN_WORDS))
+    missing = F.size(F.filter(long, lambda w: ~F.contains(F.col("__source"), w)))
+    enough = (F.size(long) == 0) | (missing <= F.when(F.size(long) >= 3, 1).otherwise(0))
+    held = (F.col("__own") == "") | (F.coalesce(F.col(text), F.lit("")) == "") | F.contains("__source", F.col("__own"))
+    out = out.withColumns({"__held": held, "__enough": enough})
+    open_ = ~F.col("__held") & F.col("__enough")
+    ratio = _set_ratio(F.when(open_, F.col("__own")), F.when(open_, F.col("__source")))
+    out = out.withColumn("__ratio", ratio)
+    return out.withColumn("unsupported", ~F.col("__held") & ~(F.col("__enough") & (F.coalesce("__ratio", F.lit(0.0)) >= ROLE_SET_RATIO))).drop("__own", "__source", "__held", "__enough", "__ratio")
+
+
 def attach_factors(rows: DataFrame, factors: DataFrame, doc: str, role: str, own: str) -> DataFrame:
     """rows (doc, role, own) with own filled, where null, by the first factor (doc, position, factor_role, method, points) whose role equals,
     contains or lies in the row's, or shares ROLE_OVERLAP of its words; rows still without one get the document's first factor that

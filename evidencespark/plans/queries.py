@@ -740,6 +740,97 @@ def fuzzy_one_to_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.fuzzy_one_to_one(left, right, "p_brand", "a", "b")
 
 
+_GOLDEN_SQL = """
+p as (select p_partkey as k, p_partkey // 40 as doc, 'Jefe ' || p_name || ' k' || p_partkey || 'x' as name, list_distinct(string_split(lower(p_name), ' ')) as titles, list_distinct(string_split(lower(p_type), ' ')) as roles, p_size as months, lower(p_brand) || ' ' || split_part(lower(p_type), ' ', 1) as work from part),
+g as (select *, case when k % 3 <> 0 then k end as number from p where k % 5 <> 0),
+f as (select k, doc, case when k % 4 <> 0 and k % 3 <> 0 then k end as number, case when k % 2 = 0 then upper(name) else 'K' || k || 'x' end as name, case when k % 3 = 1 then titles[2:] else titles end || case when k % 11 = 0 then ['extra'] else [] end as titles,
+  case when k % 13 = 0 then [] else roles end as roles, months + (k % 3 = 0)::int as months, case k % 4 when 0 then work when 1 then string_split(work, ' ')[1] when 2 then 'other' end as work from p where k % 7 <> 0),
+m as (select coalesce(g.doc, f.doc) as doc, case when g.k is null then f.number else g.number end as number, g.name as golden_name, f.name as found_name, case when g.k is null then 'hallucinated' when f.k is null then 'missing' else 'matched' end as status,
+  len(list_intersect(f.titles, g.titles))::bigint as titles_tp, len(list_filter(f.titles, lambda x: not list_contains(g.titles, x)))::bigint as titles_fp, len(list_filter(g.titles, lambda x: not list_contains(f.titles, x)))::bigint as titles_fn,
+  len(list_intersect(f.roles, g.roles))::bigint as roles_tp, len(list_filter(f.roles, lambda x: not list_contains(g.roles, x)))::bigint as roles_fp, len(list_filter(g.roles, lambda x: not list_contains(f.roles, x)))::bigint as roles_fn,
+  f.months = g.months as months_ok, coalesce(f.work = g.work or contains(g.work, f.work), false) as work_ok from g full join f using (k)),
+c as (select doc, number, golden_name, found_name, status, case when status = 'matched' then titles_tp end as titles_tp, case when status = 'matched' then titles_fp end as titles_fp, case when status = 'matched' then titles_fn end as titles_fn,
+  case when status = 'matched' then roles_tp end as roles_tp, case when status = 'matched' then roles_fp end as roles_fp, case when status = 'matched' then roles_fn end as roles_fn, case when status = 'matched' then months_ok end as months_ok, case when status = 'matched' then work_ok end as work_ok from m)
+"""
+
+
+def _golden_prf(prefix: str, empty: str) -> str:
+    tp, fp, fn = (f"{prefix}_{c}" for c in ("tp", "fp", "fn"))
+    part = lambda a, b: f"case when {b} = 0 then {empty} else round({a} / ({b}), 3) end::double"
+    return f"({part(tp, f'{tp} + {fp}')}) as {prefix}_precision, ({part(tp, f'{tp} + {fn}')}) as {prefix}_recall, ({part(f'2 * {tp}', f'2 * {tp} + {fp} + {fn}')}) as {prefix}_f1"
+
+
+def _compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Found rows without numbers, in capitals, or named by the end of the golden name alone; lists and scalars that partly agree."""
+    k = F.col("p_partkey")
+    p = read(spark, sf_dir, "part").select(
+        k.alias("k"), F.expr("p_partkey div 40").alias("doc"), F.concat(F.lit("Jefe "), "p_name", F.lit(" k"), k.cast("string"), F.lit("x")).alias("name"), F.split("p_name", " ").alias("titles"),
+        F.split("p_type", " ").alias("roles"), F.col("p_size").alias("months"), F.concat_ws(" ", "p_brand", F.get(F.split("p_type", " "), 0)).alias("work"),
+    )
+    golden = p.where("k % 5 <> 0").withColumn("number", F.expr("if(k % 3 <> 0, k, null)"))
+    found = p.where("k % 7 <> 0").withColumn("number", F.expr("if(k % 4 <> 0 and k % 3 <> 0, k, null)")).withColumns({
+        "name": F.expr("if(k % 2 = 0, upper(name), concat('K', k, 'x'))"), "titles": F.expr("concat(if(k % 3 = 1, filter(array_distinct(titles), (x, i) -> i > 0), titles), if(k % 11 = 0, array('Éxtra'), array()))"),
+        "roles": F.expr("if(k % 13 = 0, null, roles)"), "months": F.expr("months + if(k % 3 = 0, 1, 0)"), "work": F.expr("case k % 4 when 0 then lower(work) when 1 then split(work, ' ')[0] when 2 then 'other' end"),
+    })
+    return quality.compare_rows(found, golden, "doc", "number", "name")
+
+
+@query(f"""
+with {_GOLDEN_SQL}
+select doc, number, golden_name, found_name, status, titles_tp, titles_fp, titles_fn, roles_tp, roles_fp, roles_fn, months_ok, work_ok,
+  {_golden_prf("titles", "case when titles_tp + titles_fp + titles_fn = 0 then 1 else 0 end")}, {_golden_prf("roles", "case when roles_tp + roles_fp + roles_fn = 0 then 1 else 0 end")} from c""".replace("case when titles_tp + titles_fp = 0", "case when status <> 'matched' then null when titles_tp + titles_fp = 0"))
+def row_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _compared(spark, sf_dir)
+
+
+@query(f"""
+with {_GOLDEN_SQL},
+s as (select doc, count(*) filter (status <> 'hallucinated') as expected, count(*) filter (status <> 'missing') as extracted, count(*) filter (status = 'matched') as matched, count(*) filter (status = 'missing') as missing, count(*) filter (status = 'hallucinated') as hallucinated,
+  (case when count(*) filter (status = 'matched') = 0 then 0 else round(count(*) filter (months_ok) / count(*) filter (status = 'matched'), 3) end)::double as months_share, (case when count(*) filter (status = 'matched') = 0 then 0 else round(count(*) filter (work_ok) / count(*) filter (status = 'matched'), 3) end)::double as work_share,
+  coalesce(sum(titles_tp), 0) as titles_tp, coalesce(sum(titles_fp), 0) as titles_fp, coalesce(sum(titles_fn), 0) as titles_fn, coalesce(sum(roles_tp), 0) as roles_tp, coalesce(sum(roles_fp), 0) as roles_fp, coalesce(sum(roles_fn), 0) as roles_fn from c group by 1)
+select doc, expected, extracted, matched, missing, hallucinated, months_share, work_share, {_golden_prf("titles", "1")}, {_golden_prf("roles", "1")} from s""")
+def golden_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.golden_summary(_compared(spark, sf_dir), ["doc"])
+
+
+_FILLER = " 0123456789" * 40
+_VALUES_SQL = rf"""
+v as (select doc_id, '{_FILLER} ' || trim(regexp_replace(regexp_replace(lower(strip_accents(coalesce(text, ''))), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g')) || ' {_FILLER}' as source from documents),
+w as (select doc_id, source, list_filter(string_split(source, ' '), lambda x: regexp_full_match(x, '[a-z]{{4,12}}'))[1:4] as own from v),
+x as (select doc_id, source, case doc_id % 4 when 0 then coalesce(own[1], '') when 1 then coalesce(own[3], '') || ' ' || coalesce(own[1], '') || ' ' || coalesce(own[2], '') when 2 then coalesce(own[1], '') || ' ' || coalesce(own[2], '') || 'qz ' || coalesce(own[4], '') else 'zzqqzz ' || coalesce(own[1], '') end as value from w),
+t as (select doc_id, source, trim(regexp_replace(value, '\s+', ' ', 'g')) as value from x),
+s as (select *, list_distinct(list_filter(string_split(value, ' '), lambda x: x <> '')) as words from t),
+b as (select *, list_sort(list_filter(words, lambda x: list_contains(string_split(source, ' '), x))) as shared, list_filter(string_split(value, ' '), lambda x: length(x) >= 4 and x not in ('para', 'como', 'segun')) as long, list_filter(string_split(value, ' '), lambda x: length(x) >= 4) as long_words from s),
+r as (select *, length(array_to_string(shared, ' ')) as met, length(array_to_string(words, ' ')) as whole from b)"""
+
+
+def _values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values made of a document's own words, in and out of order, bent and foreign ones; texts between runs of digits, so that all are longer
+    than any value."""
+    plain = F.trim(F.regexp_replace(F.regexp_replace(text.strip_accents(F.lower(F.coalesce("text", F.lit("")))), r"[^a-z0-9\s]", " "), r"\s+", " "))
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit(_FILLER + " "), plain, F.lit(" " + _FILLER)).alias("source"))
+    own = F.slice(F.filter(F.split("source", " "), lambda x: x.rlike("^[a-z]{4,12}$")), 1, 4)
+    at = lambda i: F.coalesce(F.get("own", i), F.lit(""))
+    kinds = {0: at(0), 1: F.concat_ws(" ", at(2), at(0), at(1)), 2: F.concat(at(0), F.lit(" "), at(1), F.lit("qz "), at(3)), 3: F.concat(F.lit("zzqqzz "), at(0))}
+    value = F.coalesce(*(F.when(F.col("doc_id") % 4 == k, v) for k, v in kinds.items()))
+    return docs.withColumn("own", own).withColumn("value", F.trim(F.regexp_replace(value, r"\s+", " "))).drop("own")
+
+
+@query(f"""
+with {_VALUES_SQL}
+select doc_id, not (value = '' or contains(source, value) or (len(list_filter(long, lambda x: not contains(source, x))) <= case when len(long) >= 3 then 1 else 0 end and met > 0 and 200.0 * met / (met + whole) >= 75)) as unsupported from r""")
+def unsupported_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fragments.flag_unsupported_values(_values(spark, sf_dir), "value", "source").select("doc_id", "unsupported")
+
+
+@query(f"""
+with {_VALUES_SQL}
+select doc_id, (length(value) >= 3 and (contains(source, value) or (len(long_words) > 0 and len(list_filter(long_words, lambda x: contains(source, x))) >= greatest(1, floor(len(long_words) * 0.75)) and met > 0 and 200.0 * met / (met + whole) >= 80))) as held from r""")
+def supported_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fragments.drop_unsupported_values(_values(spark, sf_dir).withColumn("values", F.array("value")), "values", "source")
+    return out.select("doc_id", (F.size("values") == 1).alias("held"))
+
+
 @query("""select o_orderkey as id, o_orderdate as created_at, (select count(*) from orders where o_orderstatus = 'F') as total from orders where o_orderstatus = 'F' order by o_orderdate desc, o_orderkey limit 20 offset 20""")
 def jobs_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("created_at"), F.col("o_orderstatus").alias("status"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 sys.path[:0] = [str(Path(__file__).parent), str(Path(__file__).parents[1])]
 import oracle  # noqa: E402
 
-from evidencespark.functions import dates, records, similarity, text  # noqa: E402
+from evidencespark.functions import dates, fuzzy, records, similarity, text  # noqa: E402
 from evidencespark.operators import chains, fragments, intervals, pages, quality  # noqa: E402
 from evidencespark.plans import queries, report_queries  # noqa: E402, F401
 from evidencespark.plans.registry import ORACLES, QUERIES  # noqa: E402
@@ -140,6 +140,61 @@ def test_fuzzy_is_one_to_one(spark):
     assert len({r["a"] for r in got}) == len({r["b"] for r in got}) == len(got) == 2
 
 
+def greedy(pairs):
+    """Of (group, a, b, ratio), from the most similar down, ties by value, each value once."""
+    used, out = set(), []
+    for group, a, b, ratio in sorted(pairs, key=lambda p: (-p[3], p[1], p[2])):
+        if (group, a, 0) not in used and (group, b, 1) not in used:
+            used |= {(group, a, 0), (group, b, 1)}
+            out.append((group, a, b, ratio))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("threshold", [0.7, 0.85, 0.95])
+def test_fuzzy_pairs_equal_a_greedy_choice_among_all(spark, threshold):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abé") for _ in range(rng.randint(1, 6)))
+    make = lambda: [(rng.choice((None, "g", "h")), " ".join(word() for _ in range(rng.randint(0, 4)))) for _ in range(120)]
+    left, right = make(), make()
+    plain = lambda t: " ".join(sorted(t.replace("é", "e").lower().split()))
+    ratio = lambda a, b: round(2 * plain_lcs(a, b) / (len(a) + len(b)), 6) if a or b else 1.0
+    pairs = [(g, a, b, ratio(plain(a), plain(b))) for g, a in set(left) for h, b in set(right) if g == h]
+    got = quality.fuzzy_one_to_one(spark.createDataFrame(left, "g string, a string"), spark.createDataFrame(right, "g string, b string"), "g", "a", "b", threshold)
+    assert sorted(map(tuple, got.collect()), key=str) == greedy([p for p in pairs if p[3] >= threshold])
+
+
+def test_golden_rows_choose_in_order(spark):
+    """Numbers that are null, repeated and taken, names that hold each other, blank names: one found row for each golden row, as choosing one
+    after the other gives."""
+    rng = random.Random(11)
+    names = ("", "Jefe", "jefe de obra", "JEFE  DE OBRA Principal", "Obra", "Residente", "a", "Géologo")
+    make = lambda: [(rng.choice((None, 1, 2)), rng.choice((None, 1, 2, 3, 4)), rng.choice(names)) for _ in range(60)]
+    found, golden = make(), make()
+    plain = lambda t: " ".join(t.lower().replace("é", "e").split())
+    order = lambda r: (r[1] is None, r[1] or 0, r[2])
+    want = []
+    for doc in (None, 1, 2):
+        left, mine = sorted((f for f in found if f[0] == doc), key=order), sorted((g for g in golden if g[0] == doc), key=order)
+        for g in mine:
+            a = plain(g[2])
+            fits = lambda f: a == plain(f[2]) or a != "" and a in plain(f[2]) or plain(f[2]) != "" and plain(f[2]) in a  # noqa: B023, E731
+            hit = next((f for f in left if g[1] is not None and f[1] == g[1]), None) or next((f for f in left if fits(f)), None)
+            if hit:
+                left.remove(hit)
+            want.append((doc, g[2], hit and hit[2], "matched" if hit else "missing"))
+        want += [(doc, None, f[2], "hallucinated") for f in left]
+    got = quality.match_golden(spark.createDataFrame(found, "d int, n int, x string"), spark.createDataFrame(golden, "d int, n int, x string"), "d", "n", "x")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    lost = quality.match_golden(spark.createDataFrame([("d", 1, "A")], "d string, n int, x string"), spark.createDataFrame([("d", 1, "A"), ("d", 2, "A")], "d string, n int, x string"), "d", "n", "x")
+    assert sorted(r["status"] for r in lost.collect()) == ["matched", "missing"]
+
+
+def test_micro_metrics_of_nothing(spark):
+    df = spark.createDataFrame([(1, 0, 0, 2), (2, 0, 3, 0), (3, 0, 0, 0), (4, 1, 1, 0)], "d int, tp long, fp long, fn long")
+    got = {r["d"]: (r["precision"], r["recall"], r["f1"]) for r in quality.micro_metrics(df, ["d"]).collect()}
+    assert got == {1: (1.0, 0.0, 0.0), 2: (0.0, 1.0, 0.0), 3: (1.0, 1.0, 1.0), 4: (0.5, 1.0, 0.667)}
+
+
 def test_changes_as_a_stream(spark, tmp_path):
     rows = [(1, dt.datetime(2024, 1, 1, 0, i), s) for i, s in enumerate(["run", "run", "page", "done"])]
     spark.createDataFrame(rows, "job int, ts timestamp, state string").coalesce(1).write.parquet(str(tmp_path / "in"))
@@ -193,5 +248,67 @@ def test_nested_records(spark):
     assert [tuple(r["s"]) for r in shapes] == [(2, 2), (0, 0), (0, 0)]
 
 
-def test_partial_ratio():
-    assert similarity._partial("jefe de obra", "el jefe de obra principal") == 100 and similarity._partial("", "a") == 0 and similarity._partial("abc", "xyz") == 0
+def plain_lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def test_bit_parallel_ratios_equal_plain_ones(spark):
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcé ñ\U0001f600") for _ in range(rng.randint(0, n)))
+    pairs = [(word(n), word(m)) for n in (3, 20, 64, 70, 130) for m in (3, 30, 64, 90) for _ in range(30)] + [("a" * 64, "ba" * 64), ("", ""), ("a\0b", "a\0b")]
+    assert fuzzy.lcs_batch(*map(list, zip(*pairs))).tolist() == [plain_lcs(a, b) for a, b in pairs] == [fuzzy.lcs(a, b) for a, b in pairs]
+    for a, b in pairs[:400:7]:
+        short, long = sorted((a, b), key=len)
+        windows = [long[max(0, i) : i + len(short)] for i in range(1 - len(short), len(long))]
+        want = max((200 * plain_lcs(short, w) / (len(short) + len(w)) for w in windows), default=0) if short else 0
+        assert abs(fuzzy.partial(a, b) - want) < 1e-9
+    assert fuzzy.partial("jefe de obra", "el jefe de obra principal") == 100 and fuzzy.partial("", "a") == 0 and fuzzy.partial("abc", "xyz") == 0
+    df = spark.createDataFrame([(a, b) for a, b in pairs[:50]] + [(None, "x"), (None, None)], "a string, b string").select(fuzzy.indel_ratio("a", "b").alias("r"))
+    want = [2 * plain_lcs(a, b) / (len(a) + len(b)) if a or b else 1.0 for a, b in pairs[:50]] + [0.0, 1.0]
+    assert [r["r"] for r in df.collect()] == pytest.approx(want)
+
+
+def test_token_sets_equal_plain_ones():
+    rng = random.Random(3)
+    text = lambda n: " ".join(rng.choice(("jefe", "de", "obra", "obras", "civil", "residente", "a")) for _ in range(rng.randint(0, n)))
+    for _ in range(300):
+        a, b = text(5), text(9)
+        x, y = set(a.split()), set(b.split())
+        both = " ".join(sorted(x & y))
+        p, q = f"{both} {' '.join(sorted(x - y))}".strip(), f"{both} {' '.join(sorted(y - x))}".strip()
+        ratio = lambda s, t: 200 * plain_lcs(s, t) / (len(s) + len(t)) if s or t else 100.0
+        want = max(ratio(p, q), *((ratio(both, p), ratio(both, q)) if both else (0, 0))) if x and y else 0
+        assert abs(fuzzy.token_set(a, b) - want) < 1e-9
+
+
+def test_near_words_equal_all_windows():
+    rng = random.Random(5)
+    for _ in range(400):
+        word = "".join(rng.choice("abcdefg") for _ in range(rng.randint(5, 30)))
+        bent = list(word)
+        for _ in range(rng.randint(0, 3)):
+            i = rng.randrange(len(bent))
+            bent[i : i + 1] = rng.choice(("", "x", bent[i] + "y"))
+        text = "".join(rng.choice("abcdefg ") for _ in range(rng.randint(0, 40))) + "".join(bent) + "".join(rng.choice("abc ") for _ in range(rng.randint(0, 20)))
+        n = len(word)
+        want = word in text or n >= 7 and any(200 * plain_lcs(word, w) / (n + len(w)) >= 92 for i in range(1 - n, len(text)) for w in [text[max(0, i) : i + n]])
+        assert fuzzy.near(word, text, 92.0, 7) == want
+
+
+def test_a_long_page_in_seconds():
+    import time
+
+    page, began = "lorem ipsum dolores sit amet consectetur " * 25_000 + "electromecanicco residente general ", time.time()
+    assert fuzzy.near("electromecanico", page, 92.0, 7) and not fuzzy.near("hidroelectromecanicas", page, 92.0, 7)
+    assert fuzzy.partial("electromecanico", page) > 92 and fuzzy.token_set("electromecanicco residente", page) == 100 and time.time() - began < 10
+
+
+def test_flagged_values(spark):
+    rows = [("Jefe de Obra", "el JEFE DE OBRA, y"), ("Especialista en Edificaciones", "edificaciones y afines"), ("Residente Obra General", "obra del residente"), ("Residente Obra General Mayor", "obra del residente"), ("", "x"), ("Jefe", None), (None, None), ("Obra Civil", "civil obra")]
+    got = fragments.flag_unsupported_values(spark.createDataFrame(rows, "v string, t string"), "v", "t").collect()
+    assert [r["unsupported"] for r in got] == [False, True, False, True, False, False, False, False]
