@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.records import drop_sparse_rows
 from ..functions.text import strip_accents
+from .anchors import infer_row_numbers
 from .merge import drop_support_roles, guarded_drop, skeleton_rows
 
 # Titles that are real, roles of sections that are no key staff, roles that are special, signs of an invented answer,
@@ -51,11 +54,13 @@ def is_derived_title(title: Column, role: Column) -> Column:
     return (F.length(suffix) >= 3) & ~real & alike
 
 
-def overlay_visual_rows(rows: DataFrame, visual: DataFrame, keys: list[str]) -> DataFrame:
+def overlay_visual_rows(rows: DataFrame, visual: DataFrame, keys: list[str], inferred: Column | None = None) -> DataFrame:
     """rows, with what a visual read gives for the same keys: lists replace where not empty, without titles derived from the role;
-    scalars fill nulls. visual: keys, titles, roles, months, work."""
-    seen = visual.select(*keys, *(F.col(c).alias(f"__{c}") for c in ("titles", "roles", "months", "work")))
-    out = rows.join(seen, keys, "left").withColumn("__titles", F.filter("__titles", lambda t: ~is_derived_title(t, F.col("role"))))
+    scalars fill nulls. visual: keys, titles, roles, months, work. Rows without the last key take what the read gives for the number inferred."""
+    seen = visual.select(*(F.col(k).alias(f"__k_{k}") for k in keys), *(F.col(c).alias(f"__{c}") for c in ("titles", "roles", "months", "work")))
+    own = [F.col(k) for k in keys[:-1]] + [F.col(keys[-1]) if inferred is None else F.coalesce(F.col(keys[-1]), inferred)]
+    same = reduce(lambda a, b: a & b, (c.eqNullSafe(F.col(f"__k_{k}")) if k != keys[-1] else c == F.col(f"__k_{k}") for c, k in zip(own, keys)))
+    out = rows.join(seen, same, "left").withColumn("__titles", F.filter("__titles", lambda t: ~is_derived_title(t, F.col("role"))))
     out = out.withColumns({c: F.when(F.size(f"__{c}") > 0, F.col(f"__{c}")).otherwise(F.col(c)) for c in ("titles", "roles")})
     out = out.withColumns({c: F.coalesce(c, f"__{c}") for c in ("months", "work")})
     return out.select(*rows.columns)
@@ -80,20 +85,21 @@ def drop_meta_roles(df: DataFrame, doc: str, role: str) -> DataFrame:
     return guarded_drop(df, [doc], c.rlike(SPECIAL_ROLE) & ~is_meta_role(c), is_meta_role(c))
 
 
-def curate_requirements(titles: DataFrame, experience: DataFrame, visual: DataFrame, training: DataFrame, confidence: float = 1.0) -> DataFrame:
+def curate_requirements(titles: DataFrame, experience: DataFrame, visual: DataFrame, training: DataFrame, confidence: float = 1.0, texts: DataFrame | None = None) -> DataFrame:
     """doc, number, row and the requirement's columns: split tables joined, visual reads laid over, training attached or added as rows
     of its own, sparse rows, support roles and roles of other sections dropped, and the rest numbered in the document's order.
-    All inputs are keyed by (doc, number); training: doc, number, hours."""
+    All inputs are keyed by (doc, number); training: doc, number, hours. With texts (doc, text), rows without a number from 1 to 30
+    are laid over and ordered by the number that their document has next to their role."""
     rows = merge_split_tables(titles, experience, ["doc", "number"], confidence)
-    rows = overlay_visual_rows(rows, visual, ["doc", "number"])
-    keyed = F.concat_ws(":", "doc", "number").alias("key")
-    rows = skeleton_rows(rows.withColumns({"key": keyed, "hours": F.lit(None).cast("long")}), training.select(keyed, "hours"), "key", "hours")
-    place = F.split("key", ":")
-    rows = rows.withColumns({"doc": F.get(place, 0).cast("long"), "number": F.get(place, 1).cast("long"), "role": F.coalesce("role", F.lit(""))}).drop("key")
+    if texts is not None:
+        rows = infer_row_numbers(rows, texts, "doc", "role", "text")
+    rows = overlay_visual_rows(rows, visual, ["doc", "number"], None if texts is None else F.col("inferred"))
+    rows = skeleton_rows(rows, training, ["doc", "number"], "hours").withColumn("role", F.coalesce("role", F.lit("")))
     parts = ["__role", "titles", "roles", "months", "work", "hours"]
     rows = drop_sparse_rows(rows.withColumn("__role", F.nullif("role", F.lit(""))), parts).drop("__role")
     rows = drop_meta_roles(drop_support_roles(rows, "doc", "role"), "doc", "role")
-    return number_rows(rows, ["doc"], [source_number(F.col("number")), F.col("number").asc_nulls_last(), F.col("role")])
+    inferred = F.lit(None).cast("int") if texts is None else F.col("inferred")
+    return number_rows(rows, ["doc"], [source_number(F.col("number"), inferred), F.col("number").asc_nulls_last(), F.col("role")])
 
 
 def valid_person(record: Column) -> Column:
@@ -105,7 +111,7 @@ def valid_person(record: Column) -> Column:
 
 def fabricated(answer: Column, items: Column) -> Column:
     """What stands before the first brace reads as made up, and there is no item."""
-    return F.substring_index(answer, "{", 1).rlike("(?i)" + "|".join(INVENTED)) & (F.coalesce(F.size(items), F.lit(0)) <= 0)
+    return F.substring_index(answer, "{", 1).rlike("(?iU)" + "|".join(INVENTED)) & (F.coalesce(F.size(items), F.lit(0)) <= 0)
 
 
 def table_header(cells: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,10 +37,13 @@ def missing_numbers(seen: DataFrame, covered: DataFrame, keys: list[str]) -> Dat
     return seen.select(*keys).distinct().join(covered.select(*keys).distinct(), keys, "left_anti")
 
 
-def skeleton_rows(base: DataFrame, extra: DataFrame, key: str, value: str) -> DataFrame:
-    """base with the value of extra by key, and rows of key and value alone for keys that only extra has."""
-    joined = base.drop(value).join(extra.select(key, value), key, "left")
-    only = extra.join(base.select(key).distinct(), key, "left_anti").select(key, value)
+def skeleton_rows(base: DataFrame, extra: DataFrame, key: str | list[str], value: str) -> DataFrame:
+    """base with the value of extra by key, and rows of key and value alone for keys that only extra has. Null keys are equal."""
+    keys = [key] if isinstance(key, str) else key
+    same = reduce(lambda a, b: a & b, (F.col(f"b.{k}").eqNullSafe(F.col(f"e.{k}")) for k in keys))
+    kept, given = base.drop(value), extra.select(*keys, value)
+    joined = kept.alias("b").join(given.alias("e"), same, "left").select("b.*", f"e.{value}")
+    only = given.alias("e").join(base.select(*keys).distinct().alias("b"), same, "left_anti")
     return joined.unionByName(only, allowMissingColumns=True)
 
 

@@ -100,11 +100,6 @@ def table_stats(pages: DataFrame, doc: str, flagged: Column, valid: Column) -> D
     return pages.groupBy(doc).agg(F.count(F.lit(1)).alias("pages"), F.count_if(flagged).alias("flagged"), F.count_if(flagged & ok).alias("validated"), F.count_if(flagged & ~ok).alias("failed"))
 
 
-def latest_nonnull(df: DataFrame, key: str, order: Column, columns: list[str]) -> DataFrame:
-    """Per key, the latest value of each column on its own that is not null."""
-    return df.groupBy(key).agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(c) for c in columns))
-
-
 def golden_report(compared: DataFrame, doc: str) -> DataFrame:
     """compared: doc, status, expected and found months. Per document: expected, extracted, matched, missing, hallucinated, share of matched
     rows with the same months."""

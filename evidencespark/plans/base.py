@@ -34,10 +34,10 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     bucket = F.floor(F.col("doc_id") / PAGE_BUCKET).alias("bucket")
     docs = read(spark, sf_dir, "documents").select("source", "doc_id", bucket, F.coalesce("text", F.lit("")).alias("text"))
     counts = docs.groupBy(F.col("source").alias("s"), F.col("bucket").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("s").orderBy(F.col("b").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = counts.select("s", "b", before.alias("before"))
     n = F.row_number().over(Window.partitionBy("source", "bucket").orderBy("doc_id"))
-    numbered = docs.withColumn("n", n).join(counts, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
+    numbered = docs.withColumn("n", n).join(counts, F.col("source").eqNullSafe(F.col("s")) & F.col("bucket").eqNullSafe(F.col("b")))
     return numbered.select("source", (F.col("before") + F.col("n")).cast("int").alias("page_num"), "doc_id", "text")
 
 

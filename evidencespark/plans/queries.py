@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, records, similarity, text
-from ..operators import evaluate, fragments, intervals, merge, pages, quality, requirements, works
+from ..operators import anchors, curate, evaluate, fragments, intervals, merge, pages, quality, requirements, works
+from ..rules import ROLE_CATALOGUE, SIGNALS
 from ..sources import readers
 from ..streaming import progress
 from .base import EXPERIENCES_SQL, PAGES_SQL, PROPOSAL, WINDOW, experiences, read
@@ -280,6 +281,43 @@ def score_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _typed(spark, sf_dir).select("doc_id", "score_symbols", "score_loud", "score_blacklist")
 
 
+PHRASES = (
+    "Debe acreditar un monto facturado acumulado", "PERSONAL CLAVE: colegiado y habilitado", "Señores evaluadores, presente.-", "Factor de evaluación: puntaje máximo 40 puntos", "Capacitación del personal clave, 120 horas lectivas",
+    "Cláusula de garantía de fiel cumplimiento", "Título profesional y tiempo de experiencia", "Anexo N° 12, declaración jurada", "Experiencia del postor en obras similares", "nothing of the kind",
+)
+
+
+def _signals_sql(kind: str) -> str:
+    parts = " + ".join(f"case when regexp_matches(plain, '{p}') then {w} else 0 end" for p, w in SIGNALS[kind])
+    return f"round({parts}, 2)::double as score_{kind}"
+
+
+@query(f"""
+with t as (select doc_id, strip_accents(lower({list(PHRASES)}[1 + doc_id % {len(PHRASES)}] || chr(10) || coalesce(text, '') || chr(10) || {list(PHRASES)}[1 + doc_id // 3 % {len(PHRASES)}])) as plain from documents)
+select doc_id, {", ".join(_signals_sql(k) for k in SIGNALS)} from t""")
+def shipped_page_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents between two phrases of tenders, by the list of signals that the library brings."""
+    every = F.array(*map(F.lit, PHRASES))
+    phrase = lambda n: F.get(every, (n % len(PHRASES)).cast("int"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.concat_ws("\n", phrase(F.col("doc_id")), F.coalesce("text", F.lit("")), phrase(F.expr("doc_id div 3"))).alias("text"))
+    return pages.score_pages(docs).select("doc_id", *(f"score_{k}" for k in SIGNALS))
+
+
+#: One answer for each sign of an invented one, in capitals where the number is even, and answers without a sign.
+ANSWERS = (
+    "Por EJEMPLO, esto", "Una plantilla", "PODRÍA SER el jefe", "asumiendo que", "UN CARGO GENÉRICO", "no se proporcionó el dato", "NO SE ESPECIFICÓ", "no se mencionó nada", "PARA COMPLETAR", "necesitaríamos más",
+    "PROPORCIONES MÁS DETALLES", "ajustado según", "CARGO SIMILAR A", "Jefe de obra", "EJEMPLAR único", "genéricos", "contrato", "completar",
+)
+
+
+@query(f"""
+select doc_id, doc_id % {len(ANSWERS)} < 13 and doc_id % 4 <> 1 as fabricated from documents""")
+def fabricated_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    answer = F.concat(F.get(F.array(*map(F.lit, ANSWERS)), (F.col("doc_id") % len(ANSWERS)).cast("int")), F.lit('\n{"ejemplo": ['), F.col("doc_id").cast("string"), F.lit("]}"))
+    items = F.when(F.col("doc_id") % 4 == 1, F.array("doc_id")).when(F.col("doc_id") % 4 == 2, F.array().cast("array<long>"))
+    return read(spark, sf_dir, "documents").select("doc_id", curate.fabricated(answer, items).alias("fabricated"))
+
+
 @query(_TYPES_SQL + " select doc_id, kind from typed")
 def dominant_page_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _typed(spark, sf_dir).select("doc_id", "kind")
@@ -406,6 +444,77 @@ b as (select * from n union all select doc_id, pos, regexp_extract(line, '[0-9]'
 c as (select *, sum(1 - kind) over (partition by doc_id) as names, sum(kind) over (partition by doc_id) as numbers from b)"""
 
 
+_ROLE_LINES_SQL = rf"""
+roles as (select unnest({list(ROLE_CATALOGUE)}) as role, generate_subscripts({list(ROLE_CATALOGUE)}, 1) - 1 as position),
+l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 as pos from documents),
+v as (select doc_id, pos, case when (doc_id + pos) % 5 = 0 then case pos % 3 when 0 then role when 1 then '  ' || lower(replace(role, 'O', 'Ó')) || '  Nº ' || pos % 40 else array_to_string(list_reverse(string_split(role, ' ')), ' ') || ' (A)' end else line end as line
+  from l join roles on position = (doc_id * 7 + pos) % {len(ROLE_CATALOGUE)}),
+d as (select *, list_distinct(list_filter(string_split(norm, ' '), lambda x: x <> '')) as w from (select *, trim(regexp_replace(upper(strip_accents(line)), '\s+', ' ', 'g')) as norm from v)),
+r as (select *, list_distinct(string_split(role, ' ')) as rw from roles),
+s as (select doc_id, pos, role, position, len(list_intersect(w, rw)) as k, length(array_to_string(list_intersect(w, rw), ' ')) as met, least(length(array_to_string(w, ' ')), length(array_to_string(rw, ' '))) as least from d, r where length(norm) between 8 and 200),
+a as (select doc_id, pos, arg_max(role, (round(200.0 * met / (met + least), 9), length(role), -position)) as anchor from s where met > 0 and round(200.0 * met / (met + least), 9) >= 92 group by 1, 2)"""
+
+
+def _role_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' lines, every fifth one replaced by a role: as it is, in small letters with accents and a number, or its words backwards."""
+    lines = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
+    role = F.element_at(F.array(*map(F.lit, ROLE_CATALOGUE)), ((F.col("doc_id") * 7 + F.col("pos")) % len(ROLE_CATALOGUE) + 1).cast("int"))
+    bent = F.concat(F.lit("  "), F.lower(F.replace(role, F.lit("O"), F.lit("Ó"))), F.lit("  Nº "), (F.col("pos") % 40).cast("string"))
+    backwards = F.concat(F.array_join(F.reverse(F.split(role, " ")), " "), F.lit(" (A)"))
+    made = F.when(F.col("pos") % 3 == 0, role).when(F.col("pos") % 3 == 1, bent).otherwise(backwards)
+    return lines.withColumn("line", F.when((F.col("doc_id") + F.col("pos")) % 5 == 0, made).otherwise(F.col("line"))).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query(f"with {_ROLE_LINES_SQL} select doc_id, pos, anchor from a")
+def row_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anchors.row_anchors(_role_lines(spark, sf_dir), anchors.catalogue(spark), "line").where("anchor is not null").select("doc_id", "pos", "anchor")
+
+
+@query(rf"""
+with {_ROLE_LINES_SQL},
+f as (select *, row_number() over (partition by doc_id, anchor order by pos) as k from a),
+n as (select doc_id, pos, anchor, 0 as kind from (select *, row_number() over (partition by doc_id order by pos) as i from f where k = 1) where i <= 5),
+b as (select * from n union all select doc_id, pos, regexp_extract(line, '^\s*([0-9]{{1,2}})\s*[.)-]', 1), 1 from v where try_cast(regexp_extract(line, '^\s*([0-9]{{1,2}})\s*[.)-]', 1) as int) between 1 and 30),
+c as (select *, sum(1 - kind) over (partition by doc_id) as names, sum(kind) over (partition by doc_id) as numbers from b)
+select doc_id, pos, anchor from c where (kind = 1) = (names < 3 and numbers > names)""")
+def anchors_by_role(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows begin at lines that name a role, or at numbered lines where few do."""
+    lines = _role_lines(spark, sf_dir).withColumn("expected", F.lit(4))
+    named = anchors.row_anchors(lines, anchors.catalogue(spark), "line").select("doc_id", "pos", "anchor", "expected")
+    number = text.numeric_anchor(F.col("line"))
+    written = F.regexp_extract("line", r"^\s*(\d{1,2})\s*[.)\-]", 1)
+    numbered = lines.select("doc_id", "pos", F.when(number.isNotNull(), written).alias("anchor"), "expected").where("anchor is not null and anchor <> ''")
+    return pages.choose_anchors(named, numbered, "doc_id", "pos", "anchor", "expected").select("doc_id", "pos", "anchor")
+
+
+_NUMBERED_SQL = r"""
+w as (select doc_id, coalesce(text, '') as text, list_filter(string_split(regexp_replace(coalesce(text, ''), '[^A-Za-z]+', ' ', 'g'), ' '), lambda x: regexp_full_match(x, '[A-Za-z]{4,}')) as own from documents),
+t as (select doc_id, own, text || case doc_id % 4 when 0 then chr(10) || '| ' || doc_id % 35 || ' | ' || coalesce(own[2], '') || ' |' when 1 then ' ' || coalesce(own[1], '') || ' ' || doc_id % 45 || ' ' || coalesce(own[2], '') when 2 then coalesce(own[1], '') || '   ||  ' || doc_id % 200 else '' end as text from w),
+r as (select doc_id, text, trim(coalesce(own[3], '') || ' de ' || coalesce(own[1], '') || ' y ' || coalesce(own[2], '')) as role, 1 as rid from t union all select doc_id, text, coalesce(own[5], ''), 2 from t),
+x as (select *, regexp_extract_all(upper(role), '\b([A-Z]{4,})\b') as words from r),
+y as (select doc_id, rid, role, text, unnest(words[-2:]) as word, generate_subscripts(words[-2:], 1) as k from x),
+z as (select doc_id, rid, k, list_transform(list_zip(regexp_extract_all(text, '(?i)(\d{1,2})[\s|]{0,30}' || word || '|' || word || '[\s|]{0,30}(\d{1,2})', 1), regexp_extract_all(text, '(?i)(\d{1,2})[\s|]{0,30}' || word || '|' || word || '[\s|]{0,30}(\d{1,2})', 2)), lambda p: try_cast(coalesce(nullif(p[1], ''), p[2]) as int)) as found from y),
+n as (select doc_id, rid, arg_min(list_filter(found, lambda x: x between 1 and 30)[1], k) as inferred from z where len(list_filter(found, lambda x: x between 1 and 30)) > 0 group by 1, 2)"""
+
+
+def _numbered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Two roles of a document's own words, and its text with a number put next to one of them."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.withColumn("own", F.filter(F.split(F.regexp_replace("text", "[^A-Za-z]+", " "), " "), lambda x: x.rlike("^[A-Za-z]{4,}$")))
+    at = lambda i: F.coalesce(F.get("own", i), F.lit(""))
+    some = lambda m: (F.col("doc_id") % m).cast("string")
+    more = {0: F.concat(F.lit("\n| "), some(35), F.lit(" | "), at(1), F.lit(" |")), 1: F.concat(F.lit(" "), at(0), F.lit(" "), some(45), F.lit(" "), at(1)), 2: F.concat(at(0), F.lit("   ||  "), some(200)), 3: F.lit("")}
+    texts = docs.select("doc_id", F.concat("text", F.coalesce(*(F.when(F.col("doc_id") % 4 == k, v) for k, v in more.items()))).alias("text"))
+    first = F.trim(F.concat(at(2), F.lit(" de "), at(0), F.lit(" y "), at(1)))
+    return docs.select("doc_id", F.explode(F.array(F.struct(F.lit(1).alias("rid"), first.alias("role")), F.struct(F.lit(2).alias("rid"), at(4).alias("role")))).alias("r")).select("doc_id", "r.*"), texts
+
+
+@query(f"with {_NUMBERED_SQL} select r.doc_id, r.rid, inferred from r left join n using (doc_id, rid)")
+def inferred_row_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, texts = _numbered(spark, sf_dir)
+    return anchors.infer_row_numbers(rows, texts, "doc_id", "role", "text").select("doc_id", "rid", "inferred")
+
+
 @query(f"with {_ANCHORS_SQL} select doc_id, pos, anchor from c where (kind = 1) = (names < 3 and numbers > names)")
 def anchors_by_name_or_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))

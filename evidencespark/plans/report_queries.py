@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import curate, quality, report
+from ..operators import curate, quality, report, works
 from .base import EXPERIENCES_SQL, PROPOSAL, experiences, read
 from .registry import query
 
@@ -196,9 +196,9 @@ def works_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 select user_id, arg_max(case when event_type = 'click' then event_id end, case when event_type = 'click' then ts end) as clicked, arg_max(case when event_type = 'view' then event_id end, case when event_type = 'view' then ts end) as viewed
 from events group by 1""")
-def latest_nonnull_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+def latest_event_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events").select("user_id", "ts", *(F.when(F.col("event_type") == t, F.col("event_id")).alias(n) for t, n in (("click", "clicked"), ("view", "viewed"))))
-    return report.latest_nonnull(e, "user_id", F.col("ts"), ["clicked", "viewed"])
+    return works.latest_progress(e, "user_id", "ts", ["clicked", "viewed"])
 
 
 @query("""

@@ -35,6 +35,21 @@ ROLE_SYNONYMS: tuple[tuple[str, ...], ...] = (
     ("especialista en comunicaciones", "especialista en tecnologias de la informacion", "especialista en tecnologias de la informacion y comunicacion", "especialista en cableado estructurado", "especialista en redes de cableado estructurado y comunicaciones", "especialista en configuraciones tecnologicas"),
 )
 
+#: Roles that begin a row of a requirement table, accents left out.
+ROLE_CATALOGUE: tuple[str, ...] = (
+    "GERENTE DE CONTRATO", "GERENTE DE PROYECTO", "GERENTE DE OBRA", "JEFE DE SUPERVISION", "JEFE DE PROYECTO", "JEFE DE OBRA", "DIRECTOR DE PROYECTO", "COORDINADOR DE OBRA", "COORDINADOR DE PROYECTO",
+    "INGENIERO DE CAMPO", "INGENIERO RESIDENTE", "RESIDENTE DE OBRA", "RESIDENTE DE SUPERVISION", "ASISTENTE DE SUPERVISION", "ASISTENTE TECNICO",
+    "ESPECIALISTA EN ARQUITECTURA", "ESPECIALISTA EN ARQUITECTURA HOSPITALARIA", "ESPECIALISTA EN ESTRUCTURAS", "ESPECIALISTA EN INSTALACIONES SANITARIAS", "ESPECIALISTA EN INSTALACIONES ELECTRICAS",
+    "ESPECIALISTA EN INSTALACIONES MECANICAS", "ESPECIALISTA EN INSTALACIONES ELECTROMECANICAS", "ESPECIALISTA EN INSTALACIONES", "ESPECIALISTA EN COMUNICACIONES", "ESPECIALISTA EN COMUNICACIONES Y CABLEADO",
+    "ESPECIALISTA EN GASES MEDICINALES", "ESPECIALISTA EN GAS NATURAL", "ESPECIALISTA EN EQUIPAMIENTO HOSPITALARIO", "ESPECIALISTA EN EQUIPAMIENTO MEDICO", "ESPECIALISTA EN EQUIPAMIENTO",
+    "ESPECIALISTA EN CONTROL Y ASEGURAMIENTO DE LA CALIDAD", "ESPECIALISTA EN CONTROL DE CALIDAD", "ESPECIALISTA EN ASEGURAMIENTO DE CALIDAD", "ESPECIALISTA EN SEGURIDAD Y SALUD EN EL TRABAJO",
+    "ESPECIALISTA EN SEGURIDAD Y SALUD", "ESPECIALISTA EN SEGURIDAD", "ESPECIALISTA EN MEDIO AMBIENTE", "ESPECIALISTA AMBIENTAL", "ESPECIALISTA EN GESTION AMBIENTAL",
+    "ESPECIALISTA EN COSTOS, METRADOS Y VALORIZACIONES", "ESPECIALISTA EN COSTOS Y VALORIZACIONES", "ESPECIALISTA EN COSTOS Y PRESUPUESTOS", "ESPECIALISTA EN METRADOS Y COSTOS", "ESPECIALISTA EN COSTOS",
+    "ESPECIALISTA EN PROGRAMACION DE OBRA", "ESPECIALISTA EN PLANIFICACION", "ESPECIALISTA EN GEOTECNIA", "ESPECIALISTA EN MECANICA DE SUELOS", "ESPECIALISTA EN GEOLOGIA", "ESPECIALISTA EN PAVIMENTOS",
+    "ESPECIALISTA BIM", "ESPECIALISTA EN BIM", "COORDINADOR BIM", "ESPECIALISTA EN INFRAESTRUCTURA HOSPITALARIA", "ESPECIALISTA SOCIAL", "ESPECIALISTA EN GESTION SOCIAL",
+    "ESPECIALISTA EN VIGILANCIA TECNOLOGICA", "ESPECIALISTA EN PUESTA EN MARCHA",
+)
+
 #: Alerts: code -> severity.
 ALERTS = {"ALT01": "WARNING", "ALT02": "WARNING", "ALT03": "WARNING", "ALT04": "CRITICAL", "ALT05": "CRITICAL", "ALT06": "CRITICAL", "ALT07": "CRITICAL", "ALT08": "CRITICAL", "ALT09": "WARNING"}
 
@@ -61,7 +76,7 @@ SIGNALS: dict[str, tuple[tuple[str, float], ...]] = {
         ("clausula", 2.5), ("esta seccion no debe ser modificada", 3.0), ("garantia.{0,20}fiel cumplimiento", 2.0), ("penalidad", 1.5), ("perfeccionamiento del contrato", 2.0),
         ("disposiciones comunes", 2.0), ("adelanto directo", 1.5), ("declaracion jurada", 1.5), (r"firma\s+(?:y\s+)?sello", 2.5), (r"datos\s+del\s+postor", 2.0),
         ("denominacion.{0,60}monto.{0,60}fecha", 3.0), (r"declaracion\s+jurada\s+de\s+.{0,60}(?:experiencia|proveedor|ejecutor|postor)", 3.0), ("estructura de costos", 3.0),
-        ("precio de la oferta", 2.5), ("promesa de consorcio", 2.5), ("eleccion de institucion arbitral", 2.5), ("constancia de capacidad", 1.5), (r"senores\s+evaluadores", 1.5),
+        ("precio de la oferta", 2.5), ("promesa de consorcio", 2.5), ("eleccion de institucion arbitral", 2.5), ("constancia de capacidad", 1.5), (r"señores\s+evaluadores", 1.5),
         (r"presente\.?-", 1.5), ("consignar segun corresponda", 2.0), ("postor ganador de la buena pro", 2.5), ("mesa de partes", 2.0), ("firma.{0,10}digital", 1.5),
         (r"plazo.{0,20}articulo.{0,10}\d+.{0,15}reglamento", 2.0), ("suscripcion del contrato", 2.0), ("cuenta.{0,10}interbancaria", 2.0), ("sin precalificacion", 3.0),
         ("admision de.{0,20}ofertas", 2.0), ("evaluacion de ofertas economicas", 2.5), ("pladicop", 2.0), ("puntaje minimo.{0,20}evaluacion tecnica", 2.0), ("el consultor debera", 2.0),

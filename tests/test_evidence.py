@@ -12,8 +12,8 @@ sys.path[:0] = [str(Path(__file__).parent), str(Path(__file__).parents[1])]
 import oracle  # noqa: E402
 
 from evidencespark.functions import dates, fuzzy, records, similarity, text  # noqa: E402
-from evidencespark.operators import chains, fragments, intervals, pages, quality  # noqa: E402
-from evidencespark.plans import queries, report_queries  # noqa: E402, F401
+from evidencespark.operators import anchors, chains, curate, fragments, intervals, pages, quality  # noqa: E402
+from evidencespark.plans import base, queries, report_queries  # noqa: E402, F401
 from evidencespark.plans.registry import ORACLES, QUERIES  # noqa: E402
 from evidencespark.sources import readers  # noqa: E402
 from evidencespark.streaming import progress  # noqa: E402
@@ -195,6 +195,68 @@ def test_micro_metrics_of_nothing(spark):
     assert got == {1: (1.0, 0.0, 0.0), 2: (0.0, 1.0, 0.0), 3: (1.0, 1.0, 1.0), 4: (0.5, 1.0, 0.667)}
 
 
+def test_row_anchors_equal_all_pairs(spark):
+    """Roles bent by a letter or two, run together, cut, backwards, and short ones of short words."""
+    rng = random.Random(12)
+    roles = ("GERENTE DE CONTRATO", "JEFE DE OBRA", "JEFE DE OBRAS", "ESPECIALISTA EN COSTOS", "ESPECIALISTA EN COSTOS Y PRESUPUESTOS", "A B DE LA CD", "INGENIERO RESIDENTE")
+    lines = ["GERENTEDE CONTRATO", "jefes  de obras", "jefé de obra", "obra", "DE LA A B CD EF", "A B C DE LA", None, "", "x" * 300, "INGENIERO CIVIL y/o ARQUITECTO"]
+    for role in roles * 12:
+        bent = list(role)
+        for _ in range(rng.randint(0, 3)):
+            bent[rng.randrange(len(bent))] = rng.choice(("", "X", " ", "E"))
+        lines.append("".join(bent) + rng.choice(("", " N 3", " de la obra")))
+    norm = lambda t: " ".join((t or "").upper().replace("É", "E").split())
+    want = []
+    for line in lines:
+        scores = [(round(fuzzy.token_set(r, norm(line)), 9), len(r), -i) for i, r in enumerate(roles)] if 8 <= len(norm(line)) <= 200 else []
+        best = max(scores, default=(0, 0, 0))
+        want.append(roles[-best[2]] if best[0] >= 92 else None)
+    df = spark.createDataFrame(list(enumerate(lines)), "i int, t string")
+    got = anchors.row_anchors(df, anchors.catalogue(spark, roles), "t").orderBy("i").collect()
+    assert [r["anchor"] for r in got] == want and None in want and len(set(want)) > 5
+
+
+def test_inferred_numbers_equal_a_search(spark):
+    import re
+
+    rng = random.Random(13)
+    words = ("JEFE", "jefe", "obra", "Obras", "señal", "de")
+    text = lambda: "".join(rng.choice((*words, "1", "27", "31", "405", " ", "  | ", "\n", ". ", " " * 31)) for _ in range(40))
+    texts = [(d, text()) for d in (None, *range(30))] + [(30, None)]
+    rows = [(d, role) for d, _ in texts for role in ("Jefe de Obra", "Señal", "Obras y Señal", "de", None)]
+    want = {}
+    for d, role in rows:
+        whole, found = dict(texts)[d] or "", None
+        for w in re.findall(r"\b[A-ZÁÉÍÓÚÑ]{4,}\b", (role or "").upper())[-2:]:
+            hits = [int(m[1] or m[2]) for m in re.finditer(rf"(\d{{1,2}})[\s|]{{0,30}}{w}|{w}[\s|]{{0,30}}(\d{{1,2}})", whole, re.I)]
+            found = found or next((n for n in hits if 1 <= n <= 30), None)
+        want[d, role] = found
+    got = anchors.infer_row_numbers(spark.createDataFrame(rows, "d int, r string"), spark.createDataFrame(texts, "d int, t string"), "d", "r", "t").collect()
+    wrong = {(r["d"], r["r"]): (r["inferred"], want[r["d"], r["r"]]) for r in got if r["inferred"] != want[r["d"], r["r"]]}
+    assert len(got) == len(rows) and not wrong and len(set(want.values())) > 3
+
+
+def test_curation_of_any_keys_and_inferred_numbers(spark):
+    """Document names that are texts or null; a row without a number is laid over and ordered by the number next to its role."""
+    none = "array<string>"
+    titles = spark.createDataFrame([("a:1", 2, "Jefe", ["Civil"], 1), ("a:1", None, "Residente", [], 1), (None, 1, "Gestor", ["x"], 1)], f"doc string, number long, role string, titles {none}, page int")
+    experience = spark.createDataFrame([("a:1", 2, 12, ["Jefe"], "w", 2)], f"doc string, number long, months int, roles {none}, work string, page int")
+    visual = spark.createDataFrame([("a:1", 1, ["Arquitecto"], [], 24, "v")], f"doc string, number long, titles {none}, roles {none}, months int, work string")
+    training = spark.createDataFrame([("a:1", 2, 40), (None, 1, 8), ("b", 3, 5)], "doc string, number long, hours long")
+    texts = spark.createDataFrame([("a:1", "| 1 | RESIDENTE | 2 | JEFE")], "doc string, text string")
+    got = curate.curate_requirements(titles, experience, visual, training, texts=texts).collect()
+    rows = {(r["doc"], r["role"]): (r["number"], r["row"], r["months"], r["hours"], r["titles"]) for r in got}
+    assert rows["a:1", "Residente"] == (None, 1, 24, None, ["Arquitecto"]) and rows["a:1", "Jefe"] == (2, 2, 12, 40, ["Civil"])
+    assert rows[None, "Gestor"][3] == 8 and len(got) <= 4
+
+
+def test_pages_without_an_id_are_numbered(spark, tmp_path):
+    rows = [(1, "a", "s"), (None, "b", "s"), (9000, "c", "s"), (2, "d", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r["source"], r["text"]): r["page_num"] for r in base.pages(spark, str(tmp_path)).collect()}
+    assert got == {("s", "a"): 1, ("s", "c"): 2, ("s", "b"): 3, (None, "d"): 1}
+
+
 def test_changes_as_a_stream(spark, tmp_path):
     rows = [(1, dt.datetime(2024, 1, 1, 0, i), s) for i, s in enumerate(["run", "run", "page", "done"])]
     spark.createDataFrame(rows, "job int, ts timestamp, state string").coalesce(1).write.parquet(str(tmp_path / "in"))
