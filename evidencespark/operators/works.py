@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.similarity import jaccard, tokens
-from ..rules import LINK_LEAD, LINK_SCORE, NAME_JACCARD
+from ..functions.similarity import bound, jaccard, tokens
+from ..functions.text import strip_accents, words
+from ..rules import LINK_LEAD, LINK_SCORE, NAME_JACCARD, NO_PLACES, WORK_KINDS, WORK_STOP_WORDS
+from ..shared import stored
+from .assign import contained_texts
 
 
 def link_score(name: Column, entity: Column, days: Column) -> Column:
@@ -20,16 +23,16 @@ def candidate_pairs(left: DataFrame, right: DataFrame, a: str, b: str, left_word
     words that the fewest rows of right hold (ties by the word; a row with one word known to right has that alone); 2, those that hold
     any two of its words; 3, those that hold any. Counts are over all rows of right; a word is the equality key, the rest is tested on
     the pairs."""
-    words = right.select(b, right_words, F.explode(right_words).alias("word"))
-    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    held = right.select(b, right_words, F.explode(right_words).alias("word"))
+    counts = held.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     own = left.select(a, F.explode(left_words).alias("word")).join(counts, "word")
     own = own.withColumn("__r", F.row_number().over(Window.partitionBy(a).orderBy("n", "word")))
     if level == 1:
         keys = own.where("__r <= 2").groupBy(a).agg(F.min_by("word", "__r").alias("word"), F.max_by("word", "__r").alias("__second"))
-        return keys.join(words, "word").where(F.array_contains(right_words, F.col("__second"))).select(a, b)
+        return keys.join(held, "word").where(F.array_contains(right_words, F.col("__second"))).select(a, b)
     if level == 2:  # of two shared words one is not the last, the most frequent
         own = own.withColumn("__last", F.max("__r").over(Window.partitionBy(a))).where("__r < __last")
-    pairs = own.select(a, "word").join(words.select(b, "word"), "word").select(a, b).distinct()
+    pairs = own.select(a, "word").join(held.select(b, "word"), "word").select(a, b).distinct()
     if level == 2:
         both = pairs.join(left.select(a, left_words), a).join(right.select(b, right_words), b)
         pairs = both.where(F.size(F.array_intersect(left_words, right_words)) >= 2).select(a, b)
@@ -54,6 +57,52 @@ def link_works(certificates: DataFrame, works: DataFrame, certificate: str, work
     return out
 
 
+def key_words(name: Column) -> Column:
+    """Capitals without accents of three letters or more, generic words left out."""
+    plain = F.regexp_replace(strip_accents(F.upper(F.coalesce(name, F.lit("")))), r"[^A-Z0-9\s]", " ")
+    return F.filter(words(plain), lambda w: (F.length(w) > 2) & ~w.isin(*WORK_STOP_WORDS))
+
+
+def phrase_keys(name: Column) -> Column:
+    """Up to four phrases to look a work up by, from specific to generic: kind and two places, three places, five key words, kind and place."""
+
+    def keys(k: Column) -> Column:
+        kinds = F.filter(k, lambda w: w.isin(*WORK_KINDS))
+        places = F.filter(k, lambda w: ~w.isin(*WORK_KINDS, *NO_PLACES))
+        phrase = lambda *parts: F.array_join(F.concat(*parts), " ")
+        both = (F.size(kinds) > 0) & (F.size(places) > 0)
+        found = (
+            F.when(both, phrase(F.slice(kinds, 1, 1), F.slice(places, 1, 2))), F.when(F.size(places) > 0, phrase(F.slice(places, 1, 3))),
+            F.when(F.size(k) > 0, phrase(F.slice(k, 1, 5))), F.when(both, phrase(F.slice(kinds, 1, 1), F.slice(places, 1, 1))),
+        )
+        return F.array_distinct(F.array_compact(F.array(*found)))
+
+    return bound(key_words(name), keys)
+
+
+def link_works_by_phrase(certificates: DataFrame, works: DataFrame, certificate: str, work: str) -> DataFrame:
+    """certificates: certificate, name, entity, day; works: work, name, entity, start. A certificate's candidates are the works whose key words,
+    as one text, hold its first phrase that any work holds; of these the best by link_score, if it reaches LINK_SCORE: certificate, level
+    (of the phrase, from 1), candidates, work, score, ambiguous (the next is less than LINK_LEAD behind). Phrases are looked up among
+    distinct names by their rarest letters, and certificates of one name, entity and day are linked once."""
+    c = certificates.select(certificate, "name", "entity", "day")
+    asked = c.select("name", "entity", "day").distinct()
+    names = stored(asked.select("name").distinct().select("name", F.posexplode(phrase_keys(F.col("name"))).alias("pos", "key")), "link-keys")
+    registry = stored(works.select(work, F.col("name").alias("w_name"), F.col("entity").alias("w_entity"), "start", F.array_join(key_words(F.col("name")), " ").alias("hay")), "link-works")
+    held = contained_texts(names.select(F.lit(0).alias("g"), "key"), registry.select(F.lit(0).alias("g"), F.col("hay").alias("key")), "g", "key").select(F.col("needle").alias("key"), "hay")
+    held = stored(held, "link-held")
+    first = names.join(held.select("key").distinct(), "key").groupBy("name").agg(F.min("pos").alias("pos"), F.min_by("key", "pos").alias("key"))
+    pairs = asked.join(first, "name").join(held, "key").join(registry, "hay")
+    score = link_score(jaccard(tokens(F.col("name")), tokens(F.col("w_name"))), jaccard(tokens(F.col("entity")), tokens(F.col("w_entity"))), F.datediff("day", "start"))
+    scored = pairs.select("name", "entity", "day", (F.col("pos") + 1).alias("level"), work, F.round(score, 6).alias("score"))
+    own = Window.partitionBy("name", "entity", "day")
+    order = own.orderBy(F.desc("score"), work)
+    ranked = scored.withColumns({"rank": F.row_number().over(order), "next": F.lead("score").over(order), "candidates": F.count(F.lit(1)).over(own)})
+    best = ranked.where((F.col("rank") == 1) & (F.col("score") >= LINK_SCORE)).withColumn("ambiguous", F.coalesce(F.col("score") - F.col("next") < LINK_LEAD, F.lit(False)))
+    same = F.col("c.name").eqNullSafe(F.col("b.name")) & F.col("c.entity").eqNullSafe(F.col("b.entity")) & F.col("c.day").eqNullSafe(F.col("b.day"))
+    return c.alias("c").join(best.alias("b"), same).select(f"c.{certificate}", "level", "candidates", f"b.{work}", "score", "ambiguous")
+
+
 def top_candidates(scored: DataFrame, key: str, score: str, other: str, k: int = 10) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(score), other))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)

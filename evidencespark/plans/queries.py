@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, records, similarity, text
 from ..operators import anchors, curate, evaluate, fragments, intervals, merge, pages, quality, requirements, works
-from ..rules import ROLE_CATALOGUE, SIGNALS
+from ..rules import NO_PLACES, ROLE_CATALOGUE, SIGNALS, WORK_KINDS, WORK_STOP_WORDS
 from ..sources import readers
 from ..streaming import progress
 from .base import EXPERIENCES_SQL, PAGES_SQL, PROPOSAL, WINDOW, experiences, read
@@ -716,6 +716,41 @@ def link_candidates_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return works.link_works(certs, registry, "cert", "work", levels=(1,))  # the SQL has the first level alone
 
 
+_PHRASES_SQL = f"""
+w as (select p_partkey as work, 'Mejoramiento de los servicios del ' || case when p_partkey % 4 = 0 then '' else ['Hospital', 'Colegio', 'Puente'][1 + p_partkey % 3] end || ' Zona' || p_partkey // 8 || ' ' || p_name || ' ' || p_type as name, p_brand as entity, date '1996-01-01' + p_size * 30 as start from part),
+c as (select l_orderkey * 10 + l_linenumber as cert, case l_linenumber % 4 when 0 then name when 1 then replace(replace(replace(name, 'Hospital', ''), 'Colegio', ''), 'Puente', '') when 2 then replace(name, 'Zona' || p_partkey // 8, 'Zona' || p_partkey // 8 || ' de apoyo Nuevo') else 'Obra de Saneamiento ' || p_name || ' X' || l_suppkey end as name,
+  entity, l_shipdate::date as day from lineitem join part on p_partkey = l_partkey join w on work = p_partkey),
+n as (select distinct name from c union select name from w),
+k as (select *, list_filter(k0, lambda x: list_contains({list(WORK_KINDS)}, x)) as kinds, list_filter(k0, lambda x: not list_contains({list(WORK_KINDS + NO_PLACES)}, x)) as places
+  from (select name, list_filter(string_split(regexp_replace(upper(strip_accents(name)), '[^A-Z0-9 ]', ' ', 'g'), ' '), lambda x: length(x) > 2 and not list_contains({list(WORK_STOP_WORDS)}, x)) as k0 from n)),
+q as (select name, array_to_string(k0, ' ') as hay, [case when len(kinds) > 0 and len(places) > 0 then array_to_string(kinds[1:1] || places[1:2], ' ') end, case when len(places) > 0 then array_to_string(places[1:3], ' ') end, case when len(k0) > 0 then array_to_string(k0[1:5], ' ') end, case when len(kinds) > 0 and len(places) > 0 then array_to_string(kinds[1:1] || places[1:1], ' ') end] as keys from k),
+u as (select name, list_filter(keys, lambda x: x is not null) as keys from q), d as (select name, list_filter(keys, lambda x, i: list_position(keys, x) = i) as keys from u),
+p as (select name, unnest(keys) as key, generate_subscripts(keys, 1) as pos from d where name in (select name from c)),
+h as (select distinct key, hay from (select distinct key from p), (select distinct hay from q where name in (select name from w)) where contains(hay, key)),
+f as (select name, min(pos) as pos, arg_min(key, pos) as key from p where key in (select key from h) group by 1),
+t as (select name, list_distinct(list_filter(string_split(regexp_replace(upper(strip_accents(name)), '[^A-Z0-9 ]', ' ', 'g'), ' '), lambda x: x <> '')) as toks from n),
+a as (select c.name, c.entity, c.day, f.pos as level, w.work, round(50 * len(list_intersect(t.toks, tw.toks)) / len(list_distinct(list_concat(t.toks, tw.toks)))
+   + case when day - start < 0 then -10 when day - start <= 3650 then greatest(0, 30 - (day - start) / 365 * 3) else 0 end + case when c.entity = w.entity then 20 else 20 / 3 end, 6) as score
+  from (select distinct name, entity, day from c) c join f using (name) join h using (key) join q on q.hay = h.hay join w on w.name = q.name join t on t.name = c.name join t tw on tw.name = w.name),
+r as (select *, row_number() over own as i, lead(score) over own as nxt, count(*) over (partition by name, entity, day) as candidates from a window own as (partition by name, entity, day order by score desc, work))"""
+
+
+@query(f"with {_PHRASES_SQL} select cert, level::int as level, candidates, work, score::double as score, coalesce(score - nxt < 5, false) as ambiguous from r join c using (name, entity, day) where i = 1 and score >= 15")
+def linked_works(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines as certificates, by names as the work's own, without its kind, with words put in between, and of no work."""
+    part = read(spark, sf_dir, "part")
+    zone, kind = F.expr("concat('Zona', p_partkey div 8)"), F.expr("if(p_partkey % 4 = 0, '', element_at(array('Hospital', 'Colegio', 'Puente'), cast(1 + p_partkey % 3 as int)))")
+    name = F.concat(F.lit("Mejoramiento de los servicios del "), kind, F.lit(" "), zone, F.lit(" "), "p_name", F.lit(" "), "p_type")
+    registry = part.select(F.col("p_partkey").alias("work"), name.alias("name"), F.col("p_brand").alias("entity"), F.date_add(F.lit("1996-01-01").cast("date"), F.col("p_size") * 30).alias("start"), "p_name", zone.alias("zone"))
+    lines = read(spark, sf_dir, "lineitem").join(registry, F.col("work") == F.col("l_partkey"))
+    bare = F.regexp_replace("name", "Hospital|Colegio|Puente", "")
+    other = F.concat(F.lit("Obra de Saneamiento "), "p_name", F.lit(" X"), F.col("l_suppkey").cast("string"))
+    names = {0: F.col("name"), 1: bare, 2: F.replace(F.col("name"), F.col("zone"), F.concat("zone", F.lit(" de apoyo Nuevo"))), 3: other}
+    made = F.coalesce(*(F.when(F.col("l_linenumber") % 4 == k, v) for k, v in names.items()))
+    certs = lines.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("cert"), made.alias("name"), "entity", F.col("l_shipdate").cast("date").alias("day"))
+    return works.link_works_by_phrase(certs, registry, "cert", "work")
+
+
 @query("""
 select c_custkey, o_orderkey, o_totalprice, rank from (select o_custkey as c_custkey, o_orderkey, o_totalprice, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as rank from orders) where rank <= 10""")
 def top10_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:

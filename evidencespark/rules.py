@@ -66,6 +66,14 @@ NAME_JACCARD = 0.6
 LINK_SCORE = 15.0
 LINK_LEAD = 5.0
 
+#: Words of work names that tell nothing, kinds of buildings, and words that are no name of a place.
+WORK_STOP_WORDS = (
+    "MEJORAMIENTO", "AMPLIACION", "CONSTRUCCION", "CREACION", "REHABILITACION", "REMODELACION", "INSTALACION", "RECUPERACION", "DE", "DEL", "LA", "LAS", "LOS", "EL", "EN", "AL", "CON", "PARA", "POR", "A", "UN", "UNA", "Y", "O", "E",
+    "SERVICIOS", "SALUD", "OBRA", "PROYECTO", "EJECUCION", "SUPERVISION", "CONSULTORIA", "SERVICIO", "CAPACIDAD", "RESOLUTIVA", "PRESTACION", "ACCESO",
+)
+WORK_KINDS = ("HOSPITAL", "CENTRO", "ESTABLECIMIENTO", "POSTA", "CLINICA", "COLEGIO", "ESCUELA", "UNIVERSIDAD", "CARRETERA", "PUENTE", "ESTADIO", "COLISEO", "PALACIO", "MUNICIPALIDAD")
+NO_PLACES = ("APOYO", "NIVEL", "ATENCION", "SEGUNDO", "REGIONAL")
+
 #: Page signals, class -> (pattern over lower-case text without accents, weight). Accents are left out of the patterns as out of the text.
 SIGNALS: dict[str, tuple[tuple[str, float], ...]] = {
     "rtm_postor": (("debe acreditar", 3.0), ("monto facturado", 3.0), ("experiencia.{0,20}postor", 2.5), ("obra.{0,20}similar|servicio.{0,20}similar", 2.0), ("no menor de", 1.5), ("requisito.{0,15}minimo", 1.5), ("descalifica", 2.0), ("acumulado.{0,20}equivalente", 2.0), ("contrato.{0,30}ejecutad", 1.0)),
