@@ -50,7 +50,9 @@ def row_anchors(lines: DataFrame, roles: DataFrame, text: str, ratio: float = AN
     shared = x.where(long).join(y.where(long), "word").select("line", "name")
     shared = shared.unionByName(x.where(~long & F.col("x_short")).join(y.where(~long), "word").select("line", "name"))
     shared = shared.unionByName(x.where(~long & ~F.col("x_short")).join(y.where(~long & F.col("y_short")), "word").select("line", "name"))
-    close = similar_candidates(left.select(F.lit(0).alias("g"), "whole"), right.select(F.lit(0).alias("g"), F.col("whole").alias("other")), "g", "whole", "other", ratio / 100, 1)
+    shortest, longest = right.agg(F.min(F.length("whole")), F.max(F.length("whole"))).first()
+    alike = left.where(F.length("whole").between((shortest or 0) * share - 1, (longest or 0) / share + 1))  # other lines are no role but for a few letters
+    close = similar_candidates(alike.select(F.lit(0).alias("g"), "whole"), right.select(F.lit(0).alias("g"), F.col("whole").alias("other")), "g", "whole", "other", ratio / 100, 1)
     close = close.join(left.select("line", "whole"), "whole").join(right.select("name", F.col("whole").alias("other")), "other").select("line", "name")
     pairs = shared.unionByName(close).distinct()
     both = pairs.join(left.select("line", F.col("words").alias("a"), F.col("whole").alias("a_whole")), "line").join(right.select("name", "position", "role", F.col("words").alias("b"), F.col("whole").alias("b_whole")), "name")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import curate, quality, report, works
+from ..operators import cells, curate, intake, quality, report, works
 from .base import EXPERIENCES_SQL, PROPOSAL, experiences, read
 from .registry import query
 
@@ -238,3 +238,100 @@ def golden_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def worst_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = report.worst_rows(read(spark, sf_dir, "lineitem"), ["l_discount", "l_tax"], ["l_orderkey", "l_linenumber"])
     return rows.select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), "mean")
+
+
+# Model answers and tables of cells
+
+_ITEM_SQL = """'{"numero": ' || case <k> % 4 when 0 then <k>::varchar when 1 then '" ' || <k> || ' "' when 2 then '"x"' else 'null' end || ', "cargo": " Jefe ' || source || ' ", "titulos": [" Civil ", 7, "", "Sanitario"], "tipo": "' || case <k> % 3 when 0 then ' ' else lang end || '"}'"""
+
+
+def _answer_sql(k: str, form: str) -> str:
+    item = _ITEM_SQL.replace("<k>", k)
+    return f"""case {form} when 0 then '{{"experiencias": [' || {item} || ', ' || {item} || ']}}' when 1 then '{{"experiencias": []}}' when 2 then '{{"experiencias": "x", "services": []}}' when 3 then 'no answer' when 4 then '{{"certificates": [' || {item} || ']}}' when 5 then '{{"experiencias": null}}' else '[1]' end"""
+
+
+_ATTEMPTS_SQL = f"""
+t as (select doc_id, 1 as attempt, {_answer_sql("doc_id", "doc_id % 7")} as raw from documents union all select doc_id, 2, {_answer_sql("(doc_id + 1)", "doc_id // 7 % 7")} from documents where doc_id % 10 <> 0),
+p as (select doc_id, attempt, case when json_valid(raw) then raw::json end as j from t),
+l as (select doc_id, attempt, case when json_type(j, '$.experiencias') is not null then case when json_type(j, '$.experiencias') = 'ARRAY' then json_extract(j, '$.experiencias') end when json_type(j, '$.services') = 'ARRAY' then json_extract(j, '$.services') when json_type(j, '$.certificates') = 'ARRAY' then json_extract(j, '$.certificates') end as items from p),
+b as (select doc_id, min(case when items is not null then (json_array_length(items) = 0)::int * 10 + attempt end) as best from l group by 1)"""
+
+
+def _attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two attempts a document, in fences or bare: lists, empty ones, under other names, no list, null, no JSON."""
+    d = read(spark, sf_dir, "documents").select("doc_id", "source", "lang")
+
+    def answer(k: Column, form: Column) -> Column:
+        n = k.cast("string")
+        number = F.when(k % 4 == 0, n).when(k % 4 == 1, F.concat(F.lit('" '), n, F.lit(' "'))).when(k % 4 == 2, '"x"').otherwise("null")
+        item = F.concat(F.lit('{"numero": '), number, F.lit(', "cargo": " Jefe '), "source", F.lit(' ", "titulos": [" Civil ", 7, "", "Sanitario"], "tipo": "'), F.when(k % 3 == 0, " ").otherwise(F.col("lang")), F.lit('"}'))
+        forms = (
+            F.concat(F.lit('```json\n{"experiencias": ['), item, F.lit(", "), item, F.lit("]}\n```")), F.lit('{"experiencias": []}'), F.lit('{"experiencias": "x", "services": []}'), F.lit("no answer"),
+            F.concat(F.lit('<think>{"a": 1}</think>{"certificates": ['), item, F.lit("]}")), F.lit('{"experiencias": null}'), F.lit("[1]"),
+        )
+        return F.coalesce(*(F.when(form == i, f) for i, f in enumerate(forms)))
+
+    k = F.col("doc_id")
+    first = d.select("doc_id", F.lit(1).alias("attempt"), answer(k, k % 7).alias("raw"))
+    return first.unionByName(d.where("doc_id % 10 <> 0").select("doc_id", F.lit(2).alias("attempt"), answer(k + 1, F.expr("doc_id div 7 % 7")).alias("raw")))
+
+
+@query(f"with {_ATTEMPTS_SQL} select doc_id, (best % 10)::int as attempt, best is null as review, coalesce(best < 10, false) as filled from b")
+def chosen_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intake.extraction_lists(_attempts(spark, sf_dir), ["doc_id"], "attempt", "raw")[0]
+
+
+@query(f"""
+with {_ATTEMPTS_SQL}, i as (select doc_id, unnest(json_extract(items, '$[*]')) as e from l join b using (doc_id) where best < 10 and attempt = best)
+select doc_id, number, role, titles, kind from (select doc_id, try_cast(trim(e->>'numero') as bigint) as number, trim(e->>'cargo') as role, 'Civil,Sanitario' as titles, nullif(trim(e->>'tipo'), '') as kind from i) where number is not null""")
+def extracted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, items = intake.extraction_lists(_attempts(spark, sf_dir), ["doc_id"], "attempt", "raw")
+    as_read = items.select("doc_id", F.try_parse_json(F.concat(F.lit('{"filas": ['), F.col("item").cast("string"), F.lit("]}"))).alias("value"))
+    out = intake.visual_rows(as_read, "value", {"role": "cargo", "kind": "tipo"}, {"titles": "titulos"})
+    return out.select("doc_id", "number", "role", F.array_join("titles", ",").alias("titles"), "kind")
+
+
+@query("""
+select p_partkey, case p_partkey % 3 when 0 then 'Jefe ' || p_name when 1 then '' end as role, case p_partkey % 4 when 1 then 'meses' when 2 then 'horas' end as unit, case when p_partkey % 4 in (1, 2) then p_size end as amount,
+  case when p_partkey % 5 = 0 then p_brand || '|' || p_type end as titles, (case when p_partkey % 2 = 0 then p_size else 0 end)::int as count from part""")
+def requirement_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requirements with missing, null and empty parts; the number of sections of a job's result."""
+    p, k = read(spark, sf_dir, "part"), F.col("p_partkey")
+    role = F.when(k % 3 == 0, F.concat(F.lit('"cargo": "Jefe '), "p_name", F.lit('", '))).when(k % 3 == 1, F.lit("")).otherwise('"cargo": null, ')
+    size = F.col("p_size").cast("string")
+    exp = F.when(k % 4 == 0, "null").when(k % 4 == 1, F.concat(F.lit('{"cantidad": '), size, F.lit("}"))).when(k % 4 == 2, F.concat(F.lit('{"cantidad": '), size, F.lit(', "unidad": "horas"}'))).otherwise("{}")
+    titles = F.when(k % 5 == 0, F.concat(F.lit('"profesiones_aceptadas": ["'), "p_brand", F.lit('", "'), "p_type", F.lit('"], '))).otherwise("")
+    value = F.try_parse_json(F.concat(F.lit("{"), role, titles, F.lit('"experiencia_minima": '), exp, F.lit("}")))
+    result = F.try_parse_json(F.when(k % 4 == 0, F.concat(F.lit('{"total_cargos": '), size, F.lit("}"))).when(k % 4 == 2, F.concat(F.lit('{"secciones": ['), F.array_join(F.array_repeat(F.lit("1"), F.col("p_size")), ","), F.lit("]}"))).otherwise("{}"))
+    out = p.select("p_partkey", intake.requirement_record(value).alias("r"), intake.result_count(F.when(k % 4 == 0, "tdr").otherwise("full"), result).alias("count"))
+    return out.select("p_partkey", "r.role", "r.experience.unit", "r.experience.amount", F.array_join("r.titles", "|").alias("titles"), "count")
+
+
+_CELLS_SQL = """
+r as (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) as i from lineitem),
+e as (select l_orderkey as k, i, case when l_partkey % 9 = 0 then 'x' else (l_linenumber % 3)::varchar end as n, case when l_suppkey % 5 = 0 then '' else 'Jefe ' || l_partkey end as role, case when l_suppkey % 2 = 0 then '' else 'Grado ' || l_suppkey end as edu from r where not (l_orderkey % 5 = 4 and i > 1)),
+c as (select k, n::bigint as n, i, role, edu from e where n <> 'x' and role <> '' and k % 5 <> 4 and not (k % 5 = 3 and i % 4 = 0) and not (k % 5 = 2))"""
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order a table: headers as expected, in another order, of other words (so columns go by their defaults and hold no number), with short rows, and
+    tables of a header alone."""
+    lines = read(spark, sf_dir, "lineitem")
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate"]
+    k = F.col("l_orderkey")
+    rows = curate.number_rows(lines, ["l_orderkey"], [F.col(c) for c in order], "i").where("not (l_orderkey % 5 = 4)")
+    number = F.when(F.col("l_partkey") % 9 == 0, "x").otherwise((F.col("l_linenumber") % 3).cast("string"))
+    role = F.when(F.col("l_suppkey") % 5 == 0, F.lit(None)).otherwise(F.concat(F.lit(" Jefe "), F.col("l_partkey").cast("string")))
+    edu = F.when(F.col("l_suppkey") % 2 == 0, " ").otherwise(F.concat(F.lit("Grado "), F.col("l_suppkey").cast("string")))
+    plain, turned = F.array(number, role, edu), F.array(edu, role, number)
+    cut = F.when((k % 5 == 3) & (F.col("i") % 4 == 0), F.array(number)).otherwise(plain)
+    body = rows.select(k.alias("k"), F.col("i").cast("long").alias("i"), F.when((k % 5).isin(1, 2), turned).otherwise(cut).alias("cells"))
+    words = lambda *x: F.array(*map(F.lit, x))
+    header = F.when(k % 5 == 0, words("N°", "Cargo y/o responsabilidad", "Formación académica")).when(k % 5 == 1, words("Formacion", " cargo ", "nro")).when(k % 5 == 2, words("a", "b", "c")).otherwise(words(None, "Responsabilidad", "academica"))
+    heads = lines.select("l_orderkey").distinct().select(k.alias("k"), F.lit(0).cast("long").alias("i"), header.alias("cells"))
+    return body.unionByName(heads)
+
+
+@query(f"with {_CELLS_SQL} select k, n as number, arg_min(role, i) as role, coalesce(arg_min(edu, i) filter (edu <> ''), '') as education from c group by 1, 2")
+def columns_by_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cells.title_rows(cells.raw_tables(_cells(spark, sf_dir), ["k"], "i", "cells"), ["k"], "i", "cells")
