@@ -1,6 +1,7 @@
 """Mixing sources to target weights by Sainte-Lague apportionment, in DataFrame operations.
 
-Sizes are counted in words. The mix is dealt in equal blocks of words: sources get integer numbers of
+Sizes are counted in words. The mix is dealt in equal blocks of words, BLOCK_WORDS or fewer, so that the smallest target has SMALLEST_BLOCKS of
+them or they are single words: sources get integer numbers of
 blocks by highest quotients target / (2k + 1); each source is cut by a seeded hash into shards of bounded
 size, a source's blocks are dealt to its shards in proportion to their words, and inside a shard the
 documents stand in seeded order, cut into blocks. Every block is taken quota div blocks times; of the rest,
@@ -27,7 +28,7 @@ from .common import stored
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 CAP = 3
-BLOCK_WORDS = 16
+BLOCK_WORDS, SMALLEST_BLOCKS = 16, 64
 SHARD_WORDS = 250_000
 #: Rows of the table of sources up to which it is broadcast; beyond, it is joined by shuffle.
 BROADCAST_SOURCES = 20_000
@@ -83,13 +84,14 @@ def word_count() -> Column:
     return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def plan_sources(sized: DataFrame, weights: Callable[[Sequence[str | None]], dict] = cycled, cap: int = CAP, block: int = BLOCK_WORDS) -> list[Source]:
-    """One row per source is collected."""
+def plan_sources(sized: DataFrame, weights: Callable[[Sequence[str | None]], dict] = cycled, cap: int = CAP, block: int = BLOCK_WORDS) -> tuple[list[Source], int]:
+    """The sources and the words of a block. One row per source is collected."""
     sizes = {r["source"]: r["size"] for r in sized.groupBy("source").agg(F.sum("size").alias("size")).collect()}
     targets = water_fill(sizes, weights(list(sizes)), cap)
     names = list(weights(list(sizes)))
+    block = max(1, min(block, int(min((t for t in targets.values() if t > 0), default=block) // SMALLEST_BLOCKS)))
     won = sainte_lague([targets[n] for n in names], round(sum(targets.values()) / block))
-    return [Source(n, sizes[n], targets[n], min(k, cap * -(-sizes[n] // block))) for n, k in zip(names, won)]
+    return [Source(n, sizes[n], targets[n], min(k, cap * -(-sizes[n] // block))) for n, k in zip(names, won)], block
 
 
 def mix(sized: DataFrame, weights: Callable[[Sequence[str | None]], dict] = cycled, cap: int = CAP, block: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = 17, rows: DataFrame | None = None) -> DataFrame:
@@ -97,13 +99,14 @@ def mix(sized: DataFrame, weights: Callable[[Sequence[str | None]], dict] = cycl
     source_size, target, copies (times the whole document is taken), runs (further word ranges [start, end) of it), taken.
     rows: the same documents with a column doc, which is carried along; totals are always those of sized."""
     spark = sized.sparkSession
-    plan = plan_sources(sized, weights, cap, block)
+    plan, block = plan_sources(sized, weights, cap, block)
     plain = [(i, s.name, s.size, s.target, s.blocks, max(1, -(-s.size // shard_words))) for i, s in enumerate(plan)]
     sources = spark.createDataFrame(plain, "no long, __source string, source_size long, target double, source_blocks long, shards long")
     sources = F.broadcast(sources) if len(plain) <= BROADCAST_SOURCES else sources
 
     def dealt(df: DataFrame) -> DataFrame:
         df = df.join(sources, F.col("source").eqNullSafe(F.col("__source"))).withColumn("order", F.xxhash64(F.lit(seed), "doc_id"))
+        df = df.withColumn("order", F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(seed), "size")).otherwise(F.col("order")))  # rows without an id are not one key
         return df.withColumn("shard", F.pmod(F.xxhash64("order"), F.col("shards")))
 
     both = dealt(sized.select("doc_id", "source", "size") if rows is None else rows.select("doc_id", "source", "size", "doc"))

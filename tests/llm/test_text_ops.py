@@ -126,6 +126,19 @@ def test_mixing(spark, sf, edge, none):
     assert len(got) == edge.count() and mixing.mix_documents(none).count() == 0
 
 
+def test_small_sources_are_near_their_targets(spark):
+    """Sources of 1 to 50 words beside one of 20,000: each within a 32nd, or a word, of its target, also those below their cap."""
+    sizes = {f"s{n:02}": n for n in (*range(1, 20), 33, 50)} | {"big": 20_000}
+    docs = [(i, s, " ".join(["w"] * (n // 2))) for i, (s, n) in enumerate(sizes.items())] + [(None if n % 2 else 100 + i, s, "w " * (n - n // 2)) for i, (s, n) in enumerate(sizes.items())]
+    for weights in (mixing.cycled, lambda names: {n: 100_000.0 if n == "big" else float(sizes[n]) for n in names}):
+        sized = spark.createDataFrame(docs, "doc_id long, source string, text string").select("doc_id", "source", mixing.word_count().alias("size"))
+        got = mixing.mix(sized, weights).groupBy("source").agg({"taken": "sum", "target": "max"}).collect()
+        assert len(got) == len(sizes)
+        for r in got:
+            assert abs(r["sum(taken)"] - r["max(target)"]) <= max(1.0, r["max(target)"] / 32)
+    assert {r["source"]: r["sum(taken)"] for r in mixing.mix(sized).groupBy("source").agg({"taken": "sum"}).collect()} | {"big": 0} == {s: 3 * n if n < 20_000 else 0 for s, n in sizes.items()}
+
+
 def test_mixed_texts_have_the_words_of_the_mix(spark, sf, edge):
     docs = table(spark, sf, "documents")
     plan = {r["doc_id"]: r["taken"] for r in mixing.mix(docs.select("doc_id", "source", mixing.word_count().alias("size"))).collect()}
