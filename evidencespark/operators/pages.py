@@ -230,12 +230,12 @@ def text_density_route(pages: DataFrame, doc: str, page: str, sample: int = 5) -
     return out.withColumn("route", F.when(F.col("first_mean") >= 200, "digital").when(F.col("mean") < 50, "scanned").otherwise("mixed"))
 
 
-def pack_pages(pages: DataFrame, doc: str, page: str, most: int = 30_000, overlap: int = 1, table: Column | None = None, whole: Column | None = None) -> DataFrame:
+def pack_pages(pages: DataFrame, doc: str, page: str, most: int = 30_000, overlap: int = 1, table: Column | None = None, whole: Column | None = None, size: Column | None = None) -> DataFrame:
     """doc, part (from 1, by first page), page. Pages that hold a table are parts of their own. The others stay together if they hold at most
     most characters; else they are packed in order, each part as many pages as fit (at least one) and the next one beginning overlap pages
     before its end if it has more than these, so the last pages come again by themselves. Documents marked whole are one part. Parts are
-    found by running sums, a successor for each page and pointer doubling; only lengths and marks are moved, no text."""
-    marks = {"size": F.length(F.coalesce("text", F.lit(""))).cast("long"), "__table": F.coalesce(F.lit(False) if table is None else table, F.lit(False)), "__whole": F.coalesce(F.lit(False) if whole is None else whole, F.lit(False))}
+    found by running sums, a successor for each page and pointer doubling; only lengths and marks are moved, no text (none is needed where size gives the lengths)."""
+    marks = {"size": (F.length(F.coalesce("text", F.lit(""))) if size is None else size).cast("long"), "__table": F.coalesce(F.lit(False) if table is None else table, F.lit(False)), "__whole": F.coalesce(F.lit(False) if whole is None else whole, F.lit(False))}
     own = pages.withColumns(marks).select(F.struct(doc).alias("__d"), F.col(page).cast("long").alias("__p"), *marks)
     alone = own.where("__table and not __whole").select("__d", F.col("__p").alias("first"), F.lit(0).cast("long").alias("i"), F.lit(1).alias("alone"))
     rows = stored(running_sums(own.where("__whole or not __table"), "__d", "__p", "size"), "pages-placed")

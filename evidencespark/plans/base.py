@@ -28,17 +28,26 @@ def experiences(spark: SparkSession, sf_dir: str) -> DataFrame:
 PAGE_BUCKET = 4096
 
 
-def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as pages of their source, numbered by doc_id. Sources may hold a third of all rows, so a row is numbered inside its
-    bucket of doc_ids, and a small table has the pages of the source before each bucket."""
-    bucket = F.floor(F.col("doc_id") / PAGE_BUCKET).alias("bucket")
-    docs = read(spark, sf_dir, "documents").select("source", "doc_id", bucket, F.coalesce("text", F.lit("")).alias("text"))
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs (source, doc_id, ...) with page_num: documents as pages of their source, numbered by doc_id, those without one last. Sources may hold a
+    third of all rows, so a row is numbered inside its bucket of doc_ids, and a small table has the pages of the source before each bucket.
+    All columns of docs are shuffled once: leave out texts where what is made of them will do."""
+    docs = docs.withColumn("bucket", F.floor(F.col("doc_id") / PAGE_BUCKET))
     counts = docs.groupBy(F.col("source").alias("s"), F.col("bucket").alias("b")).agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("s").orderBy(F.col("b").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = counts.select("s", "b", before.alias("before"))
     n = F.row_number().over(Window.partitionBy("source", "bucket").orderBy("doc_id"))
-    numbered = docs.withColumn("n", n).join(counts, F.col("source").eqNullSafe(F.col("s")) & F.col("bucket").eqNullSafe(F.col("b")))
-    return numbered.select("source", (F.col("before") + F.col("n")).cast("int").alias("page_num"), "doc_id", "text")
+    placed = docs.withColumn("n", n).join(counts, F.col("source").eqNullSafe(F.col("s")) & F.col("bucket").eqNullSafe(F.col("b")))
+    return placed.withColumn("page_num", (F.col("before") + F.col("n")).cast("int")).drop("bucket", "n", "s", "b", "before")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("source", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """source, page_num, doc_id, text."""
+    return numbered(documents(spark, sf_dir)).select("source", "page_num", "doc_id", "text")
 
 
 def hits(text: Column, pattern: str) -> Column:

@@ -10,7 +10,7 @@ from ..operators import anchors, curate, evaluate, fragments, intervals, merge,
 from ..rules import NO_PLACES, ROLE_CATALOGUE, SIGNALS, WORK_KINDS, WORK_STOP_WORDS
 from ..sources import readers
 from ..streaming import progress
-from .base import EXPERIENCES_SQL, PAGES_SQL, PROPOSAL, WINDOW, experiences, read
+from .base import EXPERIENCES_SQL, PAGES_SQL, PROPOSAL, WINDOW, documents, experiences, numbered, read
 from .base import pages as source_pages
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -272,10 +272,15 @@ typed as (select *, case when greatest(score_symbols, score_loud) >= 3 and score
 
 
 def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = pages.score_pages(source_pages(spark, sf_dir), SIGNS)
+    scored = pages.score_pages(documents(spark, sf_dir), SIGNS)
     return scored.withColumn("kind", pages.dominant_type(list(SIGNS)))
 
 
+def _typed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """source, page_num, doc_id, kind, chars: no text is moved."""
+    return numbered(_typed(spark, sf_dir).select("source", "doc_id", "kind", F.length("text").cast("long").alias("chars")))
+
+
 @query(_TYPES_SQL + " select doc_id, score_symbols, score_loud, score_blacklist from scored")
 def score_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _typed(spark, sf_dir).select("doc_id", "score_symbols", "score_loud", "score_blacklist")
@@ -330,7 +335,7 @@ spans as (select source, block, kind, min(page_num) as first, max(page_num) as l
 
 
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.group_pages_into_blocks(_typed(spark, sf_dir).select("source", "page_num", "kind", F.length("text").cast("long").alias("chars")), "source", "page_num", "kind")
+    return pages.group_pages_into_blocks(_typed_pages(spark, sf_dir).select("source", "page_num", "kind", "chars"), "source", "page_num", "kind")
 
 
 def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -344,14 +349,14 @@ def blocks_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_BLOCKS_SQL + " select s.source, block, p.page_num, p.doc_id from spans s join pages_t p on p.source = s.source and p.page_num between greatest(1, first - 1) and last + 1")
 def block_context_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = source_pages(spark, sf_dir).select("source", "page_num", "doc_id")
+    own = numbered(documents(spark, sf_dir).select("source", "doc_id"))
     return pages.expand_block_context(_spans(spark, sf_dir).select("source", "block", "first", "last"), own, "source", "page_num").select("source", "block", "page_num", "doc_id")
 
 
 @query(_BLOCKS_SQL + """
 select source, block, md5(string_agg('[Página ' || page_num || ']' || chr(10) || text, chr(10) || chr(10) order by page_num)) as digest from blocks group by 1, 2""")
 def block_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = pages.group_pages_into_blocks(_typed(spark, sf_dir), "source", "page_num", "kind")
+    own = pages.group_pages_into_blocks(numbered(_typed(spark, sf_dir)), "source", "page_num", "kind")
     return pages.block_text(own, ["source", "block"], "page_num").select("source", "block", F.md5("text").alias("digest"))
 
 
@@ -360,7 +365,7 @@ with {PAGES_SQL}, k as (select *, length(text) < 200 or regexp_matches(text, '@'
 g as (select *, sum(case when keep then length(text) else 0 end) over (partition by source) as kept from k)
 select doc_id from g where keep or kept < 100""")
 def filter_pages_with_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.filter_relevant_pages(source_pages(spark, sf_dir), "source", "@", "[#|!]").select("doc_id")
+    return pages.filter_relevant_pages(documents(spark, sf_dir), "source", "@", "[#|!]").select("doc_id")
 
 
 @query("""
@@ -391,7 +396,7 @@ isl as (select source, page_num, page_num - row_number() over (partition by sour
 part as (select *, (row_number() over (partition by source, i order by page_num) - 1) // 2 as p from isl)
 select source, min(page_num) as first, max(page_num) as last, count(*) as n from part group by source, i, p""")
 def consecutive_groups_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = _typed(spark, sf_dir).where("kind is not null").select("source", F.col("page_num").cast("long").alias("page_num"))
+    kept = _typed_pages(spark, sf_dir).where("kind is not null").select("source", F.col("page_num").cast("long").alias("page_num"))
     return pages.group_consecutive(kept, ["source"], "page_num")
 
 
@@ -416,7 +421,7 @@ r as (select distinct source, unnest([1, 11, 31]) as first from typed), s as (se
 c as (select s.source, first, count(t.page_num) as covered, count(*) as pages from s left join (select distinct source, page_num from typed where kind is not null) t on t.source = s.source and t.page_num = s.page_num group by 1, 2)
 select source, first::bigint as first, covered, pages, round(100 * covered / pages, 1)::double as pct, case when 100 * covered / pages > 50 then 'green' when 100 * covered / pages > 20 then 'yellow' else 'red' end as light from c""")
 def page_range_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    typed = _typed(spark, sf_dir)
+    typed = _typed_pages(spark, sf_dir)
     ranges = typed.select("source").distinct().select("source", F.explode(F.array(*(F.lit(n).cast("long") for n in (1, 11, 31)))).alias("first")).withColumn("last", F.col("first") + 9)
     return pages.page_range_coverage(ranges, typed.where("kind is not null"), ["source", "first"], "source", "page_num")
 
@@ -564,7 +569,9 @@ ranked as (select *, row_number() over (partition by source order by first, i, a
 select r.source, part, p.page_num::bigint as page_num from ranked r join p on p.source = r.source and p.i >= r.i and p.i < r.e where alone = 0
 union all select source, part, first from ranked where alone = 1""")
 def pack_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.pack_pages(source_pages(spark, sf_dir), "source", "page_num", table=pages.is_table_page(F.col("text")))
+    made = {"size": F.length("text").cast("long"), "is_table": pages.is_table_page(F.col("text"))}
+    sized = numbered(documents(spark, sf_dir).withColumns(made).drop("text"))
+    return pages.pack_pages(sized, "source", "page_num", table=F.col("is_table"), size=F.col("size"))
 
 
 @query(f"""
@@ -630,7 +637,7 @@ select distinct s.source, n::bigint as number from (select source, unnest(regexp
 where not exists (select 1 from (select source, row_number() over (partition by source order by doc_id) as k from documents) c where c.source = s.source and c.k = s.n)""".replace("\\\\", "\\"))
 def missing_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = read(spark, sf_dir, "documents").select("source", F.explode(F.regexp_extract_all("text", F.lit(r"\b([0-9]{1,2})\b"), F.lit(1))).alias("number")).withColumn("number", F.col("number").cast("long"))
-    covered = source_pages(spark, sf_dir).select("source", F.col("page_num").cast("long").alias("number"))
+    covered = numbered(documents(spark, sf_dir).select("source", "doc_id")).select("source", F.col("page_num").cast("long").alias("number"))
     return merge.missing_numbers(seen, covered, ["source", "number"])
 
 
