@@ -70,16 +70,16 @@ def row_anchors(lines: DataFrame, roles: DataFrame, text: str, ratio: float = AN
     return lines.withColumn("__line", upper_plain(F.col(text))).join(best.withColumnRenamed("line", "__line"), "__line", "left").drop("__line")
 
 
+_GAP = rf"[\s|]{{0,{NUMBER_GAP}}}+"
+#: A number with the letters beside it or beyond a gap, on to the next number if that follows in the same way.
+_SURROUNDINGS = rf"(?<!\p{{L}})(?:\p{{L}}++{_GAP})?\d++(?:{_GAP}(?:\p{{L}}++{_GAP})?\d++)*+(?:{_GAP}\p{{L}}++)?"
+
+
 def number_surroundings(texts: DataFrame, doc: str, text: str) -> DataFrame:
-    """doc, near: what of a text, in capitals, stands next to its numbers: runs of digits, and the runs of letters beside them or beyond one gap of
-    at most NUMBER_GAP blanks and bars. What lies between is one mark. A text is cut into runs once; nothing else of it is moved."""
-    runs = F.regexp_extract_all(F.upper(F.coalesce(F.col(text), F.lit(""))), F.lit(r"(\p{L}+|\d+|[\s|]+|[^\p{L}\d\s|]+)"), F.lit(1))
-    rows = texts.select(F.col(doc), runs.alias("r"))
-    is_digits = lambda i: F.coalesce(F.get("r", i).rlike(r"^\d"), F.lit(False))
-    is_gap = lambda i: F.coalesce(F.get("r", i).rlike(r"^[\s|]") & (F.length(F.get("r", i)) <= NUMBER_GAP), F.lit(False))
-    beside = lambda i: is_digits(i - 1) | is_digits(i + 1) | (is_gap(i - 1) & is_digits(i - 2)) | (is_gap(i + 1) & is_digits(i + 2))
-    kept = F.transform("r", lambda x, i: F.when(is_digits(i) | beside(i), x).otherwise(F.lit("\x01")))
-    return rows.select(doc, F.regexp_replace(F.array_join(kept, ""), "\x01+", "\x01").alias("near"))
+    """doc, near: what of a text, in capitals, stands next to its numbers: the letters beside them or beyond one gap of at most NUMBER_GAP
+    blanks and bars. What lies between is one mark. One pass over a text; nothing else of it is moved."""
+    found = F.regexp_extract_all(F.upper(F.coalesce(F.col(text), F.lit(""))), F.lit(_SURROUNDINGS), F.lit(0))
+    return texts.select(doc, F.array_join(found, "\x01").alias("near"))
 
 
 def infer_row_numbers(rows: DataFrame, texts: DataFrame, doc: str, role: str, text: str) -> DataFrame:
