@@ -55,6 +55,44 @@ def experience_base(rows: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+#: Columns of full_experience_base that are taken as they are, null as an empty text.
+BASE_TEXTS = (
+    "name", "registration", "project_name", "experience_role", "company", "ruc", "work_type", "accreditation", "folio", "signer", "signer_role", "document_type", "cui", "registry_code",
+)
+
+
+def full_experience_base(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and the 27 columns of a line an experience, in the report's order. rows: name, registration, dni, project_name, experience_role, company,
+    ruc, judged_work_type, work_type, accreditation, start_date, end_date, cert_issue_date, end_used, folio, signer, signer_role, cui, registry_code,
+    proposal_date. The registration gives way to the dni, the work type judged to that of the experience, where it is empty; the end is the certificate's
+    day where none is given, else the one judged by. Columns kept free, and those that a register has to give, are empty."""
+    filled = lambda first, second: F.coalesce(F.nullif(F.col(first), F.lit("")), F.col(second))
+    rows = rows.withColumns({
+        "registration": filled("registration", "dni"), "work_type": filled("judged_work_type", "work_type"), "document_type": F.col("accreditation"),
+        "__end": F.coalesce(effective_end(F.col("end_date"), F.col("cert_issue_date")), "end_used"),
+    })
+    text = {c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in BASE_TEXTS}
+    days = F.when(F.col("__end") >= F.col("start_date"), F.datediff("__end", "start_date"))
+    alert = lambda c: F.when(c, "ALERTA").otherwise("")
+    none = F.lit("")
+    ordered = {
+        **{c: text[c] for c in BASE_TEXTS[:8]}, "start": date_text(F.col("start_date")), "end": date_text(F.col("__end")), "covid": covid_label(F.col("start_date"), F.col("__end")), "reserved_1": none, "reserved_2": none,
+        "duration": F.coalesce(duration_label(days), F.lit("")), "issued": date_text(F.col("cert_issue_date")), "issue_alert": alert(F.col("__end") > F.col("cert_issue_date")), "folio": text["folio"], "signer": text["signer"],
+        "signer_role": text["signer_role"], "signer_alert": none, "company_start": none, "company_alert": none, "age_alert": alert(F.col("__end") < years_before(F.col("proposal_date"))),
+        "document_type": text["document_type"], "cui": text["cui"], "registry_code": text["registry_code"], "cross_check": none,
+    }
+    return rows.select(*keys, *(v.alias(k) for k, v in ordered.items()))
+
+
+def certificate_works(certificates: DataFrame, works: DataFrame, roles: DataFrame, stops: DataFrame, work: str) -> DataFrame:
+    """The ten columns of a line a verified certificate. certificates: person, project, cui, work; works: work, name, status, start; roles: work, kind
+    (supervisor, resident), person; stops: work, days. Texts are empty and counts 0 where nothing is known; start as text."""
+    names = works.select(work, F.col("name").alias("work_name"), "status", date_text(F.col("start")).alias("work_start"))
+    told = works_table(certificates.select("person", "project", "cui", work), names, roles, stops, work)
+    texts = ["person", "project", "cui", "work_name", "status", "work_start"]
+    return told.select(work, *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in texts), "supervisors", "residents", "stoppages", "suspended_days")
+
+
 def works_table(links: DataFrame, works: DataFrame, roles: DataFrame, stops: DataFrame, work: str) -> DataFrame:
     """A row per verified certificate: the work, supervisors and residents in charge, stoppages and suspended days.
     works: work, ...; roles: work, kind (supervisor, resident), person; stops: work, days."""

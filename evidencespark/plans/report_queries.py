@@ -178,6 +178,52 @@ def experience_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.experience_base(experiences(spark, sf_dir).withColumn("proposal_date", F.lit("2017-06-30").cast("date")), ["person", "experience"])
 
 
+@query(f"""
+with {EXPERIENCES_SQL},
+b as (select e.*, c_name, n_name from (select *, person % 3 as g, experience % 5 as h from experiences) e join customer on c_custkey = person join nation on n_nationkey = c_nationkey),
+u as (select *, coalesce(end_date, cert_issue_date) as used from b), d as (select *, case when used >= start_date then used - start_date end as days from u)
+select person, experience, c_name as name, case when g = 0 then 'CIP ' || person when g = 1 then 'DNI ' || person else '' end as registration, 'Project ' || experience as project_name, coalesce(case when h <> 2 then o_orderpriority end, '') as experience_role,
+  n_name as company, case when h > 0 then '20' || experience else '' end as ruc, case when h = 1 then 'judged' when h = 3 then '' else 'own' end as work_type, case when g = 2 then 'Constancia' else '' end as accreditation,
+  strftime(start_date, '%d/%m/%Y') as start, coalesce(strftime(used, '%d/%m/%Y'), '') as "end", case when start_date <= date '2021-12-31' and used >= date '2020-03-16' then 'SI' else 'NO' end as covid, '' as reserved_1, '' as reserved_2,
+  case when days is null then '' when days / 30.44 < 1 then days || ' días' else printf('%.1f meses', days / 30.44) end as duration, strftime(cert_issue_date, '%d/%m/%Y') as issued, case when used > cert_issue_date then 'ALERTA' else '' end as issue_alert,
+  (experience % 100)::varchar as folio, 'Signer ' || person as signer, case when h = 4 then 'Gerente' else '' end as signer_role, '' as signer_alert, '' as company_start, '' as company_alert,
+  case when used < date '2017-06-30' - interval 20 year then 'ALERTA' else '' end as age_alert, case when g = 2 then 'Constancia' else '' end as document_type, experience::varchar as cui, case when h = 0 then 'IO' || experience else '' end as registry_code, '' as cross_check from d""")
+def full_experience_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, n = read(spark, sf_dir, "customer"), read(spark, sf_dir, "nation")
+    rows = experiences(spark, sf_dir).join(c, F.col("person") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    g, h, e, p = F.col("person") % 3, F.col("experience") % 5, F.col("experience").cast("string"), F.col("person").cast("string")
+    made = {
+        "name": F.col("c_name"), "registration": F.when(g == 0, F.concat(F.lit("CIP "), p)).when(g == 1, ""), "dni": F.when(g == 1, F.concat(F.lit("DNI "), p)), "project_name": F.concat(F.lit("Project "), e),
+        "experience_role": F.when(h != 2, F.col("o_orderpriority")), "company": F.col("n_name"), "ruc": F.when(h > 0, F.concat(F.lit("20"), e)), "judged_work_type": F.when(h == 1, "judged").when(h == 3, ""),
+        "work_type": F.when(h != 3, "own"), "accreditation": F.when(g == 2, "Constancia"), "end_used": F.lit(None).cast("date"), "folio": F.col("experience") % 100, "signer": F.concat(F.lit("Signer "), p),
+        "signer_role": F.when(h == 4, "Gerente"), "cui": F.col("experience"), "registry_code": F.when(h == 0, F.concat(F.lit("IO"), e)), "proposal_date": F.lit("2017-06-30").cast("date"),
+    }
+    return report.full_experience_base(rows.withColumns(made), ["person", "experience"])
+
+
+@query("""
+with p as (select l_partkey, string_agg(distinct case when l_linenumber % 2 = 0 then l_suppkey::varchar end, ', ' order by case when l_linenumber % 2 = 0 then l_suppkey::varchar end) as supervisors,
+  string_agg(distinct case when l_linenumber % 2 = 1 then l_suppkey::varchar end, ', ' order by case when l_linenumber % 2 = 1 then l_suppkey::varchar end) as residents from lineitem where l_partkey % 3 <> 0 group by 1),
+s as (select l_partkey, count(*) as stoppages, sum(l_quantity::bigint - 25)::bigint as suspended_days from lineitem where l_quantity::bigint > 25 and l_partkey % 2 = 0 group by 1)
+select o_orderkey, work, person, project, cui, p_name as work_name, case when p_size % 3 = 0 then '' when p_size % 3 = 1 then 'En ejecución' else 'Paralizado' end as status, case when p_size % 4 = 0 then '' else strftime(date '1990-01-01' + p_size * 30, '%d/%m/%Y') end as work_start,
+  coalesce(supervisors, '') as supervisors, coalesce(residents, '') as residents, coalesce(stoppages, 0)::bigint as stoppages, coalesce(suspended_days, 0)::bigint as suspended_days
+from (select o_orderkey, 'Person ' || o_custkey as person, case when o_orderkey % 5 = 0 then '' else 'Project ' || o_orderkey end as project, o_orderkey::varchar as cui, o_orderkey % (select count(*) from part) as work from orders) o
+join part on p_partkey = work left join p on p.l_partkey = work left join s on s.l_partkey = work""")
+def certificate_works(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = read(spark, sf_dir, "part")
+    size = F.col("p_size")
+    registry = part.select(F.col("p_partkey").alias("work"), F.col("p_name").alias("name"), F.when(size % 3 == 1, "En ejecución").when(size % 3 == 2, "Paralizado").alias("status"), F.when(size % 4 != 0, F.date_add(F.lit("1990-01-01").cast("date"), size * 30)).alias("start"))
+    lines = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("work"), "l_linenumber", F.col("l_suppkey").cast("string").alias("person"), (F.col("l_quantity").cast("long") - 25).alias("days"))
+    roles = lines.where("work % 3 <> 0").withColumn("kind", F.when(F.col("l_linenumber") % 2 == 0, "supervisor").otherwise("resident"))
+    key = F.col("o_orderkey")
+    certs = read(spark, sf_dir, "orders").select(
+        F.concat(F.lit("Person "), F.col("o_custkey").cast("string")).alias("person"), F.when(key % 5 != 0, F.concat(F.lit("Project "), key.cast("string"))).alias("project"), key.cast("string").alias("cui"),
+        (key % part.count()).alias("work"),
+    )
+    out = report.certificate_works(certs, registry, roles, lines.where("days > 0 and work % 2 = 0"), "work")
+    return out.withColumn("o_orderkey", F.col("cui").cast("long"))
+
+
 @query("""
 with p as (select l_partkey, string_agg(distinct case when l_linenumber % 2 = 0 then l_suppkey::varchar end, ', ' order by case when l_linenumber % 2 = 0 then l_suppkey::varchar end) as supervisors,
   string_agg(distinct case when l_linenumber % 2 = 1 then l_suppkey::varchar end, ', ' order by case when l_linenumber % 2 = 1 then l_suppkey::varchar end) as residents from lineitem group by 1),
