@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cells, curate, intake, quality, report, works
+from ..operators import cells, curate, intake, markdown, quality, report, works
 from .base import EXPERIENCES_SQL, PROPOSAL, experiences, read
 from .registry import query
 
@@ -381,3 +381,76 @@ def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {_CELLS_SQL} select k, n as number, arg_min(role, i) as role, coalesce(arg_min(edu, i) filter (edu <> ''), '') as education from c group by 1, 2")
 def columns_by_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.title_rows(cells.raw_tables(_cells(spark, sf_dir), ["k"], "i", "cells"), ["k"], "i", "cells")
+
+
+# Tables in pages and the texts of sections
+
+_BARS = "length(x) - length(replace(x, '|', ''))"
+
+
+@query(f"""
+with l as (select doc_id, coalesce(text, '') as text, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x, E' \t\n\x0b\x0c\r')), lambda x: contains(x, '|')) as own from documents),
+m as (select doc_id, text, own, len(own) as n, list_transform(own, lambda x: {_BARS}) as bars, list_filter(own, lambda x: not contains(x, '---')) as body from l),
+k as (select *, list_transform(body, lambda x: {_BARS}) as data, list_filter(flatten(list_transform(body, lambda x: list_transform(string_split(x, '|'), lambda c: trim(c, E' \t\n\x0b\x0c\r')))), lambda c: c <> '') as cells from m),
+v as (select *, case when len(data) > 0 then list_max(data) - list_min(data) else list_max(bars) - list_min(bars) end as spread, len(data) as rows, list_max(bars) - 1 as columns, list_sum(list_transform(cells, lambda c: length(c))) / nullif(len(cells), 0) as mean, len(body) < n as rule from k),
+s as (select *, round(case when spread = 0 then 0.35 when spread = 1 then 0.2 else 0 end + case when rows >= 10 then 0.25 when rows >= 5 then 0.2 when rows >= 3 then 0.15 else 0.05 end + case when rule then 0.15 else 0 end + case when mean between 3 and 200 then 0.15 when mean > 200 then 0.05 else 0 end + 0.1, 2) as sc,
+  case when n = 0 then 'no table' when n < 3 then 'rows' when columns < 3 then 'columns' when spread > case when rows >= 8 then 5 else 3 end then 'uneven' when length(text) / n < 4 then 'short' end as bad from v)
+select doc_id, (case bad when 'no table' then 0 when 'rows' then 0.1 when 'columns' then 0.15 when 'uneven' then 0.1 when 'short' then 0.05 else sc end)::double as score, (case when bad = 'no table' then 0 when bad is null then rows else n end)::int as rows,
+  (case when bad in ('no table', 'rows') then 0 else columns end)::int as columns, coalesce(bad, case when sc >= 0.5 then 'ok' else 'score' end) as reason from s""")
+def table_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", markdown.table_quality(F.col("text")).alias("q")).select("doc_id", "q.score", "q.rows", "q.columns", "q.reason")
+
+
+@query(r"""
+with l as (select doc_id, coalesce(text, '') as text, string_split(coalesce(text, ''), chr(10)) as lines from documents),
+k as (select *, len(list_filter(lines, lambda x: starts_with(trim(x, E' \t\x0b\x0c\r'), '|'))) as tables, list_filter(lines, lambda x: not (starts_with(trim(x, E' \t\x0b\x0c\r'), '|') and list_max(list_transform(string_split(x, '|'), lambda c: length(trim(c, E' \t\x0b\x0c\r')))) > 9
+  and len(list_filter(string_split(x, '|'), lambda c: trim(c, E' \t\x0b\x0c\r') <> '' and not regexp_full_match(replace(trim(c, E' \t\x0b\x0c\r'), ' ', ''), '[-:]*'))) <= 4)) as kept from l)
+select doc_id, md5(case when length(text) > 200 and tables >= 3 then array_to_string(kept, chr(10)) else text end) as digest, (length(text) > 200 and tables >= 3 and len(kept) < len(lines)) as cut from k""")
+def narrow_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of over 9 letters and up to 4 filled ones count as wide here, in pages of over 200 characters."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    out = docs.withColumn("cut", markdown.drop_wide_rows(F.col("text"), 200, 9, 4))
+    return out.select("doc_id", F.md5("cut").alias("digest"), (F.col("cut") != F.col("text")).alias("cut"))
+
+
+@query("""
+with k as (select doc_id, doc_id % 7 as s, doc_id % 50 as a, doc_id % 3 as g, source from documents)
+select doc_id, s::int as section, case g when 0 then a || '-' || (a + 5) || ',' || (a + 9) || '-' || (a + 12) when 1 then a || '-' || (a + 3) else (a + 1) || '-' || (a + 2) end as ranges from k
+union all select doc_id, 8, case g when 0 then '1-2' else '7-9' end from k where g < 2 and s <> 0""")
+def section_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Index tables in either layout; where both are in one text, rows of the narrow one don't count; a section twice; rows without a number."""
+    d = read(spark, sf_dir, "documents").select("doc_id", "source")
+    s, a, g = (F.col("doc_id") % 7).cast("string"), F.col("doc_id") % 50, F.col("doc_id") % 3
+    n = lambda k: (a + k).cast("string")
+    head, foot = F.lit("intro\n| # | Cargo | N° | Págs | Bloques | Inicio |\n|---|---|---|---|---|---|\n"), F.lit("\nend | 4 |")
+    wide = F.concat(F.lit("| "), s, F.lit(" | Jefe | 1 | 9 | "), n(0), F.lit("–"), n(5), F.lit(" · "), n(9), F.lit("-"), n(12), F.lit(" | 1 |\n| 8 | Otro |  | 2 | 1–2 | 1 |\n| 5 | Narrow | 2 | 3 | 4 |"))
+    narrow = F.concat(F.lit("| "), s, F.lit(" | "), "source", F.lit(" | 4 | "), n(0), F.lit(" | "), n(3), F.lit(" |\n| 8 | Otro | 2 | 7 | 9 |\n| x | No | 2 | 7 | 9 |"))
+    twice = F.concat(F.lit("| "), s, F.lit(" | A | 2 | 1 | 1 |\n| "), s, F.lit(" | B | 2 | "), n(1), F.lit(" | "), n(2), F.lit(" |"))
+    zero = F.when(s == "0", F.regexp_replace(F.when(g == 0, wide).otherwise(narrow), r"\n\| 8 [^\n]*", "")).otherwise(F.when(g == 0, wide).otherwise(narrow))
+    text = F.concat(head, F.when(g < 2, zero).otherwise(twice), foot)
+    out = markdown.section_index(d.select("doc_id", text.alias("text")), "doc_id", "text")
+    return out.select("doc_id", "section", F.array_join(F.transform("ranges", lambda r: F.concat_ws("-", r["first"].cast("string"), r["last"].cast("string"))), ",").alias("ranges"))
+
+
+@query("""
+with n as (select doc_id, list_transform(list_filter(list_transform(string_split(coalesce(text, '') || chr(10) || doc_id % 4 || chr(10) || ' 1 ' || chr(10) || 'x' || chr(10) || '02' || chr(10) || doc_id % 5, chr(10)), lambda x: trim(x, E' \\t\\x0b\\x0c\\r')), lambda x: regexp_full_match(x, '[0-9]{1,2}')), lambda x: x::int) as n from documents)
+select doc_id, len(list_filter(range(2, len(n) + 1), lambda i: n[i] = n[i - 1] + 1))::int as runs from n""")
+def number_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = F.concat_ws("\n", F.coalesce("text", F.lit("")), (F.col("doc_id") % 4).cast("string"), F.lit(" 1 "), F.lit("x"), F.lit("02"), (F.col("doc_id") % 5).cast("string"))
+    return read(spark, sf_dir, "documents").select("doc_id", markdown.number_runs(own).alias("runs"))
+
+
+@query(r"""
+with p as (select doc_id // 6 as section, least(doc_id % 6 // 2, doc_id // 6 % 3) as block, doc_id as page, coalesce(text, '') as text, regexp_matches(coalesce(text, ''), '@') as inc, regexp_matches(coalesce(text, ''), '[#|!]') as exc from documents),
+c as (select *, length(text) < 200 or inc or not exc as useful, case when length(trim(text, ' ')) >= 200 then case when inc then 'anexo16' when regexp_matches(text, '[0-9]{4}') then 'certificados' when exc then 'diplomas' else 'ruido' end end as class from p),
+w as (select *, max(block) over (partition by section) + 1 as blocks, sum(case when useful then length(text) else 0 end) over (partition by section, block) as kept, bool_or(class = 'anexo16') over (partition by section) as a, bool_or(class = 'diplomas') over (partition by section) as d, bool_or(class = 'certificados') over (partition by section) as e from c),
+s as (select *, useful or kept < 100 as shown from w),
+k as (select section, 'person' as kind, page, text, case when blocks < 2 and class = 'diplomas' then 1 else 0 end as rank from s where case when blocks >= 2 then block = 1 and shown when coalesce(a, false) or coalesce(d, false) then coalesce(class in ('anexo16', 'diplomas'), false) else shown end
+  union all select section, 'experiences', page, text, 0 from s where case when blocks >= 3 then block = 2 and shown when blocks = 2 then block = 1 and shown when coalesce(e, false) then coalesce(class = 'certificados', false) when coalesce(a, false) then coalesce(class = 'anexo16', false) else shown end)
+select section, kind, md5(left(string_agg(text, chr(10) || chr(10) order by rank, page), 3000)) as digest from k group by 1, 2""")
+def evidence_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six documents a section, in one, two or three blocks; texts of at most 3,000 characters."""
+    d = read(spark, sf_dir, "documents").select(F.expr("doc_id div 6").alias("section"), F.least(F.expr("doc_id % 6 div 2"), F.expr("doc_id div 6 % 3")).alias("block"), F.col("doc_id").alias("page"), "text")
+    classes = (("anexo16", "@"), ("certificados", "[0-9]{4}"), ("diplomas", "[#|!]"))
+    out = markdown.evidence_texts(d, ["section"], "block", "page", 3000, "@", "[#|!]", classes)
+    return out.select("section", "kind", F.md5("text").alias("digest"))
