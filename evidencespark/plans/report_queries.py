@@ -385,11 +385,32 @@ def columns_by_header(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Tables in pages and the texts of sections
 
+_MADE_SQL = r"""
+o as (select doc_id, coalesce(text, '') as text, list_filter(string_split(coalesce(text, ''), ' '), lambda x: regexp_full_match(x, '[A-Za-z]+')) as w from documents),
+made as (select doc_id, case when doc_id % 5 = 0 then text || chr(10) else '' end || case when doc_id % 3 > 0 then '| A | B | C |' || chr(10) || '|---|:-:|---|' || chr(10) else '' end || array_to_string(list_transform(range(doc_id % 12), lambda i: '| ' || coalesce(w[3 * i + 1], '') || ' | '
+  || coalesce(w[3 * i + 2], '') || ' | ' || coalesce(w[3 * i + 3], '') || case when (i + doc_id) % 7 = 5 then ' | more' else '' end || case when (i * doc_id) % 11 = 7 then ' | more | and more | and | more' else '' end || case when doc_id % 4 = 3 then '' else ' |' end), chr(10)) as text from o)"""
+
+
+def _made_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of a document's words, with up to eleven rows, a rule below its header or none, and rows of more columns; below the document, for some."""
+    d = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    d = d.withColumn("w", F.filter(F.split("text", " "), lambda x: x.rlike("^[A-Za-z]+$")))
+    k = F.col("doc_id")
+    at = lambda i: F.coalesce(F.get("w", i.cast("int")), F.lit(""))
+    row = lambda i: F.concat(
+        F.lit("| "), at(3 * i), F.lit(" | "), at(3 * i + 1), F.lit(" | "), at(3 * i + 2), F.when((i + k) % 7 == 5, " | more").otherwise(""),
+        F.when((i * k) % 11 == 7, " | more | and more | and | more").otherwise(""), F.when(k % 4 == 3, "").otherwise(" |"),
+    )
+    rows = F.when(k % 12 > 0, F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), k % 12 - 1), row), "\n")).otherwise("")
+    head = F.when(k % 3 > 0, "| A | B | C |\n|---|:-:|---|\n").otherwise("")
+    return d.select("doc_id", F.concat(F.when(k % 5 == 0, F.concat("text", F.lit("\n"))).otherwise(""), head, rows).alias("text"))
+
+
 _BARS = "length(x) - length(replace(x, '|', ''))"
 
 
 @query(f"""
-with l as (select doc_id, coalesce(text, '') as text, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x, E' \t\n\x0b\x0c\r')), lambda x: contains(x, '|')) as own from documents),
+with {_MADE_SQL}, l as (select doc_id, text, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, E' \t\n\x0b\x0c\r')), lambda x: contains(x, '|')) as own from made),
 m as (select doc_id, text, own, len(own) as n, list_transform(own, lambda x: {_BARS}) as bars, list_filter(own, lambda x: not contains(x, '---')) as body from l),
 k as (select *, list_transform(body, lambda x: {_BARS}) as data, list_filter(flatten(list_transform(body, lambda x: list_transform(string_split(x, '|'), lambda c: trim(c, E' \t\n\x0b\x0c\r')))), lambda c: c <> '') as cells from m),
 v as (select *, case when len(data) > 0 then list_max(data) - list_min(data) else list_max(bars) - list_min(bars) end as spread, len(data) as rows, list_max(bars) - 1 as columns, list_sum(list_transform(cells, lambda c: length(c))) / nullif(len(cells), 0) as mean, len(body) < n as rule from k),
@@ -398,18 +419,17 @@ s as (select *, round(case when spread = 0 then 0.35 when spread = 1 then 0.2 el
 select doc_id, (case bad when 'no table' then 0 when 'rows' then 0.1 when 'columns' then 0.15 when 'uneven' then 0.1 when 'short' then 0.05 else sc end)::double as score, (case when bad = 'no table' then 0 when bad is null then rows else n end)::int as rows,
   (case when bad in ('no table', 'rows') then 0 else columns end)::int as columns, coalesce(bad, case when sc >= 0.5 then 'ok' else 'score' end) as reason from s""")
 def table_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", markdown.table_quality(F.col("text")).alias("q")).select("doc_id", "q.score", "q.rows", "q.columns", "q.reason")
+    return _made_tables(spark, sf_dir).select("doc_id", markdown.table_quality(F.col("text")).alias("q")).select("doc_id", "q.score", "q.rows", "q.columns", "q.reason")
 
 
-@query(r"""
-with l as (select doc_id, coalesce(text, '') as text, string_split(coalesce(text, ''), chr(10)) as lines from documents),
+@query(_MADE_SQL.replace("\no as", "with o as", 1) + r""",
+l as (select doc_id, text, string_split(text, chr(10)) as lines from made),
 k as (select *, len(list_filter(lines, lambda x: starts_with(trim(x, E' \t\x0b\x0c\r'), '|'))) as tables, list_filter(lines, lambda x: not (starts_with(trim(x, E' \t\x0b\x0c\r'), '|') and list_max(list_transform(string_split(x, '|'), lambda c: length(trim(c, E' \t\x0b\x0c\r')))) > 9
   and len(list_filter(string_split(x, '|'), lambda c: trim(c, E' \t\x0b\x0c\r') <> '' and not regexp_full_match(replace(trim(c, E' \t\x0b\x0c\r'), ' ', ''), '[-:]*'))) <= 4)) as kept from l)
-select doc_id, md5(case when length(text) > 200 and tables >= 3 then array_to_string(kept, chr(10)) else text end) as digest, (length(text) > 200 and tables >= 3 and len(kept) < len(lines)) as cut from k""")
+select doc_id, md5(case when length(text) > 60 and tables >= 3 then array_to_string(kept, chr(10)) else text end) as digest, (length(text) > 60 and tables >= 3 and len(kept) < len(lines)) as cut from k""")
 def narrow_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells of over 9 letters and up to 4 filled ones count as wide here, in pages of over 200 characters."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    out = docs.withColumn("cut", markdown.drop_wide_rows(F.col("text"), 200, 9, 4))
+    """Cells of over 9 letters and up to 4 filled ones count as wide here, in pages of over 60 characters."""
+    out = _made_tables(spark, sf_dir).withColumn("cut", markdown.drop_wide_rows(F.col("text"), 60, 9, 4))
     return out.select("doc_id", F.md5("cut").alias("digest"), (F.col("cut") != F.col("text")).alias("cut"))
 
 
