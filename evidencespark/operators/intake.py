@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.dates import parse_spanish_date
 from ..functions.records import parse_model_json
 from ..shared import stored
 
@@ -105,3 +106,44 @@ def result_count(kind: Column, result: Column, stated: str = "tdr", total: str =
     """Of a job's result: the stated total for jobs of that kind, else the number of sections (0 without any)."""
     listed = F.coalesce(F.size(part(result, sections, "array<variant>")), F.lit(0))
     return F.when(kind == stated, part(result, total, "int")).otherwise(F.greatest(listed, F.lit(0)))
+
+
+def flatten_sections(jobs: DataFrame, keys: list[str], result: str) -> tuple[DataFrame, DataFrame]:
+    """jobs: keys, result (variant). Professionals and experiences of all sections: keys, section (place), name (a stand-in with the role where
+    there is none), and their fields. A day is the one already parsed, if it is one, else read from its text."""
+    sections = jobs.select(*keys, F.posexplode(part(F.col(result), "secciones", "array<variant>")).alias("section", "s"))
+    s, person = F.col("s"), part(F.col("s"), "profesional")
+    role = F.coalesce(part(s, "cargo", "string"), F.lit(""))
+    name = F.coalesce(F.nullif(part(person, "nombre", "string"), F.lit("")), F.concat(F.lit("(sin nombre - "), role, F.lit(")")))
+    text = lambda v, **names: [part(v, key, "string").alias(n) for n, key in names.items()]
+    professionals = sections.select(
+        *keys, "section", name.alias("name"), role.alias("role"), F.coalesce(part(s, "numero", "string"), F.lit("")).alias("role_number"),
+        *text(person, profession="profesion", college="tipo_colegio", registration="registro_colegio", dni="dni"),
+    )
+    rows = sections.select(*keys, "section", name.alias("name"), part(person, "dni", "string").alias("dni"), F.posexplode(part(s, "experiencias", "array<variant>")).alias("place", "e"))
+    e = F.col("e")
+    iso = lambda key: F.try_to_date(part(e, f"{key}_parsed", "string"), "yyyy-MM-dd")
+    days = [F.coalesce(iso(key), parse_spanish_date(part(e, key, "string"))).alias(n) for n, key in (("start_date", "fecha_inicio"), ("end_date", "fecha_fin"), ("cert_issue_date", "fecha_emision"))]
+    fields = text(
+        e, project_name="proyecto", role="cargo", company="empresa_emisora", ruc="ruc", folio="folio", signer="firmante", signer_role="cargo_firmante", work_type="tipo_obra", intervention="tipo_intervencion",
+        accreditation="tipo_acreditacion",
+    )
+    return professionals, rows.select(*keys, "section", "place", "name", "dni", *fields, *days)
+
+
+def pair_jobs(jobs: DataFrame, tender: str, job: str, kind: str, status: str, ended: str, kinds: tuple[str, str] = ("extraction", "tdr"), done: str = "done") -> DataFrame:
+    """tender, extraction_job, requirement_job, state: the latest finished job of either kind of each tender. state: ready, or what is missing."""
+    pick = lambda k: F.max(F.when((F.col(kind) == k) & (F.col(status) == done), F.struct(F.col(ended).alias("t"), F.col(job).alias("j"))))["j"]
+    pairs = jobs.groupBy(tender).agg(pick(kinds[0]).alias("extraction_job"), pick(kinds[1]).alias("requirement_job"))
+    state = F.when(F.col("extraction_job").isNull(), F.lit(f"no {kinds[0]}")).when(F.col("requirement_job").isNull(), F.lit(f"no {kinds[1]}")).otherwise("ready")
+    return pairs.withColumn("state", state)
+
+
+def evaluation_inputs(jobs: DataFrame, pairs: DataFrame, tender: str, job: str, result: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of ready pairs: professionals and experiences of the extraction, and requirements (tender, place, requirement) of the other job, by tender, so that one
+    run evaluates all tenders."""
+    ready = pairs.where("state = 'ready'")
+    took = lambda c: jobs.select(F.col(job).alias(c), F.col(result).alias("__result")).join(ready.select(tender, c), c).select(tender, "__result")
+    professionals, experiences = flatten_sections(took("extraction_job"), [tender], "__result")
+    asked = took("requirement_job").select(tender, F.posexplode(part(F.col("__result"), "rtm_personal", "array<variant>")).alias("place", "r"))
+    return professionals, experiences, asked.select(tender, "place", requirement_record(F.col("r")).alias("requirement"))

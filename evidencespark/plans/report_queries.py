@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import cells, curate, intake, markdown, quality, report, works
 from .base import EXPERIENCES_SQL, PROPOSAL, experiences, read
+from ..shared import stored
 from .registry import query
 
 ROLES = ("Especialista en Costos", "Asistente de obra", "Modelador BIM", "Jefe de Supervision", "Residente", "Consultoria de estudios", "Gestor BIM")
@@ -474,3 +475,45 @@ def evidence_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = (("anexo16", "@"), ("certificados", "[0-9]{4}"), ("diplomas", "[#|!]"))
     out = markdown.evidence_texts(d, ["section"], "block", "page", 3000, "@", "[#|!]", classes)
     return out.select("section", "kind", F.md5("text").alias("digest"))
+
+
+# Jobs of tenders
+
+_JOBS_SQL = """
+j as (select o_orderkey as job, o_custkey as tender, case when o_orderkey % 3 = 0 then 'tdr' else 'extraction' end as kind, case when o_orderstatus = 'P' then 'error' else 'done' end as status, o_orderdate as ended from orders),
+p as (select tender, max(case when kind = 'extraction' and status = 'done' then {'t': ended, 'j': job} end)['j'] as extraction_job, max(case when kind = 'tdr' and status = 'done' then {'t': ended, 'j': job} end)['j'] as requirement_job from j group by 1),
+r as (select *, case when extraction_job is null then 'no extraction' when requirement_job is null then 'no tdr' else 'ready' end as state from p)"""
+
+
+def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as jobs of customers: an extraction's sections are the order's lines, each with an experience or, of odd ones, two; a requirement job
+    asks for a role."""
+    o = read(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("job"), F.col("o_custkey").alias("tender"), F.when(F.col("o_orderkey") % 3 == 0, "tdr").otherwise("extraction").alias("kind"),
+        F.when(F.col("o_orderstatus") == "P", "error").otherwise("done").alias("status"), F.col("o_orderdate").alias("ended"), "o_orderpriority",
+    )
+    key, line, ship = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_shipdate").cast("date")
+    day = F.when(line % 3 == 0, F.concat(F.lit('"fecha_inicio": "x", "fecha_inicio_parsed": "'), F.date_format(ship, "yyyy-MM-dd"), F.lit('"'))).when(line % 3 == 1, F.concat(F.lit('"fecha_inicio": "'), F.date_format(ship, "dd/MM/yyyy"), F.lit('", "fecha_inicio_parsed": null'))).otherwise('"fecha_inicio": "a la fecha"')
+    exp = F.concat(F.lit('{"proyecto": "P'), F.col("l_partkey").cast("string"), F.lit('", '), day, F.lit("}"))
+    person = F.when(line % 4 == 0, "null").when(line % 4 == 1, '{"nombre": "", "dni": "1"}').otherwise(F.concat(F.lit('{"nombre": "N'), F.col("l_suppkey").cast("string"), F.lit('", "profesion": "Civil"}')))
+    section = F.concat(F.lit('{"cargo": "Jefe '), line.cast("string"), F.lit('", "profesional": '), person, F.lit(', "experiencias": ['), F.when(line % 2 == 1, F.concat(exp, F.lit(", "), exp)).otherwise(exp), F.lit("]}"))
+    sections = read(spark, sf_dir, "lineitem").groupBy(key.alias("job")).agg(F.array_join(F.sort_array(F.collect_list(section)), ", ").alias("sections"))
+    made = F.when(F.col("kind") == "tdr", F.concat(F.lit('{"rtm_personal": [{"cargo": "'), "o_orderpriority", F.lit('"}]}'))).otherwise(F.concat(F.lit('{"secciones": ['), F.coalesce("sections", F.lit("")), F.lit("]}")))
+    return o.join(sections, "job", "left").withColumn("result", F.try_parse_json(made)).drop("o_orderpriority", "sections")
+
+
+@query(f"with {_JOBS_SQL} select tender, extraction_job, requirement_job, state from r")
+def job_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intake.pair_jobs(_jobs(spark, sf_dir).drop("result"), "tender", "job", "kind", "status", "ended")
+
+
+@query(f"""
+with {_JOBS_SQL}
+select tender, 'Jefe ' || l_linenumber as role, case when l_linenumber % 4 in (0, 1) then '(sin nombre - Jefe ' || l_linenumber || ')' else 'N' || l_suppkey end as name, case when l_linenumber % 4 = 1 then '1' end as dni, 'P' || l_partkey as project_name,
+  case when l_linenumber % 3 in (0, 1) then l_shipdate::date end as start_date, o_orderpriority as required, count(*) * case when l_linenumber % 2 = 1 then 2 else 1 end as n
+from r join lineitem on l_orderkey = extraction_job join orders on o_orderkey = requirement_job where state = 'ready' group by tender, l_linenumber, l_suppkey, l_partkey, l_shipdate, o_orderpriority""")
+def paired_experiences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    jobs = stored(_jobs(spark, sf_dir), "jobs")
+    people, experiences_, asked = intake.evaluation_inputs(jobs, intake.pair_jobs(jobs, "tender", "job", "kind", "status", "ended"), "tender", "job", "result")
+    rows = experiences_.drop("role", "dni", "name").join(people.select("tender", "section", "role", "name", "dni"), ["tender", "section"]).join(asked.select("tender", F.col("requirement.role").alias("required")), "tender")
+    return rows.groupBy("tender", "role", "name", "dni", "project_name", "start_date", "required").agg(F.count(F.lit(1)).alias("n"))
