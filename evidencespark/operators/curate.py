@@ -7,10 +7,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.records import drop_sparse_rows
+from ..functions.records import clean_duration, drop_sparse_rows
 from ..functions.text import strip_accents
 from .anchors import infer_row_numbers
-from .merge import drop_support_roles, guarded_drop, skeleton_rows
+from .fragments import attach_factors
+from .merge import copied_signatures, drop_support_roles, guarded_drop, merge_by_precedence, merge_duplicates, skeleton_rows, union_ignoring_case
+from .requirements import is_title
 
 # Titles that are real, roles of sections that are no key staff, roles that are special, signs of an invented answer,
 # words of table headers, root keys of a list of experiences.
@@ -102,6 +104,51 @@ def curate_requirements(titles: DataFrame, experience: DataFrame, visual: DataFr
     return number_rows(rows, ["doc"], [source_number(F.col("number"), inferred), F.col("number").asc_nulls_last(), F.col("role")])
 
 
+#: Columns of a requirement row by which a row is sparse, and those of a signature.
+ROW_PARTS = ("role", "titles", "roles", "months", "work", "registered", "hours", "factor")
+
+
+def curate_people(rows: DataFrame, literal: DataFrame, visual: DataFrame, more_titles: DataFrame, training: DataFrame, factors: DataFrame, texts: DataFrame) -> DataFrame:
+    """The requirement rows of documents from all their sources, in the order of the whole curation. rows: doc, number, role, titles, roles, months, work,
+    registered (a duration as text); literal and visual reads of tables: the same but the visual one without role and registered; more_titles: doc, number, titles;
+    training: doc, role, hours; factors: doc, position, factor_role, method, points; texts: doc, text.
+
+    Duplicates of a role are merged; rows without a number get that next to their role in the text; literal rows win lists and work, and come in where a
+    number is new; visual ones are laid over; of the further titles and a row's own, where these are not literal, the real ones not made up from the
+    role are united; groups of equal titles and roles that no literal row is in are marked for review; training goes to its role or is a row of its own; placeholder durations
+    go and none is longer than the months; support and meta roles go; factors come in; sparse rows go; the rest is numbered in the document's order."""
+    none = F.array().cast("array<string>")
+    keyed = rows.withColumn("__role", F.lower(F.trim("role")))
+    first = keyed.groupBy("doc", "__role").agg(F.min("number").alias("number"))
+    merged = merge_duplicates(keyed, ["doc", "__role"], ["role", "work", "registered"], ["months"], ["titles", "roles"]).drop("n_merged")
+    same = F.col("m.doc").eqNullSafe(F.col("f.doc")) & F.col("m.__role").eqNullSafe(F.col("f.__role"))
+    merged = merged.alias("m").join(first.alias("f"), same).select("m.*", "f.number").drop("__role")
+    merged = infer_row_numbers(merged.withColumns({c: F.coalesce(c, none) for c in ("titles", "roles")}), texts, "doc", "role", "text")
+    merged = merged.withColumn("number", F.coalesce(F.when(F.col("number").between(1, LAST_NUMBER), F.col("number")), F.col("inferred").cast("long"), "number")).drop("inferred")
+    columns = ["doc", "number", "role", "titles", "roles", "months", "work", "registered"]
+    known = merge_by_precedence(merged.where("number is not null").select(columns), literal.select(columns), ["doc", "number"], ["titles", "roles", "work"], ["role", "months", "registered"])
+    out = known.unionByName(merged.where("number is null").select(columns).withColumn("source", F.lit("text")))
+    out = overlay_visual_rows(out, visual, ["doc", "number"])
+    real = lambda c: F.filter(F.coalesce(c, none), lambda t: is_title(t) & ~is_derived_title(t, F.col("role")))
+    out = out.join(more_titles.select("doc", "number", F.col("titles").alias("__more")), ["doc", "number"], "left")
+    united = union_ignoring_case(real(F.col("__more")), real(F.col("titles")))
+    literal_titles = (F.col("source") != "text") & (F.size("titles") > 0)
+    out = out.withColumn("titles", F.when(F.col("__more").isNotNull() & ~literal_titles & (F.size(united) > 0), united).otherwise(F.coalesce("titles", none))).drop("__more")
+    signature = F.concat_ws("|", F.array_join(F.array_sort("titles"), ","), F.array_join(F.array_sort(F.coalesce("roles", none)), ","))
+    out = out.withColumn("__signature", F.when(F.col("source") == "text", F.nullif(signature, F.lit("|"))))
+    copied = copied_signatures(out.where("__signature is not null"), ["doc"], [F.col("__signature")], "number").select("doc", F.col("signature").alias("__signature"), F.lit(True).alias("needs_review"))
+    out = out.join(copied, ["doc", "__signature"], "left").withColumn("needs_review", F.coalesce("needs_review", F.lit(False))).drop("__signature")
+    out = skeleton_rows(out.withColumn("__role", F.lower(F.trim("role"))), training.select("doc", F.lower(F.trim("role")).alias("__role"), "hours"), ["doc", "__role"], "hours")
+    out = out.withColumns({"role": F.coalesce("role", "__role"), "needs_review": F.coalesce("needs_review", F.lit(False)), **{c: F.coalesce(c, none) for c in ("titles", "roles")}}).drop("__role")
+    cleaned = clean_duration(F.col("registered"))
+    stated = F.regexp_extract(cleaned, r"(\d+)", 1).try_cast("int")
+    out = out.withColumn("registered", F.when((F.col("months") > 0) & (stated > F.col("months")), F.col("months").cast("string")).otherwise(cleaned))
+    out = drop_meta_roles(drop_support_roles(out, "doc", "role"), "doc", "role")
+    out = attach_factors(out.withColumn("factor", F.lit(None).cast("string")), factors, "doc", "role", "factor")
+    out = drop_sparse_rows(out, list(ROW_PARTS))
+    return number_rows(out, ["doc"], [source_number(F.col("number")), F.col("number").asc_nulls_last(), F.col("role")])
+
+
 def valid_person(record: Column) -> Column:
     """record: map of text. It names a person, in at most NAME_CHARS characters, and no key is a page or an entity."""
     name = F.coalesce(record["nombre"], F.lit(""))

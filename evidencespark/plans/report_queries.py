@@ -517,3 +517,66 @@ def paired_experiences(spark: SparkSession, sf_dir: str) -> DataFrame:
     people, experiences_, asked = intake.evaluation_inputs(jobs, intake.pair_jobs(jobs, "tender", "job", "kind", "status", "ended"), "tender", "job", "result")
     rows = experiences_.drop("role", "dni", "name").join(people.select("tender", "section", "role", "name", "dni"), ["tender", "section"]).join(asked.select("tender", F.col("requirement.role").alias("required")), "tender")
     return rows.groupBy("tender", "role", "name", "dni", "project_name", "start_date", "required").agg(F.count(F.lit(1)).alias("n"))
+
+
+# The whole curation
+
+AREAS = ("Suelos", "Costos", "Estructuras", "Arquitectura", "Seguridad", "Calidad", "Geologia", "Puentes", "Sanitarias", "Comunicaciones", "Modelador", "Riego")
+
+_PEOPLE_SQL = f"""
+p as (select p_partkey as k, p_partkey // 12 as doc, p_partkey % 12 + 1 as n, {list(AREAS)}[1 + p_partkey % 12] as area, p_size as size from part),
+a as (select *, case n when 11 then 'Modelador BIM' when 12 then 'Asistente de Riego' else 'Especialista en ' || area end as role,
+  case when k % 5 = 0 then ['Ingeniero Civil', 'Ingeniero de ' || area] when k % 5 = 1 then ['Arquitecto'] when k % 5 = 2 then [] else ['Ingeniero Civil'] end as titles,
+  case when k % 4 = 3 then ['Jefe de Obra'] else [] end as roles, case when k % 6 = 0 then null when k % 10 = 0 then size + 5 else size end as months, case when k % 10 = 0 then 'obra larga' when k % 3 = 0 then 'obra' end as work,
+  case k % 4 when 0 then '48 meses' when 1 then 'N meses' when 2 then '3 meses (contabilizada desde la emision)' end as registered from p),
+l as (select doc, n, ['Literal ' || n] as titles, 'literal' as work, 99 as months, 'Lectura ' || n as role from p where k % 4 = 1 union all select doc, 20, ['Literal 20'], 'literal', 99, 'Especialista en Tuneles' from p where n = 1 and doc % 3 = 0),
+b as (select coalesce(a.doc, l.doc) as doc, coalesce(a.n, l.n) as n, coalesce(a.role, l.role) as role, coalesce(l.titles, a.titles) as titles, a.roles, coalesce(a.months, l.months) as months, coalesce(l.work, a.work) as work, a.registered,
+  case when l.n is null then 'text' when a.n is null then 'structured' else 'both' end as source, k, area from a full join l on a.doc = l.doc and a.n = l.n),
+v as (select doc, n, role, case when k % 4 = 2 and n <= 10 and area <> 'Arquitectura' then ['Ingeniero Visual'] when k % 4 = 2 then ['Ingeniero Visual'] else titles end as titles, coalesce(roles, []) as roles, coalesce(months, case when k % 4 = 2 then 7 end) as months,
+  coalesce(work, case when k % 4 = 2 then 'visual' end) as work, registered, source, area, k from b),
+t as (select *, case when k % 3 = 0 and not (source <> 'text' and len(titles) > 0) then list_filter(['Ingeniero Civil', 'arquitecto'] || titles, lambda x, i: not x like 'Ingeniero de %' and not x like 'Literal%' and not list_contains(list_transform((['Ingeniero Civil', 'arquitecto'] || titles)[1:i - 1], lambda y: lower(y)), lower(x))) else titles end as united from v),
+s as (select *, case when source = 'text' and (len(united) > 0 or len(roles) > 0) then array_to_string(list_sort(united), ',') || '|' || array_to_string(roles, ',') end as signature from t),
+w as (select *, signature is not null and count(*) over (partition by doc, signature) >= 2 as needs_review from s),
+h as (select doc, n, role, united as titles, roles, months, work, registered, needs_review, case when n = 3 then 40 end as hours from w union all select doc, null, 'otro cargo', [], [], null, null, null, false, 8 from p where n = 1 and doc % 4 = 1),
+c as (select * exclude registered, case registered when '48 meses' then case when months > 0 and months < 48 then months::varchar else '48 meses' end when 'N meses' then null when '3 meses (contabilizada desde la emision)' then case when months > 0 and months < 3 then months::varchar else '3 meses' end end as registered from h),
+d as (select * from c where role not in ('Modelador BIM', 'Asistente de Riego')),
+f as (select *, case when role like 'Especialista en %' then 'por meses' when doc % 2 = 0 then 'Hasta 5 puntos' end as factor from d),
+z as (select * from f where (role <> '')::int + (len(titles) > 0)::int + (len(roles) > 0)::int + (months is not null)::int + (work is not null)::int + (registered is not null)::int + (hours is not null)::int + (factor is not null)::int > 1)"""
+
+
+def _people(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
+    """Twelve parts a document: rows some of which come twice, or without the number that stands in the text; literal and visual reads, further titles, training and
+    factors for some."""
+    k = F.col("k")
+    p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.expr("p_partkey div 12").alias("doc"), (F.col("p_partkey") % 12 + 1).alias("n"), _pick(AREAS, F.col("p_partkey") % 12).alias("area"), F.col("p_size").alias("size"))
+    none = F.array().cast("array<string>")
+    role = F.when(F.col("n") == 11, "Modelador BIM").when(F.col("n") == 12, "Asistente de Riego").otherwise(F.concat(F.lit("Especialista en "), "area"))
+    made = F.concat(F.lit("Ingeniero de "), "area")
+    titles = F.when(k % 5 == 0, F.array(F.lit("Ingeniero Civil"), made)).when(k % 5 == 1, F.array(F.lit("Arquitecto"))).when(k % 5 == 2, none).otherwise(F.array(F.lit("Ingeniero Civil")))
+    registered = F.when(k % 4 == 0, "48 meses").when(k % 4 == 1, "N meses").when(k % 4 == 2, "3 meses (contabilizada desde la emision)")
+    rows = p.select(
+        "k", "doc", F.when(k % 7 != 0, F.col("n")).alias("number"), role.alias("role"), titles.alias("titles"), F.when(k % 4 == 3, F.array(F.lit("Jefe de Obra"))).otherwise(none).alias("roles"), F.when(k % 6 != 0, F.col("size")).alias("months"),
+        F.when(k % 3 == 0, "obra").alias("work"), registered.alias("registered"),
+    )
+    longer = rows.where("k % 10 = 0").withColumns({"titles": F.slice("titles", 1, 1), "months": F.col("months") + 5, "work": F.lit("obra larga"), "registered": F.lit(None).cast("string"), "number": F.lit(None).cast("long")})
+    rows = rows.unionByName(longer).drop("k")
+    nothing = F.lit(None).cast("string")
+    literal = p.where("k % 4 = 1").select("doc", F.col("n").alias("number"), F.concat(F.lit("Lectura "), F.col("n").cast("string")).alias("role"), F.array(F.concat(F.lit("Literal "), F.col("n").cast("string"))).alias("titles"))
+    more = p.where("n = 1 and doc % 3 = 0").select("doc", F.lit(20).cast("long").alias("number"), F.lit("Especialista en Tuneles").alias("role"), F.array(F.lit("Literal 20")).alias("titles"))
+    literal = literal.unionByName(more).withColumns({"roles": none, "months": F.lit(99), "work": F.lit("literal"), "registered": nothing})
+    visual = p.where("k % 4 = 2").select("doc", F.col("n").alias("number"), F.array(F.lit("Ingeniero Visual")).alias("titles"), none.alias("roles"), F.lit(7).alias("months"), F.lit("visual").alias("work"))
+    titles = p.where("k % 3 = 0").select("doc", F.col("n").alias("number"), F.array(F.lit("Ingeniero Civil"), F.lit("arquitecto"), F.lit("Xyz"), made).alias("titles"))
+    training = p.where("n = 3").select("doc", role.alias("role"), F.lit(40).alias("hours")).unionByName(p.where("n = 1 and doc % 4 = 1").select("doc", F.lit("Otro Cargo").alias("role"), F.lit(8).alias("hours")))
+    factors = p.where("n = 2").select("doc", F.lit(1).alias("position"), role.alias("factor_role"), F.lit("por meses").alias("method"), F.lit(0).alias("points"))
+    factors = factors.unionByName(p.where("n = 1 and doc % 2 = 0").select("doc", F.lit(2).alias("position"), F.lit("Consultoria general").alias("factor_role"), nothing.alias("method"), F.lit(5).alias("points")))
+    texts = p.groupBy("doc").agg(F.array_join(F.sort_array(F.collect_list(F.concat(F.lit("| "), F.col("n").cast("string"), F.lit(" | "), F.upper("area"), F.lit(" ;")))), "\n").alias("text"))
+    return rows, literal, visual, titles, training, factors, texts
+
+
+@query(f"""
+with {_PEOPLE_SQL}
+select doc, n as number, role, array_to_string(titles, '|') as titles, array_to_string(roles, '|') as roles, months::int as months, work, registered, hours::int as hours, factor, needs_review,
+  row_number() over (partition by doc order by case when n between 1 and 30 then n else 99 end, n nulls last, role)::int as row from z""")
+def curated_people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = curate.curate_people(*_people(spark, sf_dir))
+    return out.select("doc", "number", "role", F.array_join("titles", "|").alias("titles"), F.array_join("roles", "|").alias("roles"), F.col("months").cast("int").alias("months"), "work", "registered", "hours", "factor", "needs_review", "row")
