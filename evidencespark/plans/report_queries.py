@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cells, curate, intake, markdown, quality, report, works
+from ..functions import dates, records, similarity, text
+from ..operators import cells, curate, intake, markdown, pages, quality, report, requirements, works
 from .base import EXPERIENCES_SQL, PROPOSAL, experiences, read
 from ..shared import stored
 from .registry import query
@@ -580,3 +581,55 @@ select doc, n as number, role, array_to_string(titles, '|') as titles, array_to_
 def curated_people(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = curate.curate_people(*_people(spark, sf_dir))
     return out.select("doc", "number", "role", F.array_join("titles", "|").alias("titles"), F.array_join("roles", "|").alias("roles"), F.col("months").cast("int").alias("months"), "work", "registered", "hours", "factor", "needs_review", "row")
+
+
+# Fields of texts
+
+#: Per field: what it is read from, and the text of what it has to be; {k} is the row's key.
+FIELDS = {
+    "role_number": (("Especialista N° 3", "3"), ("Jefe n°2 N° 12", "12"), ("Residente", None), ("N°{k} Gestor", "{k}")),
+    "clean_role": (("Especialista N° 3", "Especialista"), ("Jefe n°2 N° 12", "Jefe"), ("Residente {k}", "Residente {k}")),
+    "numeric_anchor": (("3. JEFE", "3"), ("N° 12) X", "12"), ("31. X", None), ("x 3. Y", None), ("07- Z", "7"), ("0. W", None)),
+    "near_roles": (("1 JEFE\n 2. especialista, 45 jefe", "1,2"), ("nothing {k}", ""), ("7) residente | 7 Supervisor", "7")),
+    "table_items": (("| 1 | a |\n| x | b |\n  | 22 | c |", "2"), ("1 | a", "0"), ("|{k}|", "1")),
+    "speciality": (("Asistente de Suelos", "Suelos"), ("Especialista en Costos {k}", "Costos {k}"), ("Jefe de Obra", None)),
+    "fixed": (("Ingeniero Eléctricc y/0 Otro", "Ingeniero Eléctrico y/o Otro"), ("Civil  y/o  Mecanico", "Civil y/o Mecanico"), ("plain {k}", "plain {k}")),
+    "split_titles": (("Ingeniero Civil y/o Arquitecto", "Ingeniero Civil;Arquitecto"), ("ingeniero civil, Ingeniero Civil, Jefe", "ingeniero civil"), ("Jefe {k}", "")),
+    "similar_roles": (("Jefe de Obra y/o Residente en obras de salud", "Jefe de Obra;Residente"), ("abc y/o Gestor {k}", "Gestor {k}"), ("", "")),
+    "months": (("Experiencia de (24) meses", "24"), ("12 meses, (36) meses", "36"), ("{k} meses", "{k}"), ("dos meses", None)),
+    "number": (("1,234.5", "1234.5"), (" 7 ", "7.0"), ("x", None), ("", None)),
+    "leading": (("abc 12 de 30", "12"), ("ninguno", None), ("un texto demasiado largo para un numero 5", None)),
+    "duration": (("48 meses (contabilizada desde la emisión del grado)", "48 meses"), ("N meses", None), ("Título profesional: 12 meses", "12 meses"), ("{k} meses (todos)", "{k} meses (todos)")),
+    "suspicious": (("CIP 1234567", "true"), ("CAP 12-345", "false"), ("12345-67", "true"), (None, "false")),
+    "same_group": (("especialista bim", "true"), ("gestor bim", "true"), ("jefe de supervision", "false"), ("topografo", "false")),
+    "null_word": (("None", None), (" null ", None), ("nulls {k}", "nulls {k}"), ("", None)),
+    "real_title": (("Ingeniero Civil", "true"), ("Tecnico {k}", "true"), ("Jefe de Obra", "false"), ("civil", "false")),
+    "period": (("22.05.2017 al 31.12.2019", "2017-05-22/2019-12-31"), ("01/ENE/2018 hasta el 15.03.2020", "2018-01-01/2020-03-15"), ("10 de enero del 2023", "2023-01-10/")),
+    "iso_day": (("2023-01-15T10:00", "2023-01-15"), ("15.03.2020", "2020-03-15"), ("a la fecha", None)),
+}
+
+
+def _fields_sql() -> str:
+    quoted = lambda x: "null" if x is None else "'" + x.replace("'", "''") + "'"
+    wanted = lambda pairs: "[" + ", ".join(quoted(b) for _, b in pairs) + "]"
+    return "select p_partkey, " + ", ".join(f"replace({wanted(pairs)}[1 + p_partkey % {len(pairs)}], '{{k}}', (p_partkey % 900 + 100)::varchar) as {name}" for name, pairs in FIELDS.items()) + " from part"
+
+
+@query(_fields_sql())
+def text_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the helpers read from texts of each kind, for each part; keys in texts are of three digits."""
+    key = (F.col("p_partkey") % 900 + 100).cast("string")
+    given = {n: F.replace(F.get(F.array(*(F.lit(a).cast("string") for a, _ in pairs)), (F.col("p_partkey") % len(pairs)).cast("int")), F.lit("{k}"), key).alias(n) for n, pairs in FIELDS.items()}
+    t = read(spark, sf_dir, "part").select("p_partkey", *given.values())
+    t = records.null_words_to_null(t.withColumnRenamed("null_word", "kept")).select("p_partkey", F.col("kept").alias("null_word")).join(t.drop("null_word"), "p_partkey")
+    t = records.flag_suspicious_id(t.withColumn("id", F.col("suspicious")), "id")
+    c, joined = F.col, lambda a: F.array_join(a, ";")
+    period = dates.split_period(c("period"))
+    made = {
+        "role_number": text.role_number(c("role_number")), "clean_role": text.clean_role(c("clean_role")), "numeric_anchor": text.numeric_anchor(c("numeric_anchor")), "near_roles": F.array_join(F.array_sort(text.numbers_near_roles(c("near_roles"))).cast("array<string>"), ","),
+        "table_items": pages.count_table_items(c("table_items")), "speciality": text.speciality_of_role(c("speciality")), "fixed": text.fix_ocr_typos(c("fixed")), "split_titles": joined(text.split_titles(c("split_titles"))),
+        "similar_roles": joined(text.split_similar_roles(c("similar_roles"))), "months": dates.parse_months(c("months")), "number": records.to_float(c("number")), "leading": records.leading_int(c("leading")), "duration": records.clean_duration(c("duration")),
+        "suspicious": c("needs_review"), "same_group": similarity.same_synonym_group(c("same_group"), F.lit("Coordinador BIM")), "null_word": c("null_word"), "real_title": requirements.is_title(c("real_title")),
+        "period": F.concat(period["start"].cast("string"), F.lit("/"), F.coalesce(period["end"].cast("string"), F.lit(""))), "iso_day": dates.iso_or_spanish(c("iso_day")),
+    }
+    return t.select("p_partkey", *(v.cast("string").alias(n) for n, v in made.items()))
