@@ -9,6 +9,7 @@ from ..functions import dates, records, similarity, text
 from ..operators import cells, curate, intake, markdown, pages, quality, report, requirements, works
 from .base import EXPERIENCES_SQL, PROPOSAL, experiences, read
 from ..shared import stored
+from ..sources import readers
 from .registry import query
 
 ROLES = ("Especialista en Costos", "Asistente de obra", "Modelador BIM", "Jefe de Supervision", "Residente", "Consultoria de estudios", "Gestor BIM")
@@ -633,3 +634,75 @@ def text_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
         "period": F.concat(period["start"].cast("string"), F.lit("/"), F.coalesce(period["end"].cast("string"), F.lit(""))), "iso_day": dates.iso_or_spanish(c("iso_day")),
     }
     return t.select("p_partkey", *(v.cast("string").alias(n) for n, v in made.items()))
+
+
+# Sources
+
+_BODY_SQL = "trim(regexp_replace(regexp_replace(coalesce(text, ''), '[`\\s]+', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+def _dumps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as dumps of three pages: the text in a fence with an engine and a confidence, a bare page, a fence with a language."""
+    d, c = read(spark, sf_dir, "documents"), F.concat
+    body = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[`\s]+", " "))
+    dump = c(F.lit("index\n## Página 1  _paddle · conf 0."), (F.col("doc_id") % 10).cast("string"), F.lit("5_\n\n```\n"), body, F.lit("\n```\nafter\n--- Página 2 ---\n  bare "), F.coalesce("source", F.lit("")), F.lit(" \n\n## Pagina 12  _x_\n```text\n"), F.coalesce("lang", F.lit("")), F.lit("\n```\n"))
+    return d.select("doc_id", dump.alias("dump"))
+
+
+@query(f"""
+select doc_id, 1 as page_num, '0.' || doc_id % 10 || '5' as confidence, md5({_BODY_SQL}) as digest, true as fenced from documents
+union all select doc_id, 2, null, md5(trim('bare ' || coalesce(source, ''))), false from documents union all select doc_id, 12, null, md5(coalesce(lang, '')), true from documents""")
+def paged_dumps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dumps = stored(_dumps(spark, sf_dir), "dumps")
+    strict = readers.read_page_results(dumps, strict=True).select("doc_id", "page_num", F.lit(True).alias("fenced"))
+    out = readers.read_page_results(dumps).join(strict, ["doc_id", "page_num"], "left")
+    return out.select("doc_id", "page_num", F.format_number("confidence", 2).alias("confidence"), F.md5("text").alias("digest"), F.coalesce("fenced", F.lit(False)).alias("fenced"))
+
+
+@query("""
+with r as (select event_id, event_type, value, unnest(range(case when event_id % 5 in (0, 1, 2) then 2 when event_id % 5 = 3 then 1 else 0 end)) as position from events)
+select event_id, position::int as position, case when position = 0 then event_type else 'second' end as name, case when position = 0 then event_id else null end as id, case when position = 1 then round(value, 2)::double end as amount from r""")
+def child_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers that are a list, hold one under a key, are one object, or no JSON; records with other names of a field, or without it."""
+    e = read(spark, sf_dir, "events")
+    first = F.concat(F.lit('{"Nombre": "'), "event_type", F.lit('", "id": "'), F.col("event_id").cast("string"), F.lit('", "monto": "x"}'))
+    second = F.concat(F.lit('{"nombre": "second", "Id": null, "importe": '), F.round("value", 2).cast("string"), F.lit("}"))
+    both, k = F.concat(F.lit("["), first, F.lit(", "), second, F.lit("]")), F.col("event_id") % 5
+    answer = F.when(k == 0, both).when(k == 1, F.concat(F.lit('{"Result": '), both, F.lit("}"))).when(k == 2, F.concat(F.lit('{"n": 2, "obras": '), both, F.lit("}"))).when(k == 3, first).otherwise("<html>")
+    rows = readers.normalize_envelope(e.select("event_id", answer.alias("answer")), "answer").where("record is not null")
+    spec = {"name": ("string", ("Nombre", "nombre")), "id": ("long", ("id", "Id")), "amount": ("double", ("monto", "importe"))}
+    return readers.type_child_records(rows.select("event_id", "position", F.struct("event_id", "position").alias("key"), F.col("record").cast("string").alias("record")), "key", spec).select("key.*", "name", "id", "amount")
+
+
+@query("""
+with r as (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) + 1 as i from lineitem)
+select l_orderkey as sheet, i::bigint as i, l_partkey::varchar as part, l_suppkey::varchar as col_2, case when l_linenumber % 2 = 0 then 'x' end as last, (count(*) over (partition by l_orderkey) + 3)::bigint as rows, 3 as columns, (count(*) over (partition by l_orderkey) + 1)::bigint as filled from r""")
+def sheet_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as sheets: an empty row, a header with a blank, the lines, an empty row."""
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate"]
+    lines = curate.number_rows(read(spark, sf_dir, "lineitem"), ["l_orderkey"], [F.col(c) for c in order], "i")
+    text = lambda c: F.concat(F.lit(" "), F.col(c).cast("string"))
+    body = lines.select(F.col("l_orderkey").alias("sheet"), (F.col("i") + 1).cast("long").alias("i"), F.array(text("l_partkey"), text("l_suppkey"), F.when(F.col("l_linenumber") % 2 == 0, "x ")).alias("cells"))
+    sheets = lines.select(F.col("l_orderkey").alias("sheet")).distinct()
+    row = lambda i, *cells: sheets.select("sheet", F.lit(i).cast("long").alias("i"), F.array(*(F.lit(x).cast("string") for x in cells)).alias("cells"))
+    rows = body.unionByName(row(0, None, " ", "")).unionByName(row(1, "Part ", None, "Last")).unionByName(row(10_000, "", None, None))
+    told = readers.sheet_profile(rows, ["sheet"], "cells").select("sheet", "rows", "columns", F.col("filled_rows").alias("filled"))
+    out = readers.promote_header(rows, ["sheet"], "i", "cells").join(told, "sheet")
+    return out.select("sheet", "i", F.col("record")["Part"].alias("part"), F.col("record")["Col_2"].alias("col_2"), F.col("record")["Last"].alias("last"), "rows", "columns", "filled")
+
+
+@query("""
+select event_type as block_type, count(*) as calls, count(*) filter (value <= 20) as failed, sum(event_id % 100 + user_id % 7)::bigint as tokens, round(sum(user_id % 7) / sum(value / 100), 2)::double as tokens_a_second,
+  case when round(sum(user_id % 7) / sum(value / 100), 2) > 200 then 'GPU' else 'CPU' end as device from events group by 1""")
+def call_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "events")
+    calls = e.select(F.col("event_type").alias("block_type"), (F.col("value") > 20).alias("ok"), (F.col("event_id") % 100).alias("prompt_tokens"), (F.col("user_id") % 7).alias("answer_tokens"), (F.col("value") / 100).alias("seconds"))
+    return readers.call_metrics(calls)
+
+
+@query("""
+select source, count(*) as pages, count(*) filter (contains(text, '#') or contains(text, '@')) as scored, count(*) filter (contains(text, '@')) as selected from documents group by 1""")
+def scoring_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    there = lambda x: F.when(F.contains("text", F.lit(x)), 1.0).otherwise(0.0)
+    d = read(spark, sf_dir, "documents").withColumns({"a": there("#"), "b": there("@")})
+    return report.scoring_summary(d, ["a", "b"], F.col("b") > 0, ["source"])
