@@ -52,8 +52,8 @@ def suspension_periods(months: DataFrame, keys: list[str], month: str = "month",
     return rows.groupBy(*keys, "__broken", "__island").agg(F.min("__start").alias("start"), F.max("__end").alias("end"), F.count(F.lit(1)).alias("months")).drop("__broken", "__island")
 
 
-#: Days of a bin of overlap_join: about the length of the shorter intervals, so that most touch one bin or two.
-OVERLAP_DAYS = 32
+#: Days of a bin of overlap_join: about the length of the longer intervals, so that most touch one bin or two.
+OVERLAP_DAYS = 128
 
 
 def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], a: tuple[str, str], b: tuple[str, str], days: int = OVERLAP_DAYS) -> DataFrame:
