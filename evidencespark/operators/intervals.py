@@ -17,19 +17,30 @@ def merge_intervals(df: DataFrame, keys: list[str], start: str = "start", end: s
     return islands.groupBy(*keys, "__island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("n_merged")).drop("__island")
 
 
+#: Common windows up to which they are named in an expression; more are joined.
+MAX_WINDOWS = 256
+
+
 def effective_days(experiences: DataFrame, exclusions: DataFrame, person: str, experience: str, group: str | None = None) -> DataFrame:
     """experiences: person, experience, start, end, issued (the end where none is given), and group if exclusions have one.
     exclusions: start, end (and group): common windows of all, or those of a group. Per experience gross days (end exclusive) less the
-    union of overlaps (both ends inclusive), at least 0. Returns person, experience, gross_days, excluded_days, days."""
+    union of overlaps (both ends inclusive), at least 0. Returns person, experience, gross_days, excluded_days, days. A few common windows
+    are united first and then subtracted in each row, without a join."""
     own = experiences.withColumn("end", F.coalesce("end", "issued")).where("start is not null and end is not null and end >= start")
+    gross = F.datediff("end", "start")
+    windows = None if group else exclusions.select(F.lit(0).alias("__all"), "start", "end").limit(MAX_WINDOWS + 1)
+    common = None if group else merge_intervals(windows, ["__all"]).select("start", "end", "n_merged").collect()  # at most MAX_WINDOWS + 1 rows
+    if common is not None and sum(w["n_merged"] for w in common) <= MAX_WINDOWS:
+        shared = [F.greatest(F.lit(0), F.datediff(F.least("end", F.lit(w["end"])), F.greatest("start", F.lit(w["start"]))) + 1) for w in common]
+        both = own.select(person, experience, gross.alias("gross_days"), sum(shared, F.lit(0)).cast("long").alias("excluded_days"))
+        return both.withColumn("days", F.greatest(F.lit(0), F.col("gross_days") - F.col("excluded_days")).cast("long"))
     ex = exclusions.select(*([group] if group else []), F.col("start").alias("x_start"), F.col("end").alias("x_end"))
     meets = (F.col("x_start") <= F.col("end")) & (F.col("start") <= F.col("x_end"))
     if group:
         meets = meets & (own[group] == ex[group])
     hit = own.join(ex, meets).select(person, experience, F.greatest("start", "x_start").alias("start"), F.least("end", "x_end").alias("end"))
     excluded = merge_intervals(hit, [person, experience]).groupBy(person, experience).agg(F.sum(F.datediff("end", "start") + 1).alias("excluded_days"))
-    gross = own.select(person, experience, F.datediff("end", "start").alias("gross_days"))
-    both = gross.join(excluded, [person, experience], "left").withColumn("excluded_days", F.coalesce("excluded_days", F.lit(0)))
+    both = own.select(person, experience, gross.alias("gross_days")).join(excluded, [person, experience], "left").withColumn("excluded_days", F.coalesce("excluded_days", F.lit(0)))
     return both.withColumn("days", F.greatest(F.lit(0), F.col("gross_days") - F.col("excluded_days")).cast("long"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.similarity import bound
 from ..functions.text import strip_accents
 from ..rules import MAX_PAGE_GAP, SIGNALS, TYPE_THRESHOLD
 from ..shared import stored
@@ -120,24 +121,32 @@ def count_table_items(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"(?m)^\s*\|\s*\d+\s*\|"))
 
 
+TABLE_HEADERS = r"(?U)\b(ítem|cant|cargo|formaci[oó]n|experiencia|puesto|denominaci[oó]n|t[ií]tulo profesional|grado)\b"
+
+
 def table_likelihood(text: Column) -> Column:
-    """0 to 1 by seven signs of a table: short lines, many short lines, repeats, "N meses en", titles, running numbers, header words."""
+    """0 to 1 by seven signs of a table: short lines, many short lines, repeats, "N meses en", titles, running numbers, header words. Lines and
+    the lower-case text are made once for all signs."""
+
+    def judged(m: Column) -> Column:
+        lines, low, numbers = m["lines"], m["low"], m["numbers"]
+        n = F.size(lines)
+        short = F.size(F.filter(lines, lambda x: F.length(x) < 30)) / n
+        mean = F.aggregate(lines, F.lit(0), lambda a, x: a + F.length(x)) / n
+        repeats = bound(F.filter(F.transform(lines, F.lower), lambda x: F.length(x) > 15), lambda p: F.size(p) - F.size(F.array_distinct(p)))
+        titles = F.regexp_count(low, F.lit("ingeniero|bachiller|arquitecto"))
+        running = F.size(F.filter(numbers, lambda x, i: x == F.get(numbers, i - 1) + 1))
+        heads = F.size(F.array_distinct(F.transform(F.regexp_extract_all(low, F.lit(TABLE_HEADERS), F.lit(1)), strip_accents)))
+        signs = [
+            (short > 0.5, 0.15), ((mean < 40) & (n > 20), 0.15), (repeats >= 3, 0.15), (F.regexp_count(low, F.lit(r"\d+\s*meses\s+en")) >= 2, 0.2), (titles >= 3, 0.1),
+            ((F.size(numbers) >= 3) & (running >= 2), 0.1), (heads >= 3, 0.15),
+        ]
+        score = sum((F.when(F.coalesce(c, F.lit(False)), w).otherwise(0.0) for c, w in signs), F.lit(0.0))
+        return F.when(n > 0, F.round(F.least(score, F.lit(1.0)), 2)).otherwise(F.lit(0.0))
+
     lines = F.filter(F.transform(F.split(F.trim(text), "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    n = F.size(lines)
-    low = F.lower(text)
-    short = F.size(F.filter(lines, lambda x: F.length(x) < 30)) / n
-    mean = F.aggregate(lines, F.lit(0), lambda a, x: a + F.length(x)) / n
-    phrases = F.filter(F.transform(lines, lambda x: F.lower(x)), lambda x: F.length(x) > 15)
-    titles = F.regexp_count(low, F.lit("ingeniero|bachiller|arquitecto"))
-    numbers = F.transform(F.filter(lines, lambda x: x.rlike(r"^\d{1,2}$")), lambda x: x.cast("int"))
-    running = F.size(F.filter(numbers, lambda x, i: x == F.get(numbers, i - 1) + 1))
-    heads = sum((F.when(low.rlike(rf"(?U)\b{w}\b"), 1).otherwise(0) for w in ("ítem", "cant", "cargo", "formaci[oó]n", "experiencia", "puesto", "denominaci[oó]n", "t[ií]tulo profesional", "grado")), F.lit(0))
-    signs = [
-        (short > 0.5, 0.15), ((mean < 40) & (n > 20), 0.15), (F.size(phrases) - F.size(F.array_distinct(phrases)) >= 3, 0.15),
-        (F.regexp_count(low, F.lit(r"\d+\s*meses\s+en")) >= 2, 0.2), (titles >= 3, 0.1), ((F.size(numbers) >= 3) & (running >= 2), 0.1), (heads >= 3, 0.15),
-    ]
-    score = sum((F.when(F.coalesce(c, F.lit(False)), w).otherwise(0.0) for c, w in signs), F.lit(0.0))
-    return F.when((F.length(F.trim(text)) >= 100) & (n > 0), F.round(F.least(score, F.lit(1.0)), 2)).otherwise(F.lit(0.0))
+    made = bound(lines, lambda own: F.struct(own.alias("lines"), F.lower(text).alias("low"), F.transform(F.filter(own, lambda x: x.rlike(r"^\d{1,2}$")), lambda x: x.cast("int")).alias("numbers")))
+    return F.when(F.length(F.trim(text)) >= 100, bound(made, judged)).otherwise(F.lit(0.0))
 
 
 def group_consecutive(df: DataFrame, keys: list[str], number: str, most: int = 2) -> DataFrame:

@@ -71,6 +71,21 @@ def test_effective_days_illustration(spark):
     assert intervals.effective_days(own, stop, "person", "experience").first()["days"] == 87
 
 
+def test_effective_days_by_expression_and_by_join(spark, monkeypatch):
+    rng = random.Random(6)
+    day = lambda n: dt.date(2020, 1, 1) + dt.timedelta(n)
+    own = [(i % 3, i, day(a), None if i % 9 == 0 else day(a + rng.randint(-2, 90)), day(a + 60)) for i in range(60) for a in [rng.randint(0, 200)]]
+    stops = [(day(a), day(a + rng.randint(0, 40))) for a in rng.sample(range(250), 9)]
+    e, x = spark.createDataFrame(own, "p int, e int, start date, end date, issued date"), spark.createDataFrame(stops, "start date, end date")
+    got = sorted(map(tuple, intervals.effective_days(e, x, "p", "e").collect()))
+    monkeypatch.setattr(intervals, "MAX_WINDOWS", 0)
+    assert got == sorted(map(tuple, intervals.effective_days(e, x, "p", "e").collect()))
+    closed = {day(n) for a, b in stops for n in range((a - day(0)).days, (b - day(0)).days + 1)}
+    want = {i: ((end - a).days, sum(a <= d <= end for d in closed)) for _, i, a, b, c in own for end in [b or c] if end >= a}
+    assert {r[1]: (r[2], r[3]) for r in got} == want and all(r[4] == max(0, r[2] - r[3]) for r in got)
+    assert intervals.effective_days(e, x.where("start is null"), "p", "e").agg({"excluded_days": "sum"}).first()[0] == 0
+
+
 def test_page_dumps(spark):
     dump = "## Página 1  _paddle · conf 0.931_\n\n```\nhola\n```\n--- Página 2 ---\nsin cerca\n## Pagina 3  _x_\n```\nfin\n```\n"
     rows = readers.read_page_results(spark.createDataFrame([("d", dump)], "doc_id string, dump string")).orderBy("page_num").collect()
