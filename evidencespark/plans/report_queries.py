@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, records, similarity, text
-from ..operators import cells, curate, intake, markdown, pages, quality, report, requirements, works
+from ..operators import cells, curate, intake, markdown, merge, pages, quality, report, requirements, works
 from .base import EXPERIENCES_SQL, PROPOSAL, experiences, read
 from ..shared import stored
 from ..sources import readers
@@ -706,3 +706,51 @@ def scoring_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     there = lambda x: F.when(F.contains("text", F.lit(x)), 1.0).otherwise(0.0)
     d = read(spark, sf_dir, "documents").withColumns({"a": there("#"), "b": there("@")})
     return report.scoring_summary(d, ["a", "b"], F.col("b") > 0, ["source"])
+
+
+# Sources accepted, persons verified
+
+_LAYERS_SQL = """
+r as (select p_partkey // 40 as doc, ['grid', 'image', 'lines'][1 + p_partkey % 3] as source, 10 + (p_partkey // 40) % 7 as expected, (p_partkey % 4 > 0)::int as t, (p_partkey % (2 + p_partkey // 40 % 3) > 0)::int as o from part),
+a as (select doc, source, count(*) as rows, max(expected) as expected, avg(t) as with_titles, avg(o) as with_roles from r group by 1, 2), b as (select *, rows >= 0.8 * expected and greatest(with_titles, with_roles) >= 0.7 as accepted from a)"""
+
+
+def _layers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    k, doc = F.col("p_partkey"), F.expr("p_partkey div 40")
+    some = lambda c: F.when(c, F.array("p_name")).otherwise(F.array().cast("array<string>"))
+    rows = read(spark, sf_dir, "part").select(k.alias("k"), doc.alias("doc"), _pick(("grid", "image", "lines"), k % 3).alias("source"), (doc % 7 + 10).alias("expected"), some(k % 4 > 0).alias("titles"), some(k % (doc % 3 + 2) > 0).alias("roles"))
+    return rows, merge.accept_source(rows, "doc", "source", "expected", "titles", "roles")
+
+
+@query(f"with {_LAYERS_SQL} select doc, source, rows, expected, round(with_titles, 6)::double as with_titles, round(with_roles, 6)::double as with_roles, accepted from b")
+def accepted_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, accepted = _layers(spark, sf_dir)
+    return accepted.withColumns({c: F.round(c, 6) for c in ("with_titles", "with_roles")})
+
+
+@query(f"""
+with {_LAYERS_SQL}, f as (select doc, arg_min(source, case source when 'lines' then 1 when 'grid' then 2 else 3 end) as source from b where accepted group by 1)
+select doc, source, count(*) as n from r join f using (doc, source) group by 1, 2""")
+def first_accepted_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, accepted = _layers(spark, sf_dir)
+    return merge.first_accepted_source(rows, accepted, "doc", "source", ["lines", "grid", "image"]).groupBy("doc", "source").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+with n as (select count(*) as n from part),
+p as (select p_partkey // 10 as work, p_name || ' ' || p_brand as person, date '1992-01-01' + p_size * 60 as s, case when p_partkey % 5 > 0 then date '1992-01-01' + p_size * 60 + 400 end as e from part),
+c as (select o_orderkey as cert, (o_orderkey % n) // 10 as work, case o_orderkey % 3 when 0 then p_brand || ', ' || upper(p_name) when 1 then p_name else 'Somebody Else' end as name, o_orderdate::date as s, o_orderdate::date + 30 as e from orders, n, part where p_partkey = o_orderkey % n),
+t as (select *, list_filter(list_distinct(string_split(regexp_replace(upper(name), '[^A-Z0-9 ]', ' ', 'g'), ' ')), lambda x: x <> '') as a from c),
+u as (select *, list_filter(list_distinct(string_split(regexp_replace(upper(person), '[^A-Z0-9 ]', ' ', 'g'), ' ')), lambda x: x <> '') as b from p),
+m as (select cert, person, len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) as score, t.s <= coalesce(u.e, t.e) and u.s <= t.e as meets from t join u using (work)),
+r as (select *, row_number() over (partition by cert order by score desc, meets desc, person desc) as i from m)
+select cert, person, round(score, 6)::double as name_score, score >= 0.6 as matched, case when score >= 0.6 then meets end as period_ok from r where i = 1""")
+def verified_people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Certificates with their person's name in another order, in part, or another's, against ten registered persons a work."""
+    part, n = read(spark, sf_dir, "part"), read(spark, sf_dir, "part").count()
+    begin = F.date_add(F.lit("1992-01-01").cast("date"), F.col("p_size") * 60)
+    people = part.select(F.expr("p_partkey div 10").alias("work"), F.concat_ws(" ", "p_name", "p_brand").alias("person"), begin.alias("p_start"), F.when(F.col("p_partkey") % 5 > 0, F.date_add(begin, 400)).alias("p_end"))
+    key, day = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
+    name = F.when(key % 3 == 0, F.concat("p_brand", F.lit(", "), F.upper("p_name"))).when(key % 3 == 1, F.col("p_name")).otherwise("Somebody Else")
+    certs = read(spark, sf_dir, "orders").join(part, F.col("p_partkey") == key % n).select(key.alias("cert"), F.expr("p_partkey div 10").alias("work"), name.alias("name"), day.alias("start"), F.date_add(day, 30).alias("end"))
+    return works.verify_person(certs, people, "work", "cert")
