@@ -63,20 +63,24 @@ def attach_pages(ranges: DataFrame, pages: DataFrame, doc: str, page: str, first
     return spread.join(own, [doc, "__bin"]).where(F.col(page).between(F.col(first), F.col(last))).drop("__bin")
 
 
-def attach_pages_to_sections(sections: DataFrame, pages: DataFrame, doc: str, page: str, section: str, separator: str = "separator") -> DataFrame:
+def attach_pages_to_sections(sections: DataFrame, pages: DataFrame, doc: str, page: str, section: str, separator: str = "separator", texts: DataFrame | None = None, page_id: str | None = None) -> DataFrame:
     """sections: doc, section, separator (its page, may be null), ranges (array of structs first, last). doc, section, texts (one for each range,
     its pages in order under their tags, pages that are not there left out), text (all of them). A range that begins at the separator page
-    begins after it; ranges left without a page number go, and sections left without a range as well."""
+    begins after it; ranges left without a page number go, and sections left without a range as well. pages: doc, page and text, or page_id by which
+    texts (page_id, text) has the text: then only the texts of pages inside ranges are moved, after the ranges have found their pages."""
     ranges = F.transform("ranges", lambda r: F.struct((r["first"] + F.when(r["first"] == F.col(separator), 1).otherwise(0)).cast("long").alias("first"), r["last"].cast("long").alias("last")))
-    kept = F.filter(ranges, lambda r: r["first"] <= r["last"])
-    spread = sections.select(doc, section, F.posexplode(kept).alias("range", "r")).select(doc, section, "range", "r.first", "r.last")
-    tagged = F.concat(F.lit("[Página "), F.col(page).cast("string"), F.lit("]\n"), F.coalesce("text", F.lit("")))
-    met = attach_pages(spread, pages.select(doc, page, "text"), doc, page).select(doc, section, "range", F.struct(F.col(page).alias("p"), tagged.alias("t")).alias("page"))
-    every = spread.select(doc, section, "range", F.lit(None).cast(met.schema["page"].dataType).alias("page"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list("page")), lambda x: x["t"]), "\n\n")
-    texts = met.unionByName(every).groupBy(doc, section, "range").agg(joined.alias("t"))
-    out = texts.groupBy(doc, section).agg(F.transform(F.array_sort(F.collect_list(F.struct("range", "t"))), lambda x: x["t"]).alias("texts"))
-    return out.withColumn("text", F.array_join("texts", "\n\n"))
+    kept = sections.select(doc, section, F.filter(ranges, lambda r: r["first"] <= r["last"]).alias("r")).where(F.size("r") > 0)
+    spread = kept.select(doc, section, F.size("r").alias("n"), F.posexplode("r").alias("range", "r")).select(doc, section, "n", "range", "r.first", "r.last")
+    own = "text" if texts is None else page_id
+    met = attach_pages(spread, pages.select(doc, page, own), doc, page).select(doc, section, "n", "range", F.col(page).alias("p"), own)
+    if texts is not None:
+        met = met.join(texts.select(page_id, "text"), page_id)
+    tagged = F.concat(F.lit("[Página "), F.col("p").cast("string"), F.lit("]\n"), F.coalesce("text", F.lit("")))
+    one = met.select(doc, section, "n", F.struct("range", "p", tagged.alias("t")).alias("page"))
+    none = kept.select(doc, section, F.size("r").alias("n"), F.lit(None).cast(one.schema["page"].dataType).alias("page"))
+    grouped = one.unionByName(none).groupBy(doc, section).agg(F.max("n").alias("n"), F.array_sort(F.collect_list("page")).alias("own"))
+    joined = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda r: F.array_join(F.transform(F.filter("own", lambda x: x["range"] == r), lambda x: x["t"]), "\n\n"))
+    return grouped.select(doc, section, joined.alias("texts")).withColumn("text", F.array_join("texts", "\n\n"))
 
 
 def expand_block_context(blocks: DataFrame, pages: DataFrame, doc: str, page: str) -> DataFrame:

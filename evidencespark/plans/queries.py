@@ -581,11 +581,12 @@ t as (select r.source, section, n, coalesce(string_agg('[Página ' || page_num |
 select source, section, count(*) as ranges, md5(string_agg(t, chr(10) || chr(10) order by n)) as digest from t group by 1, 2""")
 def section_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twelve pages a section: ranges 1 to 5, whose first is the separator page, and 7 to 11, and one that holds the separator page alone."""
-    own = source_pages(spark, sf_dir).select("source", "page_num", "text")
+    docs = documents(spark, sf_dir)
+    own = numbered(docs.select("source", "doc_id"))
     section = F.expr("(page_num - 1) div 12")
     spans = [F.struct((F.col("section") * 12 + a).alias("first"), (F.col("section") * 12 + b).alias("last")) for a, b in ((1, 5), (1, 1), (7, 11))]
     sections = own.select("source", section.alias("section")).distinct().select("source", "section", (F.col("section") * 12 + 1).alias("separator"), F.array(*spans).alias("ranges"))
-    out = pages.attach_pages_to_sections(sections, own, "source", "page_num", "section")
+    out = pages.attach_pages_to_sections(sections, own, "source", "page_num", "section", texts=docs, page_id="doc_id")
     return out.select("source", "section", F.size("texts").cast("long").alias("ranges"), F.md5("text").alias("digest"))
 
 

@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, records, similarity, text
-from ..operators import cells, curate, intake, markdown, merge, pages, quality, report, requirements, works
+from ..operators import cells, curate, evaluate, intake, markdown, merge, pages, quality, report, requirements, works
 from .base import EXPERIENCES_SQL, PROPOSAL, experiences, read
 from ..shared import stored
 from ..sources import readers
-from .registry import query
+from .registry import ORACLES, query
 
 ROLES = ("Especialista en Costos", "Asistente de obra", "Modelador BIM", "Jefe de Supervision", "Residente", "Consultoria de estudios", "Gestor BIM")
 TITLES = ("Ingeniero en Costos", "Ingeniero Civil", "Arquitecto", "Ingeniero de Supervision")
@@ -754,3 +754,18 @@ def verified_people(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.when(key % 3 == 0, F.concat("p_brand", F.lit(", "), F.upper("p_name"))).when(key % 3 == 1, F.col("p_name")).otherwise("Somebody Else")
     certs = read(spark, sf_dir, "orders").join(part, F.col("p_partkey") == key % n).select(key.alias("cert"), F.expr("p_partkey div 10").alias("work"), name.alias("name"), day.alias("start"), F.date_add(day, 30).alias("end"))
     return works.verify_person(certs, people, "work", "cert")
+
+
+@query(f"""
+select person, experience, {", ".join(f"case when {c} in ('SI', 'CUMPLE') then 'green' when {c} in ('NO', 'NO CUMPLE') then 'red' when {c} = 'NO EVALUABLE' then 'yellow' end as {c}" for c in ("title_ok", "role_ok", "sector_ok", "action_ok", "complexity"))}
+from ({ORACLES["evaluation_table"]})""")
+def status_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation_table(spark, sf_dir).select("person", "experience", *(evaluate.status_colour(F.col(c)).alias(c) for c in ("title_ok", "role_ok", "sector_ok", "action_ok", "complexity")))
+
+
+@query("""
+select p_partkey, trim(case when p_partkey % 3 = 0 then '' else p_name || ' ' end || case when p_partkey % 4 = 0 then '' else p_brand || ' ' end || p_type) as name from part""")
+def full_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    parts = F.when(k % 3 != 0, F.concat(F.lit(" "), "p_name")), F.when(k % 4 == 0, " ").otherwise(F.col("p_brand")), F.concat("p_type", F.lit("  "))
+    return read(spark, sf_dir, "part").select("p_partkey", curate.full_name(*parts).alias("name"))

@@ -136,6 +136,17 @@ def test_pack_pages_equals_a_fold(spark, monkeypatch, overlap):
     assert pages.pack_pages(df.where("page < 0"), "doc", "page").count() == 0
 
 
+def test_section_texts_with_texts_inside_or_apart(spark):
+    """A missing page, a range of the separator alone, one without pages, and a section left without any."""
+    pages_ = spark.createDataFrame([("d", 1, 10, "a"), ("d", 2, 20, "b"), ("d", 4, 40, None), ("e", 1, 50, "x")], "doc string, page int, id int, text string")
+    kind = "doc string, section int, separator int, ranges array<struct<first int, last int>>"
+    sections = spark.createDataFrame([("d", 1, 1, [(1, 3), (1, 1), (30, 40), (4, 4)]), ("e", 1, 1, [(1, 1)]), ("e", 2, None, [(1, 1)])], kind)
+    want = {("d", 1): ["[Página 2]\nb", "", "[Página 4]\n"], ("e", 2): ["[Página 1]\nx"]}
+    for how in ({}, {"texts": pages_.select("id", "text"), "page_id": "id"}):
+        got = pages.attach_pages_to_sections(sections, pages_, "doc", "page", "section", **how).collect()
+        assert {(r["doc"], r["section"]): r["texts"] for r in got} == want and {r["text"] for r in got} == {"\n\n".join(t) for t in want.values()}
+
+
 def test_overlap_join_equals_all_pairs(spark):
     """Short, long, reversed and open intervals; each pair once, whatever the bins."""
     rng = random.Random(2)
