@@ -119,6 +119,6 @@ def evidence_texts(pages: DataFrame, keys: list[str], block: str, page: str, mos
     rows = own.select(*keys, page, "text", F.col("blocks"), F.explode(kinds).alias("k")).select(*keys, page, "text", "k.kind", F.when(F.col("blocks") >= 2, 0).otherwise(F.col("k.rank")).alias("rank"))
     order = Window.partitionBy(*keys, "kind").orderBy("rank", page)
     before = F.coalesce(F.sum(F.length("text") + 2).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    near = rows.withColumn("before", before).where(F.col("before") < most)
+    near = rows.withColumn("before", before).where(F.col("before") < most + 2)  # the blank line before a page counts as the texts' own
     texts = near.groupBy(*keys, "kind").agg(F.array_sort(F.collect_list(F.struct("rank", F.col(page).alias("page"), "text"))).alias("t"))
     return texts.select(*keys, "kind", F.left(F.array_join(F.transform("t", lambda x: x["text"]), "\n\n"), F.lit(most)).alias("text"))

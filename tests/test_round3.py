@@ -32,3 +32,10 @@ def test_golden_rows_whose_keys_begin_alike(spark, tmp_path):
     con.execute(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
     want = sorted(con.execute(ORACLES["golden_missing_extra"]).fetchall())
     assert sorted(map(tuple, QUERIES["golden_missing_extra"](spark, str(tmp_path)).collect())) == want
+
+
+def test_evidence_texts_end_in_the_blank_line_before_a_page(spark):
+    for size in range(6, 12):
+        pages = spark.createDataFrame([(1, 0, 1, "a" * size), (1, 0, 2, "b" * 9)], "s int, block int, page int, text string")
+        got = {r["text"] for r in markdown.evidence_texts(pages, ["s"], "block", "page", 10).collect()}
+        assert got == {("a" * size + "\n\n" + "b" * 9)[:10]}
