@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.fuzzy import indel_ratio
 from ..functions.text import strip_accents
 from ..rules import ROLE_CATALOGUE
-from ..shared import stored
+from ..shared import shuffled, stored
 from .assign import similar_candidates
 
 ANCHOR_RATIO, ANCHOR_CHARS = 92.0, (8, 200)
@@ -94,11 +94,11 @@ def infer_row_numbers(rows: DataFrame, texts: DataFrame, doc: str, role: str, te
     letters = near.select("__d", F.explode(F.array_distinct(F.regexp_extract_all("near", F.lit(r"(\p{L}{4,})"), F.lit(1)))).alias("run"))
     ends = F.flatten(F.transform(F.sequence(F.lit(4), F.length("run")), lambda n: F.array(F.left("run", n), F.right("run", n))))
     known = letters.select("__d", F.explode(ends).alias("__w")).distinct()
-    met = asked.join(known, F.col("__doc").eqNullSafe(F.col("__d")) & (F.col("word") == F.col("__w")), "left_semi")
+    met = asked.join(shuffled(known), F.col("__doc").eqNullSafe(F.col("__d")) & (F.col("word") == F.col("__w")), "left_semi")
     pattern = F.concat(F.lit(rf"(?:(\d{{1,2}})[\s|]{{0,{NUMBER_GAP}}}"), "word", F.lit("|"), "word", F.lit(rf"[\s|]{{0,{NUMBER_GAP}}}(\d{{1,2}}))"))
     hits = F.arrays_zip(*(F.regexp_extract_all("near", pattern, F.lit(i)).alias(n) for i, n in ((1, "a"), (2, "b"))))
-    found = met.join(near, F.col("__doc").eqNullSafe(F.col("__d"))).withColumn("hits", F.transform(hits, lambda h: F.coalesce(F.nullif(h["a"], F.lit("")), h["b"]).try_cast("int")))
+    found = met.join(shuffled(near), F.col("__doc").eqNullSafe(F.col("__d"))).withColumn("hits", F.transform(hits, lambda h: F.coalesce(F.nullif(h["a"], F.lit("")), h["b"]).try_cast("int")))
     found = found.withColumn("number", F.get(F.filter("hits", lambda n: n.between(*NUMBERS)), 0)).where("number is not null")
     found = found.groupBy("__doc", "__role").agg(F.min_by("number", "k").alias("inferred"))
-    out = rows.alias("r").join(found.alias("f"), F.col(f"r.{doc}").eqNullSafe(F.col("f.__doc")) & F.col(f"r.{role}").eqNullSafe(F.col("f.__role")), "left")
+    out = rows.alias("r").join(shuffled(found).alias("f"), F.col(f"r.{doc}").eqNullSafe(F.col("f.__doc")) & F.col(f"r.{role}").eqNullSafe(F.col("f.__role")), "left")
     return out.select("r.*", "inferred")

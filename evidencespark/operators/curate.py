@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.records import clean_duration, drop_sparse_rows
 from ..functions.text import strip_accents
+from ..shared import shuffled
 from .anchors import infer_row_numbers
 from .fragments import attach_factors
 from .merge import copied_signatures, drop_support_roles, guarded_drop, merge_by_precedence, merge_duplicates, skeleton_rows, union_ignoring_case
@@ -62,7 +63,7 @@ def overlay_visual_rows(rows: DataFrame, visual: DataFrame, keys: list[str], inf
     seen = visual.select(*(F.col(k).alias(f"__k_{k}") for k in keys), *(F.col(c).alias(f"__{c}") for c in ("titles", "roles", "months", "work")))
     own = [F.col(k) for k in keys[:-1]] + [F.col(keys[-1]) if inferred is None else F.coalesce(F.col(keys[-1]), inferred)]
     same = reduce(lambda a, b: a & b, (c.eqNullSafe(F.col(f"__k_{k}")) if k != keys[-1] else c == F.col(f"__k_{k}") for c, k in zip(own, keys)))
-    out = rows.join(seen, same, "left").withColumn("__titles", F.filter("__titles", lambda t: ~is_derived_title(t, F.col("role"))))
+    out = rows.join(shuffled(seen), same, "left").withColumn("__titles", F.filter("__titles", lambda t: ~is_derived_title(t, F.col("role"))))
     out = out.withColumns({c: F.when(F.size(f"__{c}") > 0, F.col(f"__{c}")).otherwise(F.col(c)) for c in ("titles", "roles")})
     out = out.withColumns({c: F.coalesce(c, f"__{c}") for c in ("months", "work")})
     return out.select(*rows.columns)
@@ -122,7 +123,7 @@ def curate_people(rows: DataFrame, literal: DataFrame, visual: DataFrame, more_t
     first = keyed.groupBy("doc", "__role").agg(F.min("number").alias("number"))
     merged = merge_duplicates(keyed, ["doc", "__role"], ["role", "work", "registered"], ["months"], ["titles", "roles"]).drop("n_merged")
     same = F.col("m.doc").eqNullSafe(F.col("f.doc")) & F.col("m.__role").eqNullSafe(F.col("f.__role"))
-    merged = merged.alias("m").join(first.alias("f"), same).select("m.*", "f.number").drop("__role")
+    merged = merged.alias("m").join(shuffled(first).alias("f"), same).select("m.*", "f.number").drop("__role")
     merged = infer_row_numbers(merged.withColumns({c: F.coalesce(c, none) for c in ("titles", "roles")}), texts, "doc", "role", "text")
     merged = merged.withColumn("number", F.coalesce(F.when(F.col("number").between(1, LAST_NUMBER), F.col("number")), F.col("inferred").cast("long"), "number")).drop("inferred")
     columns = ["doc", "number", "role", "titles", "roles", "months", "work", "registered"]
@@ -130,14 +131,14 @@ def curate_people(rows: DataFrame, literal: DataFrame, visual: DataFrame, more_t
     out = known.unionByName(merged.where("number is null").select(columns).withColumn("source", F.lit("text")))
     out = overlay_visual_rows(out, visual, ["doc", "number"])
     real = lambda c: F.filter(F.coalesce(c, none), lambda t: is_title(t) & ~is_derived_title(t, F.col("role")))
-    out = out.join(more_titles.select("doc", "number", F.col("titles").alias("__more")), ["doc", "number"], "left")
+    out = out.join(shuffled(more_titles.select("doc", "number", F.col("titles").alias("__more"))), ["doc", "number"], "left")
     united = union_ignoring_case(real(F.col("__more")), real(F.col("titles")))
     literal_titles = (F.col("source") != "text") & (F.size("titles") > 0)
     out = out.withColumn("titles", F.when(F.col("__more").isNotNull() & ~literal_titles & (F.size(united) > 0), united).otherwise(F.coalesce("titles", none))).drop("__more")
     signature = F.concat_ws("|", F.array_join(F.array_sort("titles"), ","), F.array_join(F.array_sort(F.coalesce("roles", none)), ","))
     out = out.withColumn("__signature", F.when(F.col("source") == "text", F.nullif(signature, F.lit("|"))))
     copied = copied_signatures(out.where("__signature is not null"), ["doc"], [F.col("__signature")], "number").select("doc", F.col("signature").alias("__signature"), F.lit(True).alias("needs_review"))
-    out = out.join(copied, ["doc", "__signature"], "left").withColumn("needs_review", F.coalesce("needs_review", F.lit(False))).drop("__signature")
+    out = out.join(shuffled(copied), ["doc", "__signature"], "left").withColumn("needs_review", F.coalesce("needs_review", F.lit(False))).drop("__signature")
     out = skeleton_rows(out.withColumn("__role", F.lower(F.trim("role"))), training.select("doc", F.lower(F.trim("role")).alias("__role"), "hours"), ["doc", "__role"], "hours")
     out = out.withColumns({"role": F.coalesce("role", "__role"), "needs_review": F.coalesce("needs_review", F.lit(False)), **{c: F.coalesce(c, none) for c in ("titles", "roles")}}).drop("__role")
     cleaned = clean_duration(F.col("registered"))

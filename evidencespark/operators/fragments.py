@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from ..functions.fuzzy import near, token_set
 from ..functions.similarity import word_overlap
 from ..functions.text import normalize_role, strip_accents
+from ..shared import shuffled
 
 WORD_RATIO, WORD_SHARE, SET_RATIO = 92.0, 0.75, 80.0
 NEAR_LETTERS = 7  # below, a word with a letter amiss is under WORD_RATIO
@@ -92,14 +93,14 @@ def attach_factors(rows: DataFrame, factors: DataFrame, doc: str, role: str, own
     f = factors.where("factor_role is not null").select(doc, "position", normalize_role(F.col("factor_role")).alias("__f"), given.alias("__given"))
     tagged = rows.withColumn("__role", normalize_role(F.col(role)))
     roles = tagged.groupBy(doc, "__role").agg(F.max(F.col(own).isNull()).alias("__open"))
-    pairs = roles.join(f, doc).withColumn("__o", word_overlap(F.col("__role"), F.col("__f")))
+    pairs = roles.join(shuffled(f), doc).withColumn("__o", word_overlap(F.col("__role"), F.col("__f")))
     pairs = pairs.withColumn("__hit", F.coalesce(F.contains("__role", F.col("__f")) | F.contains(F.col("__f"), F.col("__role")) | (F.col("__o") >= ROLE_OVERLAP), F.lit(False)))
     order = Window.partitionBy(doc, "__role").orderBy("position", "__given")
     first = pairs.where("__hit").withColumn("__n", F.row_number().over(order)).where("__n = 1")
     used = first.where("__open").select(doc, "position").distinct()
-    generic = pairs.groupBy(doc, "position").agg(F.max("__o").alias("__most"), F.min("__given").alias("__given")).where(F.col("__most") < GENERIC_OVERLAP).join(used, [doc, "position"], "left_anti")
+    generic = pairs.groupBy(doc, "position").agg(F.max("__o").alias("__most"), F.min("__given").alias("__given")).where(F.col("__most") < GENERIC_OVERLAP).join(shuffled(used), [doc, "position"], "left_anti")
     generic = generic.groupBy(doc).agg(F.min_by("__given", "position").alias("__generic"))
-    out = tagged.join(first.select(doc, "__role", F.col("__given").alias("__specific")), [doc, "__role"], "left").join(generic, doc, "left")
+    out = tagged.join(shuffled(first.select(doc, "__role", F.col("__given").alias("__specific"))), [doc, "__role"], "left").join(shuffled(generic), doc, "left")
     return out.withColumn(own, F.coalesce(own, "__specific", "__generic")).select(*rows.columns)
 
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import shuffled
+
 
 def merge_by_precedence(text: DataFrame, structured: DataFrame, keys: list[str], prefer: list[str], fill: list[str]) -> DataFrame:
     """Full outer join of two sources on keys. prefer: columns where the structured value wins unless null or empty; fill: columns
@@ -42,8 +44,8 @@ def skeleton_rows(base: DataFrame, extra: DataFrame, key: str | list[str], value
     keys = [key] if isinstance(key, str) else key
     same = reduce(lambda a, b: a & b, (F.col(f"b.{k}").eqNullSafe(F.col(f"e.{k}")) for k in keys))
     kept, given = base.drop(value), extra.select(*keys, value)
-    joined = kept.alias("b").join(given.alias("e"), same, "left").select("b.*", f"e.{value}")
-    only = given.alias("e").join(base.select(*keys).distinct().alias("b"), same, "left_anti")
+    joined = kept.alias("b").join(shuffled(given).alias("e"), same, "left").select("b.*", f"e.{value}")
+    only = given.alias("e").join(shuffled(base.select(*keys).distinct()).alias("b"), same, "left_anti")
     return joined.unionByName(only, allowMissingColumns=True)
 
 

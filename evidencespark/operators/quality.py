@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.fuzzy import indel_ratio
 from ..functions.similarity import sorted_words
 from ..functions.text import strip_accents
-from ..shared import stored
+from ..shared import shuffled, stored
 from .assign import contained_texts, dominant_pairs, similar_candidates
 
 
@@ -68,13 +68,13 @@ def match_rows(found: DataFrame, golden: DataFrame, doc: str, number: str, name:
     g, f = (s.select(F.col(doc).alias("__doc"), F.col(number).alias("__no"), "__plain", "__id", place().alias("__place")) for s in sides)
     same = F.col("g.__doc").eqNullSafe(F.col("f.__doc"))
     keep = [F.col("g.__id").alias("__g"), F.col("f.__id").alias("__f"), F.col("g.__place").alias("__gp"), F.col("f.__place").alias("__fp")]
-    by_number = g.alias("g").join(f.alias("f"), same & (F.col("g.__no") == F.col("f.__no"))).select(*keep, F.lit(1).alias("__stage"))
-    by_name = g.alias("g").join(f.alias("f"), same & (F.col("g.__plain") == F.col("f.__plain"))).select(*keep, F.lit(2).alias("__stage"))
+    by_number = g.alias("g").join(shuffled(f).alias("f"), same & (F.col("g.__no") == F.col("f.__no"))).select(*keep, F.lit(1).alias("__stage"))
+    by_name = g.alias("g").join(shuffled(f).alias("f"), same & (F.col("g.__plain") == F.col("f.__plain"))).select(*keep, F.lit(2).alias("__stage"))
     inner = contained_texts(g, f, "__doc", "__plain").select("__doc", F.col("needle").alias("__gt"), F.col("hay").alias("__ft"))
     outer = contained_texts(f, g, "__doc", "__plain").select("__doc", F.col("hay").alias("__gt"), F.col("needle").alias("__ft"))
     texts = inner.unionByName(outer).where("__gt <> __ft").distinct()
-    via = g.alias("g").join(texts.alias("t"), F.col("g.__doc").eqNullSafe(F.col("t.__doc")) & (F.col("g.__plain") == F.col("t.__gt"))).select("g.*", "__ft")
-    by_part = via.alias("g").join(f.alias("f"), same & (F.col("g.__ft") == F.col("f.__plain"))).select(*keep, F.lit(2).alias("__stage"))
+    via = g.alias("g").join(shuffled(texts).alias("t"), F.col("g.__doc").eqNullSafe(F.col("t.__doc")) & (F.col("g.__plain") == F.col("t.__gt"))).select("g.*", "__ft")
+    by_part = via.alias("g").join(shuffled(f).alias("f"), same & (F.col("g.__ft") == F.col("f.__plain"))).select(*keep, F.lit(2).alias("__stage"))
     edges = by_number.unionByName(by_name).unionByName(by_part).groupBy("__g", "__f", "__gp", "__fp").agg(F.min("__stage").alias("__stage"))
     pairs = dominant_pairs(edges, ["__g"], ["__f"], F.struct("__stage", "__fp"), F.col("__gp"))
     return sides[0], sides[1], pairs.select("__g", "__f")

@@ -39,3 +39,8 @@ def test_evidence_texts_end_in_the_blank_line_before_a_page(spark):
         pages = spark.createDataFrame([(1, 0, 1, "a" * size), (1, 0, 2, "b" * 9)], "s int, block int, page int, text string")
         got = {r["text"] for r in markdown.evidence_texts(pages, ["s"], "block", "page", 10).collect()}
         assert got == {("a" * size + "\n\n" + "b" * 9)[:10]}
+
+
+def test_curation_sends_no_growing_table_whole(spark):
+    plan = QUERIES["curated_people"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan
