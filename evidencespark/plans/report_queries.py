@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, records, similarity, text
 from ..operators import cells, curate, evaluate, intake, markdown, merge, pages, quality, report, requirements, works
 from .base import EXPERIENCES_SQL, PROPOSAL, experiences, read
-from ..shared import stored
+from ..shared import shuffled, stored
 from ..sources import readers
 from .registry import ORACLES, query
 
@@ -279,8 +281,8 @@ def golden_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = p.where("no % 7 <> 0").withColumn("months", F.col("months") + F.when(F.col("no") % 3 == 0, 1).otherwise(0))
     golden = p.where("no % 5 <> 0")
     rows = quality.match_golden(found, golden, "doc", "no", "name")
-    rows = rows.join(golden.select("doc", F.col("name").alias("golden_name"), F.col("months").alias("golden_months")), ["doc", "golden_name"], "left")
-    return report.golden_report(rows.join(found.select("doc", F.col("name").alias("found_name"), "months"), ["doc", "found_name"], "left"), "doc")
+    rows = rows.join(shuffled(golden.select("doc", F.col("name").alias("golden_name"), F.col("months").alias("golden_months"))), ["doc", "golden_name"], "left")
+    return report.golden_report(rows.join(shuffled(found.select("doc", F.col("name").alias("found_name"), "months")), ["doc", "found_name"], "left"), "doc")
 
 
 @query("""select l_orderkey, l_linenumber::bigint as l_linenumber, (0.0 + l_discount + l_tax) / 2 as mean from lineitem order by 3, 1, 2 limit 5""")
@@ -621,8 +623,9 @@ def text_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the helpers read from texts of each kind, for each part; keys in texts are of three digits."""
     key = (F.col("p_partkey") % 900 + 100).cast("string")
     given = {n: F.replace(F.get(F.array(*(F.lit(a).cast("string") for a, _ in pairs)), (F.col("p_partkey") % len(pairs)).cast("int")), F.lit("{k}"), key).alias(n) for n, pairs in FIELDS.items()}
-    t = read(spark, sf_dir, "part").select("p_partkey", *given.values())
-    t = records.null_words_to_null(t.withColumnRenamed("null_word", "kept")).select("p_partkey", F.col("kept").alias("null_word")).join(t.drop("null_word"), "p_partkey")
+    parts = read(spark, sf_dir, "part").select("p_partkey", *given.values())
+    t = stored(parts.drop("p_partkey").distinct().withColumn("text_id", F.monotonically_increasing_id()), "texts")  # equal texts are read once
+    t = records.null_words_to_null(t.withColumnRenamed("null_word", "kept")).select("text_id", F.col("kept").alias("null_word")).join(t.withColumnRenamed("null_word", "asked"), "text_id")
     t = records.flag_suspicious_id(t.withColumn("id", F.col("suspicious")), "id")
     c, joined = F.col, lambda a: F.array_join(a, ";")
     period = dates.split_period(c("period"))
@@ -633,7 +636,10 @@ def text_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
         "suspicious": c("needs_review"), "same_group": similarity.same_synonym_group(c("same_group"), F.lit("Coordinador BIM")), "null_word": c("null_word"), "real_title": requirements.is_title(c("real_title")),
         "period": F.concat(period["start"].cast("string"), F.lit("/"), F.coalesce(period["end"].cast("string"), F.lit(""))), "iso_day": dates.iso_or_spanish(c("iso_day")),
     }
-    return t.select("p_partkey", *(v.cast("string").alias(n) for n, v in made.items()))
+    told = t.select(*(F.col("asked" if n == "null_word" else n).alias(f"__{n}") for n in FIELDS), *(v.cast("string").alias(n) for n, v in made.items()))
+    told = stored(told, "fields")
+    same = reduce(lambda a, b: a & b, (F.col(f"p.{n}").eqNullSafe(F.col(f"t.__{n}")) for n in FIELDS))
+    return parts.alias("p").join(told.alias("t"), same).select("p_partkey", *(F.col(f"t.{n}") for n in made))
 
 
 # Sources
