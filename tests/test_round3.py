@@ -6,6 +6,7 @@ import oracle
 from pyspark.sql import functions as F
 
 from evidencespark.operators import assign, markdown
+from evidencespark.plans import queries, report_queries  # noqa: F401
 from evidencespark.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -44,3 +45,14 @@ def test_evidence_texts_end_in_the_blank_line_before_a_page(spark):
 def test_curation_sends_no_growing_table_whole(spark):
     plan = QUERIES["curated_people"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan
+
+
+def test_pairs_sharing_words_compare_a_text_once(spark, monkeypatch):
+    rows = [(k, g, t) for k, (g, t) in enumerate([(g, t) for g in ("x", "y", None) for t in ("Ñu  gris", "ÑU GRIS", "gris", None, "", "rojo", "gris", "a b a gris")])]
+    stages = []
+    monkeypatch.setattr(assign, "stored", lambda df, name: stages.append(df) or df)
+    got = assign.pairs_sharing_words(spark.createDataFrame(rows, "k int, g string, t string"), "g", "k", "t").collect()
+    sets = {k: (g, set((t or "").upper().replace("Ñ", "N").split())) for k, g, t in rows}
+    want = {(a, b, len(x & y) / len(x | y), len(x & y) / max(len(x), len(y))) for a, (g, x) in sets.items() for b, (h, y) in sets.items() if a < b and g == h and g and x & y}
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert [df.count() for df in stages] == [21]  # texts of a group, not rows
