@@ -47,6 +47,11 @@ def test_curation_sends_no_growing_table_whole(spark):
     assert "BroadcastHashJoin" not in plan
 
 
+def test_linked_works_sends_no_growing_table_whole(spark):
+    plan = QUERIES["linked_works"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan
+
+
 def test_pairs_sharing_words_compare_a_text_once(spark, monkeypatch):
     rows = [(k, g, t) for k, (g, t) in enumerate([(g, t) for g in ("x", "y", None) for t in ("Ñu  gris", "ÑU GRIS", "gris", None, "", "rojo", "gris", "a b a gris")])]
     stages = []
