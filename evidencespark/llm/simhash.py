@@ -1,9 +1,10 @@
 """SimHash near-duplicates by deletion-variant signatures.
 
 A 64-bit fingerprint is cut into two 32-bit segments. Fingerprints that differ in at most two bits have a
-segment that differs in at most one, so they share a variant of that segment with one bit deleted (set to
-a wildcard): every distinct fingerprint is indexed under its 2 x 32 variants, equal variants meet, and
-meetings are verified by the number of differing bits.
+segment that differs in at most one: in none, and they share the whole segment, or in just one, and they share a variant of the
+segment with that bit deleted (set to a wildcard), one with the bit and one without. Every distinct fingerprint is indexed under
+its 2 segments and 2 x 32 variants; those of one segment meet under it, those of one variant where the deleted bit differs, and
+meetings are verified by the number of differing bits. So fingerprints of one segment do not meet 32 times more under its variants.
 
 A variant may be shared by very many fingerprints. Members are counted first, with map-side sums; all pairs are made only under a
 variant of at most CROWD members. Fingerprints under a fuller one are indexed further, by the whole fingerprint and its 64
@@ -71,23 +72,31 @@ def fingerprints(text: pa.Array) -> pa.Array:
 
 
 def variants(fp: str = "fp") -> str:
-    """SQL for the array of a fingerprint's variants, each as one number: segment, place of the wildcard, segment without that bit."""
+    """SQL for the array of a fingerprint's segments and variants, each as one number: place of the wildcard in the fingerprint (64 and 65:
+    none, of a whole segment), segment without that bit."""
     def of(segment: int) -> str:
         value = f"({fp} & {(1 << SEGMENT_BITS) - 1}L)" if segment == 0 else f"shiftrightunsigned({fp}, {SEGMENT_BITS})"
-        return f"transform(sequence(0, {SEGMENT_BITS - 1}), b -> shiftleft({segment * SEGMENT_BITS}L + b, {SEGMENT_BITS}) | ({value} & ~shiftleft(1L, b)))"
+        one_bit = f"transform(sequence(0, {SEGMENT_BITS - 1}), b -> shiftleft({segment * SEGMENT_BITS}L + b, {SEGMENT_BITS}) | ({value} & ~shiftleft(1L, b)))"
+        return f"array(shiftleft({64 + segment}L, {SEGMENT_BITS}) | {value}), {one_bit}"
 
     return f"concat({of(0)}, {of(1)})"
 
 
+#: The bit of a fingerprint that its variant lacks; null for a whole segment.
+DELETED = f"if(shiftright(variant, {SEGMENT_BITS}) < 64, shiftrightunsigned(fp, cast(shiftright(variant, {SEGMENT_BITS}) as int)) & 1, null)"
+
+
 def links(nodes: DataFrame) -> DataFrame:
     """nodes: fp long, distinct. Links a, b of fingerprints, enough of them to connect all that differ in at most MAX_BITS bits; none
     that differ in more."""
-    index = nodes.select("fp", F.explode(F.expr(variants())).alias("variant"))
-    counts = stored(index.groupBy("variant").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "simhash-counts")
+    index = nodes.select("fp", F.explode(F.expr(variants())).alias("variant")).withColumn("bit", F.expr(DELETED))
+    meets = F.coalesce(F.min("bit") < F.max("bit"), F.count(F.lit(1)) > 1)
+    counts = stored(index.groupBy("variant").agg(F.count(F.lit(1)).alias("n"), meets.alias("meets")).where("meets").drop("meets"), "simhash-counts")
     met = stored(index.join(counts, "variant"), "simhash-met")
-    groups = met.where(F.col("n") <= CROWD).groupBy("variant").agg(F.collect_list("fp").alias("fps"))
-    ones = groups.select(F.explode("fps").alias("a"), "fps")
-    pairs = ones.select("a", F.explode("fps").alias("b")).where("a > b").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS)
+    groups = met.where(F.col("n") <= CROWD).groupBy("variant").agg(F.collect_list(F.struct("fp", "bit")).alias("fps"))
+    ones = groups.select(F.explode("fps").alias("own"), "fps")
+    apart = F.filter("fps", lambda b: (F.col("own.fp") > b["fp"]) & ~F.coalesce(F.col("own.bit") == b["bit"], F.lit(False)) & (F.bit_count(F.col("own.fp").bitwiseXOR(b["fp"])) <= MAX_BITS))
+    pairs = ones.select(F.col("own.fp").alias("a"), F.explode(apart).alias("other")).select("a", F.col("other.fp").alias("b"))
 
     crowded = met.where(F.col("n") > CROWD).select("fp").distinct()
     changes = F.expr("concat(array(fp), transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i)))")

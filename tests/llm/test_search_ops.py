@@ -84,6 +84,18 @@ def test_links_connect_crowded_variants(spark):
     assert got == slow_components(nodes)
 
 
+def test_fingerprints_of_one_segment_meet_once(spark, monkeypatch):
+    """Thirty with the same upper segment, within two bits of one: none of them meet under the segment's 32 variants."""
+    fps = [5 << 32 | (1 << i if i else 0) for i in range(30)]
+    kept = {}
+    own = simhash.stored
+    monkeypatch.setattr(simhash, "stored", lambda df, name: kept.setdefault(name, own(df, name)))
+    got = {(r["a"], r["b"]) for r in simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long")).collect()}
+    assert got == {(a, b) for a in fps for b in fps if a > b and (a ^ b).bit_count() <= 2}
+    places = [r["variant"] >> 32 for r in kept["simhash-counts"].collect()]
+    assert 65 in places and not [p for p in places if 32 <= p < 64]
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(200)] + [(1001, 1000)], "a long, b long")
     got = {r["node"]: r["component"] for r in simhash.components(edges).collect()}
