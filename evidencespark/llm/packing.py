@@ -31,7 +31,8 @@ SMALLEST_TIER = 64
 END_ID = 1
 SHARD_PIECES = 4096
 STEP_WINDOWS = 16
-#: Bounds of the encoder, smaller than its own: in a pipeline, packing shares an executor's memory with what other stages left.
+#: Bounds of the encoder in a pipeline, smaller than its own: packing shares an executor's memory with what other stages left. They change
+#: no result; packing alone takes the encoder's own bounds, as a worker that holds more pieces encodes fewer of them again.
 CACHE_BYTES, BATCH_BYTES = 8 << 20, 1 << 20
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, step_group long, tier int, ids binary"
 
@@ -131,7 +132,7 @@ def pack_shard(pieces: list[tuple], base: int, keep_ids: bool) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types)], [x.split()[0] for x in PACKED.split(", ")])
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, shard_pieces: int = SHARD_PIECES, keep_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, shard_pieces: int = SHARD_PIECES, keep_ids: bool = True, cache_bytes: int = CACHE_BYTES, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, step_group, tier, ids (of pieces of
     packed rests, null unless keep_ids; a full window's are those of its range of the document)."""
 
@@ -139,9 +140,9 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, shard_pieces: in
         from pyspark import TaskContext
 
         base = TaskContext.get().partitionId() << 32
-        encode = encoder(tokenizer, CACHE_BYTES).encode
+        encode = encoder(tokenizer, cache_bytes).encode
         held: list[tuple] = []
-        for batch in batches_of(batches, BATCH_BYTES):
+        for batch in batches_of(batches, batch_bytes):
             ids, starts = encode(batch["text"], end_id)
             for at, end, key in zip(starts.tolist(), starts[1:].tolist(), batch["doc_id"].to_pylist()):
                 for a in range(at, end, MAX_LENGTH):
@@ -157,5 +158,5 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, shard_pieces: in
     return stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(packed, PACKED), "packed")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
-    return pack(docs, tokenizer, keep_ids=False).drop("ids")
+def pack_documents(docs: DataFrame, tokenizer: str, cache_bytes: int = CACHE_BYTES, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    return pack(docs, tokenizer, keep_ids=False, cache_bytes=cache_bytes, batch_bytes=batch_bytes).drop("ids")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, exact_search, hard_negatives, html_text, mixing, packing, pii, quality, sharding, simhash, suffix_tree, token_store, turns
+from . import ann, encoding, exact_search, hard_negatives, html_text, mixing, packing, pii, quality, sharding, simhash, suffix_tree, token_store, turns
 from .common import table
 
 BYTE_TOKENIZER, WORD_TOKENIZER = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -40,7 +40,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path(WORD_TOKENIZER))
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path(WORD_TOKENIZER), encoding.CACHE_BYTES, encoding.BATCH_BYTES)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from evidencespark.llm import encoding, mixing, packing, pii, quality, sharding, token_store
+from evidencespark.llm import encoding, mixing, packing, pii, quality, queries, sharding, token_store
 from evidencespark.llm.common import table
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -300,6 +300,15 @@ def test_packing(spark, sf, edge, none):
     assert packing.pack_documents(none, path).count() == 0
 
 
+def test_packing_alone_takes_the_encoders_own_bounds(spark, sf, monkeypatch):
+    asked, own = [], packing.pack
+    monkeypatch.setattr(packing, "pack", lambda *args, **more: asked.append((more["cache_bytes"], more["batch_bytes"])) or own(*args, **more))
+    one = sorted(map(tuple, queries.op8_packing(spark, str(sf)).collect()))
+    assert asked == [(encoding.CACHE_BYTES, encoding.BATCH_BYTES)]
+    assert one == sorted(map(tuple, packing.pack_documents(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json")).collect()))
+    assert asked[1] == (packing.CACHE_BYTES, packing.BATCH_BYTES)
+
+
 def test_each_tier_has_windows_of_its_own_length(spark):
     rng = random.Random(2)
     for lengths in ([300] * 50, [rng.randint(1, 2047) for _ in range(700)], [int(min(2047, rng.lognormvariate(5, 1) + 1)) for _ in range(2000)], [1], [2047], []):
