@@ -8,6 +8,7 @@ pieces that the worker does not hold go to the library.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 from collections.abc import Iterator
@@ -150,6 +151,15 @@ def encoder(path: str, cache_bytes: int = CACHE_BYTES) -> Encoder:
     return _encoders[path, cache_bytes]
 
 
+def let_go() -> None:
+    """Drops the worker's encoders and gives freed memory back to the system. Workers are kept for later stages, which do not encode."""
+    _encoders.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
 def batches_of(batches: Iterator[pa.RecordBatch], most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about so many bytes of the column text, or of one row."""
     waiting: list[pa.RecordBatch] = []

@@ -99,6 +99,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def _by_fingerprint(nodes: DataFrame) -> DataFrame:
     """Pairs a, b of nodes, at most two a node: with the least of its fingerprint, and that with the least of a component of linked ones."""
     least = nodes.groupBy("fp").agg(F.min("node").alias("least"))
+    least = stored(least, "near-fingerprints")
     found = components(simhash.links(least.select("fp")))
     same = nodes.join(least, "fp").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
     near = found.join(least.toDF("node", "x"), "node").join(least.toDF("component", "y"), "component").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
-from .encoding import batches_of, encoder
+from .encoding import batches_of, encoder, let_go
 
 MAX_LENGTH = 2048
 SMALLEST_TIER = 64
@@ -154,6 +154,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, shard_pieces: in
                     yield out
         if held:
             yield pack_shard(held, base, keep_ids)
+        encode = held = batch = ids = None  # or the encoder and its last batch stay
+        let_go()
 
     return stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(packed, PACKED), "packed")
 

@@ -33,6 +33,9 @@ from .common import each_text, stored
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
 CROWD = 32
 SEGMENT_BITS = 32
+#: Fingerprints that a task indexes. A stored table of them is a few small files, which Spark reads in as few tasks, but makes 66 keys
+#: of each.
+FINGERPRINTS_A_TASK = 8192
 
 
 def shingle_hashes(text: str | None, shingle: int) -> list[int]:
@@ -86,10 +89,15 @@ def variants(fp: str = "fp") -> str:
 DELETED = f"if(shiftright(variant, {SEGMENT_BITS}) < 64, shiftrightunsigned(fp, cast(shiftright(variant, {SEGMENT_BITS}) as int)) & 1, null)"
 
 
+def spread(nodes: DataFrame) -> DataFrame:
+    """nodes, dealt by fp to tasks of about FINGERPRINTS_A_TASK rows."""
+    return nodes.repartition(max(1, -(-nodes.count() // FINGERPRINTS_A_TASK)), "fp")
+
+
 def links(nodes: DataFrame) -> DataFrame:
     """nodes: fp long, distinct. Links a, b of fingerprints, enough of them to connect all that differ in at most MAX_BITS bits; none
     that differ in more."""
-    index = nodes.select("fp", F.explode(F.expr(variants())).alias("variant")).withColumn("bit", F.expr(DELETED))
+    index = spread(nodes).select("fp", F.explode(F.expr(variants())).alias("variant")).withColumn("bit", F.expr(DELETED))
     meets = F.coalesce(F.min("bit") < F.max("bit"), F.count(F.lit(1)) > 1)
     counts = stored(index.groupBy("variant").agg(F.count(F.lit(1)).alias("n"), meets.alias("meets")).where("meets").drop("meets"), "simhash-counts")
     met = stored(index.join(counts, "variant"), "simhash-met")
