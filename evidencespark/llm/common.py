@@ -51,11 +51,24 @@ def bounded_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, own)
 
 
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Spark removes the shuffle files of a query run inside as it ends, and not when the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    own = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, own)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written as a table in the shared folder, in bounded batches, and read back: it cuts the lineage and survives lost executors."""
+    """df, written as a table in the shared folder, in bounded batches, and read back: it cuts the lineage and survives lost executors.
+    Its shuffle files go with the write, as only the table is read from then on."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    with bounded_batches(spark):
+    with bounded_batches(spark), freed_shuffles(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

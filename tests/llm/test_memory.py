@@ -1,9 +1,12 @@
 """What tasks hold, and what a Python worker keeps for the stages after its own."""
 
+import time
+
 import public_tokenizers
 import pyarrow as pa
 
 from evidencespark.llm import packing, simhash
+from evidencespark.llm.common import stored
 from evidencespark.llm.queries import WORD_TOKENIZER
 
 
@@ -27,3 +30,17 @@ def test_an_index_of_fingerprints_is_dealt_to_small_tasks(spark, tmp_path):
     dealt = simhash.spread(spark.read.parquet(str(tmp_path / "fps")))
     sizes = [r["n"] for r in dealt.selectExpr("spark_partition_id() as p").groupBy("p").count().withColumnRenamed("count", "n").collect()]
     assert len(sizes) == 3 and sum(sizes) == n and max(sizes) < 2 * simhash.FINGERPRINTS_A_TASK
+
+
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        return {b for b in blocks.getAllBlocks().mkString(" ").split() if b.startswith("shuffle_")}
+
+    before = shuffles()
+    table = stored(spark.range(1000).repartition(4, "id"), "dealt")
+    until = time.monotonic() + 5
+    while shuffles() - before and time.monotonic() < until:
+        time.sleep(0.1)
+    assert not shuffles() - before and table.count() == 1000
