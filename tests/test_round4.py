@@ -5,8 +5,9 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
-from evidencespark.operators import works
+from evidencespark.operators import assign, works
 
 DAY = datetime.date(2020, 1, 1)
 CERTS, WORKS = "cert long, name string, entity string, day date", "work long, name string, entity string, start date"
@@ -67,3 +68,30 @@ def test_certificates_do_not_meet_each_work_of_their_name(spark):
     moved = shuffle_bytes(spark) - began
     assert {r["cert"]: r["work"] for r in got} == {i: next(w for w in range(i, i + 4) if w % 4 == i % 3) for i in range(600)}
     assert moved < 2_000_000, moved
+
+
+@pytest.mark.parametrize("tile", [1, 3, 1000])
+def test_pairs_of_tiles_equal_all_pairs(spark, monkeypatch, tile):
+    monkeypatch.setattr(assign, "PAIR_TILE", tile)
+    rng = random.Random(tile)
+    texts = ["red bolt", "RED  bolt", "bolt red", "red", "blue rod", "zinc", "", None, "ñu red rod"]
+    rows = [(rng.choice((*range(40), None)), rng.choice(("x", "y", None)), rng.choice(texts)) for _ in range(70)]
+    words = lambda t: {*(t or "").upper().replace("Ñ", "N").split()}
+    want = Counter()
+    for a, g, s in rows:
+        for b, h, t in rows:
+            x, y = words(s), words(t)
+            if None not in (a, b, g) and a < b and g == h and x & y:
+                want[a, b, round(len(x & y) / len(x | y), 6), round(len(x & y) / max(len(x), len(y)), 6)] += 1
+    got = assign.pairs_sharing_words(spark.createDataFrame(rows, "k int, g string, t string"), "g", "k", "t", 6)
+    assert Counter(map(tuple, got.collect())) == want and len(want) > 50
+
+
+def test_one_text_s_pairs_are_dealt_over_tasks_and_not_moved(spark):
+    rows = spark.range(4000).select("id", F.lit("x").alias("g"), F.concat(F.lit("red "), F.col("id") % 2 * F.col("id") % 50).alias("t"))
+    began = shuffle_bytes(spark)
+    pairs = assign.pairs_sharing_words(rows, "g", "id", "t").groupBy(F.spark_partition_id().alias("p")).count()
+    parts = dict(map(tuple, pairs.collect()))
+    assert sum(parts.values()) == 4000 * 3999 // 2
+    assert len(parts) == 4 and max(parts.values()) < 0.4 * sum(parts.values())  # all in one task before
+    assert shuffle_bytes(spark) - began < 2_500_000
