@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidencespark.operators import assign, works
+from evidencespark.plans import queries, report_queries  # noqa: F401
+from evidencespark.plans.registry import QUERIES
 
 DAY = datetime.date(2020, 1, 1)
 CERTS, WORKS = "cert long, name string, entity string, day date", "work long, name string, entity string, start date"
@@ -70,6 +72,13 @@ def test_certificates_do_not_meet_each_work_of_their_name(spark):
     assert moved < 2_000_000, moved
 
 
+def test_linking_sends_no_growing_table_whole(spark, monkeypatch):
+    plans, stored = [], works.stored
+    monkeypatch.setattr(works, "stored", lambda df, name: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or stored(df, name))
+    QUERIES["link_candidates_top1"](spark, "/root/testdata/sf0.001")
+    assert len(plans) > 5 and not [name for name, plan in plans if "BroadcastHashJoin" in plan]
+
+
 @pytest.mark.parametrize("tile", [1, 3, 1000])
 def test_pairs_of_tiles_equal_all_pairs(spark, monkeypatch, tile):
     monkeypatch.setattr(assign, "PAIR_TILE", tile)
